@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import ChatTemplate, format_conversations, loss_text, parse_formatted
 from .common import table
+from .quality import quality_cascade
 from .sharding import shard_by_bytes
 
 N_SHARDS = 40
@@ -72,5 +73,38 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op2_sharding": op2_sharding}
-ORACLES = {"op1_chat_formatting": _op1_sql()}
+def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept"
+    )
+
+
+_OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT k, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+t AS (SELECT k, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT k, i, CASE WHEN count(*) OVER v = 8 THEN string_agg(word, ' ') OVER v END AS gram FROM t
+      WINDOW v AS (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+c AS (SELECT k, i, CASE WHEN gram IS NOT NULL AND count(*) OVER (PARTITION BY k, gram) > 1 THEN 1 ELSE 0 END AS twice FROM g),
+r AS (SELECT k, i, max(twice) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS covered FROM c),
+n AS (SELECT k, sum(covered) AS n_repeat_words FROM r GROUP BY k),
+l AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d),
+p AS (SELECT k, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k),
+a AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN n USING (k) LEFT JOIN p USING (k)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
+SELECT *, NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_symbols > 3 * n_words
+  OR 10 * n_dup_lines > n_words) AS kept FROM b"""
+
+
+QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op2_sharding": op2_sharding,
+    "op9_quality_cascade": op9_quality_cascade,
+}
+ORACLES = {"op1_chat_formatting": _op1_sql(), "op9_quality_cascade": _OP9_SQL}
