@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import ChatTemplate, format_conversations, loss_text, parse_formatted
 from .common import table
+from .packing import best_fit_packing
 from .quality import quality_cascade
 from .sharding import shard_by_bytes
 
@@ -73,6 +75,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -105,6 +113,7 @@ SELECT *, NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_wo
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sharding": op2_sharding,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op9_quality_cascade": op9_quality_cascade,
 }
 ORACLES = {"op1_chat_formatting": _op1_sql(), "op9_quality_cascade": _OP9_SQL}
