@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import Pieces, bpe_round_trip
 from .chat import ChatTemplate, format_conversations, loss_text, parse_formatted
 from .common import table
 from .packing import best_fit_packing
@@ -81,6 +85,23 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def _digests(ids: np.ndarray, at: np.ndarray, pieces: Pieces) -> dict[str, list]:
+    raw, text = ids.astype("<u4").tobytes(), pieces.decode(ids).tobytes()
+    ends = np.concatenate([[0], np.cumsum(pieces.size[ids])])[at].tolist()
+    at = at.tolist()
+    return {
+        "n_tokens": np.diff(at),
+        "ids_sha256": [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)],
+        "decoded_sha256": [hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)],
+    }
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe_round_trip(docs, ranks, finish=_digests, finish_schema="n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -114,6 +135,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sharding": op2_sharding,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_byte_bpe": op7_byte_bpe,
     "op9_quality_cascade": op9_quality_cascade,
 }
 ORACLES = {"op1_chat_formatting": _op1_sql(), "op9_quality_cascade": _OP9_SQL}
