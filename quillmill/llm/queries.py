@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from .bpe import Pieces, bpe_round_trip
 from .chat import ChatTemplate, format_conversations, loss_text, parse_formatted
-from .common import table
+from .common import stored, table
+from .media import media_features, write_media
 from .packing import best_fit_packing
 from .quality import quality_cascade
 from .sharding import shard_by_bytes
+from .warc import read_bundles, write_bundles
 
 N_SHARDS = 40
 
@@ -79,12 +81,34 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return media_features(write_media(docs)).drop("clips")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     packed = best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = stored(write_bundles(table(spark, sf_dir, "pages")), "bundles")
+    return read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP6_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS head FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST(('0x' || substr(hex, 1 + 5 * CAST(i // 4 AS INT), 5)) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> head THEN head END AS refers_to
+FROM f"""
+
+
 def _digests(ids: np.ndarray, at: np.ndarray, pieces: Pieces) -> dict[str, list]:
     raw, text = ids.astype("<u4").tobytes(), pieces.decode(ids).tobytes()
     ends = np.concatenate([[0], np.cumsum(pieces.size[ids])])[at].tolist()
@@ -134,8 +158,10 @@ SELECT *, NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_wo
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sharding": op2_sharding,
+    "op3_avi_motion_jpeg": op3_avi_motion_jpeg,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_warc": op6_warc,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_quality_cascade": op9_quality_cascade,
 }
-ORACLES = {"op1_chat_formatting": _op1_sql(), "op9_quality_cascade": _OP9_SQL}
+ORACLES = {"op1_chat_formatting": _op1_sql(), "op6_warc": _OP6_SQL, "op9_quality_cascade": _OP9_SQL}
