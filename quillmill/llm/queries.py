@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .bpe import Pieces, bpe_round_trip
 from .chat import ChatTemplate, format_conversations, loss_text, parse_formatted
 from .common import stored, table
+from .html_text import extract_main_text
 from .media import media_features, write_media
 from .packing import best_fit_packing
 from .quality import quality_cascade
@@ -155,6 +156,10 @@ SELECT *, NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_wo
   OR 10 * n_dup_lines > n_words) AS kept FROM b"""
 
 
+def op10_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sharding": op2_sharding,
@@ -163,5 +168,6 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_quality_cascade": op9_quality_cascade,
+    "op10_consensus_html": op10_consensus_html,
 }
 ORACLES = {"op1_chat_formatting": _op1_sql(), "op6_warc": _OP6_SQL, "op9_quality_cascade": _OP9_SQL}
