@@ -14,6 +14,7 @@ from .chat import ChatTemplate, format_conversations, loss_text, parse_formatted
 from .common import stored, table
 from .html_text import extract_main_text
 from .media import media_features, write_media
+from .minhash import near_duplicates
 from .packing import best_fit_packing
 from .quality import quality_cascade
 from .sharding import shard_by_bytes
@@ -127,6 +128,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(docs, ranks, finish=_digests, finish_schema="n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -167,6 +172,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_warc": op6_warc,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_bag_minhash": op8_bag_minhash,
     "op9_quality_cascade": op9_quality_cascade,
     "op10_consensus_html": op10_consensus_html,
 }
