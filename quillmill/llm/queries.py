@@ -18,6 +18,7 @@ from .minhash import near_duplicates
 from .packing import best_fit_packing
 from .quality import quality_cascade
 from .sharding import shard_by_bytes
+from .suffix import remove_repeats
 from .warc import read_bundles, write_bundles
 
 N_SHARDS = 40
@@ -94,6 +95,15 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def _kept_digest(kept: list[bytes]) -> dict[str, list]:
+    return {"kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
+
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, finish=_kept_digest, finish_schema="kept_sha256 string")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles = stored(write_bundles(table(spark, sf_dir, "pages")), "bundles")
     return read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -170,6 +180,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_avi_motion_jpeg": op3_avi_motion_jpeg,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_warc": op6_warc,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_bag_minhash": op8_bag_minhash,
