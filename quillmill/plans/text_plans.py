@@ -175,15 +175,15 @@ def _sql_links() -> str:
 def scalar_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Multi-line collapsing, choice letters, decimal points, zeros, verdicts and sub-phrases on fixed rows."""
     rows = [(0, "abc\r\nd  ef g ", "(A) one (B) two", "12.500", "Yes."), (1, "one line", "none", "100", "No, it is not"), (2, "", "(ж)", "0.10", "perhaps"), (3, "a\n\n b", "(1)(2)", "3.", "YES")]
-    d = spark.createDataFrame(rows, "k int, lines string, choices string, num string, verdict string")
+    d = spark.createDataFrame(rows, "k int, raw string, choices string, num string, verdict string")
     return d.select(
         "k",
-        F.array_join(text.multiline(F.col("lines")), "|").alias("lines"),
+        F.array_join(text.multiline(F.col("raw")), "|").alias("lines"),
         F.array_join(text.choice_letters(F.col("choices")), ",").alias("letters"),
         text.strip_zeros(F.col("num")).alias("num"),
         text.judged_bad(F.col("verdict")).alias("bad"),
         text.decimal_points(F.concat(F.lit("x 1,5 y "), F.col("num"), F.lit(" z"))).alias("points"),
-        text.find_subphrase(F.split("lines", " "), F.split(F.lit("EF g"), " ")).alias("place"),
+        text.find_subphrase(F.split("raw", " "), F.split(F.lit("EF g"), " ")).alias("place"),
     )
 
 
