@@ -1 +1,188 @@
-QUERIES, ORACLES = {}, {}
+"""Queries over spans, paragraphs, sections and tags."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import TOKEN, WS
+from ..operators import sections, spans
+from .tables import sql_text, table
+
+_WS, _TOKEN = sql_text(WS), sql_text(TOKEN)
+_TRIM = lambda c: f"regexp_replace(regexp_replace({c}, {sql_text('^' + WS)}, ''), {sql_text(WS + '$')}, '')"
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "text")
+
+
+def paragraph_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.paragraph_spans(_docs(spark, sf))
+
+
+_LINES = """
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+o AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l)"""
+_PARAGRAPHS = f"""{_LINES},
+p AS (SELECT doc_id, CAST(line AS INT) AS line, CAST(start + length(raw) - length(regexp_replace(raw, {sql_text('^' + WS)}, '')) AS INT) AS start, length({_TRIM('raw')}) AS n FROM o),
+pars AS (SELECT doc_id, line, start, CAST(start + n AS INT) AS "end" FROM p WHERE n > 0)"""
+
+
+def tiles_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with their line ends must tile each document."""
+    d = _docs(spark, sf)
+    b = spans.lines_with_offsets(d)
+    n = d.select("doc_id", F.length("text").alias("n"))
+    ends = b.join(n, "doc_id").select("doc_id", "start", F.least(F.col("start") + F.length("raw") + 1, F.col("n")).alias("end")).where("end > start")
+    return spans.tiles(ends, n)
+
+
+def containment_join(spark: SparkSession, sf: str) -> DataFrame:
+    d = _docs(spark, sf)
+    hits = spans.phrase_hits(d, table(spark, sf, "benchmark"))
+    return spans.contained(hits, spans.paragraph_spans(d))
+
+
+_HITS = """hits AS (SELECT doc_id, item_id, CAST(instr(d.text, b.text) - 1 AS INT) AS start, CAST(instr(d.text, b.text) - 1 + length(b.text) AS INT) AS "end"
+  FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(string_split_regex(trim(b.text), '\\s+')) >= 6)"""
+CONTAINED = f"""WITH {_PARAGRAPHS}, {_HITS}
+SELECT h.*, p.line AS outer, h.start - p.start AS rel_start, h."end" - p.start AS rel_end FROM hits h JOIN pars p ON h.doc_id = p.doc_id AND h.start >= p.start AND h."end" <= p."end" """.replace("AS outer", 'AS "outer"')
+
+
+def bio_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens inside benchmark passages, tagged."""
+    d = _docs(spark, sf)
+    hits = spans.phrase_hits(d, table(spark, sf, "benchmark")).withColumn("class", F.lit("bench"))
+    held = d.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    return spans.bio_tags(spans.token_spans(held), hits).where("tags <> 'O'")
+
+
+BIO = f"""
+WITH {_HITS}, d AS (SELECT doc_id, regexp_extract_all(text, {sql_text(spans.SPACED_TOKEN)}) AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM hits)),
+t AS (SELECT doc_id, unnest(w) AS s, generate_subscripts(w, 1) - 1 AS tok FROM d),
+e AS (SELECT doc_id, tok, regexp_replace(s, '^\\s+', '') AS token, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY tok) AS fin FROM t),
+j AS (SELECT e.doc_id, tok, token, h.start, h."end" AS last, CASE WHEN fin - length(token) = h.start THEN 'B-bench' ELSE 'I-bench' END AS tag
+  FROM e JOIN hits h ON e.doc_id = h.doc_id AND fin - length(token) >= h.start AND fin <= h."end")
+SELECT doc_id, CAST(tok AS INT) AS tok, token, string_agg(tag, ',' ORDER BY start, last) AS tags FROM j GROUP BY doc_id, tok, token"""
+
+
+def paragraph_segment(spark: SparkSession, sf: str) -> DataFrame:
+    pars = sections.paragraphs(spans.lines_with_offsets(_docs(spark, sf)))
+    return sections.segmentation_pairs(pars).select("doc_id", F.col("text_no").cast("long"), "n", F.md5("input").alias("input_md5"), F.md5("target").alias("target_md5"))
+
+
+SEGMENT = f"""
+WITH {_LINES}, x AS (SELECT doc_id, line, trim(regexp_replace(replace(raw, '--', '—'), {_WS}, ' ', 'g')) AS s FROM o),
+t AS (SELECT *, regexp_extract_all(s, {_TOKEN}) AS t FROM x),
+a AS (SELECT doc_id, line, s, list_filter(t, lambda w: regexp_full_match(w, '\\p{{L}}+')) AS a, len(list_filter(t, lambda w: regexp_full_match(w, '[\\p{{L}}\\p{{N}}]+'))) > 0 AS wordy FROM t),
+f AS (SELECT doc_id, line, s, wordy, coalesce(regexp_full_match(a[1], '\\p{{Lu}}\\p{{Ll}}*'), false) AS title, len(a) > 0 AND len(list_filter(a, lambda w: NOT regexp_full_match(w, '\\p{{Lu}}+'))) = 0 AS up,
+  lag(s) OVER w AS ps, lag(wordy) OVER w AS pw FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+b AS (SELECT *, sum(CASE WHEN s <> '' AND (ps IS NULL OR ps = '' OR NOT pw OR regexp_matches(ps, '[.?!…]$') OR regexp_matches(s, '^[—\\-0-9]') OR title OR up OR NOT wordy) THEN 1 ELSE 0 END)
+  OVER (PARTITION BY doc_id ORDER BY line) AS par FROM f),
+p AS (SELECT doc_id, par, bool_or(wordy) AS wordy, string_agg(s, ' ' ORDER BY line) AS paragraph FROM b WHERE s <> '' GROUP BY doc_id, par),
+n AS (SELECT *, sum(CASE WHEN wordy THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY par) AS text_no FROM p)
+SELECT doc_id, CAST(text_no AS BIGINT) AS text_no, count(*) AS n, md5(string_agg(paragraph, ' ' ORDER BY par)) AS input_md5, md5(string_agg(paragraph, chr(10) ORDER BY par)) AS target_md5
+FROM n WHERE wordy GROUP BY doc_id, text_no"""
+
+_LONG = "this line is long enough to count as body text for sure"
+_WIKI = [(1, 1, "Title one"), (1, 2, _LONG + " a"), (1, 3, "Second"), (1, 4, "short body"), (1, 5, "Third"), (1, 6, _LONG + " b"), (1, 7, _LONG + " c"), (1, 8, "left over"),
+         (2, 1, _LONG + " as a first line"), (2, 2, _LONG + " d"), (3, 1, "alone"), (4, 1, "T"), (4, 2, ""), (4, 3, "b"), (4, 4, _LONG)]
+
+
+def wiki_sections(spark: SparkSession, sf: str) -> DataFrame:
+    return sections.wiki_sections(spark.createDataFrame(_WIKI, "doc int, n int, line string")).select("doc", F.col("section").cast("long"), "title", "body")
+
+
+_WIKI_SQL = ", ".join(f"({d}, {n}, '{s}')" for d, n, s in _WIKI)
+WIKI = f"""
+WITH v AS (SELECT * FROM (VALUES {_WIKI_SQL}) AS v(doc, n, line) WHERE line <> ''),
+s AS (SELECT *, len(list_filter(regexp_extract_all(line, {_TOKEN}), lambda w: regexp_full_match(w, '[\\p{{L}}\\p{{N}}]+'))) <= 7 OR row_number() OVER (PARTITION BY doc ORDER BY n) = 1 AS short FROM v),
+r AS (SELECT *, sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY n) AS run FROM s),
+i AS (SELECT *, short AND sum(short::INT) OVER (PARTITION BY doc, run ORDER BY n) % 2 = 1 AS is_title FROM r),
+k AS (SELECT *, sum(is_title::INT) OVER (PARTITION BY doc ORDER BY n) AS section FROM i),
+t AS (SELECT *, max(CASE WHEN is_title THEN line END) OVER (PARTITION BY doc, section) AS title FROM k)
+SELECT doc, CAST(section AS BIGINT) AS section, title, string_agg(CASE WHEN short THEN title ELSE line END, chr(10) ORDER BY n) AS body FROM t WHERE NOT is_title GROUP BY doc, section, title"""
+
+_INTERVALS = [(1, 0, 10), (1, 10, 15), (1, 25, 45), (2, 0, 10), (2, 10, 15), (2, 25, 45), (2, 8, 11), (3, 0, 10), (3, 10, 15), (3, 25, 45), (3, 8, 11), (3, 14, 27), (4, 0, 10), (4, 10, 15), (4, 14, 48), (4, 25, 45), (4, 8, 11), (5, 0, 100), (5, 1, 2), (5, 3, 5), (5, 99, 120)]
+
+
+def interval_union(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.interval_union(spark.createDataFrame(_INTERVALS, "k int, s int, e int"), "k", "s", "e")
+
+
+UNION = """SELECT * FROM (VALUES (1, 0, 10), (1, 10, 15), (1, 25, 45), (2, 0, 15), (2, 25, 45), (3, 0, 45), (4, 0, 48), (5, 0, 120)) AS v(k, s, e)"""
+
+
+def span_objects(spark: SparkSession, sf: str) -> DataFrame:
+    s = spark.createDataFrame([(1, 10, 0, 4), (1, 11, 5, 6), (1, 12, 20, 3), (2, 10, 7, 2)], "doc int, span_id int, start int, len int")
+    o = spark.createDataFrame([(1, 1, "Person", [10, 11]), (1, 2, "Org", [12]), (2, 1, "LocOrg", [10]), (1, 3, "Location", [12, 10])], "doc int, object_id int, type string, span_ids array<int>")
+    return spans.object_bounds(o, s)
+
+
+OBJECTS = """
+WITH s AS (SELECT * FROM (VALUES (1, 10, 0, 4), (1, 11, 5, 6), (1, 12, 20, 3), (2, 10, 7, 2)) AS v(doc, span_id, start, len)),
+o AS (SELECT doc, object_id, type, unnest(ids) AS span_id FROM (VALUES (1, 1, 'person', [10, 11]), (1, 2, 'organization', [12]), (2, 1, 'location', [10]), (1, 3, 'location', [12, 10])) AS v(doc, object_id, type, ids))
+SELECT doc, object_id, type AS class, min(start) AS start, max(start + len) AS "end" FROM o JOIN s USING (doc, span_id) GROUP BY doc, object_id, type"""
+
+_QUOTED = "the paper «Morning News» wrote of «a «deep» sea»"
+
+
+def guillemets(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [(1, 11, 23), (2, 10, 23), (3, 11, 24), (4, 10, 24), (5, 0, 3), (6, 38, 42)]
+    d = spark.createDataFrame(rows, "k int, s int, e int")
+    a, b = spans.with_quotes(F.lit(_QUOTED), F.col("s"), F.col("e"))
+    return d.select("k", a.cast("int").alias("start"), b.cast("int").alias("end"))
+
+
+GUILLEMETS = """SELECT * FROM (VALUES (1, 10, 24), (2, 10, 24), (3, 10, 24), (4, 10, 24), (5, 0, 3), (6, 37, 43)) AS v(k, start, "end")"""
+
+_ALIGN = [(1, "a b c d e".split(), [["b", "c"], ["e"]]), (2, "a b c d e".split(), [["C"], ["z"]]), (3, "a b a b".split(), [["a", "b"], ["a", "b"]]), (4, [], [["x"], ["y"], ["z"]]), (5, "a b".split(), [[]]), (6, "new york city hall".split(), [["york", "city"], ["city", "hall"]])]
+
+
+def entity_align(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.aligned(spark.createDataFrame(_ALIGN, "k int, tokens array<string>, entities array<array<string>>"), "k")
+
+
+ALIGN = """SELECT * FROM (VALUES (1, 1, 3, 0), (1, 4, 5, 0), (2, 2, 3, 1), (3, 0, 2, 0), (3, 2, 4, 0), (4, -1, -1, 3), (5, -1, -1, 0), (6, 1, 3, 0), (6, 2, 4, 0)) AS v(k, start, "end", misses)"""
+
+_CONLL_TEXT = "Ann Lee met Bob in New York."
+_CONLL = [(1, "PER", 0, 7), (1, "PER", 12, 15), (1, "LOC", 19, 27), (1, "CITY", 23, 27)]
+
+
+def conll_rows(spark: SparkSession, sf: str) -> DataFrame:
+    d = spark.createDataFrame([(1, _CONLL_TEXT)], "doc_id int, text string")
+    e = spark.createDataFrame(_CONLL, "doc_id int, class string, start int, end int")
+    return spans.conll_text(spans.bio_tags(spans.token_spans(d), e))
+
+
+_TAB = "' || chr(9) || '"
+_NL = "' || chr(10) || '"
+CONLL = f"""SELECT 1 AS doc_id, 'Ann{_TAB}B-PER{_NL}Lee{_TAB}I-PER{_NL}met{_TAB}O{_NL}Bob{_TAB}B-PER{_NL}in{_TAB}O{_NL}New{_TAB}B-LOC{_NL}York{_TAB}I-LOC,B-CITY{_NL}.{_TAB}O' AS target"""
+
+QUERIES = {
+    "paragraph_spans": paragraph_spans,
+    "tiles_check": tiles_check,
+    "containment_join": containment_join,
+    "bio_tags": bio_tags,
+    "paragraph_segment": paragraph_segment,
+    "wiki_sections": wiki_sections,
+    "interval_union": interval_union,
+    "span_objects": span_objects,
+    "guillemets": guillemets,
+    "entity_align": entity_align,
+    "conll_rows": conll_rows,
+}
+ORACLES = {
+    "paragraph_spans": f"WITH {_PARAGRAPHS} SELECT * FROM pars",
+    "tiles_check": "SELECT doc_id, length(text) > 0 AS ok FROM documents",
+    "containment_join": CONTAINED,
+    "bio_tags": BIO,
+    "paragraph_segment": SEGMENT,
+    "wiki_sections": WIKI,
+    "interval_union": UNION,
+    "span_objects": OBJECTS,
+    "guillemets": GUILLEMETS,
+    "entity_align": ALIGN,
+    "conll_rows": CONLL,
+}
