@@ -1 +1,181 @@
-QUERIES, ORACLES = {}, {}
+"""Queries over scores, similarities, generators and model calls."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import similarity
+from ..operators import generate, metrics, models
+from .tables import sql_pick, table
+
+_WER = [("a", "abcd efg", "abcd efg"), ("a", "the cat sat", "the cat sat on a mat"), ("a", "x", "x y, z!"), ("b", "", ""), ("b", "", ""), ("c", "one two three", "uno dos tres"), ("c", "p q r s", "p q")]
+
+
+def wer_by_task(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.error_rates(spark.createDataFrame(_WER, "task string, pred string, ref string"), "task", "pred", "ref")
+
+
+WER = """SELECT task, CAST(n AS BIGINT) AS n, CAST(d AS BIGINT) AS distance, CAST(r AS BIGINT) AS n_ref, round(CASE WHEN r = 0 THEN 0 ELSE d / r::DOUBLE END, 6) AS wer, round(1 - CASE WHEN r = 0 THEN 0 ELSE round(d / r::DOUBLE, 6) END, 6) AS accuracy
+FROM (VALUES ('a', 3, 7, 13), ('b', 2, 0, 0), ('c', 2, 5, 5)) AS v(task, n, d, r)"""
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    """Each benchmark passage beside the next, in ASCII (SQL engines differ on other letters)."""
+    b = table(spark, sf, "benchmark").select("item_id", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("t"))
+    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))
+    return b.join(nxt, "item_id")
+
+
+_ITEMS = """i AS (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS t FROM benchmark),
+p AS (SELECT a.item_id, a.t, b.t AS u FROM i a JOIN i b ON b.item_id = a.item_id + 1)"""
+
+
+def lexical_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    return _items(spark, sf).select("item_id", F.round(similarity.lexical_similarity(F.col("t"), F.col("u")), 6).alias("similarity"))
+
+
+LEXICAL = f"WITH {_ITEMS} SELECT item_id, round(greatest(0.0::DOUBLE, 1 - levenshtein(t, u) / length(t)::DOUBLE), 6) AS similarity FROM p"
+
+
+def scored_report(spark: SparkSession, sf: str) -> DataFrame:
+    s = _items(spark, sf).select("item_id", F.col("t").alias("input"), F.col("t").alias("reference"), F.col("u").alias("predicted"), F.round(similarity.lexical_similarity(F.col("t"), F.col("u")), 6).alias("score"))
+    return metrics.report(s, "item_id").select("item_id", "score", F.col("place").cast("long"))
+
+
+REPORT = f"""WITH {_ITEMS}, s AS (SELECT *, round(greatest(0.0::DOUBLE, 1 - levenshtein(t, u) / length(t)::DOUBLE), 6) AS score FROM p)
+SELECT item_id, score, row_number() OVER (ORDER BY score DESC, length(t), length(t), length(u), item_id) - 1 AS place FROM s"""
+
+
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    l = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    pred = F.when(F.col("quality") == 1, "No, it is fine.").when(F.col("doc_id") % 7 == 0, "Hard to say").otherwise("Yes, no doubt")
+    return l.select("lang", pred.alias("pred"), F.when(F.col("toxic") == 1, "yes").otherwise("no").alias("truth"))
+
+
+def yesno_f1(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.yes_no_f1(_answers(spark, sf), "lang", "pred", "truth")
+
+
+YESNO = """
+WITH a AS (SELECT lang, CASE WHEN quality = 1 THEN 'no' WHEN doc_id % 7 = 0 THEN '' ELSE 'yes' END AS p, CASE WHEN toxic = 1 THEN 'yes' ELSE 'no' END AS t FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT lang, count(*) FILTER (p = 'yes' AND t = 'yes')::DOUBLE AS yt, count(*) FILTER (p = 'yes' AND t <> 'yes') AS yp, count(*) FILTER (p <> 'yes' AND t = 'yes') AS yn,
+  count(*) FILTER (p = 'no' AND t = 'no')::DOUBLE AS nt, count(*) FILTER (p = 'no' AND t <> 'no') AS np, count(*) FILTER (p <> 'no' AND t = 'no') AS nn FROM a GROUP BY lang),
+f AS (SELECT lang, CASE WHEN yt + yp + yn = 0 THEN 0 ELSE yt / (yt + 0.5::DOUBLE * (yp + yn)) END AS y, CASE WHEN nt + np + nn = 0 THEN 0 ELSE nt / (nt + 0.5::DOUBLE * (np + nn)) END AS n FROM c)
+SELECT lang, round(y, 6) AS f1_yes, round(n, 6) AS f1_no, round((y + n) / 2, 6) AS f1 FROM f"""
+
+_TRUE = [(1, "PER", 0, 7), (1, "LOC", 9, 12), (2, "PER", 3, 5), (2, "ORG", 8, 9)]
+_PRED = [(1, "PER", 0, 7), (1, "LOC", 9, 11), (2, "PER", 3, 5), (2, "PER", 6, 7)]
+
+
+def entity_macro_f1(spark: SparkSession, sf: str) -> DataFrame:
+    s = "doc_id int, class string, start int, end int"
+    per = metrics.entity_f1(spark.createDataFrame(_PRED, s), spark.createDataFrame(_TRUE, s))
+    return per.unionByName(metrics.macro_f1(per).select(F.lit("macro").alias("class"), *(F.lit(None).cast("long").alias(c) for c in ("tp", "fp", "fn")), F.col("macro_f1").alias("f1")))
+
+
+ENTITY = """SELECT * FROM (VALUES ('PER', 2::BIGINT, 1::BIGINT, 0::BIGINT, 0.8::DOUBLE), ('LOC', 0, 1, 1, 0.0), ('ORG', 0, 0, 1, 0.0), ('macro', NULL, NULL, NULL, 0.266667)) AS v(class, tp, fp, fn, f1)"""
+
+
+def cosine_f1(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of a label are the tokens of a reference, those of the next label its prediction's."""
+    e = table(spark, sf, "embeddings").select("label", "embedding")
+    pred = e.select((F.col("label") - 1).alias("label"), "embedding")
+    return metrics.greedy_cosine_f1(e, pred, "label")
+
+
+COSINE = """
+WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), k AS (SELECT DISTINCT label FROM e UNION SELECT label - 1 FROM e),
+c AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON b.label = a.label + 1),
+r AS (SELECT label, avg(m) AS r FROM (SELECT label, i, max(c) AS m FROM c GROUP BY ALL) GROUP BY label), p AS (SELECT label, avg(m) AS p FROM (SELECT label, j, max(c) AS m FROM c GROUP BY ALL) GROUP BY label)
+SELECT CAST(k.label AS INT) AS label, round(coalesce(r, 0), 6) AS recall, round(coalesce(p, 0), 6) AS precision, round(CASE WHEN r > 0 AND p > 0 THEN 2 * r * p / (r + p) ELSE 0 END, 6) AS f1
+FROM k LEFT JOIN r USING (label) LEFT JOIN p USING (label)"""
+
+
+def semantic_homogeneity(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(nxt, "vec_id").select("vec_id", F.round(similarity.homogeneity(F.col("embedding"), F.col("other")), 6).alias("homogeneity"))
+
+
+HOMOGENEITY = """SELECT a.vec_id, round((list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 6) AS homogeneity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+
+
+def harmonic_mean(spark: SparkSession, sf: str) -> DataFrame:
+    l = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return metrics.harmonic_mean(l.groupBy("source").agg(F.avg("quality").alias("score")))
+
+
+HMEAN = "SELECT round(count(*) / sum(1 / greatest(q, 1e-9::DOUBLE)), 6) AS hmean, count(*) AS n FROM (SELECT avg(quality) AS q FROM labels JOIN documents USING (doc_id) GROUP BY source)"
+
+
+def score_combine(spark: SparkSession, sf: str) -> DataFrame:
+    l = table(spark, sf, "labels")
+    return l.select("doc_id", F.least("quality", "toxic").alias("worst"), F.greatest("quality", "toxic").alias("best"), similarity.environment(F.col("quality"), F.col("toxic"), 0).alias("env"))
+
+
+def arithmetic_rows(spark: SparkSession, sf: str) -> DataFrame:
+    a, c, m = generate.arithmetic_rows(spark, 400), generate.comparison_rows(spark, 400), generate.choice_rows(spark, 400)
+    kind = lambda d, k: d.select(F.lit(k).alias("kind"), "id", "input", "target")
+    return kind(a, "arithmetic").unionByName(kind(c, "comparison")).unionByName(kind(m, "choice"))
+
+
+def _templates(ts: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + t + "'" for t in ts) + "]"
+
+
+ARITHMETIC = f"""
+WITH i AS (SELECT range AS id FROM range(400)),
+a AS (SELECT id, {sql_pick('arithmetic-a', 201, 'id')} - 100 AS a, {sql_pick('arithmetic-b', 201, 'id')} - 100 AS b, {sql_pick('arithmetic-o', 4, 'id')} AS o0, {sql_pick('arithmetic-t', len(generate.ARITHMETIC), 'id')} AS t FROM i),
+b AS (SELECT *, CASE WHEN o0 = 3 AND b = 0 THEN 2 ELSE o0 END AS o FROM a),
+q AS (SELECT *, CASE WHEN o = 3 THEN regexp_replace(regexp_replace(printf('%.6f', round(a::DOUBLE / nullif(b, 0), 6)), '\\.?0+$', ''), '^-0$', '0')
+  ELSE CAST(CASE o WHEN 0 THEN a + b WHEN 1 THEN a - b ELSE a * b END AS VARCHAR) END AS target FROM b),
+c AS (SELECT id, {sql_pick('comparison-a', 2001, 'id')} AS a, {sql_pick('comparison-b', 2001, 'id')} AS b, {sql_pick('comparison-w', 2, 'id')} AS w, {sql_pick('comparison-t', len(generate.COMPARISON), 'id')} AS t FROM i),
+v AS (SELECT id, k, {sql_pick('choice-v', 1000, 'id', 'k')} AS x FROM (SELECT id, unnest(range(0, 5 + {sql_pick('choice-n', 16, 'id')})) AS k FROM i)),
+m AS (SELECT id, string_agg(chr(CAST(65 + k AS INT)) || ') ' || x, ', ' ORDER BY k) AS l, arg_min(k, (-x, k)) AS best, {sql_pick('choice-t', len(generate.CHOICE), 'id')} AS t FROM v GROUP BY id)
+SELECT 'arithmetic' AS kind, id, replace(replace(replace(({_templates(generate.ARITHMETIC)})[t + 1], '{{a}}', a::VARCHAR), '{{op}}', (['+', '-', '*', '/'])[o + 1]), '{{b}}', b::VARCHAR) AS input, target FROM q
+UNION ALL SELECT 'comparison', id, replace(replace(replace(({_templates(generate.COMPARISON)})[t + 1], '{{word}}', CASE WHEN w = 0 THEN 'larger' ELSE 'smaller' END), '{{a}}', a::VARCHAR), '{{b}}', b::VARCHAR),
+  CAST(CASE WHEN w = 0 THEN greatest(a, b) ELSE least(a, b) END AS VARCHAR) FROM c
+UNION ALL SELECT 'choice', id, replace(({_templates(generate.CHOICE)})[t + 1], '{{list}}', l), chr(CAST(65 + best AS INT)) FROM m"""
+
+
+def typo_augment(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return generate.typo_augmented(d, "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def model_answer(spark: SparkSession, sf: str) -> DataFrame:
+    """A stand-in model that answers in lower case; texts of up to three characters bypass it."""
+    c = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.trim("text").alias("input"))
+    return models.answered(c, lambda: lambda texts: [t.lower() + " ." for t in texts], least_chars=3).select("conv_id", "turn", "predicted")
+
+
+MODEL = "SELECT conv_id, turn, CASE WHEN length(trim(text)) > 3 THEN lower(trim(text)) || ' .' ELSE trim(text) END AS predicted FROM conversations WHERE role = 'user'"
+
+QUERIES = {
+    "wer_by_task": wer_by_task,
+    "lexical_similarity": lexical_similarity,
+    "scored_report": scored_report,
+    "yesno_f1": yesno_f1,
+    "entity_macro_f1": entity_macro_f1,
+    "cosine_f1": cosine_f1,
+    "semantic_homogeneity": semantic_homogeneity,
+    "harmonic_mean": harmonic_mean,
+    "score_combine": score_combine,
+    "arithmetic_rows": arithmetic_rows,
+    "typo_augment": typo_augment,
+    "model_answer": model_answer,
+}
+ORACLES = {
+    "wer_by_task": WER,
+    "lexical_similarity": LEXICAL,
+    "scored_report": REPORT,
+    "yesno_f1": YESNO,
+    "entity_macro_f1": ENTITY,
+    "cosine_f1": COSINE,
+    "semantic_homogeneity": HOMOGENEITY,
+    "harmonic_mean": HMEAN,
+    "score_combine": "SELECT doc_id, least(quality, toxic) AS worst, greatest(quality, toxic) AS best, CAST(CAST(quality > 0 AS INT) * 2 + CAST(toxic > 0 AS INT) AS INT) AS env FROM labels",
+    "arithmetic_rows": ARITHMETIC,
+    "model_answer": MODEL,
+}
