@@ -77,7 +77,7 @@ def greedy_cosine_f1(reference: DataFrame, predicted: DataFrame, pair: str, vect
         return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        key = (left if left.num_rows else right).column(pair)[0].as_py()
+        key = (left if left.num_rows else right).column(pair).slice(0, 1)
         a, b = unit(left, vector), unit(right, "_other")
         if not len(a) or not len(b):
             r = p = f = 1.0 if len(a) == len(b) else 0.0
@@ -89,7 +89,7 @@ def greedy_cosine_f1(reference: DataFrame, predicted: DataFrame, pair: str, vect
                 best_b = np.maximum(best_b, c.max(axis=0))
             r, p = float(best_a.mean()), float(best_b.mean())
             f = 2 * r * p / (r + p) if r > 0 and p > 0 else 0.0
-        return pa.table({pair: pa.array([key]), "recall": [r], "precision": [p], "f1": [f]})
+        return pa.table({pair: key, "recall": [r], "precision": [p], "f1": [f]})
 
     out = reference.select(pair, vector).groupBy(pair).cogroup(predicted.select(pair, F.col(vector).alias("_other")).groupBy(pair)).applyInArrow(score, f"`{pair}` {kind}, recall double, precision double, f1 double")
     return out.select(pair, *(F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")))

@@ -54,7 +54,7 @@ def object_bounds(objects: DataFrame, spans: DataFrame, doc: str = "doc") -> Dat
     kinds = F.create_map(*(F.lit(x) for kv in {"person": "person", "location": "location", "org": "organization", "locorg": "location"}.items() for x in kv))
     twice = F.size("span_ids") != F.size(F.array_distinct("span_ids"))
     ids = objects.select(doc, "object_id", F.lower("type").alias("type"), F.explode(F.when(twice, F.raise_error(F.lit("span listed twice")).cast("array<int>")).otherwise(F.col("span_ids"))).alias("span_id"))
-    j = ids.join(spans, [doc, "span_id"], "left")
+    j = ids.join(spans.select(doc, "span_id", "start", "len"), [doc, "span_id"], "left")
     start = F.when(F.col("start").isNull(), F.raise_error(F.concat(F.lit("unknown span "), F.col("span_id").cast("string"))).cast("int")).otherwise(F.col("start"))
     kind = F.coalesce(F.element_at(kinds, F.col("type")), F.raise_error(F.concat(F.lit("unknown type "), F.col("type"))).cast("string"))
     return j.select(doc, "object_id", kind.alias("class"), start.alias("start"), (start + F.col("len")).alias("end")).groupBy(doc, "object_id", "class").agg(F.min("start").alias("start"), F.max("end").alias("end"))
