@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|iframe|textarea|title|svg|math|select|object|canvas|video|audio)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -258,7 +260,8 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     rows and null keys stay, an empty table gives no rows, other columns are ignored.
     """
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-    won = consensus_paths(pages, url, html).select(F.col("host").alias("_h"), "path")
+    # Stored, so that the join below is between plain exchanges and its hot partitions can be split.
+    won = stored(consensus_paths(pages, url, html).select(F.col("host").alias("_h"), "path"), "paths")
     here = pages.select(key, url, html, host(F.col(url)).alias("_host"))
     # A host with very many pages is split by adaptive execution: both sides are plain exchanges.
     joined = here.hint("shuffle_merge").join(won.hint("shuffle_merge"), F.col("_host") == F.col("_h"), "left")
