@@ -1,71 +1,13 @@
-"""Shared plumbing of the training-data operators: shared-folder tables, scalable ranks."""
+"""Shared plumbing of the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from ..operators.ranking import spread, with_running
+from ..operators.storage import shared_dir, stored
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can reach.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only where nothing is set (tests,
-    a laptop) a temporary folder is taken instead.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="quillmill-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends here.
-
-    Later passes read the same rows even when executors are lost, and expensive columns
-    are not computed again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys) -> DataFrame:
-    """Range-partition by ``keys`` and store, with the partition in ``_part``."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()), "spread")
-
-
-def with_running(parts: DataFrame, order: list, sums: dict, within: list | None = None) -> DataFrame:
-    """Exclusive running sums over the whole table in ``order``, without a one-task window.
-
-    ``parts`` comes from :func:`spread` on the same order.  Each partition adds up its own
-    rows; only the per-partition totals (one row a partition, or one per partition and
-    group with ``within``) pass through a single ordered window.  ``sums`` maps result
-    names to the columns that are summed.
-    """
-    within = within or []
-    totals = parts.groupBy("_part", *within).agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
-    over = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    over = over.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(
-        "_part", *within, *(F.coalesce(F.sum(f"_t_{n}").over(over), F.lit(0)).alias(f"_b_{n}") for n in sums)
-    )
-    local = Window.partitionBy("_part", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = parts.select("*", *((F.sum(c).over(local) - F.col(c)).alias(f"_l_{n}") for n, c in sums.items()))
-    if within:
-        keys = [inner["_part"] == bases["_part"]] + [inner[w].eqNullSafe(bases[w]) for w in within]
-        joined = inner.join(bases, keys, "left")
-        keep = [inner[c] for c in parts.columns]
-    else:
-        # One row for each partition: bounded by the number of partitions.
-        joined = inner.join(F.broadcast(bases), inner["_part"] == bases["_part"], "left")
-        keep = [inner[c] for c in parts.columns]
-    return joined.select(*keep, *((F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums))
+__all__ = ["shared_dir", "spread", "stored", "table", "with_running"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

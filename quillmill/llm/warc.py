@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Plain bytes of a frame and compressed bytes of a bundle at which the next one begins.
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 8 << 20
@@ -131,7 +133,8 @@ def with_responses(pages: DataFrame, key: str, html: str, min_bytes: int = 0) ->
     payload = F.coalesce(F.col(html), F.lit(""))
     pages = pages.withColumn("_digest", F.sha1(payload.cast("binary"))).withColumn("_size", F.octet_length(payload))
     heads = pages.groupBy(F.col("_digest").alias("_d")).agg(F.max(key).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    # A skewed digest is split by adaptive execution: both sides of this join are plain exchanges.
+    # Stored, so that the join is between plain exchanges: adaptive execution then splits a hot digest.
+    heads = stored(heads, "heads")
     joined = pages.hint("shuffle_merge").join(heads.hint("shuffle_merge"), F.col("_digest") == F.col("_d"), "left")
     revisit = (F.col("_first") != F.coalesce(F.col(key), F.col("_first") - 1)) & (F.col("_size") >= min_bytes)
     return joined.select(*pages.columns, F.when(F.coalesce(revisit, F.lit(False)), F.col("_first")).alias("_refers")).drop("_digest", "_size")
