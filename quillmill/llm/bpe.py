@@ -194,12 +194,12 @@ class _Group:
         return chunk, keys, np.concatenate(self.per_doc).astype(np.int32), rank[numbers].astype(np.int32), [self.words[i] for i in first[order]]
 
 
-def _groups(batches):
+def _groups(batches, limit: int):
     group = _Group()
     for b in batches:
         for i, j, data, offsets in K.chunks(*K.buffers(b.column(1))):
             group.add(b.column(0).slice(i, j - i), data, offsets)
-            if group.bytes >= GROUP_BYTES:
+            if group.bytes >= limit:
                 yield group.finish()
                 group = _Group()
     if group.keys:
@@ -246,6 +246,8 @@ def bpe_round_trip(
     text: str = "text",
     finish: Callable = ids_and_bytes,
     finish_schema: str = "ids array<int>, decoded binary",
+    limit: int = GROUP_BYTES,
+    long_word: int = LONG_WORD,
 ) -> DataFrame:
     """Encode every whole text and decode the ids: a row per document, ``key`` and what ``finish`` makes.
 
@@ -263,17 +265,17 @@ def bpe_round_trip(
     source = docs.select(key, text)
 
     def distinct_words(batches):
-        for chunk, _, _, _, found in _groups(batches):
+        for chunk, _, _, _, found in _groups(batches, limit):
             n = len(found)
             for a in range(0, n, 50_000):
                 part = found[a : a + 50_000]
-                short = [i for i, w in enumerate(part) if len(w) <= LONG_WORD]
+                short = [i for i, w in enumerate(part) if len(w) <= long_word]
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(short), pa.int64()), pa.array([a + i for i in short], pa.int32()), pa.array([part[i] for i in short], pa.binary())], ["chunk", "number", "word"])
 
     def word_numbers(batches):
-        for chunk, keys, per_doc, numbers, found in _groups(batches):
+        for chunk, keys, per_doc, numbers, found in _groups(batches, limit):
             own = load_ranks(ranks_path)
-            long = [(i, merge_long(w, own)) for i, w in enumerate(found) if len(w) > LONG_WORD]
+            long = [(i, merge_long(w, own)) for i, w in enumerate(found) if len(w) > long_word]
             at = np.array([x for i, ids in long for x in (i, len(ids), *ids)], np.int32)
             lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
             yield pa.RecordBatch.from_arrays(

@@ -70,7 +70,8 @@ def parse_records(plain: bytes, at: int = 0):
 class Bundle:
     """Collects records into frames, and frames into a bundle with its seek table."""
 
-    def __init__(self, level: int = 3):
+    def __init__(self, level: int = 3, frame_bytes: int = FRAME_BYTES):
+        self.frame_bytes = frame_bytes
         self.zstd = zstandard.ZstdCompressor(level=level)
         self.open: list[bytes] = []
         self.open_bytes = 0
@@ -82,7 +83,7 @@ class Bundle:
         where = len(self.frames), self.open_bytes
         self.open.append(rec)
         self.open_bytes += len(rec)
-        if self.open_bytes >= FRAME_BYTES:
+        if self.open_bytes >= self.frame_bytes:
             self.close_frame()
         return where
 
@@ -140,7 +141,9 @@ def with_responses(pages: DataFrame, key: str, html: str, min_bytes: int = 0) ->
     return joined.select(*pages.columns, F.when(F.coalesce(revisit, F.lit(False)), F.col("_first")).alias("_refers")).drop("_digest", "_size")
 
 
-def write_bundles(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
+def write_bundles(
+    pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES
+) -> DataFrame:
     """Write pages as WARC records into bundles.
 
     Returns two kinds of rows: bundles (``bundle, data``; the rest null) and index entries
@@ -155,7 +158,7 @@ def write_bundles(pages: DataFrame, key: str = "page_id", url: str = "url", html
     schema = f"bundle string, data binary, `{key}` {kind}, frame int, offset long"
 
     def run(batches):
-        own, index = Bundle(), []
+        own, index = Bundle(frame_bytes=frame_bytes), []
 
         def flush(keys: pa.DataType):
             data = own.finish()
@@ -175,9 +178,9 @@ def write_bundles(pages: DataFrame, key: str = "page_id", url: str = "url", html
                 payload = h.as_buffer().to_pybytes() if h.is_valid else b""
                 rec = record("response" if refers is None else "revisit", str(page), u.as_py(), payload, refers)
                 index.append((page, *own.add(rec)))
-                if own.bytes_so_far() >= BUNDLE_BYTES:
+                if own.bytes_so_far() >= bundle_bytes:
                     yield from flush(kinds)
-                    own, index = Bundle(), []
+                    own, index = Bundle(frame_bytes=frame_bytes), []
         if index:
             yield from flush(kinds)
 
