@@ -61,3 +61,14 @@ def context(text: Column, tag: str = "<LM>") -> Column:
     body = F.when(F.startswith(text, F.lit(tag)), F.substr(text, F.lit(len(tag) + 1))).otherwise(text)
     rest = F.substr(body, F.length(matched(text, tag)["prompt"]) + 1)
     return F.regexp_replace(F.regexp_replace(rest, r"^[\s-]+", ""), r"\s+$", "")
+
+
+def variant(task_idx: Column, key: Column, training: bool = True, seed: str = "variant") -> Column:
+    """A prompt of the task: any of its prompts by the row's key for training, the canonical one otherwise."""
+    from .hashing import pick
+
+    if not training:
+        return F.get(F.array(*(F.lit(CANONICAL[i]) for i in sorted(CANONICAL))), task_idx)
+    every = F.array(*(F.array(*(F.lit(p.prompt) for p in CATALOGUE if p.task_idx == i)) for i in sorted(CANONICAL)))
+    own = F.get(every, task_idx)
+    return F.get(own, pick(seed, F.size(own), key))

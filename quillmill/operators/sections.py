@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import pick
 from ..functions.text import ALNUM, ALPHA, collapse, tokens
 
 SHORT_LINE = 7
@@ -71,3 +72,9 @@ def article_text(title: str = "title", document: str = "document"):
     parts = F.transform(document, lambda s: F.concat(F.lit("\n\n"), s["section_title"], F.lit("\n\n"), F.array_join(s["section_body"], "\n")))
     whole = F.concat(F.col(title), F.array_join(parts, ""))
     return F.regexp_replace(F.regexp_replace(whole, " *\n *", "\n"), "\n{3,}", "\n\n")
+
+
+def section_context(article_key: Column, document: Column, seed: str = "section") -> Column:
+    """Title and body of one section of an article, drawn by the article's key."""
+    one = F.get(document, pick(seed, F.greatest(F.size(document), F.lit(1)), article_key))
+    return F.concat(one["section_title"], F.lit("\n\n"), F.array_join(one["section_body"], "\n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similarity
-from ..operators import generate, metrics, models
+from ..operators import fuzzy, generate, metrics, models
 from .tables import sql_pick, table
 
 _WER = [("a", "abcd efg", "abcd efg"), ("a", "the cat sat", "the cat sat on a mat"), ("a", "x", "x y, z!"), ("b", "", ""), ("b", "", ""), ("c", "one two three", "uno dos tres"), ("c", "p q r s", "p q")]
@@ -152,7 +152,14 @@ def model_answer(spark: SparkSession, sf: str) -> DataFrame:
 
 MODEL = "SELECT conv_id, turn, CASE WHEN length(trim(text)) > 3 THEN lower(trim(text)) || ' .' ELSE trim(text) END AS predicted FROM conversations WHERE role = 'user'"
 
+def fuzzy_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Word-order-free ratio and character n-gram score of each benchmark passage and the next."""
+    p = _items(spark, sf)
+    return p.select("item_id", F.round(fuzzy.token_sort_ratio(F.col("t"), F.col("u")), 6).alias("ratio"), F.round(fuzzy.chrf_score(F.col("t"), F.col("u")), 6).alias("chrf"))
+
+
 QUERIES = {
+    "fuzzy_scores": fuzzy_scores,
     "wer_by_task": wer_by_task,
     "lexical_similarity": lexical_similarity,
     "scored_report": scored_report,

@@ -302,3 +302,29 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("id int, text string").parquet(str(tmp_path / "in"))
     run_to_table(clean_stream(stream), "cleaned")
     assert [tuple(r) for r in spark.table("cleaned").collect()] == [(1, "plain words")]
+
+
+def test_fuzzy_scores(spark):
+    from quillmill.operators import fuzzy
+
+    rnd = random.Random(7)
+    for _ in range(200):
+        a, b = ("".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 15))) for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert fuzzy.common_subsequence(a, b) == table[-1][-1]
+    d = spark.createDataFrame([("New York, city", "city new york"), ("", ""), ("abc", "xyz")], "a string, b string")
+    got = [tuple(r) for r in d.select(fuzzy.token_sort_ratio(F.col("a"), F.col("b")), fuzzy.chrf_score(F.col("a"), F.col("a"))).collect()]
+    assert got == [(100.0, 1.0), (100.0, 0.0), (0.0, 1.0)]
+    assert fuzzy.sentence_ends("One. Two three! four") == [2, 5, 6] and fuzzy.normal_words("A, b! 1") == "a b 1"
+
+
+def test_draws_of_sections_and_prompts(spark):
+    doc = "array(named_struct('section_title', 'A', 'section_body', array('x', 'y')), named_struct('section_title', 'B', 'section_body', array('z')))"
+    rows = spark.range(50).withColumn("d", F.expr(doc))
+    assert {r.c for r in rows.select(sections.section_context(F.col("id"), F.col("d")).alias("c")).collect()} == {"A\n\nx\ny", "B\n\nz"}
+    seen = {r.p for r in spark.range(50).select(catalog.variant(F.lit(0), F.col("id")).alias("p")).collect()}
+    assert seen == {p.prompt for p in catalog.CATALOGUE if p.task_idx == 0}
+    assert spark.range(1).select(catalog.variant(F.lit(3), F.col("id"), training=False).alias("p")).first().p == catalog.CANONICAL[3]
