@@ -21,6 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here.
 
@@ -30,4 +33,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Delete the tables that this process has stored so far; results that read them must be written first."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n

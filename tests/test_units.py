@@ -328,3 +328,17 @@ def test_draws_of_sections_and_prompts(spark):
     seen = {r.p for r in spark.range(50).select(catalog.variant(F.lit(0), F.col("id")).alias("p")).collect()}
     assert seen == {p.prompt for p in catalog.CATALOGUE if p.task_idx == 0}
     assert spark.range(1).select(catalog.variant(F.lit(3), F.col("id"), training=False).alias("p")).first().p == catalog.CANONICAL[3]
+
+
+def test_stored_tables(spark):
+    from quillmill.operators import ranking, storage
+
+    d = spark.createDataFrame([(i % 3, i) for i in range(40)] + [(None, 5), (1, 4)], "g int, x int").repartition(6)
+    got = sorted(((r.g is not None, r.g or 0), r.x, r["rank"]) for r in ranking.ranked(d, ["x"], ["g"]).collect())
+    want, seen = [], {}
+    for g, x in sorted(((r.g is not None, r.g or 0), r.x) for r in d.collect()):
+        want.append((g, x, seen.get(g, 0)))
+        seen[g] = seen.get(g, 0) + 1
+    assert got == want
+    assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert storage.clear_stored(spark) > 0 and storage.clear_stored(spark) == 0
