@@ -52,9 +52,15 @@ def encode_chunk(words: P.WordTable, data: np.ndarray, offsets: np.ndarray) -> t
     """Token ids of all documents of a chunk, one after another, and where each document's begin."""
     s = P.starts(data, offsets)
     e = np.append(s[1:], len(data))
-    at, size = words.lookup(K.slices(K.prefix(data), s, e), data, s, e)
-    ids = P.gather(words.pool, at, size)
-    return ids, np.concatenate([[0], np.cumsum(size)])[np.searchsorted(s, offsets)]
+    h = K.slices(K.prefix(data), s, e)
+    # A long document may hold more distinct words than the table; a part of it never does.
+    ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(s), words.most // 2):
+        part = slice(i, i + words.most // 2)
+        at, size = words.lookup(h[part], data, s[part], e[part])
+        ids.append(P.gather(words.pool, at, size))
+        sizes.append(size)
+    return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])[np.searchsorted(s, offsets)]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, max_tokens: int, eos: int, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -171,19 +177,30 @@ def best_fit(counts: dict[int, int], full: int) -> list[tuple[tuple[int, ...], i
 
 
 def plan(counts: dict[int, int], full: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences) covering a histogram of piece lengths."""
-    left = dict(counts)
+    """(lengths of a sequence, how many such sequences) covering a histogram of piece lengths.
+
+    The fitted repeats are rounded down and the rest is packed best-fit.  Where exact
+    fills are few, they take short pieces that would have filled up long ones; so the fit
+    is also tried at parts of its repeats, and the fewest sequences win.
+    """
     columns = patterns(list(counts), full)
-    out = []
-    for p, x in sorted(zip(columns, fit(columns, counts), strict=True), key=lambda t: (len(t[0]), -t[1])):
-        n = int(x + 1e-6)
-        for v in set(p):
-            n = min(n, left[v] // p.count(v))
-        if n > 0:
-            out.append((p, n))
-            for v in p:
-                left[v] -= n
-    return out + best_fit({v: n for v, n in left.items() if n}, full)
+    fitted = sorted(zip(columns, fit(columns, counts), strict=True), key=lambda t: (len(t[0]), -t[1]))
+    best = None
+    for part in (1.0, 0.9, 0.5, 0.0):
+        left, out = dict(counts), []
+        for p, x in fitted:
+            n = int(x * part + 1e-6)
+            for v in set(p):
+                n = min(n, left[v] // p.count(v))
+            if n > 0:
+                out.append((p, n))
+                for v in p:
+                    left[v] -= n
+        out += best_fit({v: n for v, n in left.items() if n}, full)
+        size = sum(n for _, n in out)
+        if best is None or size < best[0]:
+            best = size, out
+    return best[1]
 
 
 def pack(pieces: DataFrame, max_tokens: int, key: str = "doc_id") -> DataFrame:

@@ -182,6 +182,14 @@ def test_packing_is_near_the_bound(spark):
     assert n <= -(-total // 1024) * 1.02 + 1
 
 
+def test_word_table_that_overflows(encoding):
+    table = pretoken.WordTable(lambda ws: [encoding._core_bpe.encode_single_piece(w) for w in ws], most=64)
+    docs = [" ".join(f"word{i * k}" for i in range(120)) for k in (1, 3, 5)] * 2
+    data, offsets = K.buffers(pa.array(docs))
+    ids, at = packing.encode_chunk(table, data, offsets)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [encoding.encode_ordinary(x) for x in docs]
+
+
 def test_plan_places_every_length():
     rnd = random.Random(4)
     counts = {rnd.randint(1, 1023): rnd.randint(1, 5000) for _ in range(300)}
