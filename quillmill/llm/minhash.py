@@ -25,6 +25,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 #: Rounds of second centres, for links that no first centre has.
 SECOND_CENTRES = 1
+#: Rows of a block in which the undecided members of one bucket are compared.
+BLOCK = 512
+#: Bins of the sketch that rules pairs out without their bags.
+BINS = 256
 U = np.uint64
 
 
@@ -190,18 +194,77 @@ def _verified(edges: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
     return stored(full.select("a", "b", "bag_a", "bag_b").mapInArrow(_similar(threshold), "a long, b long"), "links")
 
 
+def sketch(g: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Weight of a bag by bins of the fingerprint, at most 255 a bin.
+
+    Adding up and cutting off never make two bags differ more, so the sum of differences
+    of two sketches is at most that of the bags.
+    """
+    return np.minimum(np.bincount((g % U(BINS)).astype(np.int64), weights=count, minlength=BINS), 255).astype(np.uint8)
+
+
+def _sketches(batches):
+    for b in batches:
+        bags_of = [_unpack_bag(x) for x in b.column(1)]
+        weight = [int(c.sum()) for _, c in bags_of]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weight, pa.int64()), pa.array([sketch(g, c).tobytes() for g, c in bags_of], pa.binary())], ["node", "weight", "sketch"])
+
+
+def _undecided(threshold: float):
+    """Pairs of two blocks of a bucket, in different components, that their sketches leave possible.
+
+    With total weight w and sum of differences d the similarity is (w - d) / (w + d), and
+    a sketch's d is never above the bag's: no pair that reaches the threshold is ruled out.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, weight, block = (np.asarray(table.column(c)) for c in ("node", "root", "weight", "block"))
+        rows = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
+        left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        most = (1 - threshold) / (1 + threshold) * (1 + 1e-9)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in left:
+            ok = root[right] != root[i]
+            if first == second:
+                ok &= node[right] > node[i]
+            j = right[ok]
+            j = j[np.abs(weight[j] - weight[i]) <= most * (weight[j] + weight[i])]
+            j = j[np.abs(rows[j] - rows[i]).sum(axis=1, dtype=np.int64) <= most * (weight[j] + weight[i])]
+            a.append(np.minimum(node[i], node[j]))
+            b.append(np.maximum(node[i], node[j]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
+def _possible(placed: DataFrame, roots: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """All pairs that share a bucket, are in different components and are not ruled out by their sketches.
+
+    In a bucket of up to three nodes the centres have met every pair.
+    """
+    rooted = stored(placed.where("n > 3").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    open_ = stored(rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
+    inside = stored(rooted.hint("shuffle_merge").join(open_.hint("shuffle_merge"), "bucket"), "inside")
+    wanted = shingles.hint("shuffle_merge").join(inside.select("node").distinct().hint("shuffle_merge"), "node", "left_semi")
+    sketches = stored(wanted.select("node", "bag").mapInArrow(_sketches, "node long, weight long, sketch binary"), "sketches")
+    drawn = inside.hint("shuffle_merge").join(sketches.hint("shuffle_merge"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = drawn.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("bucket", F.least("block", "_other").alias("first"), F.greatest("block", "_other").alias("second"), "block", "node", "root", "weight", "sketch")
+    return pairs.groupBy("bucket", "first", "second").applyInArrow(_undecided(threshold), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``key, class_id, class_size``: the class of every row; ``class_id`` is its smallest key.
 
     Classes are the connected components of "weighted Jaccard similarity of five-word
     shingles is at least ``threshold``".  Texts with equal multisets are one node from the
-    start, so copies are never compared.  Within a bucket every node is compared with the
-    bucket's centre, the node whose buckets are the fullest; where that leaves several
-    components, also with a second centre.  So the pairs grow with the number of nodes,
-    not with the square of a family's size, and no bucket or partner is capped.  A link
-    between two nodes that no centre is alike to is found in the buckets that they share
-    without the centre of their family: ten of the thirty-two are shared on average at the
-    threshold, more above it.
+    start, so copies are never compared.  Within a bucket every node is first compared with
+    the bucket's centre, the node whose buckets are the fullest; where that leaves several
+    components, also with a second centre.  What is then undecided, all pairs of a bucket in
+    different components, is compared in blocks: sketches rule out pairs that cannot reach
+    the threshold, the others are compared exactly.  So every pair that shares a bucket is
+    decided; the work on sketches grows with the square of the undecided part of a family.
 
     A null text is an empty one; texts without words form one class.  Keys need not be
     unique; null keys are allowed and never a ``class_id`` unless the class has no other.
@@ -261,6 +324,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         tried = stored(tried.unionByName(more), "tried")
         links = stored(links.unionByName(_verified(more, shingles, threshold)), "links")
         roots = stored(connected_components(links), "roots")
+    # ... then all pairs of a bucket that are still in different components.
+    more = stored(_possible(placed, roots, shingles, threshold).join(tried, ["a", "b"], "left_anti"), "more")
+    links = stored(links.unionByName(_verified(more, shingles, threshold)), "links")
+    roots = stored(connected_components(links), "roots")
 
     classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classed = stored(classed.select("node", "root", "first_key", "copies"), "classed")

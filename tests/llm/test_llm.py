@@ -414,6 +414,35 @@ def test_near_duplicates_like_the_model(spark):
     assert got == classes_model(docs)
 
 
+@pytest.mark.parametrize("block", [16])
+def test_links_that_no_centre_has(spark, monkeypatch, block):
+    """A crowded family: centres alone leave nineteen classes where there are nine."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rnd, docs = random.Random(5), []
+    for f in range(60):
+        v, spots = [f"w{i}" for i in range(300)], range(10, 290, 6)
+        for at in rnd.sample(spots, 4):
+            v[at] = f"edit{f}x{at}"
+        w = list(v)
+        for at in rnd.sample([x for x in spots if not v[x].startswith("edit")], 3):
+            w[at] = f"twin{f}x{at}"
+        docs += [(2 * f, " ".join(v)), (2 * f + 1, " ".join(w))]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = classes_model(docs)
+    assert len({c for _, c, _ in want}) == 9
+    assert collections.Counter((r.doc_id, r.class_id, r.class_size) for r in minhash.near_duplicates(d).collect()) == want
+
+
+def test_sketches_never_rule_out_a_link():
+    rnd = random.Random(7)
+    for _ in range(200):
+        a = collections.Counter(rnd.choices(range(1, 400), k=rnd.choice([20, 300, 40_000])))
+        b = a + collections.Counter(rnd.choices(range(1, 400), k=rnd.randint(0, 60)))
+        g, c = (lambda x: np.array(sorted(x), np.uint64)), (lambda x: np.array([x[k] for k in sorted(x)]))
+        x, y = minhash.sketch(g(a), c(a)).astype(int), minhash.sketch(g(b), c(b)).astype(int)
+        assert abs(x - y).sum() <= sum(((a - b) + (b - a)).values())
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
