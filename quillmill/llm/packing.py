@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 
@@ -16,6 +17,28 @@ from . import pretoken as P
 from .common import spread, stored, with_running
 
 _tables: dict[str, P.WordTable] = {}
+_added: dict[str, AddedTokens | None] = {}
+
+
+class AddedTokens:
+    """The added tokens of a vocabulary file, found in raw bytes before any other step.
+
+    At one place the longest wins, as in the library.
+    """
+
+    def __init__(self, ids: dict[bytes, int]):
+        self.ids = ids
+        self.pattern = re.compile(b"|".join(re.escape(t) for t in sorted(ids, key=len, reverse=True)))
+
+
+def added_tokens(vocabulary: str) -> AddedTokens | None:
+    if vocabulary not in _added:
+        with open(vocabulary, encoding="utf-8") as f:
+            listed = json.load(f).get("added_tokens") or []
+        if any(t.get(flag) for t in listed for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that strip or need word bounds are not supported")
+        _added[vocabulary] = AddedTokens({t["content"].encode(): t["id"] for t in listed}) if listed else None
+    return _added[vocabulary]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -63,6 +86,28 @@ def encode_chunk(words: P.WordTable, data: np.ndarray, offsets: np.ndarray) -> t
     return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])[np.searchsorted(s, offsets)]
 
 
+def encode_with_added(words: P.WordTable, added: AddedTokens | None, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``encode_chunk``, with the added tokens cut out first; what is between them is encoded by itself."""
+    hits = [(m.start(), m.end(), added.ids[m.group()]) for m in added.pattern.finditer(data.tobytes())] if added else []
+    # A match over the end of a document is none; the documents are then searched one by one.
+    if any(np.searchsorted(offsets, a, "right") != np.searchsorted(offsets, b, "left") for a, b, _ in hits):
+        edge = offsets.tolist()
+        hits = [(p + m.start(), p + m.end(), added.ids[m.group()]) for p, q in zip(edge[:-1], edge[1:], strict=True) for m in added.pattern.finditer(data[p:q].tobytes())]
+    if not hits:
+        return encode_chunk(words, data, offsets)
+    start, end, own = (np.array(x, np.int64) for x in zip(*hits, strict=True))
+    inside = np.repeat(False, len(data) + 1)
+    for a, b, _ in hits:
+        inside[a:b] = True
+    # Without the tokens' bytes; each place of a token is an edge between two texts.
+    to = np.concatenate([[0], np.cumsum(~inside[:-1])])
+    edges = np.unique(np.concatenate([to[offsets], to[start]]))
+    ids, at = encode_chunk(words, data[~inside[:-1]], edges)
+    before = at[np.searchsorted(edges, to[start])]
+    where = at[np.searchsorted(edges, to[offsets])] + np.searchsorted(start, offsets, "left")
+    return np.insert(ids, before, own), where
+
+
 def token_pieces(docs: DataFrame, vocabulary: str, max_tokens: int, eos: int, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Tokenise whole texts, append ``eos``, cut what is longer than ``max_tokens``.
 
@@ -73,11 +118,11 @@ def token_pieces(docs: DataFrame, vocabulary: str, max_tokens: int, eos: int, ke
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches):
-        words = word_table(vocabulary)
+        words, added = word_table(vocabulary), added_tokens(vocabulary)
         for b in batches:
             keys = b.column(0)
             for i, j, data, offsets in K.chunks(*K.buffers(b.column(1))):
-                ids, at = encode_chunk(words, data, offsets)
+                ids, at = encode_with_added(words, added, data, offsets)
                 row, piece, start, length, crc, lists = [], [], [], [], [], []
                 for d in range(j - i):
                     own = np.append(ids[at[d] : at[d + 1]], eos).astype("<u4")

@@ -175,6 +175,15 @@ def test_packing_odd_rows(odd, empty):
     assert packing.best_fit_packing(empty, VOCABULARY, 64).count() == 0
 
 
+def test_added_tokens_in_texts(spark):
+    from tokenizers import Tokenizer
+
+    tok, t = Tokenizer.from_file(VOCABULARY), "<|endoftext|>"
+    texts = [f"a {t} b", t, t + t, f"{t}it's", f"x  {t}  y{t}", "<|endof", "text|> z", f"é{t}漢", "", "plain", f"<|{t}|>", f"end {t}", f"{t} begin", None]
+    rows = packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), VOCABULARY, 1024, 2, with_ids=True).collect()
+    assert {r.doc_id: r.ids for r in rows} == {k: tok.encode(x or "", add_special_tokens=False).ids + [2] for k, x in enumerate(texts)}
+
+
 @have_tables
 def test_packing_is_near_the_bound(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
