@@ -82,20 +82,40 @@ def contained(inner: DataFrame, outer: DataFrame, key: str = "doc_id") -> DataFr
 
 
 def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text", phrase_key: str = "item_id", phrase: str = "text") -> DataFrame:
-    """``key, phrase_key, start, end`` of the first place of each phrase in each document.
+    """``key, phrase_key, start, end`` of every place of each phrase in each document, overlapping ones too.
 
     Inner words of a phrase (its second to fifth) are looked up among all runs of four
     words of the documents by an equi-join on their hash; what meets is then searched for.
-    Phrases need six words at least.
+    Phrases under six words have no such run; each document is searched for each of them,
+    so these should be few.  Empty phrases are nowhere.
     """
     words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
     four = lambda w, i: F.xxhash64(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3)))
-    p = phrases.select(phrase_key, F.col(phrase).alias("_p"), words(F.col(phrase)).alias("_w")).where(F.size("_w") >= 6).select(phrase_key, "_p", four(F.col("_w"), F.lit(1)).alias("_h"))
+    split = phrases.select(phrase_key, F.col(phrase).alias("_p"), words(F.col(phrase)).alias("_w"))
+    p = split.where(F.size("_w") >= 6).select(phrase_key, "_p", four(F.col("_w"), F.lit(1)).alias("_h"))
     d = docs.select(key, words(F.col(text)).alias("_w"))
     grams = d.where(F.size("_w") >= 4).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_w") - 4), lambda i: four(F.col("_w"), i)))).alias("_h"))
-    met = grams.join(p, "_h").select(key, phrase_key, "_p").join(docs.select(key, text), key)
-    at = F.instr(F.col(text), F.col("_p"))
-    return met.select(key, phrase_key, (at - 1).alias("start"), (at - 1 + F.length("_p")).cast("int").alias("end")).where("start >= 0")
+    columns = [key, phrase_key, "_p", F.col(text).alias("_t")]
+    met = grams.join(p, "_h").select(key, phrase_key, "_p").join(docs.select(key, text), key).select(*columns)
+    short = split.where((F.size("_w") < 6) & (F.length("_p") > 0)).select(phrase_key, "_p")
+    few = docs.select(key, text).join(short, F.contains(F.col(text), F.col("_p"))).select(*columns)
+    found = met.unionByName(few).withColumn("start", F.explode(_places(F.col("_t"), F.col("_p"))))
+    return found.select(key, phrase_key, "start", (F.col("start") + F.length("_p")).cast("int").alias("end"))
+
+
+def _places(text: Column, phrase: Column) -> Column:
+    def places(t: str, p: str) -> list[int]:
+        out, at = [], t.find(p)
+        while at >= 0:
+            out.append(at)
+            at = t.find(p, at + 1)
+        return out
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([places(t, p) for t, p in zip(texts, found, strict=True)], dtype=object)
+
+    return run(text, phrase)
 
 
 def bio_tags(tokens: DataFrame, entities: DataFrame, key: str = "doc_id") -> DataFrame:

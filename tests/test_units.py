@@ -342,3 +342,16 @@ def test_stored_tables(spark):
     assert got == want
     assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert storage.clear_stored(spark) > 0 and storage.clear_stored(spark) == 0
+
+
+def test_phrase_hits_finds_every_place(spark):
+    from quillmill.operators import spans
+
+    long = "one two three four five six"
+    texts = {1: f"{long} and {long}", 2: "aa b aa b aa", 3: "nothing", 4: None}
+    phrases = {10: long, 11: "aa b aa", 12: "", 13: None}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    p = spark.createDataFrame(list(phrases.items()), "item_id long, text string")
+    want = sorted((k, i, at, at + len(q)) for k, t in texts.items() for i, q in phrases.items() if q for at in range(len(t or "")) if t.startswith(q, at))
+    assert len(want) == 4
+    assert sorted(tuple(r) for r in spans.phrase_hits(d, p).collect()) == want
