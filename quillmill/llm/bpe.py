@@ -1,10 +1,12 @@
 """Byte-level BPE: higher-order functions fold ranked merges over the distinct words of a corpus.
 
-1. Documents are cut into words by the public pattern, in chunks of a partition.  A chunk
+1. Documents are cut into words by the public pattern, in groups of a partition.  A group
    keeps its words as numbers into its own list of distinct words.
-2. The distinct words of all chunks meet by word; each is encoded once, by a fold of
-   ``aggregate`` over its bytes with a literal table of ranked merges.
-3. The ids go back to the chunks that hold the word, and each document's ids are put
+2. The distinct words of all groups meet by word; each is encoded by a fold of
+   ``aggregate`` over its bytes with a literal table of ranked merges, once for every
+   thousand partitions, so that the list of groups that hold a word stays short however
+   large the corpus is.
+3. The ids go back to the groups that hold the word, and each document's ids are put
    together from its word numbers; decoding concatenates the pieces of the ids.
 
 No text is shuffled; what is shuffled is the chunks' word numbers (compressed), their
@@ -21,14 +23,18 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
 from . import pretoken as P
 
-#: Text bytes whose distinct words are gathered together.
+#: Text bytes, and distinct words, of documents whose words are numbered together.
 GROUP_BYTES = 32 << 20
+GROUP_WORDS = 1 << 20
+#: Partitions that share the encoding of a word.
+SHARED_PARTITIONS = 1024
 #: The fold copies its arrays at each merge.  Longer words take a heap instead, with the same result.
 LONG_WORD = 2048
 _NONE = 2**31 - 1
@@ -159,49 +165,82 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Group:
-    """Documents of one partition whose words are numbered together."""
+    """Documents of one partition whose words are numbered together by one growing dictionary."""
 
-    def __init__(self) -> None:
-        self.bytes = self.n_unique = 0
+    def __init__(self, with_numbers: bool) -> None:
+        self.with_numbers = with_numbers
+        self.bytes = 0
         self.keys: list[pa.Array] = []
-        self.per_doc, self.numbers, self.hashes, self.words, self.mark = [], [], [], [], np.uint64(0)
+        self.per_doc, self.numbers, self.mark = [], [], np.uint64(0)
+        #: Fingerprints in order, the number of each, and by number: bytes, sizes, occurrences.
+        self.known, self.number_of = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.pool, self.sizes, self.seen = [], [], np.zeros(0, np.int64)
 
     def add(self, keys: pa.Array, data: np.ndarray, offsets: np.ndarray) -> None:
-        s = P.starts(data, offsets)
-        e = np.append(s[1:], len(data))
-        pre = K.prefix(data)
-        h, first, number = np.unique(K.slices(pre, s, e), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        self.words += [raw[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)]
-        self.hashes.append(h)
-        self.numbers.append(number.astype(np.int64) + self.n_unique)
-        self.n_unique += len(h)
-        self.per_doc.append(np.diff(np.searchsorted(s, offsets)))
+        fine = P.cut_long(data, offsets)
+        per_part = []
+        for _, _, part, off in K.chunks(data, fine):
+            s = P.starts(part, off)
+            e = np.append(s[1:], len(part))
+            pre = K.prefix(part)
+            self._number(part, s, e, K.slices(pre, s, e))
+            per_part.append(np.diff(np.searchsorted(s, off)))
+            with np.errstate(over="ignore"):
+                self.mark = K.mix(np.array([self.mark + pre[-1] + np.uint64(len(part) * 31 + len(keys))]))[0]
+        # Words before each part, then before each document.
+        before = np.concatenate([[0], np.cumsum(np.concatenate(per_part))])
+        self.per_doc.append(np.diff(before[np.searchsorted(fine, offsets)]).astype(np.int32))
         self.keys.append(keys)
         self.bytes += len(data)
-        with np.errstate(over="ignore"):
-            self.mark = K.mix(np.array([self.mark + pre[-1] + np.uint64(len(data) * 31 + len(keys))]))[0]
 
-    def finish(self) -> tuple[int, pa.Array, np.ndarray, np.ndarray, list[bytes]]:
+    def _number(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> None:
+        h, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
+        new = self.known[at] != h if len(self.known) else np.ones(len(h), bool)
+        number = np.empty(len(h), np.int32)
+        if len(self.known):
+            number[~new] = self.number_of[at[~new]]
+        n = int(new.sum())
+        number[new] = np.arange(len(self.seen), len(self.seen) + n)
+        if n:
+            size = (e - s)[first[new]]
+            self.pool.append(P.gather(data, s[first[new]], size))
+            self.sizes.append(size.astype(np.int32))
+            where = np.searchsorted(self.known, h[new])
+            self.known, self.number_of = np.insert(self.known, where, h[new]), np.insert(self.number_of, where, number[new])
+            self.seen = np.concatenate([self.seen, np.zeros(n, np.int64)])
+        self.seen[number] += np.bincount(inverse, minlength=len(h))
+        if self.with_numbers:
+            self.numbers.append(number[inverse])
+
+    def finish(self) -> tuple[int, pa.Array, np.ndarray, np.ndarray, pa.Array]:
         """Chunk number, keys, words per document, word numbers (frequent words first), distinct words."""
-        _, first, inverse = np.unique(np.concatenate(self.hashes), return_index=True, return_inverse=True)
-        numbers = inverse[np.concatenate(self.numbers)]
-        order = np.argsort(-np.bincount(numbers, minlength=len(first)), kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        order = np.argsort(-self.seen, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        numbers = np.empty(int(self.seen.sum()) if self.with_numbers else 0, np.int32)
+        at = 0
+        for i, part in enumerate(self.numbers):
+            numbers[at : at + len(part)] = rank[part]
+            at += len(part)
+            self.numbers[i] = None
+        sizes = np.concatenate([np.zeros(0, np.int32), *self.sizes]).astype(np.int64)
+        start = np.cumsum(sizes) - sizes
+        pool = P.gather(np.concatenate([np.zeros(0, np.uint8), *self.pool]), start[order], sizes[order])
+        edges = np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(order), [None, pa.py_buffer(edges), pa.py_buffer(pool)])
         keys = pa.concat_arrays(self.keys)
-        chunk = int(self.mark.astype(np.int64)) ^ len(keys)
-        return chunk, keys, np.concatenate(self.per_doc).astype(np.int32), rank[numbers].astype(np.int32), [self.words[i] for i in first[order]]
+        return int(self.mark.astype(np.int64)) ^ len(keys), keys, np.concatenate(self.per_doc), numbers, words
 
 
-def _groups(batches, limit: int):
-    group = _Group()
+def _groups(batches, limit: int, with_numbers: bool):
+    group = _Group(with_numbers)
     for b in batches:
         for i, j, data, offsets in K.chunks(*K.buffers(b.column(1))):
             group.add(b.column(0).slice(i, j - i), data, offsets)
-            if group.bytes >= limit:
+            if group.bytes >= limit or len(group.seen) >= GROUP_WORDS:
                 yield group.finish()
-                group = _Group()
+                group = _Group(with_numbers)
     if group.keys:
         yield group.finish()
 
@@ -223,20 +262,25 @@ class Pieces:
         by_id = [b""] * (max(ranks.values()) + 1)
         for w, k in ranks.items():
             by_id[k] = w
-        self.size = np.array([len(w) for w in by_id], np.int64)
+        self.size = np.array([len(w) for w in by_id], np.int32)
         self.start = np.cumsum(self.size) - self.size
         self.pool = np.frombuffer(b"".join(by_id), np.uint8)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         return P.gather(self.pool, self.start[ids], self.size[ids])
 
+    def texts(self, ids: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """The bytes of documents whose ids stand end to end."""
+        text = self.decode(ids)
+        if len(at) == 2:
+            return [text]
+        ends = np.concatenate([[0], np.cumsum(self.size[ids])])[at].tolist()
+        return [text[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
 
 def ids_and_bytes(ids: np.ndarray, at: np.ndarray, pieces: Pieces) -> dict[str, list]:
     """The default result: the ids and the decoded bytes of each document."""
-    text = pieces.decode(ids)
-    ends = np.concatenate([[0], np.cumsum(pieces.size[ids])])[at]
-    raw = text.tobytes()
-    return {"ids": np.split(ids, at[1:-1]), "decoded": [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]}
+    return {"ids": np.split(ids, at[1:-1]), "decoded": [x.tobytes() for x in pieces.texts(ids, at)]}
 
 
 def bpe_round_trip(
@@ -265,17 +309,21 @@ def bpe_round_trip(
     source = docs.select(key, text)
 
     def distinct_words(batches):
-        for chunk, _, _, _, found in _groups(batches, limit):
-            n = len(found)
-            for a in range(0, n, 50_000):
-                part = found[a : a + 50_000]
-                short = [i for i, w in enumerate(part) if len(w) <= long_word]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(short), pa.int64()), pa.array([a + i for i in short], pa.int32()), pa.array([part[i] for i in short], pa.binary())], ["chunk", "number", "word"])
+        share = TaskContext.get().partitionId() // SHARED_PARTITIONS
+        for chunk, _, _, _, found in _groups(batches, limit, with_numbers=False):
+            size = np.diff(np.frombuffer(found.buffers()[1], np.int32))
+            for a in range(0, len(found), 50_000):
+                number = np.flatnonzero(size[a : a + 50_000] <= long_word) + a
+                n = len(number)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, chunk)), pa.array(number.astype(np.int32)), found.take(pa.array(number)), pa.array(np.full(n, share, np.int32))], ["chunk", "number", "word", "share"]
+                )
 
     def word_numbers(batches):
-        for chunk, keys, per_doc, numbers, found in _groups(batches, limit):
+        for chunk, keys, per_doc, numbers, found in _groups(batches, limit, with_numbers=True):
             own = load_ranks(ranks_path)
-            long = [(i, merge_long(w, own)) for i, w in enumerate(found) if len(w) > long_word]
+            size = np.diff(np.frombuffer(found.buffers()[1], np.int32))
+            long = [(i, merge_long(found[i].as_py(), own)) for i in np.flatnonzero(size > long_word).tolist()]
             at = np.array([x for i, ids in long for x in (i, len(ids), *ids)], np.int32)
             lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
             yield pa.RecordBatch.from_arrays(
@@ -283,8 +331,8 @@ def bpe_round_trip(
                 ["chunk", "keys", "n_words", "per_doc", "numbers", "long_words"],
             )
 
-    words = source.mapInArrow(distinct_words, "chunk long, number int, word binary")
-    met = words.groupBy("word").agg(F.collect_list(F.struct("chunk", "number")).alias("where"))
+    words = source.mapInArrow(distinct_words, "chunk long, number int, word binary, share int")
+    met = words.groupBy("word", "share").agg(F.collect_list(F.struct("chunk", "number")).alias("where"))
     encoded = met.select("where", encode_word(F.col("word"), ranks).alias("ids"))
 
     def by_chunk(batches):
@@ -314,7 +362,7 @@ def bpe_round_trip(
             size, start = np.repeat(np.diff(off), n_refs), np.repeat(off[:-1], n_refs)
             parts.append((np.asarray(refs.field(0)), np.asarray(refs.field(1)), size, P.gather(flat, start, size)))
             held += len(size)
-            if held >= 2_000_000:
+            if held >= 500_000:
                 yield flush(parts)
                 parts, held = [], 0
         if held:
@@ -327,9 +375,9 @@ def bpe_round_trip(
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         pieces = Pieces(load_ranks(ranks_path))
-        parts = [[_unplanes(x) for x in right.column(c).to_pylist()] for c in ("numbers", "sizes", "ids")]
-        number, size, pool = (np.concatenate(p) if p else np.zeros(0, np.int32) for p in parts)
-        begin = np.cumsum(size.astype(np.int64)) - size
+        none = np.zeros(0, np.int32)
+        number, size, pool = (np.concatenate([none, *(_unplanes(x.as_py()) for x in right.column(c))]) for c in ("numbers", "sizes", "ids"))
+        begin = np.cumsum(size, dtype=np.int64) - size
         tables = []
         for row in range(left.num_rows):
             keys = left.column("keys").combine_chunks()[row].values
@@ -347,7 +395,7 @@ def bpe_round_trip(
             if (at < 0).any():
                 raise RuntimeError("documents changed between two reads of the same table")
             edges = np.concatenate([[0], np.cumsum(per_doc.astype(np.int64))])
-            for i, j, _, _ in K.chunks(numbers, edges, 400_000):
+            for i, j, _, _ in K.chunks(numbers, edges, 200_000):
                 w = numbers[edges[i] : edges[j]]
                 size_w = n[w]
                 ids = P.gather(ids_pool, at[w], size_w)

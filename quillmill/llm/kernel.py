@@ -18,11 +18,14 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _ODD = [0xBF58476D1CE4E5B9 | 1, 0x94D049BB133111EB | 1, 0xD6E8FEB86659FD93 | 1, 0xA0761D6478BD642F | 1, 0xE7037ED1A0B428DB | 1, 0x8EBC6AF09C88C6E3 | 1, 0x589965CC75374CC3 | 1, 0x1D8E4E27C47D124F | 1]
 _powers: list[np.ndarray] = []
 
-#: Bytes of documents that are worked on at once; a larger document is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+#: Bytes of documents that are worked on at once; a larger document is a chunk of its own, and
+#: the counts that allow it take such a document in parts (``parts``).
+CHUNK_BYTES = 512 << 10
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+NEWLINE = np.zeros(256, bool)
+NEWLINE[0x0A] = True
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -67,6 +70,44 @@ def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = 0) -> Iterator[tu
         i = j
 
 
+def cut_long(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray, limit: int = 0) -> np.ndarray:
+    """Offsets with more edges inside documents of over ``limit`` bytes, each just after a byte of ``ends``.
+
+    Where such bytes are further apart than ``limit``, so are the edges.
+    """
+    limit = limit or CHUNK_BYTES
+    long = np.flatnonzero(np.diff(offsets) > limit)
+    more: list[int] = []
+    for d in long.tolist():
+        at, end = int(offsets[d]), int(offsets[d + 1])
+        while end - at > limit:
+            near = np.flatnonzero(ends[data[at : at + limit]])
+            if len(near):
+                at += int(near[-1]) + 1
+            else:
+                far = at + limit
+                while far < end and not ends[data[far : far + limit]].any():
+                    far += limit
+                if far >= end:
+                    break
+                at = far + int(np.argmax(ends[data[far : far + limit]])) + 1
+            if at < end:
+                more.append(at)
+    return np.sort(np.concatenate([offsets, np.array(more, np.int64)])) if more else offsets
+
+
+def parts(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, rows) of documents and, where one is long, of its parts; ``rows`` says whose they are."""
+    fine = cut_long(data, offsets, ends)
+    if fine is offsets:
+        yield data, offsets, np.arange(len(offsets) - 1)
+        return
+    # An edge opens the last document that begins at or before it; empty documents have no bytes to count.
+    owner = np.searchsorted(offsets, fine[:-1], "right") - 1
+    for i, j, part, off in chunks(data, fine):
+        yield part, off, owner[i:j]
+
+
 def prefix(data: np.ndarray) -> np.ndarray:
     """Prefix sums of the fingerprint polynomial, one longer than the data."""
     p, _ = powers(len(data) + 1)
@@ -81,11 +122,6 @@ def slices(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((pre[end] - pre[start]) * inv[start] + (end - start).astype(U) * U(_ODD[7]))
 
 
-def doc_of(offsets: np.ndarray, n: int) -> np.ndarray:
-    """The row that each byte belongs to."""
-    return np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-
-
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every run of bytes other than ASCII white space, within its row."""
     ink = ~SPACE[data]
@@ -102,6 +138,15 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s, e, np.searchsorted(offsets, s, "right") - 1
 
 
+def word_prints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint and row of every word; long documents are taken in parts, cut at white space."""
+    found = []
+    for part, off, rows in parts(data, offsets, SPACE):
+        s, e, row = words(part, off)
+        found.append((slices(prefix(part), s, e), rows[row]))
+    return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def grams(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of n words in a row, and where each starts; none crosses a row."""
     k = len(h) - n + 1

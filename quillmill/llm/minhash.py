@@ -25,6 +25,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 #: Rounds of second centres, for links that no first centre has.
 SECOND_CENTRES = 1
+#: Shingles whose points are drawn together.
+SHINGLE_BLOCK = 1 << 17
 #: Rows of a block in which the undecided members of one bucket are compared.
 BLOCK = 512
 #: Bins of the sketch that rules pairs out without their bags.
@@ -37,8 +39,7 @@ def bags(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple
 
     A text of fewer words than a shingle has one shingle of all its words.
     """
-    s, e, row = K.words(data, offsets)
-    h = K.slices(K.prefix(data), s, e)
+    h, row = K.word_prints(data, offsets)
     g, at = K.grams(h, row, shingle)
     n_words = np.bincount(row, minlength=len(offsets) - 1)
     few = np.flatnonzero((n_words > 0) & (n_words < shingle))
@@ -52,8 +53,11 @@ def bags(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple
         at_row = np.concatenate([row[at], few])
     else:
         at_row = row[at]
-    order = np.lexsort((g, at_row))
-    g, at_row = g[order], at_row[order]
+    if len(offsets) == 2:
+        g = np.sort(g)
+    else:
+        order = np.lexsort((g, at_row))
+        g, at_row = g[order], at_row[order]
     fresh = np.ones(len(g), bool)
     fresh[1:] = (g[1:] != g[:-1]) | (at_row[1:] != at_row[:-1])
     begin = np.flatnonzero(fresh)
@@ -66,6 +70,16 @@ def _uniform(h: np.ndarray) -> np.ndarray:
 
 def bag_minhash(row: np.ndarray, g: np.ndarray, count: np.ndarray, n_rows: int, m: int = BANDS * ROWS) -> np.ndarray:
     """(n_rows, m) float32 least times; a row without shingles has infinities."""
+    best = np.full(n_rows * m, np.inf)
+    # The least times of some shingles go into those of the next: memory is that of a block.
+    for i in range(0, len(g), SHINGLE_BLOCK):
+        part = slice(i, i + SHINGLE_BLOCK)
+        _draw(row[part], g[part], count[part], n_rows, m, best)
+    return best.reshape(n_rows, m).astype(np.float32)
+
+
+def _draw(row: np.ndarray, g: np.ndarray, count: np.ndarray, n_rows: int, m: int, best: np.ndarray) -> None:
+    """Lower ``best`` by the points of these shingles."""
     # One process for each shingle and dyadic piece of its weight.
     level = np.zeros(len(count), np.int64)
     level[count > 1] = np.ceil(np.log2(count[count > 1])).astype(np.int64)
@@ -76,8 +90,7 @@ def bag_minhash(row: np.ndarray, g: np.ndarray, count: np.ndarray, n_rows: int,
     share = np.minimum(1.0, (count[which] - low) / length)
     seed = K.mix(g[which] ^ K.mix(piece.astype(U) + U(0x51ED270B)))
     owner = row[which].astype(np.int64)
-    best = np.full(n_rows * m, np.inf)
-    latest = np.full(n_rows, np.inf)
+    latest = best.reshape(n_rows, m).max(axis=1)
     at = np.zeros(len(seed))
     live, drawn, width = np.arange(len(seed)), 0, 1
     while len(live):
@@ -97,7 +110,6 @@ def bag_minhash(row: np.ndarray, g: np.ndarray, count: np.ndarray, n_rows: int,
         drawn += width
         if drawn >= 2:
             width = min(64, width * 2)
-    return best.reshape(n_rows, m).astype(np.float32)
 
 
 def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:

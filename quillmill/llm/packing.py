@@ -73,22 +73,29 @@ def word_table(vocabulary: str) -> P.WordTable:
 
 def encode_chunk(words: P.WordTable, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all documents of a chunk, one after another, and where each document's begin."""
-    s = P.starts(data, offsets)
-    e = np.append(s[1:], len(data))
-    h = K.slices(K.prefix(data), s, e)
-    # A long document may hold more distinct words than the table; a part of it never does.
     ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-    for i in range(0, len(s), words.most // 2):
-        part = slice(i, i + words.most // 2)
-        at, size = words.lookup(h[part], data, s[part], e[part])
-        ids.append(P.gather(words.pool, at, size))
-        sizes.append(size)
-    return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])[np.searchsorted(s, offsets)]
+    fine = P.cut_long(data, offsets)
+    for _, _, part, off in K.chunks(data, fine):
+        s = P.starts(part, off)
+        e = np.append(s[1:], len(part))
+        h = K.slices(K.prefix(part), s, e)
+        per_row = np.zeros(len(off) - 1, np.int64)
+        row = np.searchsorted(off, s, "right") - 1
+        # Many short words may be more than the table holds; a part of them never is.
+        for i in range(0, len(s), words.most // 2):
+            cut = slice(i, i + words.most // 2)
+            at, size = words.lookup(h[cut], part, s[cut], e[cut])
+            ids.append(P.gather(words.pool, at, size))
+            np.add.at(per_row, row[cut], size)
+        sizes.append(per_row)
+    total = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    # Edges at one place have no bytes, so no ids, between them.
+    return np.concatenate(ids), total[np.searchsorted(fine, offsets)]
 
 
 def encode_with_added(words: P.WordTable, added: AddedTokens | None, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As ``encode_chunk``, with the added tokens cut out first; what is between them is encoded by itself."""
-    hits = [(m.start(), m.end(), added.ids[m.group()]) for m in added.pattern.finditer(data.tobytes())] if added else []
+    hits = [(m.start(), m.end(), added.ids[m.group()]) for m in added.pattern.finditer(memoryview(np.ascontiguousarray(data)))] if added else []
     # A match over the end of a document is none; the documents are then searched one by one.
     if any(np.searchsorted(offsets, a, "right") != np.searchsorted(offsets, b, "left") for a, b, _ in hits):
         edge = offsets.tolist()
@@ -96,15 +103,14 @@ def encode_with_added(words: P.WordTable, added: AddedTokens | None, data: np.nd
     if not hits:
         return encode_chunk(words, data, offsets)
     start, end, own = (np.array(x, np.int64) for x in zip(*hits, strict=True))
-    inside = np.repeat(False, len(data) + 1)
-    for a, b, _ in hits:
-        inside[a:b] = True
     # Without the tokens' bytes; each place of a token is an edge between two texts.
-    to = np.concatenate([[0], np.cumsum(~inside[:-1])])
-    edges = np.unique(np.concatenate([to[offsets], to[start]]))
-    ids, at = encode_chunk(words, data[~inside[:-1]], edges)
-    before = at[np.searchsorted(edges, to[start])]
-    where = at[np.searchsorted(edges, to[offsets])] + np.searchsorted(start, offsets, "left")
+    gone = np.concatenate([[0], np.cumsum(end - start)])
+    to = lambda x: x - gone[np.searchsorted(start, x, "left")]
+    rest = np.concatenate([data[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(data)], strict=True)])
+    edges = np.unique(np.concatenate([to(offsets), to(start)]))
+    ids, at = encode_chunk(words, rest, edges)
+    before = at[np.searchsorted(edges, to(start))]
+    where = at[np.searchsorted(edges, to(offsets))] + np.searchsorted(start, offsets, "left")
     return np.insert(ids, before, own), where
 
 

@@ -106,6 +106,30 @@ def starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+def cut_long(data: np.ndarray, offsets: np.ndarray, limit: int = 0) -> np.ndarray:
+    """Offsets with more edges inside documents of over ``limit`` bytes, each where a match begins.
+
+    Starts found in a window are those of the whole text, but for the window's last bytes:
+    a cut character, a contraction's end.  A match longer than the window widens it.
+    """
+    limit = limit or K.CHUNK_BYTES
+    more: list[int] = []
+    for d in np.flatnonzero(np.diff(offsets) > limit).tolist():
+        at, end, width = int(offsets[d]), int(offsets[d + 1]), limit
+        while end - at > width:
+            part = data[at : at + width]
+            s = starts(part, np.array([0, width]))
+            s = s[(s > 0) & (s <= width - 8)]
+            # White space before an edge would look like that at a text's end, where none stands apart.
+            s = s[_byte_classes(part)[s - 1] != SPACE]
+            if len(s):
+                at, width = at + int(s[-1]), limit
+                more.append(at)
+            else:
+                width *= 2
+    return np.sort(np.concatenate([offsets, np.array(more, np.int64)])) if more else offsets
+
+
 class WordTable:
     """Fingerprint of a word -> its place in a pool of token ids; open addressing in numpy.
 
@@ -113,7 +137,7 @@ class WordTable:
     when it passes ``most`` words, so memory is bounded whatever the corpus holds.
     """
 
-    def __init__(self, encode, most: int = 1 << 20):
+    def __init__(self, encode, most: int = 1 << 18):
         self.encode, self.most = encode, most
         self.bits = (most - 1).bit_length() + 1
         self.clear()
@@ -176,8 +200,15 @@ class WordTable:
         return self.at[k], self.at[k + 1] - self.at[k]
 
 
-def gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """``pool[start[i] : start[i] + size[i]]`` for all i, one after another."""
+def gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """``pool[start[i] : start[i] + size[i]]`` for all i, one after another; places are made a block at a time."""
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
-    return pool[np.repeat(start - (ends - size), size) + np.arange(total)]
+    out = np.empty(total, pool.dtype)
+    i = done = 0
+    while done < total:
+        j = max(i + 1, int(np.searchsorted(ends, done + block, "right")))
+        n = int(ends[j - 1]) - done
+        out[done : done + n] = pool[np.repeat(start[i:j] - (ends[i:j] - size[i:j] - done), size[i:j]) + np.arange(n)]
+        i, done = j, done + n
+    return out

@@ -45,14 +45,19 @@ class Chunk:
 
 def count_words(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
-    s, _, row = K.words(data, offsets)
-    # Code points begin at bytes that do not continue one; white space here is ASCII.
-    points = np.concatenate([[0], np.cumsum(((data & 0xC0) != 0x80) & ~K.SPACE[data])])
-    symbols = np.concatenate([[0], np.cumsum(SYMBOL[data])])
-    return {"n_words": np.bincount(row, minlength=n), "word_chars": np.diff(points[offsets]), "n_symbols": np.diff(symbols[offsets])}
-
-
-def count_lines(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    out = {k: np.zeros(n, np.int64) for k in ("n_words", "word_chars", "n_symbols")}
+    for part, off, rows in K.parts(data, offsets, K.SPACE):
+        _, _, row = K.words(part, off)
+        # Code points begin at bytes that do not continue one; white space here is ASCII.
+        points = np.concatenate([[0], np.cumsum(((part & 0xC0) != 0x80) & ~K.SPACE[part])])
+        symbols = np.concatenate([[0], np.cumsum(SYMBOL[part])])
+        for k, v in (("n_words", np.bincount(row, minlength=len(rows))), ("word_chars", np.diff(points[off])), ("n_symbols", np.diff(symbols[off]))):
+            np.add.at(out[k], rows, v)
+    return out
+
+
+def line_prints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint and row of each line with a word."""
     n = len(offsets) - 1
     cut = np.flatnonzero(data == 10)
     # A line ends at each newline and at each row's end.
@@ -65,18 +70,27 @@ def count_lines(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     ink = np.concatenate([[0], np.cumsum(~K.SPACE[data])])
     worded = ink[ends] > ink[starts]
     starts, ends, row = starts[worded], ends[worded], row[worded]
-    key = K.in_row(K.slices(K.prefix(data), starts, ends), row)
+    return K.slices(K.prefix(data), starts, ends), row
+
+
+def count_lines(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    found = []
+    for part, off, rows in K.parts(data, offsets, K.NEWLINE):
+        h, row = line_prints(part, off)
+        found.append((h, rows[row]))
+    h, row = (np.concatenate(x) for x in zip(*found, strict=True))
+    key = K.in_row(h, row)
     order = np.argsort(key, kind="stable")
     again = np.concatenate([[False], key[order][1:] == key[order][:-1]]) if len(key) else np.zeros(0, bool)
-    return {"n_dup_lines": np.bincount(row[order][again], minlength=n)}
+    return {"n_dup_lines": np.bincount(row[order][again], minlength=len(offsets) - 1)}
 
 
 def count_repeats(data: np.ndarray, offsets: np.ndarray, width: int = 8) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
-    s, e, row = K.words(data, offsets)
-    g, at = K.grams(K.slices(K.prefix(data), s, e), row, width)
+    h, row = K.word_prints(data, offsets)
+    g, at = K.grams(h, row, width)
     twice = at[K.repeated(K.in_row(g, row[at]))]
-    step = np.zeros(len(s) + 1, np.int64)
+    step = np.zeros(len(h) + 1, np.int32)
     np.add.at(step, twice, 1)
     np.add.at(step, twice + width, -1)
     return {"n_repeat_words": np.bincount(row[np.cumsum(step[:-1]) > 0], minlength=n)}

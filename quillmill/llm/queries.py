@@ -122,13 +122,11 @@ FROM f"""
 
 
 def _digests(ids: np.ndarray, at: np.ndarray, pieces: Pieces) -> dict[str, list]:
-    raw, text = ids.astype("<u4").tobytes(), pieces.decode(ids).tobytes()
-    ends = np.concatenate([[0], np.cumsum(pieces.size[ids])])[at].tolist()
-    at = at.tolist()
+    cuts = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
     return {
         "n_tokens": np.diff(at),
-        "ids_sha256": [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)],
-        "decoded_sha256": [hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)],
+        "ids_sha256": [hashlib.sha256(np.ascontiguousarray(ids[a:b], "<u4")).hexdigest() for a, b in cuts],
+        "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in pieces.texts(ids, at)],
     }
 
 

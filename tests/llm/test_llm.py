@@ -42,6 +42,34 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string")
 
 
+# -- long texts in parts ----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("limit", [12, 64, 1000])
+def test_parts_of_long_texts_change_nothing(monkeypatch, limit):
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(2)
+    bits = ["a", "é", "1", " ", " ", "\n", "　", "'", "'s", "'re", "'ll", "'v", ".", "漢", "😀", "\t", "the ", "<|endoftext|>", "w1 w2 w3 w4 w5 w6 w7 w8 "]
+    docs = ["".join(rnd.choice(bits) for _ in range(rnd.choice([0, 5, 40, 900]))) for _ in range(200)] + ["x" * 3000, " " * 3000]
+    data, offsets = K.buffers(pa.array(docs))
+
+    def counts():
+        return [f(data, offsets) for f in (quality.count_words, quality.count_lines, quality.count_repeats)], minhash.bags(data, offsets)
+
+    (whole, bag_whole), sign = counts(), minhash.bag_minhash(*minhash.bags(data, offsets), len(docs))
+    monkeypatch.setattr(K, "CHUNK_BYTES", limit)
+    monkeypatch.setattr(minhash, "SHINGLE_BLOCK", limit)
+    parts, bag_parts = counts()
+    for a, b in zip(whole, parts, strict=True):
+        assert all((a[k] == b[k]).all() for k in a)
+    assert all((a == b).all() for a, b in zip(bag_whole, bag_parts, strict=True))
+    assert (sign == minhash.bag_minhash(*bag_parts, len(docs))).all()
+    tok = Tokenizer.from_file(VOCABULARY)
+    ids, at = packing.encode_with_added(packing.word_table(VOCABULARY), packing.added_tokens(VOCABULARY), data, offsets)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [tok.encode(x, add_special_tokens=False).ids for x in docs]
+
+
 # -- registered queries against SQL ------------------------------------------------------
 
 
@@ -350,14 +378,24 @@ def test_merges_of_long_words(encoding):
         assert bpe.merge_long(w, ranks) == encoding._core_bpe.encode_single_piece(w)
 
 
-def test_bpe_odd_rows(odd, empty, encoding):
-    for long_word, limit in ((2048, 1 << 25), (8, 20_000)):
+def test_bpe_odd_rows(odd, empty, encoding, monkeypatch):
+    for long_word, limit, shared in ((2048, 1 << 25, 1024), (8, 20_000, 1)):
+        monkeypatch.setattr(bpe, "SHARED_PARTITIONS", shared)
         got = bpe.bpe_round_trip(odd, RANKS, limit=limit, long_word=long_word).collect()
         want = collections.Counter((k, tuple(encoding.encode_ordinary(t or "")), (t or "").encode()) for k, t in ODD)
         assert collections.Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in got) == want
     assert bpe.bpe_round_trip(empty, RANKS).count() == 0
 
 
+@have_tables
+def test_bpe_query_like_tiktoken(spark, encoding):
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = encoding.encode_ordinary(r.text or "")
+        want[r.doc_id] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op7_byte_bpe(spark, SF).collect()} == want
+
+
 # -- 8 near duplicates -----------------------------------------------------------------------
 
 
