@@ -8,6 +8,7 @@ won on their host.
 
 from __future__ import annotations
 
+import functools
 import html as html_module
 import re
 from collections import Counter
@@ -20,7 +21,7 @@ from .common import stored
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|title|svg|math|select|object|canvas|video|audio)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|iframe|textarea|title|noembed|noframes|xmp)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>"
     r"|<[!?/][^>]*+>",
@@ -34,78 +35,137 @@ _BLOCK = frozenset(
 _CONTAINER = frozenset("article main section div td body center blockquote table tbody tr".split())
 #: Start tags that close an open paragraph, and elements that close an open one of their own kind.
 _SAME = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}, "option": set()}
-_DROP_TAGS = frozenset("head nav footer aside form button label fieldset dialog menu search input".split())
+_DROP_TAGS = frozenset("head nav footer aside form button label fieldset dialog menu search select template svg object canvas video audio datalist".split())
 _DROP_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu menubar".split())
-_DROP_WORDS = re.compile(
-    r"^(?:ads?|adverts?|advertisements?|advertising|adsense|adbox|adslot|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?"
-    r"|newsletters?|subscribe|subscription|signup|login|sidebars?|aside|menus?|nav|navbar|navigation|breadcrumbs?|crumbs|toc|footers?|headers?|masthead|topbar|toolbar"
-    r"|comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommended|recommendations|more-stories|widgets?|pagination|pager|skip|copyright|legal|disclaimers?)$"
+_COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
+_HEADER_WORDS = frozenset("header headers masthead topbar".split())
+#: Names that tell of other elements' text when they stand first in a compound, as in ``related-posts``.
+_LEADING_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments cookie cookies disqus footer masthead menu nav navbar newsletter pagination popup promo recommended related share sharing sidebar sponsor sponsored subscribe".split()
 )
-_GOOD_WORDS = re.compile(r"^(?:article|articlebody|content|entry|post|posts|story|main|text|body)$")
-_WORD = re.compile(r"[a-z]+")
+_DROP_WORDS = (
+    _COMMENT_WORDS | _HEADER_WORDS | _LEADING_WORDS
+    | frozenset(
+        "adbox adsense adslot alert alerts aside banner banners consent copyright crumbs disclaimer disclaimers footers gdpr legal login menus modal modals navigation newsletters notice notices overlay overlays pager popups promos promotion promotions recommendations sidebars signup skip social sponsors subscription toc toolbar widget widgets".split()
+    )
+)
+_GOOD_WORDS = frozenset("article articlebody content entry post posts story main text body".split())
+#: A compound that begins or ends so tells of a state, not of what the element is: ``with-sidebar``, ``menu-open``.
+_STATE_FIRST = frozenset("with without has have no not non is are show hide can enable disable js".split())
+_STATE_LAST = frozenset("open opened active visible hidden enabled disabled shown on off closed collapsed expanded loaded ready free".split())
+#: Endings that say nothing about what the element holds: ``ad-box``, ``sidebar-left``.
+_NEUTRAL = frozenset(
+    "left right top bottom box boxes wrapper wrap container inner outer list block area section bar item items link links button buttons icon icons panel unit slot zone group row column col".split()
+)
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _DIGITS = re.compile(r"\d+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "name", "good", "dropped", "mass", "depth")
+    __slots__ = ("tag", "parent", "name", "good", "dropped", "word", "mass", "raw", "depth", "holds")
 
-    def __init__(self, tag: str, parent: _Node | None, name: str, good: bool, dropped: bool):
-        self.tag, self.parent, self.name, self.good, self.dropped = tag, parent, name, good, dropped
-        self.mass = 0.0
+    def __init__(self, tag: str, parent: _Node | None, name: str, good: bool, dropped: bool, word: str = ""):
+        self.tag, self.parent, self.name, self.good, self.dropped, self.word = tag, parent, name, good, dropped, word
+        self.mass, self.raw, self.holds = 0.0, 0, False
         self.depth = parent.depth + 1 if parent else 0
 
 
+@functools.lru_cache(1 << 16)
+def judged(name: str) -> tuple[bool, str]:
+    """Whether a class or id names the article, and the word by which it names something else, if any.
+
+    The whole name is judged, as a compound: its last telling part says what it is.
+    """
+    parts = [p.lower() for p in _WORD.findall(name)]
+    if not parts:
+        return False, ""
+    good = any(p in _GOOD_WORDS for p in parts)
+    whole = "".join(parts)
+    if whole in _DROP_WORDS:
+        return False, whole
+    if parts[0] in _STATE_FIRST or parts[-1] in _STATE_LAST:
+        return False, ""
+    while len(parts) > 1 and parts[-1] in _NEUTRAL:
+        parts.pop()
+    last = parts[-1]
+    if last in _HEADER_WORDS and any(p in _GOOD_WORDS for p in parts[:-1]):
+        return True, ""
+    if last in _DROP_WORDS:
+        return False, last
+    if parts[0] in _LEADING_WORDS:
+        return False, parts[0]
+    return good, ""
+
+
+def _in_article(node: _Node | None) -> bool:
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
 def _element(tag: str, attrs: str, parent: _Node) -> _Node:
-    words, cls, role = [], "", ""
+    names, cls, role = [], "", ""
     if attrs and "=" in attrs:
         for m in _ATTR.finditer(attrs):
             k = m[1].lower()
             if k in ("class", "id", "role", "itemprop"):
-                v = (m[2] or m[3] or m[4] or "").lower()
+                v = m[2] or m[3] or m[4] or ""
                 if k == "role":
-                    role = v.strip()
-                elif k == "class":
-                    cls = ".".join(sorted(_DIGITS.sub("0", x) for x in v.split())[:3])
-                words += v.split()
-    bad = tag in _DROP_TAGS or role in _DROP_ROLES
-    if tag == "header":
-        # The header of an article holds its title; any other is the page's.
-        up = parent
-        while up and up.tag not in ("article", "main"):
-            up = up.parent
-        bad = up is None
-    good = tag in ("article", "main")
-    if words and tag not in ("html", "body", "article", "main"):
-        parts = [p for w in words for p in (w, *_WORD.findall(w))]
-        good = good or any(_GOOD_WORDS.match(p) for p in parts)
-        bad = bad or any(_DROP_WORDS.match(p) for p in parts)
-    elif words:
-        good = True
-    return _Node(tag, parent, tag + ("." + cls if cls else ""), good, parent.dropped or bad)
+                    role = v.strip().lower()
+                else:
+                    names += v.split()
+                if k == "class":
+                    cls = ".".join(sorted(_DIGITS.sub("0", x) for x in v.lower().split())[:3])
+    # The header of an article holds its title; any other is the page's.
+    bad = tag in _DROP_TAGS or role in _DROP_ROLES or (tag == "header" and not _in_article(parent))
+    good, word = tag in ("article", "main"), ""
+    if tag in ("html", "body", "article", "main"):
+        good = good or bool(names)
+    else:
+        for n in names:
+            says, other = judged(n)
+            good = good or says
+            if other and not (other in _HEADER_WORDS and _in_article(parent)):
+                word = other if not word or other in _COMMENT_WORDS else word
+    return _Node(tag, parent, tag + ("." + cls if cls else ""), good, parent.dropped or bad, word)
+
+
+def _text(segments: list[str]) -> str:
+    return " ".join(html_module.unescape("".join(segments)).split())
 
 
 def parse(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
-    """Blocks of text outside dropped elements, each with its element; and all containers."""
+    """Blocks of text outside dropped elements, each with its element; and all containers.
+
+    Elements that their tag or role rules out are dropped as they are read.  A class or id
+    only suggests it: an element that holds an ``article`` or ``main``, or most of the text
+    of a page without one, is kept (by its text not if it is named after adverts, menus,
+    comments and the like, which no article is).
+    """
     root = _Node("#root", None, "", False, False)
-    here, nodes, blocks = root, [root], []
-    inline: list[str] = []
+    here, nodes, named = root, [root], []
+    raw: list[tuple[_Node, list[tuple[_Node, str, bool]]]] = []
+    held: list[tuple[_Node, str, bool]] = []
+    link = False
     open_tags: Counter = Counter()
-    held: list[str] = []
-    link_chars = 0
 
     def flush() -> None:
-        nonlocal link_chars
+        nonlocal held
         if held:
-            text = " ".join(html_module.unescape("".join(held)).split())
-            held.clear()
-            if text:
-                blocks.append((here, text))
-                gain = len(text) * (1 - min(1.0, link_chars / len(text)))
-                up = here
-                while up is not None:
-                    up.mass += gain
-                    up = up.parent
-        link_chars = 0
+            raw.append((here, held))
+            held = []
+
+    def open_(node: _Node) -> None:
+        nonlocal here
+        here = node
+        open_tags[node.tag] += 1
+        if node.word and not node.dropped:
+            named.append(node)
+        if node.tag in ("article", "main") and not node.dropped:
+            up = node
+            while up is not None and not up.holds:
+                up.holds = True
+                up = up.parent
 
     def close(tag: str) -> None:
         nonlocal here
@@ -119,73 +179,94 @@ def parse(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at and not here.dropped:
-            held.append(page[at : m.start()])
-            if inline:
-                link_chars += m.start() - at
+            held.append((here, page[at : m.start()], link))
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if tag is None:
             continue
-        tag = tag.lower()
+        tag, ends, attrs = tag.lower(), bool(m["end"] or m["end2"]), m["attrs"] or m["attrs2"] or ""
         if tag not in _BLOCK:
             if tag == "a":
-                if m["end"] or m["end2"]:
-                    inline.clear()
-                else:
-                    inline[:] = ["a"]
-            elif tag in ("br", "wbr") and not here.dropped:
-                if tag == "br":
-                    held.append(" ")
-            elif not (m["end"] or m["end2"]) and tag in _DROP_TAGS and tag not in _VOID:
-                flush()
-                here = _element(tag, "", here)
-                open_tags[tag] += 1
-            elif (m["end"] or m["end2"]) and tag in _DROP_TAGS and open_tags[tag]:
-                flush()
-                close(tag)
-            else:
-                attrs = m["attrs"] or m["attrs2"]
-                # An inline element with a telling class is dropped like a block.
-                if not (m["end"] or m["end2"]) and tag == "span" and attrs and "=" in attrs:
-                    node = _element(tag, attrs, here)
-                    if node.dropped and not here.dropped:
-                        flush()
-                        here = node
-                        open_tags[tag] += 1
-                    elif open_tags[tag]:
-                        here = _Node(tag, here, tag, False, here.dropped)
-                        open_tags[tag] += 1
-                elif tag == "span" and open_tags[tag]:
-                    if m["end"] or m["end2"]:
-                        flush()
-                        close(tag)
-                    else:
-                        here = _Node(tag, here, tag, False, here.dropped)
-                        open_tags[tag] += 1
+                link = not ends
+            if tag == "br" and not here.dropped:
+                held.append((here, " ", False))
+            if tag in _VOID or (attrs.endswith("/") and tag in ("svg", "math")):
+                continue
+            # An inline element counts where it is dropped or named; those of its tag inside it keep the ends in step.
+            if ends:
+                if open_tags[tag]:
+                    close(tag)
+            elif tag in _DROP_TAGS or "=" in attrs:
+                node = _element(tag, attrs, here)
+                if node.dropped and not here.dropped or node.word or open_tags[tag]:
+                    open_(node)
+            elif open_tags[tag]:
+                open_(_Node(tag, here, tag, False, here.dropped))
             continue
         flush()
-        inline.clear()
-        if m["end"] or m["end2"]:
+        link = False
+        if ends:
             if open_tags[tag] > 0:
                 close(tag)
             continue
-        if tag in ("hr",):
+        if tag == "hr":
             continue
         if open_tags["p"] > 0:
             close("p")
+        if open_tags["head"] > 0:
+            close("head")
         if tag in _SAME and open_tags[tag] > 0:
             up = here
             while up is not root and up.tag != tag and up.tag not in _SAME[tag]:
                 up = up.parent
             if up.tag == tag:
                 close(tag)
-        here = _element(tag, m["attrs"] or m["attrs2"] or "", here)
-        open_tags[tag] += 1
+        open_(_element(tag, attrs, here))
         if tag in _CONTAINER and not here.dropped:
             nodes.append(here)
     if at < len(page) and not here.dropped:
-        held.append(page[at:])
+        held.append((here, page[at:], link))
     flush()
+
+    if named:
+        for _, segments in raw:
+            for node, text, _ in segments:
+                n = len(text.strip())
+                while n and node is not None:
+                    node.raw += n
+                    node = node.parent
+        for node in named:
+            most = not root.holds and 2 * node.raw > root.raw and node.word not in _COMMENT_WORDS and node.word not in _LEADING_WORDS
+            if not (node.holds or most):
+                node.dropped = True
+    gone: dict[int, bool] = {}
+
+    def is_gone(node: _Node | None) -> bool:
+        if node is None:
+            return False
+        known = gone.get(id(node))
+        if known is None:
+            up, chain = node, []
+            while up is not None and id(up) not in gone and not up.dropped:
+                chain.append(up)
+                up = up.parent
+            known = up is not None and (up.dropped or gone.get(id(up), False))
+            for x in (*chain, node):
+                gone[id(x)] = known
+        return known
+
+    blocks = []
+    for element, segments in raw:
+        kept = [x for x in segments if not is_gone(x[0])] if named else segments
+        text = _text([t for _, t, _ in kept])
+        if text:
+            blocks.append((element, text))
+            links = sum(len(t) for _, t, linked in kept if linked)
+            gain = len(text) * (1 - min(1.0, links / len(text)))
+            up = element
+            while up is not None:
+                up.mass += gain
+                up = up.parent
     return blocks, nodes
 
 

@@ -175,7 +175,7 @@ def quality_cascade(
     names = list(FEATURES) if report else []
     ordered = order_rules(measure_rules(docs, rules, text, sample_rows), rules)
     made = ["kept", "rejected_by", *names]
-    carried = [c for c in docs.columns if c not in made]
+    carried = [c for c in docs.columns if c.lower() not in made]
     carried_schema = docs.select(*carried).schema
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in carried_schema] + ["kept boolean", "rejected_by string"] + [f"{n} long" for n in names])
 

@@ -19,17 +19,22 @@ def shard_by_bytes(sized: DataFrame, n_shards: int, key: str = "doc_id", size: s
 
     Keep large columns out: join them back by key.  A null size counts as 0, null keys come
     first, equal keys are ordered by size and the remaining columns, repeated rows stay,
-    an empty table gives no rows.
+    an empty table gives no rows.  A column named ``shard`` or ``slot`` is replaced; any
+    other name is free for extra columns.
     """
-    rest = [c for c in sized.columns if c not in (key, size)]
-    order = [key, size, *rest]
-    rows = sized.withColumn(size, F.coalesce(F.col(size), F.lit(0)).cast("long")).withColumn("_one", F.lit(1).cast("long"))
+    own = [c for c in sized.columns if c.lower() not in ("shard", "slot")]
+    # Under private names, so that no column of the table meets one that is made here.
+    private = {c: f"c{i}" for i, c in enumerate(own)}
+    rows = sized.select(*(F.col(f"`{c}`").alias(p) for c, p in private.items()))
+    bytes_ = private[size]
+    order = [private[key], bytes_, *(p for c, p in private.items() if c not in (key, size))]
+    rows = rows.withColumn(bytes_, F.coalesce(F.col(bytes_), F.lit(0)).cast("long")).withColumn("one", F.lit(1).cast("long"))
     parts = spread(rows, *order)
-    placed = with_running(parts, order, {"_before": size, "_row": "_one"})
-    total = parts.agg(F.sum(size)).first()[0] or 1
-    middle = (F.col("_before") + F.floor(F.col(size) / 2)).cast("decimal(38,0)")
+    placed = with_running(parts, order, {"before": bytes_, "row": "one"})
+    total = parts.agg(F.sum(bytes_)).first()[0] or 1
+    middle = (F.col("before") + F.floor(F.col(bytes_) / 2)).cast("decimal(38,0)")
     # Exact integers: the product of bytes and shards passes 64 bits on large inputs.
     at = F.floor(middle * n_shards / F.lit(total).cast("decimal(38,0)")).cast("int")
     cut = placed.withColumn("shard", F.least(at, F.lit(n_shards - 1)))
-    first = cut.groupBy("shard").agg(F.min("_row").alias("_first"))  # at most n_shards rows
-    return cut.join(F.broadcast(first), "shard").select(*sized.columns, "shard", (F.col("_row") - F.col("_first")).alias("slot"))
+    first = cut.groupBy("shard").agg(F.min("row").alias("first"))  # at most n_shards rows
+    return cut.join(F.broadcast(first), "shard").select(*(F.col(p).alias(c) for c, p in private.items()), "shard", (F.col("row") - F.col("first")).alias("slot"))

@@ -421,7 +421,7 @@ def remove_repeats(
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = ["n_bytes", "n_removed", "n_spans", *(x.split()[0] for x in finish_schema.split(", "))]
-    carried = [c for c in docs.columns if c != text and c not in made]
+    carried = [c for c in docs.columns if c != text and c.lower() not in made]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema] + ["n_bytes long, n_removed long, n_spans long", finish_schema])
     # Equal names of batches (rows that repeat whole batches) stay together and are handled row by row.
     packed = stored(pack_batches(docs.select(*carried, F.col(text)), key, text), "packed")

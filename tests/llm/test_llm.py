@@ -132,6 +132,27 @@ def test_shards_are_contiguous_and_even(spark):
     assert sharding.shard_by_bytes(d.where("false"), 7).count() == 0
 
 
+def test_shards_with_clashing_names(spark):
+    rows = [(i % 9, 20 + i % 3, "a", i, 7, 8, 9, None) for i in range(50)] + [(None, None, None, None, None, None, None, None)] * 2
+    d = spark.createDataFrame(rows, "doc_id long, size long, shard string, SLOT int, _one int, _part int, _row int, before int")
+    got = sharding.shard_by_bytes(d, 3)
+    assert got.columns == ["doc_id", "size", "_one", "_part", "_row", "before", "shard", "slot"]
+    out = warc.stored(got, "clash").collect()
+    assert len(out) == 52 and {r._one for r in out} == {7, None} and all(r.size is not None for r in out)
+
+
+@have_tables
+def test_shard_query_like_a_model(spark):
+    docs = sorted((r.doc_id, len((r.text or "").encode()) + 16) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    total, before, want, slots = sum(n for _, n in docs), 0, {}, collections.Counter()
+    for k, n in docs:
+        shard = min((before + n // 2) * queries.N_SHARDS // total, queries.N_SHARDS - 1)
+        want[k] = (n, "bytes", shard, slots[shard], None)
+        slots[shard] += 1
+        before += n
+    assert {r.doc_id: (r.size, r.law, r.shard, r.slot, r.grown_shard) for r in queries.op2_sharding(spark, SF).collect()} == want
+
+
 @have_tables
 def test_shard_query_checksums(spark):
     docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -175,7 +196,6 @@ def check_packing(rows, docs, full):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(VOCABULARY)
-    tok.encode_special_tokens = True
     want = collections.Counter()
     for k, t in docs:
         ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
@@ -559,6 +579,110 @@ def test_html_consensus_corrects_a_page():
     assert html_text.main_text("<div " + "a='" * 3000, None) is not None
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="content with-sidebar"><p>Hello there</p></div>', "Hello there"),
+        ('<div id="page" class="has-cookie-banner"><article>Body</article></div>', "Body"),
+        ('<section class="alert-story"><p>Story</p></section>', "Story"),
+        ('<div class="modal"><p>All of the text</p></div>', "All of the text"),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>Text</p><footer>tags</footer></article>', "Title\nText"),
+        ('<main><header><h1>Title</h1></header><p>Hi <b class="ad">BUY <i class="x">now</i></b>there <a class="ads" href="/">Buy</a>all</p></main>', "Title\nHi there all"),
+        ('<p>a <svg class="i"/> b</p><p>c <svg><text>no</text></svg></p>', "a b\nc"),
+        ("<p>a <math><mi>x</mi></math> b</p><p>c <video src=v> d</p><p>e</p>", "a x b\nc\ne"),
+        ("<head><title>t</title><body><p>in the body", "in the body"),
+        ('<div class="post"><p>Post</p><div class="post-comments"><p>first!</p></div><div class="related-posts"><p>more</p></div><div id="siteFooter">f</div></div>', "Post"),
+        ('<div class="comments"><p>only comments</p></div>', ""),
+        ('<div class="cookie-notice">' + "We use cookies. " * 50 + "</div><article><p>short</p></article>", "short"),
+    ],
+)
+def test_html_names_of_elements(page, want):
+    assert html_text.main_text(page, None) == want
+
+
+def test_html_like_a_tree_walk(spark):
+    """Generated pages of several layouts a host against an independent extractor on the tree they were made from."""
+    rnd = random.Random(11)
+    words = lambda n: " ".join(rnd.choice("lorem ipsum dolor sit amet tempor".split()) for _ in range(n))
+    noise = [("nav", ""), ("aside", ""), ("footer", ""), ("form", ""), ("div", "ad"), ("div", "side-bar"), ("div", "cookie-banner"), ("section", "reader-comments"), ("ul", "main-menu"), ("div", "newsletter-signup")]
+    rows, want = [], {}
+    for k in range(120):
+        host, layout = f"h{k % 4}.example", k % 4
+        blocks, lines = [], []
+        for _ in range(rnd.randint(1, 6)):
+            kind = rnd.choice(["p", "h2", "li", "quote", "inline"])
+            a, b = words(rnd.randint(3, 30)), words(3)
+            if kind == "inline":
+                blocks.append(f'<p>{a} <span class="ad-slot">{words(2)}</span> &amp; <em>{b}</em></p>')
+                lines.append(f"{a} & {b}")
+            else:
+                tag = {"p": "p", "h2": "h2", "li": "li", "quote": "blockquote"}[kind]
+                blocks.append(f"<{tag}>{a}<!-- {b} -->\n  <b>{b}</b></{tag}>")
+                lines.append(f"{a} {b}")
+            if rnd.random() < 0.4:
+                t, c = rnd.choice(noise)
+                blocks.append(f'<{t} class="{c}"><p>{words(rnd.randint(1, 40))}</p></{t}>')
+        body = "".join(blocks)
+        inner = {0: f"<article>{body}</article>", 1: f'<div class="wrap with-sidebar"><div class="entry">{body}</div></div>', 2: f'<main id="content">{body}</main>', 3: f'<div class="c{k}"><div class="story-body">{body}</div></div>'}[layout]
+        around = "".join(f'<{t} class="{c}">{words(rnd.randint(1, 12))}</{t}>' for t, c in rnd.sample(noise, 3))
+        rows.append((k, f"http://{host}/{k}", f"<html><head><title>x</title></head><body><header>Site</header>{around}{inner}<footer>f</footer><script>var a='<p>';</script></body></html>"))
+        want[k] = "\n".join(lines)
+    got = {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit("x"))).collect()}
+    assert got == want
+
+
+# -- pipeline: stages on odd rows -------------------------------------------------------------
+
+CLASH = "doc_id long, text string, kept string, rejected_by int, n_bytes string, n_chars int, row_key string, class_id string"
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(k, t, "own", 3, "x", 9, "r", "c") for k, t in ODD]
+    return spark.createDataFrame(rows, CLASH).repartition(3).cache()
+
+
+def test_quality_stage_odd_rows(spark, clashing):
+    import corpus_pipeline as pipeline
+
+    got = pipeline.quality(spark, clashing, "")
+    assert got.columns == clashing.columns
+    verdict = collections.Counter((r.doc_id, r.text) for r in quality.quality_cascade(clashing).where("kept").collect())
+    rows = got.collect()
+    assert collections.Counter((r.doc_id, r.text) for r in rows) == verdict and {r.kept for r in rows} <= {"own"} and {r.rejected_by for r in rows} <= {3}
+    assert pipeline.quality(spark, clashing.where("false"), "").count() == 0
+
+
+def test_near_dedup_stage_keeps_one_row_a_class(spark):
+    import corpus_pipeline as pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    for rows, want in (
+        ([(0, a), (1, a), (1, b)], {(0, a), (1, b)}),
+        ([(0, a), (None, a), (None, b)], {(0, a), (None, b)}),
+        ([(None, a), (None, a), (5, b), (5, b), (None, None), (7, "")], {(None, a), (5, b), (7, "")}),
+    ):
+        d = spark.createDataFrame([(k, t, "own", 3, "x", 9, "r", "c") for k, t in rows], CLASH).repartition(2)
+        got = pipeline.near_dedup(spark, d, "")
+        out = got.collect()
+        assert got.columns == d.columns and len(out) == len(want) and {(r.doc_id, r.text) for r in out} == want
+        assert {r.row_key for r in out} == {"r"} and {r.class_id for r in out} == {"c"}
+    assert pipeline.near_dedup(spark, spark.createDataFrame([], CLASH), "").count() == 0
+
+
+def test_passages_and_packing_stages_odd_rows(spark, clashing):
+    import corpus_pipeline as pipeline
+
+    got = pipeline.passages(spark, clashing, "")
+    rows = got.collect()
+    assert got.columns == clashing.columns and len(rows) == len(ODD)
+    assert {r.kept for r in rows} == {"own"} and {r.n_bytes for r in rows} == {"x"} and all(r.n_chars == len(r.text) for r in rows)
+    assert pipeline.passages(spark, clashing.where("false"), "").count() == 0
+    packed = pipeline.packing(spark, clashing, "").collect()
+    check_packing(packed, ODD, pipeline.MAX_TOKENS)
+    assert pipeline.packing(spark, clashing.where("false"), "").count() == 0
+
+
 # -- pipeline --------------------------------------------------------------------------------
 
 
