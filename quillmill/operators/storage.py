@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where nothing is set (tests,
-    a laptop) a temporary folder is taken instead.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where nothing is set and all
+    runs in one process (tests, a laptop) a temporary folder is taken instead.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="quillmill-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -24,15 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends here.
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` once to the shared folder, with the writer's ``options``, and read it back: lineage ends here.
 
     Later passes read the same rows even when executors are lost, and expensive columns
     are not computed again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
