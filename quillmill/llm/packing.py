@@ -152,20 +152,30 @@ def token_pieces(docs: DataFrame, vocabulary: str, max_tokens: int, eos: int, ke
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def patterns(lengths: list[int], full: int) -> list[tuple[int, ...]]:
-    """All sets of one to three lengths that fill a sequence exactly, fewest lengths first."""
-    have = set(lengths)
-    out: list[tuple[int, ...]] = [(full,)] if full in have else []
-    out += [(full - b, b) for b in sorted(have) if full - b in have and full - b >= b]
-    small = sorted(have)
-    for i, a in enumerate(small):
-        for b in small[i:]:
-            c = full - a - b
-            if c < b:
-                break
-            if c in have:
-                out.append((c, b, a))
-    return out
+def patterns(lengths: list[int], full: int, gap: int, each: int = 48) -> list[tuple[int, ...]]:
+    """Sets of one to three lengths that leave at most ``gap`` of a sequence, least waste first.
+
+    For every longest length the ``each`` best completions by one or two others are kept,
+    so that there are at most ``full * each`` patterns.
+    """
+    have = np.array(sorted(set(lengths)), np.int64)
+    below = np.zeros(full + 1, np.int64)
+    below[have] = have
+    below = np.maximum.accumulate(below)
+    out: set[tuple[int, tuple[int, ...]]] = set()
+    for a in have[::-1].tolist():
+        room = full - a
+        if room <= gap:
+            out.add((room, (a,)))
+        b = have[have <= min(a, room)]
+        # The largest third length that still fits beside each second one; 0 for none.
+        c = np.concatenate([below[np.minimum(b, room - b)], np.zeros(len(b), np.int64)])
+        b = np.concatenate([b, b])
+        waste = room - b - c
+        best = np.lexsort((-b, c > 0, waste))[:each]
+        for i in best[waste[best] <= gap].tolist():
+            out.add((int(waste[i]), (a, int(b[i]), int(c[i])) if c[i] else (a, int(b[i]))))
+    return [p for _, p in sorted(out, key=lambda t: (t[0], len(t[1]), [-x for x in t[1]]))]
 
 
 def fit(columns: list[tuple[int, ...]], counts: dict[int, int], sweeps: int = 12) -> list[float]:
@@ -227,39 +237,75 @@ def best_fit(counts: dict[int, int], full: int) -> list[tuple[tuple[int, ...], i
     return [(items, n) for group in room.values() for items, n in group.items()]
 
 
-def plan(counts: dict[int, int], full: int) -> list[tuple[tuple[int, ...], int]]:
+def _realised(columns: list[tuple[int, ...]], counts: dict[int, int]) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """The fitted repeats, rounded and kept to what there is, and the counts that are left."""
+    left, out = dict(counts), []
+    for p, x in zip(columns, fit(columns, counts), strict=True):
+        n = min(int(x + 0.5), *(left[v] // p.count(v) for v in set(p)))
+        if n > 0:
+            out.append((p, n))
+            for v in p:
+                left[v] -= n
+    return out, {v: n for v, n in left.items() if n}
+
+
+def _repaired(out: list[tuple[tuple[int, ...], int]], full: int, rounds: int) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences with gaps, and in turn a third of the full ones, taken apart and packed best-fit again where that needs fewer."""
+    least = -(-sum(n * sum(p) for p, n in out) // full)
+    gaps = (1, full // 64, full // 8)
+    for t in range(rounds):
+        for choice in range(len(gaps) + 1):
+            if sum(n for _, n in out) <= least:
+                return out
+            keep: dict[tuple[int, ...], int] = defaultdict(int)
+            pool: dict[int, int] = defaultdict(int)
+            for i, (p, n) in enumerate(out):
+                gap = full - sum(p)
+                if gap >= gaps[choice] if choice < len(gaps) else gap or i % 3 == t % 3:
+                    for v in p:
+                        pool[v] += n
+                else:
+                    keep[p] += n
+            again = best_fit(pool, full)
+            if sum(keep.values()) + sum(n for _, n in again) < sum(n for _, n in out):
+                for p, n in again:
+                    keep[p] += n
+                out = list(keep.items())
+    return out
+
+
+def plan(counts: dict[int, int], full: int, rounds: int = 8) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences) covering a histogram of piece lengths.
 
-    The fitted repeats are rounded down and the rest is packed best-fit.  Where exact
-    fills are few, they take short pieces that would have filled up long ones; so the fit
-    is also tried at parts of its repeats, and the fewest sequences win.
+    Patterns with a length over half a sequence are fitted first, since each such piece
+    needs a sequence of its own; what best-fit leaves of the short ones is fitted by
+    patterns of short lengths.  Repeats are rounded, residuals packed best-fit, and gaps
+    repaired.
     """
-    columns = patterns(list(counts), full)
-    fitted = sorted(zip(columns, fit(columns, counts), strict=True), key=lambda t: (len(t[0]), -t[1]))
-    best = None
-    for part in (1.0, 0.9, 0.5, 0.0):
-        left, out = dict(counts), []
-        for p, x in fitted:
-            n = int(x * part + 1e-6)
-            for v in set(p):
-                n = min(n, left[v] // p.count(v))
-            if n > 0:
-                out.append((p, n))
-                for v in p:
-                    left[v] -= n
-        out += best_fit({v: n for v, n in left.items() if n}, full)
-        size = sum(n for _, n in out)
-        if best is None or size < best[0]:
-            best = size, out
-    return best[1]
+    gap = full // 32
+    out, left = _realised([p for p in patterns(list(counts), full, gap) if 2 * p[0] > full], counts)
+    short: dict[int, int] = defaultdict(int)
+    for p, n in best_fit(left, full):
+        if 2 * max(p) > full:
+            out.append((p, n))
+        else:
+            for v in p:
+                short[v] += n
+    if short:
+        more, left = _realised(patterns(list(short), full, gap), short)
+        out += more + best_fit(left, full)
+    merged: dict[tuple[int, ...], int] = defaultdict(int)
+    for p, n in out:
+        merged[p] += n
+    return _repaired(list(merged.items()), full, rounds)
 
 
 def pack(pieces: DataFrame, max_tokens: int, key: str = "doc_id") -> DataFrame:
     """Give every piece a ``sequence_id`` and an ``offset`` in as few sequences as it can.
 
     The histogram of lengths (at most ``max_tokens`` rows) is all that reaches the driver.
-    There, patterns of one to three lengths that fill a sequence exactly are fitted to it
-    by non-negative least squares, rounded down, and the rest is packed best-fit.  The plan
+    There, patterns of one to three lengths that fill a sequence or nearly so are fitted to
+    it by non-negative least squares, rounded, and the rest is packed best-fit.  The plan
     says which ranks of a length go to which run of sequences, so it is small however many
     pieces there are; ranks within a length come from per-partition counts.
 
@@ -280,7 +326,7 @@ def pack(pieces: DataFrame, max_tokens: int, key: str = "doc_id") -> DataFrame:
         sequence += n
     spark = pieces.sparkSession
     table = spark.createDataFrame(entries or [(0, 0, 0, 0, 0)], "length long, _from long, _to long, _base long, offset long")
-    # Bounded: at most three entries for each pattern of lengths up to max_tokens.
+    # Bounded by the lengths up to max_tokens, not by the pieces: patterns and runs of equal sequences.
     on = (ranked["length"] == table["length"]) & (ranked["_rank"] >= table["_from"]) & (ranked["_rank"] < table["_to"])
     return ranked.join(F.broadcast(table), on).select(*(ranked[c] for c in pieces.columns), (F.col("_rank") + F.col("_base")).alias("sequence_id"), "offset")
 
