@@ -1,9 +1,9 @@
 """WARC records in seekable Zstandard bundles with an index from record to frame offset.
 
 A bundle is a run of independent Zstandard frames, each holding whole WARC records, and a
-seek table in a skippable frame at its end (the public seekable format).  The index maps a
-record id to (bundle, frame, offset in the frame), so one record is read by inflating one
-frame.
+seek table in a skippable frame at its end (the public seekable format).  The index, kept
+beside each bundle, maps a record id to (frame, offset in the frame): records are read by
+it, and one record by inflating one frame.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from urllib.parse import quote, unquote
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -32,28 +34,42 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, page: str, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
+def record_id(key: str | None) -> str:
+    """The URN of a page; whatever a header line cannot hold is percent-coded."""
+    return "<urn:null>" if key is None else f"<urn:page:{quote(key, safe='')}>"
+
+
+def page_of(urn: str) -> str | None:
+    return None if urn == "<urn:null>" else unquote(urn[len("<urn:page:") : -1])
+
+
+def record(kind: str, page: str | None, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     """One WARC/1.1 record; a revisit has no block, and names the response that holds it."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page}>",
+        f"WARC-Record-ID: {record_id(page)}",
         f"WARC-Date: {_DATE}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
         f"X-Payload-Length: {len(payload)}",
         "Content-Type: text/html",
     ]
     if url is not None:
-        clean = url.replace("\r", "%0D").replace("\n", "%0A")
-        head.append(f"WARC-Target-URI: {clean}")
+        # A URL with line ends is no URL; it is kept all the same, coded, in a header of its own.
+        odd = any(c in url for c in "\r\n") or url != url.strip()
+        head.append(f"X-Coded-URI: {quote(url, safe='')}" if odd else f"WARC-Target-URI: {url}")
     if kind == "revisit":
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+        head.append(f"WARC-Refers-To: {record_id(refers_to)}")
         payload = b""
     head.append(f"Content-Length: {len(payload)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
+def url_of(head: dict) -> str | None:
+    return unquote(head["X-Coded-URI"]) if "X-Coded-URI" in head else head.get("WARC-Target-URI")
+
+
 def parse_records(plain: bytes, at: int = 0):
     """(headers, block) of each record of an inflated frame, from ``at`` on."""
     while at < len(plain):
@@ -104,7 +120,7 @@ class Bundle:
         return b"".join(self.frames) + struct.pack("<II", _SKIPPABLE, len(entries) + len(footer)) + entries + footer
 
 
-def seek_table(bundle: bytes) -> list[tuple[int, int, int]]:
+def seek_table(bundle: bytes | pa.Buffer) -> list[tuple[int, int, int]]:
     """(start, compressed size, plain size) of each frame, from the end of the bundle."""
     n, flags, magic = struct.unpack("<IBI", bundle[-9:])
     if magic != _SEEKABLE or flags & 0x80:
@@ -137,82 +153,88 @@ def with_responses(pages: DataFrame, key: str, html: str, min_bytes: int = 0) ->
     # Stored, so that the join is between plain exchanges: adaptive execution then splits a hot digest.
     heads = stored(heads, "heads")
     joined = pages.hint("shuffle_merge").join(heads.hint("shuffle_merge"), F.col("_digest") == F.col("_d"), "left")
-    revisit = (F.col("_first") != F.coalesce(F.col(key), F.col("_first") - 1)) & (F.col("_size") >= min_bytes)
-    return joined.select(*pages.columns, F.when(F.coalesce(revisit, F.lit(False)), F.col("_first")).alias("_refers")).drop("_digest", "_size")
+    revisit = F.col("_first").isNotNull() & ~F.col(key).eqNullSafe(F.col("_first")) & (F.col("_size") >= min_bytes)
+    return joined.select(*pages.columns, F.when(revisit, F.col("_first")).alias("_refers")).drop("_digest", "_size")
 
 
 def write_bundles(
     pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES
 ) -> DataFrame:
-    """Write pages as WARC records into bundles.
+    """Write pages as WARC records into bundles: a row per bundle, ``bundle, data, index``.
 
-    Returns two kinds of rows: bundles (``bundle, data``; the rest null) and index entries
-    (``bundle, key, frame, offset``).  A bundle's name is the digest of its bytes.
+    ``index`` is an array of (``id, frame, offset``), an entry a record, ids of the key's
+    own type.  A bundle's name is the digest of its bytes.
 
     Of pages with equal payloads of at least ``min_bytes`` bytes, that with the largest
     key is a response and the others revisit it (rows that repeat the largest key are all
     responses); a null key is never the largest.  Null html is an empty payload, null urls
-    are left out.  An empty table gives no rows; other columns are ignored.
+    are left out, keys and urls come back as they were whatever their characters.  An empty
+    table gives no rows; other columns are ignored.
     """
     kind = pages.schema[key].dataType.simpleString()
-    schema = f"bundle string, data binary, `{key}` {kind}, frame int, offset long"
+    schema = f"bundle string, data binary, index array<struct<id:{kind},frame:int,offset:bigint>>"
 
     def run(batches):
         own, index = Bundle(frame_bytes=frame_bytes), []
 
         def flush(keys: pa.DataType):
             data = own.finish()
-            name = hashlib.sha1(data).hexdigest()
-            n = len(index)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary()), pa.nulls(1, keys), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * n, pa.string()), pa.nulls(n, pa.binary()), pa.array([i[0] for i in index], keys), pa.array([i[1] for i in index], pa.int32()), pa.array([i[2] for i in index], pa.int64())], names
-            )
-
-        names = ["bundle", "data", key, "frame", "offset"]
+            entries = pa.array([{"id": k, "frame": f, "offset": o} for k, f, o in index], pa.struct([("id", keys), ("frame", pa.int32()), ("offset", pa.int64())]))
+            lists = pa.ListArray.from_arrays(pa.array([0, len(index)], pa.int32()), entries)
+            return pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(data).hexdigest()]), pa.array([data], pa.binary()), lists], ["bundle", "data", "index"])
+
         kinds = None
         for b in batches:
             kinds = b.column(0).type
             for k, u, h, to in zip(*(b.column(i) for i in range(4)), strict=True):
                 page, refers = k.as_py(), to.as_py()
                 payload = h.as_buffer().to_pybytes() if h.is_valid else b""
-                rec = record("response" if refers is None else "revisit", str(page), u.as_py(), payload, refers)
-                index.append((page, *own.add(rec)))
+                text = lambda x: None if x is None else str(x)
+                index.append((page, *own.add(record("response" if refers is None else "revisit", text(page), u.as_py(), payload, text(refers)))))
                 if own.bytes_so_far() >= bundle_bytes:
-                    yield from flush(kinds)
+                    yield flush(kinds)
                     own, index = Bundle(frame_bytes=frame_bytes), []
         if index:
-            yield from flush(kinds)
+            yield flush(kinds)
 
     return with_responses(pages.select(key, url, html), key, html, min_bytes).select(key, url, html, "_refers").mapInArrow(run, schema)
 
 
-def read_bundles(bundles: DataFrame, key: str = "page_id", key_type: str = "bigint") -> DataFrame:
-    """All records of the bundles: ``key, url, record_type, payload_bytes, payload_digest, refers_to, payload``.
+def read_bundles(bundles: DataFrame, key: str = "page_id") -> DataFrame:
+    """All records that the index names: ``key, url, record_type, payload_bytes, payload_digest, refers_to, payload``.
 
+    Each is read at its place in its frame, and a frame is inflated once for its records.
     ``payload`` is null for a revisit: its response holds the bytes.  Digests and sizes of
-    responses are those of the bytes that were read.
+    responses are those of the bytes that were read; a record with another id than its
+    entry, or a payload with another digest than its header, stops the job.
     """
+    kind = bundles.schema["index"].dataType.elementType["id"].dataType.simpleString()
 
     def run(batches):
         names = [key, "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-        page = lambda s: None if s == "<urn:page:None>" else s[len("<urn:page:") : -1]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+        unzip = zstandard.ZstdDecompressor()
         for b in batches:
-            for data in b.column(0):
-                raw = data.as_buffer().to_pybytes()
-                unzip = zstandard.ZstdDecompressor()
-                for at, c, p in seek_table(raw):
+            for data, entries in zip(b.column(0), b.column(1), strict=True):
+                raw, at = data.as_buffer(), entries.values
+                frames, offsets = np.asarray(at.field("frame")), np.asarray(at.field("offset")).tolist()
+                table = seek_table(raw)
+                for f in np.unique(frames).tolist():
+                    mine = np.flatnonzero(frames == f)
+                    start, size, plain_size = table[f]
+                    plain = unzip.decompress(raw[start : start + size], max_output_size=plain_size)
+                    ids = at.field("id").take(pa.array(mine))
                     rows = []
-                    for head, body in parse_records(unzip.decompress(raw[at : at + c], max_output_size=p)):
-                        plain = head["WARC-Type"] == "response"
-                        sha = digest(body) if plain else head["WARC-Payload-Digest"][len("sha1:") :]
-                        if plain and head["WARC-Payload-Digest"] != f"sha1:{sha}":
+                    for i, own in zip(mine.tolist(), ids.to_pylist(), strict=True):
+                        head, body = next(parse_records(plain, offsets[i]))
+                        if page_of(head["WARC-Record-ID"]) != (None if own is None else str(own)):
+                            raise ValueError("the index names another record")
+                        full = head["WARC-Type"] == "response"
+                        sha = digest(body) if full else head["WARC-Payload-Digest"][len("sha1:") :]
+                        if full and head["WARC-Payload-Digest"] != f"sha1:{sha}":
                             raise ValueError("a record's payload does not match its digest")
-                        size = len(body) if plain else int(head["X-Payload-Length"])
-                        rows.append((page(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), head["WARC-Type"], size, sha, None if plain else page(head["WARC-Refers-To"]), body if plain else None))
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows.append((url_of(head), head["WARC-Type"], len(body) if full else int(head["X-Payload-Length"]), sha, None if full else page_of(head["WARC-Refers-To"]), body if full else None))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
-    raw = bundles.where("data IS NOT NULL").select("data")
-    out = raw.mapInArrow(run, f"`{key}` string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
-    return out.withColumns({key: F.col(key).cast(key_type), "refers_to": F.col("refers_to").cast(key_type)})
+    out = bundles.select("data", "index").mapInArrow(run, f"`{key}` {kind}, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
+    return out.withColumn("refers_to", F.col("refers_to").cast(kind))
