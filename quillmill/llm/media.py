@@ -1,10 +1,11 @@
 """AVI motion-JPEG columns: write, index, decode intra frames, detect shots.
 
 Payload bytes are stored as the format's own unit, the quantised coefficients of 8 x 8
-blocks.  Every coefficient is coded with the one symbol "run 0, size 8" (a one-bit Huffman
-code), whose eight extra bits are the byte itself; a restart marker after each block keeps
-the DC coefficients independent.  So a baseline JPEG stream holds any bytes without loss,
-a block is always 72 bytes before byte stuffing, and both directions are vectorised.
+blocks.  Every coefficient is coded with the one symbol "run 0, size 8" (a Huffman code of
+eight zero bits), whose eight extra bits are the byte itself; a restart marker after each
+block keeps the DC coefficients independent.  So a baseline JPEG stream holds any bytes
+without loss, a block is always 128 bytes before byte stuffing, codes stay on byte bounds
+(stored files compress as well as their texts), and both directions are vectorised.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import kernel as K
 
@@ -27,7 +29,7 @@ FPS = 25
 # Fixed values of the JPEG and AVI formats.
 _SOI, _EOI = b"\xff\xd8", b"\xff\xd9"
 _DQT = b"\xff\xdb" + struct.pack(">HB", 67, 0) + bytes([1] * 64)
-_DHT = b"".join(b"\xff\xc4" + struct.pack(">HB", 20, cls) + bytes([1] + [0] * 15) + b"\x08" for cls in (0x00, 0x10))
+_DHT = b"".join(b"\xff\xc4" + struct.pack(">HB", 20, cls) + bytes([0] * 7 + [1] + [0] * 8) + b"\x08" for cls in (0x00, 0x10))
 _DRI = b"\xff\xdd" + struct.pack(">HH", 4, 1)
 _SOS = b"\xff\xda" + struct.pack(">HBBBBBB", 8, 1, 1, 0, 0, 63, 0)
 _ZIGZAG = np.array([y * 8 + x for s in range(15) for y, x in sorted(((i, s - i) for i in range(8) if 0 <= s - i < 8), key=lambda p: p[0] if s % 2 else p[1])])
@@ -40,18 +42,14 @@ def _sof(width: int, height: int) -> bytes:
 def encode_frame(blocks: np.ndarray, width: int, height: int) -> bytes:
     """One baseline JPEG image from an (n, 64) byte array in zigzag order."""
     n = len(blocks)
-    bits = np.zeros((n, BLOCK, 9), np.uint8)
-    bits[:, :, 1:] = np.unpackbits(blocks.reshape(n, BLOCK, 1), axis=2)
-    body = np.packbits(bits.reshape(n, -1), axis=1)
-    # Each block is followed by its restart marker; then 0xFF bytes of the data are stuffed.
-    marked = np.zeros((n, 74), np.uint8)
-    marked[:, :72] = body
-    marked[:, 72] = 0xFF
-    marked[:, 73] = 0xD0 + np.arange(n) % 8
+    # Each block, a code before each byte, is followed by its restart marker; then 0xFF bytes of the data are stuffed.
+    marked = np.zeros((n, 2 * BLOCK + 2), np.uint8)
+    marked[:, 1 : 2 * BLOCK : 2] = blocks
+    marked[:, 2 * BLOCK] = 0xFF
+    marked[:, 2 * BLOCK + 1] = 0xD0 + np.arange(n) % 8
     flat = marked.ravel()[:-2]
-    stuff = flat == 0xFF
-    stuff[72::74] = False
-    out = np.insert(flat, np.flatnonzero(stuff) + 1, 0)
+    stuff = np.flatnonzero(blocks.ravel() == 0xFF)
+    out = np.insert(flat, stuff // BLOCK * (2 * BLOCK + 2) + stuff % BLOCK * 2 + 2, 0) if len(stuff) else flat
     return _SOI + _DQT + _sof(width, height) + _DHT + _DRI + _SOS + out.tobytes() + _EOI
 
 
@@ -65,13 +63,13 @@ def decode_frame(jpeg: bytes) -> tuple[np.ndarray, int, int]:
         at += 2 + size
     at += 2 + int.from_bytes(jpeg[at + 2 : at + 4], "big")
     flat = np.frombuffer(jpeg, np.uint8)[at:-2]
-    follows = np.zeros(len(flat), bool)
-    follows[1:] = flat[:-1] == 0xFF
-    marker = follows & (flat >= 0xD0) & (flat <= 0xD7)
-    drop = (follows & (flat == 0)) | marker
-    drop[:-1] |= marker[1:]
-    bits = np.unpackbits(flat[~drop].reshape(-1, 72), axis=1).reshape(-1, BLOCK, 9)
-    return np.packbits(bits[:, :, 1:], axis=2)[:, :, 0], width, height
+    # Behind 0xFF: a stuffed zero goes, a restart marker goes with it.
+    after = np.flatnonzero(flat[:-1] == 0xFF) + 1
+    marker = (flat[after] >= 0xD0) & (flat[after] <= 0xD7)
+    keep = np.ones(len(flat), bool)
+    keep[after] = False
+    keep[after[marker] - 1] = False
+    return flat[keep].reshape(-1, BLOCK, 2)[:, :, 1], width, height
 
 
 def coefficients(blocks: np.ndarray) -> np.ndarray:
@@ -209,7 +207,7 @@ def write_media(rows: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches):
         for b in batches:
-            for i, j, data, offsets in K.chunks(*K.buffers(b.column(1)), 8 << 20):
+            for i, j, data, offsets in K.chunks(*K.buffers(b.column(1)), 2 << 20):
                 raw = data.tobytes()
                 files = [encode_avi(padded(raw[p:q])) for p, q in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(offsets), pa.int64()), pa.array(files, pa.binary())], [key, "n_bytes", "media"])
@@ -217,6 +215,14 @@ def write_media(rows: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, media binary")
 
 
+def clip_rows(features: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, clip, first, end, start_ms, end_ms``: a row for every timed clip (shot) of the files that :func:`media_features` read.
+
+    Files that are null have none; repeated keys and files have theirs each time.
+    """
+    return features.select(F.col(key), F.posexplode("clips").alias("clip", "_c")).select(key, "clip", "_c.first", "_c.end", "_c.start_ms", "_c.end_ms")
+
+
 def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """Read stored files back: payload digest and size, clips, and a feature string.
 

@@ -86,7 +86,8 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return media_features(write_media(docs)).drop("clips")
+    files = stored(write_media(docs), "media", compression="zstd")
+    return media_features(files).drop("clips")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
