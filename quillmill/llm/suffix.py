@@ -33,8 +33,10 @@ WINDOW = 50
 GRAM = 20
 _SPAN = WINDOW - GRAM + 1
 #: Text bytes of a batch, and of the pieces of one document that are anchored at a time.
-BATCH_BYTES = 16 << 20
-_PIECE = 4 << 20
+BATCH_BYTES = 8 << 20
+#: Text bytes whose anchors and suffixes meet in one range: what one task holds, however large the input.
+RANGE_BYTES = 16 << 20
+_PIECE = 1 << 20
 _PLACE = 24
 #: A suffix as it is sorted: 50 bytes from the anchor on, then up to 30 bytes before it, then both lengths.
 _RIGHT, _LEFT = WINDOW, _SPAN - 1
@@ -104,7 +106,7 @@ def _all_anchors(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def pack_batches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per about 16 MB of texts: all other columns as an Arrow stream, offsets, compressed bytes."""
+    """One row per about 8 MB of texts: all other columns as an Arrow stream, offsets, compressed bytes, plain size."""
 
     def flush(held):
         rows = pa.Table.from_batches([b.drop_columns([text]) for b in held]).combine_chunks()
@@ -117,10 +119,12 @@ def pack_batches(docs: DataFrame, key: str, text: str) -> DataFrame:
         keys = rows.column(key).combine_chunks().cast(pa.int64()).fill_null(2**63 - 1)
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         # Stored once, so that a name from the bytes is only a name.
-        name = int.from_bytes(hashlib.sha1(data.tobytes() + np.asarray(keys).tobytes()).digest()[:8], "little", signed=True)
+        sha = hashlib.sha1(data)
+        sha.update(np.asarray(keys).tobytes())
+        name = int.from_bytes(sha.digest()[:8], "little", signed=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in (sink.getvalue().to_pybytes(), _zip(np.asarray(keys)), _zip(offsets), zstandard.ZstdCompressor(level=1).compress(data.tobytes())))],
-            ["batch", "meta", "keys", "offsets", "data"],
+            [pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in (sink.getvalue().to_pybytes(), _zip(np.asarray(keys)), _zip(offsets), zstandard.ZstdCompressor(level=1).compress(data))), pa.array([len(data)], pa.int64())],
+            ["batch", "meta", "keys", "offsets", "data", "size"],
         )
 
     def run(batches):
@@ -139,7 +143,7 @@ def pack_batches(docs: DataFrame, key: str, text: str) -> DataFrame:
         if held:
             yield flush(held)
 
-    return docs.mapInArrow(run, "batch long, meta binary, keys binary, offsets binary, data binary")
+    return docs.mapInArrow(run, "batch long, meta binary, keys binary, offsets binary, data binary, size long")
 
 
 def _open(table: pa.Table | pa.RecordBatch, row: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,8 +157,15 @@ def _short(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(gram >> U(_PLACE), return_counts=True)
 
 
-def _ranges(values: np.ndarray, n: int) -> np.ndarray:
-    return np.searchsorted(values, np.array([(i << 40) // n for i in range(n + 1)], U))
+def _runs_of(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, begin, end) of the runs of equal values of an array in order."""
+    at, begin = np.unique(part, return_index=True)
+    return list(zip(at.tolist(), begin.tolist(), [*begin[1:].tolist(), len(part)], strict=True))
+
+
+def _ranges(values: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """The ranges, of ``n`` equal ones of all 40-bit fingerprints, that these in order fall into; n is under 2**24."""
+    return _runs_of((values * U(n)) >> U(40))
 
 
 def _send_anchors(n_ranges: int) -> Callable:
@@ -163,11 +174,11 @@ def _send_anchors(n_ranges: int) -> Callable:
             for row in range(b.num_rows):
                 _, offsets, data = _open(b, row)
                 values, _ = _short(_all_anchors(data, offsets)[0])
-                cut = _ranges(values, n_ranges)
-                at = [i for i in range(n_ranges) if cut[i + 1] > cut[i]]
-                blobs = [_zip(np.diff(values[cut[i] : cut[i + 1]], prepend=U(0))) for i in at]
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([b.column("batch")[row].as_py()] * n, pa.int64()), pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["batch", "range", "anchors"])
+                cuts = _ranges(values, n_ranges)
+                blobs = [_zip(np.diff(values[i:j], prepend=U(0))) for _, i, j in cuts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b.column("batch")[row].as_py()] * len(cuts), pa.int64()), pa.array([r for r, _, _ in cuts], pa.int32()), pa.array(blobs, pa.binary())], ["batch", "range", "anchors"]
+                )
 
     return run
 
@@ -208,10 +219,9 @@ def _send_runs(n_ranges: int) -> Callable:
             gram, place, low, high = _all_anchors(data, offsets)
             values, counts = _short(gram)
             again = counts > 1
-            cut = _ranges(values, n_ranges)
-            for r, m in hits.items():
-                n = cut[r + 1] - cut[r]
-                again[cut[r] : cut[r + 1]] |= np.unpackbits(np.frombuffer(m, np.uint8))[:n].astype(bool)
+            for r, i, j in _ranges(values, n_ranges):
+                if r in hits:
+                    again[i:j] |= np.unpackbits(np.frombuffer(hits[r], np.uint8))[: j - i].astype(bool)
             keep = again[np.searchsorted(values, gram >> U(_PLACE))] if len(gram) else np.zeros(0, bool)
             gram, place, low, high = gram[keep], place[keep], low[keep], high[keep]
             if not len(gram):
@@ -220,9 +230,8 @@ def _send_runs(n_ranges: int) -> Callable:
             part = ((gram & U((1 << _PLACE) - 1)) % U(n_ranges)).astype(np.int64)
             doc = np.searchsorted(offsets, low, "right") - 1
             order_in = np.argsort(part, kind="stable")
-            edge = np.searchsorted(part[order_in], np.arange(n_ranges + 1))
-            for r in np.flatnonzero(np.diff(edge)):
-                at = order_in[edge[r] : edge[r + 1]]
+            for r, i, j in _runs_of(part[order_in]):
+                at = order_in[i:j]
                 p, lo, hi, d = place[at], low[at], high[at], doc[at]
                 right, left = hi + WINDOW - p, p - lo
                 m = np.zeros((len(at), _WIDTH), np.uint8)
@@ -248,8 +257,8 @@ def _send_runs(n_ranges: int) -> Callable:
                 spots = np.stack([which[own], d[own], lo[own] - offsets[d[own]]], axis=1).astype("<i4")
                 shared, tail = _front_coded(m[begin])
                 row_out = (r, batch, len(begin), _zip(shared), zstandard.ZstdCompressor(level=3).compress(tail), _zip(first), _zip(spots.ravel()), False)
-                for i, v in enumerate(row_out):
-                    out[i].append(v)
+                for column, v in zip(out, row_out, strict=True):
+                    column.append(v)
         return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)
 
     return run
@@ -418,13 +427,12 @@ def remove_repeats(
     and texts shorter than 50 bytes, stay as they are; repeated rows stay rows; an empty
     table gives no rows.  However often a passage occurs, a batch sends it once.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = ["n_bytes", "n_removed", "n_spans", *(x.split()[0] for x in finish_schema.split(", "))]
     carried = [c for c in docs.columns if c != text and c.lower() not in made]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema] + ["n_bytes long, n_removed long, n_spans long", finish_schema])
     # Equal names of batches (rows that repeat whole batches) stay together and are handled row by row.
     packed = stored(pack_batches(docs.select(*carried, F.col(text)), key, text), "packed")
+    n = max(1, -(-(packed.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES))
     sent = packed.select("batch", "keys", "offsets", "data").mapInArrow(_send_anchors(n), "batch long, range int, anchors binary")
     masks = sent.groupBy("range").applyInArrow(_find_repeated, "batch long, range int, mask binary")
     runs = packed.select("batch", "keys", "offsets", "data").groupBy("batch").cogroup(masks.groupBy("batch")).applyInArrow(_send_runs(n), _RUN)
