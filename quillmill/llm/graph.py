@@ -20,14 +20,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # The least neighbours are stored, so that the joins are between plain exchanges and a hub's edges are split.
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = both.where("v > u").hint("shuffle_merge").join(low.hint("shuffle_merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = stored(large.where("u <> v").distinct(), "edges")
         # Every remaining edge points from the larger to the smaller node.
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = stored(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = down.hint("shuffle_merge").join(low.hint("shuffle_merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = stored(low.select("u", F.col("m").alias("v")).unionByName(small).distinct(), "edges")
-        seen = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+        h = F.xxhash64("u", "v")
+        seen = now.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first()
         if seen == mark:
             break
         mark = seen
