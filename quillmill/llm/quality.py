@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,8 +13,10 @@ from pyspark.sql import DataFrame
 
 from . import kernel as K
 
-#: Rows that are timed to order the rules; more only sharpens the order, never the verdict.
+#: Rows that are timed to order the rules, and partitions that they come from; more only sharpens
+#: the order, never the verdict.
 SAMPLE_ROWS = 512
+SAMPLE_PARTITIONS = 8
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -126,26 +129,54 @@ def _apply(rule: Rule, chunk: Chunk, live: np.ndarray) -> np.ndarray:
     return rule.fails({k: chunk.get(k, live) for k in rule.needs})
 
 
+def judge(chunk: Chunk, ordered: tuple[Rule, ...]) -> np.ndarray:
+    """Which rule first rejects each row, -1 for none; a rule sees only rows that all earlier ones kept."""
+    by, live = np.full(chunk.n, -1), np.arange(chunk.n)
+    for i, r in enumerate(ordered):
+        if not len(live):
+            break
+        bad = _apply(r, chunk, live)
+        by[live[bad]] = i
+        live = live[~bad]
+    return by
+
+
 def measure_rules(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, int, int, float]]:
-    """(rule, rows, rejected, seconds) of each rule alone on at most ``sample_rows`` rows.
+    """(rule, rows, rejected, seconds) of each rule alone on a sample of about ``sample_rows`` rows.
 
-    The sample is the table's first rows; it decides the order of work alone.  Rules are
-    timed where the rows are, and one line a rule comes back.
+    Spark runs a few partitions at first and more only while counts lack (``limit``), each
+    of which times its share of rows, drawn by the checksum of their texts.  Only a line a
+    rule leaves a partition; the sample decides the order of work alone.
     """
+    share = -(-sample_rows // SAMPLE_PARTITIONS)
 
     def run(batches):
-        rows, bad, took = 0, np.zeros(len(rules), np.int64), np.zeros(len(rules))
+        drawn, first = [], []
         for b in batches:
-            for _, _, data, offsets in K.chunks(*K.buffers(b.column(0))):
-                rows += len(offsets) - 1
-                for i, r in enumerate(rules):
-                    chunk, began = Chunk(data, offsets), time.perf_counter()
-                    bad[i] += int(_apply(r, chunk, np.arange(chunk.n)).sum())
-                    took[i] += time.perf_counter() - began
-        yield pa.RecordBatch.from_arrays([pa.array([r.name for r in rules]), pa.array([rows] * len(rules)), pa.array(bad), pa.array(took)], ["rule", "rows", "bad", "s"])
+            for x in b.column(0):
+                raw = x.as_buffer() if x.is_valid else b""
+                if len(first) < share:
+                    first.append(x)
+                if zlib.crc32(raw) % 8 == 0:
+                    drawn.append(x)
+                if len(drawn) >= share:
+                    break
+            if len(drawn) >= share:
+                break
+        rows, bad, took = 0, np.zeros(len(rules), np.int64), np.zeros(len(rules))
+        column = pa.array([x.as_py() for x in (drawn if len(drawn) >= min(share, 8) else first)], pa.large_string())
+        for _, _, data, offsets in K.chunks(*K.buffers(column)):
+            rows += len(offsets) - 1
+            for i, r in enumerate(rules):
+                chunk, began = Chunk(data, offsets), time.perf_counter()
+                bad[i] += int(_apply(r, chunk, np.arange(chunk.n)).sum())
+                took[i] += time.perf_counter() - began
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r.name for r in rules]), pa.array([rows] * len(rules)), pa.array(bad), pa.array(took)], ["rule", "rows", "bad", "s"])
 
     out: dict[str, list] = {}
-    for r in docs.select(text).limit(sample_rows).mapInArrow(run, "rule string, rows long, bad long, s double").collect():
+    measured = docs.select(text).mapInArrow(run, "rule string, rows long, bad long, s double")
+    for r in measured.limit(SAMPLE_PARTITIONS * len(rules)).collect():
         had = out.setdefault(r.rule, [0, 0, 0.0])
         out[r.rule] = [had[0] + r.rows, had[1] + r.bad, had[2] + r.s]
     return [(r.name, *out.get(r.name, [0, 0, 0.0])) for r in rules]
@@ -185,14 +216,7 @@ def quality_cascade(
             parts = {"by": [], **{n: [] for n in names}}
             for _, _, data, offsets in K.chunks(*K.buffers(b.column(at))):
                 chunk = Chunk(data, offsets)
-                by, live = np.full(chunk.n, -1), np.arange(chunk.n)
-                for i, r in enumerate(ordered):
-                    if not len(live):
-                        break
-                    bad = _apply(r, chunk, live)
-                    by[live[bad]] = i
-                    live = live[~bad]
-                parts["by"].append(by)
+                parts["by"].append(judge(chunk, ordered))
                 for n in names:
                     parts[n].append(chunk.get(n, np.arange(chunk.n)))
             if not parts["by"]:

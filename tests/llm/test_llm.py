@@ -247,19 +247,21 @@ def test_word_table_that_overflows(encoding):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [encoding.encode_ordinary(x) for x in docs]
 
 
-def test_plan_places_every_length():
+def test_plan_places_every_length_and_is_no_worse_than_best_fit():
     rnd = random.Random(4)
-    counts = {rnd.randint(1, 1023): rnd.randint(1, 5000) for _ in range(300)}
-    used = collections.Counter()
-    bins = 0
-    for items, n in packing.plan(counts, 1024):
-        assert sum(items) <= 1024
-        bins += n
-        for v in items:
-            used[v] += n
-    assert used == collections.Counter(counts)
-    assert bins <= sum(n for _, n in packing.best_fit(counts, 1024))
+    sparse = {rnd.randint(1, 1023): rnd.randint(1, 5000) for _ in range(300)}
     dense = {k: 1000 + k % 7 for k in range(1, 1024)}
+    middle = {k: random.Random(k).randint(1, 300) for k in range(200, 700, 3)}
+    few = {k: random.Random(k).randint(1, 3) for k in range(1, 1025, 5)}
+    for counts in (sparse, dense, middle, few, {1024: 3}, {1: 5000}, {600: 7, 500: 3}, {}):
+        used, bins = collections.Counter(), 0
+        for items, n in packing.plan(counts, 1024):
+            assert n > 0 and sum(items) <= 1024
+            bins += n
+            for v in items:
+                used[v] += n
+        assert used == collections.Counter(counts)
+        assert bins <= sum(n for _, n in packing.best_fit(counts, 1024))
     assert sum(n for _, n in packing.plan(dense, 1024)) <= 1.001 * (-(-sum(k * v for k, v in dense.items()) // 1024))
 
 
@@ -358,14 +360,24 @@ def test_warc_round_trip(spark):
         first = k == heads[p]
         want[k, len(p), sha, "response" if first else "revisit", None if first else heads[p]] += 1
     assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
-    data = {r.bundle: bytes(r.data) for r in b.where("data IS NOT NULL").collect()}
-    assert len(data) > 1
-    for r in b.where("data IS NULL").collect():
-        head, _ = warc.read_record(data[r.bundle], r.frame, r.offset)
-        assert head["WARC-Record-ID"] == f"<urn:page:{r.page_id}>"
+    assert collections.Counter((r.page_id, r.url) for r in got) == collections.Counter((k, u) for k, u, _ in rows)
+    stored_bundles = b.collect()
+    assert len(stored_bundles) > 1
+    for r in stored_bundles:
+        for x in r["index"]:
+            head, _ = warc.read_record(bytes(r.data), x.frame, x.offset)
+            assert warc.page_of(head["WARC-Record-ID"]) == (None if x.id is None else str(x.id))
     assert warc.write_bundles(d.where("false")).count() == 0
 
 
+def test_warc_keys_of_any_text(spark):
+    rows = [("a>b\r\nc", "u v", "same"), ("None", None, "same"), (None, "", "x"), ("%41", "é\n", "same"), ("Z", " h ", None)]
+    d = spark.createDataFrame([(*r, "clash") for r in rows], "page_id string, url string, html string, index string")
+    got = warc.read_bundles(warc.stored(warc.write_bundles(d), "t")).collect()
+    assert {(r.page_id, r.url) for r in got} == {(k, u) for k, u, _ in rows}
+    assert {r.page_id: r.refers_to for r in got} == {"a>b\r\nc": None, "None": "a>b\r\nc", None: None, "%41": "a>b\r\nc", "Z": None}
+
+
 # -- 7 tokens --------------------------------------------------------------------------------
 
 
@@ -541,6 +553,24 @@ def test_quality_odd_rows(odd, empty):
     assert quality.quality_cascade(empty).count() == 0
 
 
+def test_the_cascade_counts_only_what_it_must(monkeypatch):
+    seen = collections.Counter()
+
+    def counting(f):
+        def run(data, offsets):
+            seen[f.__name__] += len(offsets) - 1
+            return f(data, offsets)
+
+        return run
+
+    made = {f: counting(f) for f in set(quality.FEATURES.values())}
+    monkeypatch.setattr(quality, "FEATURES", {k: made[f] for k, f in quality.FEATURES.items()})
+    texts = ["too short"] * 90 + [" ".join(f"w{i}k{k}" for i in range(40)) for k in range(10)]
+    by = quality.judge(quality.Chunk(*K.buffers(pa.array(texts))), quality.RULES)
+    assert (by[:90] == 0).all() and (by[90:] == -1).all()
+    assert seen == {"count_words": 100, "count_repeats": 10, "count_lines": 10}
+
+
 def test_order_of_rules_does_not_matter(odd):
     short = {(r.doc_id, r.kept) for r in quality.quality_cascade(odd).collect()}
     turned = {(r.doc_id, r.kept) for r in quality.quality_cascade(odd, rules=quality.RULES[::-1], sample_rows=1).collect()}
