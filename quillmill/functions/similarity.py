@@ -6,14 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Distinct tokens that a pair may hold: the code points beyond the basic plane.
+MOST_TOKENS = 0x10FFFF - 0x10000
+
+
 def token_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance over lists of tokens.
 
     Each distinct token of the pair becomes one character, so the built-in function for
-    strings does the work inside the JVM.  A pair may hold up to 20,000 distinct tokens.
+    strings does the work inside the JVM.  A pair with over a million distinct tokens
+    stops the job.
     """
     every = F.array_distinct(F.concat(a, b))
-    as_char = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + F.array_position(every, t)), 4, "0")), "UTF-16BE")
+    known = F.when(F.size(every) > MOST_TOKENS, F.raise_error(F.lit("too many distinct tokens in a pair")).cast("array<string>")).otherwise(every)
+    as_char = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x10000) - 1 + F.array_position(known, t)), 8, "0")), "UTF-32")
     return F.levenshtein(F.array_join(F.transform(a, as_char), ""), F.array_join(F.transform(b, as_char), ""))
 
 

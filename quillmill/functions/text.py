@@ -26,9 +26,21 @@ def tokenize(text: Column) -> Column:
     return F.flatten(F.transform(tokens(text), lambda t: F.when(t.rlike(ALNUM), F.array(t)).otherwise(F.split(t, ""))))
 
 
+def word_count(text: Column) -> Column:
+    """The size of :func:`tokens`, by one count of matches."""
+    return F.regexp_count(text, F.lit(TOKEN)).cast("long")
+
+
 def token_count(text: Column) -> Column:
-    """The size of :func:`tokenize`, without building the pieces."""
-    return F.aggregate(tokens(text), F.lit(0).cast("long"), lambda n, t: n + F.when(t.rlike(ALNUM), F.lit(1)).otherwise(F.length(t)))
+    """The size of :func:`tokenize`, without building the pieces.
+
+    One for each run of letters and digits that no underscore touches, and one for each
+    character of all other tokens.
+    """
+    runs = F.regexp_count(text, F.lit(r"(?<![\p{L}\p{N}_])[\p{L}\p{N}]++(?!_)"))
+    marks = F.regexp_count(text, F.lit(r"[^\p{L}\p{N}_\s]"))
+    joined = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])[\p{L}\p{N}]*+_[\p{L}\p{N}_]*+"), 0)
+    return (runs + marks + F.length(F.array_join(joined, ""))).cast("long")
 
 
 def collapse(text: Column) -> Column:
@@ -53,9 +65,9 @@ def ensure_tags(text: Column, prefix: str = "<LM>", suffix: str = "") -> Column:
 
 
 def script_share(text: Column, alphabet: str) -> tuple[Column, Column]:
-    """(tokens, tokens wholly in the alphabet); punctuation counts in the first."""
-    found = tokens(text)
-    return F.size(found).cast("long"), F.size(F.filter(found, lambda t: t.rlike(f"^{alphabet}+$"))).cast("long")
+    """(tokens, tokens wholly in the alphabet); punctuation counts in the first.  Two counts of matches, no list."""
+    own = rf"(?<![\p{{L}}\p{{N}}_]){alphabet}++(?![\p{{L}}\p{{N}}_])"
+    return word_count(text), F.regexp_count(text, F.lit(own)).cast("long")
 
 
 def has_lower_letters(text: Column, lower: str) -> Column:
@@ -72,12 +84,15 @@ def padded_tokens(text: Column, fold: dict[str, str] | None = None) -> Column:
     return out
 
 
-def remove_links(text: Column, rounds: int = 2) -> Column:
-    """Wiki links replaced by their shown text; links that a replacement creates are met in later rounds."""
-    out = collapse(text)
-    for _ in range(rounds):
-        out = collapse(F.regexp_replace(out, WIKILINK, "$1"))
-    return out
+def remove_links(text: Column) -> Column:
+    """Wiki links replaced by their shown text, again until none is left.
+
+    A round removes at least one opening bracket pair where there is a link, so there are
+    no more rounds than such pairs; later rounds cost a search only.
+    """
+    once = lambda t: collapse(F.regexp_replace(t, WIKILINK, "$1"))
+    rounds = F.sequence(F.lit(0), F.regexp_count(text, F.lit(r"\[\[")))
+    return F.aggregate(rounds, collapse(text), lambda t, _: F.when(t.rlike(WIKILINK), once(t)).otherwise(t))
 
 
 def doc_title(line: Column) -> Column:
@@ -107,10 +122,14 @@ def judged_bad(verdict: Column) -> Column:
     return F.array_contains(words, "no") | ~F.array_contains(words, "yes")
 
 
-def decimal_points(text: Column, rounds: int = 2) -> Column:
-    """Decimal commas between blanks to points."""
+def decimal_points(text: Column) -> Column:
+    """Decimal commas between blanks to points.
+
+    Two rounds reach the end: the first meets every other of numbers that share a blank,
+    the second the rest, and a point never makes a new match.
+    """
     out = text
-    for _ in range(rounds):
+    for _ in range(2):
         out = F.regexp_replace(out, r"([\s^]+\d+),(\d+)([\s$]+)", "$1.$2$3")
     return out
 

@@ -37,6 +37,47 @@ def paragraphs(lines: DataFrame, key: str = "doc_id", n: str = "line", raw: str
     return p.withColumn("text_no", F.sum(F.when(F.col("_wordy"), 0).otherwise(1)).over(pw)).where("_wordy").select(key, "text_no", "par", "paragraph")
 
 
+#: Noncharacters of Unicode that mark the bounds of paragraphs, and those without a word, inside a joined text.
+_BOUND, _WORDLESS = "\ufdd0", "\ufdd1"
+
+
+def document_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """:func:`paragraphs` of whole documents, one row each: no line is shuffled.
+
+    Lines stay an array; joined with marks where paragraphs begin and split at these, they
+    are the paragraphs.  The two noncharacters used as marks are taken out of texts.
+    """
+    from .spans import running_ends
+
+    clean = F.translate(F.replace(F.col(text), F.lit("--"), F.lit("—")), _BOUND + _WORDLESS, "")
+    x = docs.select(key, F.transform(F.split(clean, "\n"), collapse).alias("_s"))
+
+    def facts(s: Column) -> Column:
+        # Flags from searches of the line, without its list of tokens: an alphabetic token is a run of letters alone.
+        word = r"(?<![\p{L}\p{N}_])[\p{L}]++(?![\p{N}_])"
+        first = F.regexp_extract(s, word, 0)
+        letters = F.array_join(F.regexp_extract_all(s, F.lit(word), 0), "")
+        upper = (letters != "") & ~F.exists(F.regexp_extract_all(s, F.lit(word), 0), lambda t: (t != F.upper(t)) | (t == F.lower(t)))
+        wordy = s.rlike(r"(?<![\p{L}\p{N}_])[\p{L}\p{N}]++(?!_)")
+        return F.struct(s.alias("s"), wordy.alias("wordy"), first.rlike(r"^\p{Lu}\p{Ll}*$").alias("title"), upper.alias("upper"), s.rlike("[.?!…]$").alias("ended"), s.rlike(r"^[—\-0-9]").alias("mark"))
+
+    x = x.select(key, F.transform("_s", facts).alias("_f"))
+
+    def piece(f: Column, i: Column) -> Column:
+        before = F.get("_f", i - 1)
+        begins = (i == 0) | (before["s"] == "") | ~before["wordy"] | before["ended"] | f["mark"] | f["title"] | f["upper"] | ~f["wordy"]
+        lead = F.when(begins, F.when(f["wordy"], _BOUND).otherwise(_BOUND + _WORDLESS)).otherwise(" ")
+        return F.when(f["s"] == "", "").otherwise(F.concat(lead, f["s"]))
+
+    joined = F.array_join(F.transform("_f", piece), "")
+    p = x.select(key, F.split(joined, _BOUND).alias("_p"))
+    # The first piece is what stands before the first mark: nothing.
+    p = p.withColumn("_p", F.slice("_p", F.lit(2), F.greatest(F.size("_p") - 1, F.lit(0))))
+    p = p.withColumn("_n", running_ends(F.transform("_p", lambda t: F.startswith(t, F.lit(_WORDLESS)).cast("int"))))
+    rows = p.select(key, F.posexplode(F.arrays_zip("_p", "_n")).alias("_i", "_x")).where(~F.startswith(F.col("_x._p"), F.lit(_WORDLESS)))
+    return rows.select(key, F.col("_x._n").cast("long").alias("text_no"), (F.col("_i") + 1).cast("long").alias("par"), F.col("_x._p").alias("paragraph"))
+
+
 def segmentation_pairs(pars: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, text_no, n, input, target``: paragraphs of a text joined by blanks, and by newlines."""
     g = pars.groupBy(key, "text_no").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("par", "paragraph"))).alias("_p"))

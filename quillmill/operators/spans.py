@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,11 +15,25 @@ from ..functions.text import TOKEN, WS
 SPACED_TOKEN = r"\s*(?:" + TOKEN + ")"
 
 
+def running_ends(lengths: Column) -> Column:
+    """Running sums of an array of lengths, inclusive: where each of the pieces that tile a text ends.
+
+    Only the lengths of one row at a time leave the JVM; no row is shuffled.
+    """
+
+    @F.pandas_udf("array<int>")
+    def run(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: None if a is None else np.cumsum(a, dtype=np.int32))
+
+    return run(lengths)
+
+
 def lines_with_offsets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, line, start, raw``: every line and the code point at which it begins."""
-    rows = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    w = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select(key, "line", F.coalesce(F.sum(F.length("raw") + 1).over(w), F.lit(0)).cast("int").alias("start"), "raw")
+    split = docs.select(key, F.split(text, "\n").alias("_l"))
+    ends = split.withColumn("_e", running_ends(F.transform("_l", lambda x: F.length(x) + 1)))
+    rows = ends.select(key, F.posexplode(F.arrays_zip("_l", "_e")).alias("line", "_x"))
+    return rows.select(key, "line", (F.col("_x._e") - F.length("_x._l") - 1).alias("start"), F.col("_x._l").alias("raw"))
 
 
 def paragraph_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -31,10 +46,11 @@ def paragraph_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def token_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, tok, token, start, end`` of every token."""
-    rows = docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(SPACED_TOKEN), 0)).alias("tok", "_s"))
-    w = Window.partitionBy(key).orderBy("tok").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = rows.withColumn("end", F.sum(F.length("_s")).over(w).cast("int")).withColumn("token", F.regexp_replace("_s", r"^\s+", ""))
-    return ends.select(key, "tok", "token", (F.col("end") - F.length("token")).alias("start"), "end")
+    split = docs.select(key, F.regexp_extract_all(text, F.lit(SPACED_TOKEN), 0).alias("_s"))
+    ends = split.withColumn("_e", running_ends(F.transform("_s", F.length)))
+    rows = ends.select(key, F.posexplode(F.arrays_zip("_s", "_e")).alias("tok", "_x"))
+    cut = rows.select(key, "tok", F.regexp_replace("_x._s", r"^\s+", "").alias("token"), F.col("_x._e").alias("end"))
+    return cut.select(key, "tok", "token", (F.col("end") - F.length("token")).alias("start"), "end")
 
 
 def interval_union(spans: DataFrame, group: str, start: str = "start", end: str = "end") -> DataFrame:
@@ -81,26 +97,62 @@ def contained(inner: DataFrame, outer: DataFrame, key: str = "doc_id") -> DataFr
     return inner.join(o, on).select(*inner.columns, "outer", (inner["start"] - F.col("_s")).alias("rel_start"), (inner["end"] - F.col("_s")).alias("rel_end"))
 
 
-def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text", phrase_key: str = "item_id", phrase: str = "text") -> DataFrame:
+#: Characters of all phrases up to which they are searched for at once, in the memory of each task.
+MOST_PHRASE_CHARS = 16 << 20
+
+
+def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text", phrase_key: str = "item_id", phrase: str = "text", most_chars: int = MOST_PHRASE_CHARS) -> DataFrame:
     """``key, phrase_key, start, end`` of every place of each phrase in each document, overlapping ones too.
 
-    Inner words of a phrase (its second to fifth) are looked up among all runs of four
-    words of the documents by an equi-join on their hash; what meets is then searched for.
-    Phrases under six words have no such run; each document is searched for each of them,
-    so these should be few.  Empty phrases are nowhere.
+    The size of the phrases is asked first.  Up to ``most_chars`` characters they become one
+    automaton, with which each document is read once, in place.  Beyond that, inner words
+    of a phrase (its second to fifth) are looked up among all runs of four words of the
+    documents by an equi-join on their hash, and what meets is searched for; phrases under
+    six words have no such run and go by the automaton, in portions.  Empty and null
+    phrases are nowhere.
     """
+    given = phrases.select(F.col(phrase_key), F.col(phrase).alias("_p")).where(F.length("_p") > 0)
+    rows = docs.select(key, F.col(text).alias("_t"))
+    if (given.agg(F.sum(F.length("_p"))).first()[0] or 0) <= most_chars:
+        return _searched(rows, given, key, phrase_key)
     words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
     four = lambda w, i: F.xxhash64(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3)))
-    split = phrases.select(phrase_key, F.col(phrase).alias("_p"), words(F.col(phrase)).alias("_w"))
+    split = given.withColumn("_w", words(F.col("_p")))
     p = split.where(F.size("_w") >= 6).select(phrase_key, "_p", four(F.col("_w"), F.lit(1)).alias("_h"))
-    d = docs.select(key, words(F.col(text)).alias("_w"))
+    d = rows.select(key, words(F.col("_t")).alias("_w"))
     grams = d.where(F.size("_w") >= 4).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_w") - 4), lambda i: four(F.col("_w"), i)))).alias("_h"))
-    columns = [key, phrase_key, "_p", F.col(text).alias("_t")]
-    met = grams.join(p, "_h").select(key, phrase_key, "_p").join(docs.select(key, text), key).select(*columns)
-    short = split.where((F.size("_w") < 6) & (F.length("_p") > 0)).select(phrase_key, "_p")
-    few = docs.select(key, text).join(short, F.contains(F.col(text), F.col("_p"))).select(*columns)
-    found = met.unionByName(few).withColumn("start", F.explode(_places(F.col("_t"), F.col("_p"))))
-    return found.select(key, phrase_key, "start", (F.col("start") + F.length("_p")).cast("int").alias("end"))
+    met = grams.join(p, "_h").select(key, phrase_key, "_p").join(rows, key)
+    long = met.withColumn("start", F.explode(_places(F.col("_t"), F.col("_p")))).select(key, phrase_key, "start", (F.col("start") + F.length("_p")).cast("int").alias("end"))
+    short = split.where(F.size("_w") < 6).select(phrase_key, "_p")
+    portions = -(-(short.agg(F.sum(F.length("_p"))).first()[0] or 0) // most_chars)
+    for i in range(portions):
+        long = long.unionByName(_searched(rows, short.where(F.pmod(F.xxhash64("_p"), F.lit(portions)) == i), key, phrase_key))
+    return long
+
+
+def _searched(rows: DataFrame, phrases: DataFrame, key: str, phrase_key: str) -> DataFrame:
+    """All places of phrases whose size was checked, by one automaton a task."""
+    kinds = f"`{key}` {rows.schema[key].dataType.simpleString()}, `{phrase_key}` {phrases.schema[phrase_key].dataType.simpleString()}"
+    by_text: dict[str, list] = {}
+    for k, p in phrases.toLocalIterator():
+        by_text.setdefault(p, []).append(k)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for p, keys in by_text.items():
+            machine.add_word(p, (len(p), keys))
+        machine.make_automaton()
+        for b in batches:
+            found = [
+                (k, own, last + 1 - n, last + 1) for k, t in zip(b[key], b["_t"], strict=True) if t for last, (n, keys) in machine.iter(t) for own in keys
+            ]
+            yield pd.DataFrame(found, columns=[key, phrase_key, "start", "end"])
+
+    if not by_text:
+        return rows.select(key, F.lit(None).cast(phrases.schema[phrase_key].dataType).alias(phrase_key), F.lit(0).alias("start"), F.lit(0).alias("end")).where("false")
+    return rows.mapInPandas(run, f"{kinds}, start int, end int")
 
 
 def _places(text: Column, phrase: Column) -> Column:

@@ -44,8 +44,8 @@ def containment_join(spark: SparkSession, sf: str) -> DataFrame:
     return spans.contained(hits, spans.paragraph_spans(d))
 
 
-_HITS = """hits AS (SELECT doc_id, item_id, CAST(instr(d.text, b.text) - 1 AS INT) AS start, CAST(instr(d.text, b.text) - 1 + length(b.text) AS INT) AS "end"
-  FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(string_split_regex(trim(b.text), '\\s+')) >= 6)"""
+_HITS = """m AS (SELECT doc_id, item_id, d.text AS t, b.text AS p, unnest(range(length(d.text) - length(b.text) + 1)) AS i FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+hits AS (SELECT doc_id, item_id, CAST(i AS INT) AS start, CAST(i + length(p) AS INT) AS "end" FROM m WHERE substr(t, i + 1, length(p)) = p)"""
 CONTAINED = f"""WITH {_PARAGRAPHS}, {_HITS}
 SELECT h.*, p.line AS outer, h.start - p.start AS rel_start, h."end" - p.start AS rel_end FROM hits h JOIN pars p ON h.doc_id = p.doc_id AND h.start >= p.start AND h."end" <= p."end" """.replace("AS outer", 'AS "outer"')
 
@@ -68,7 +68,7 @@ SELECT doc_id, CAST(tok AS INT) AS tok, token, string_agg(tag, ',' ORDER BY star
 
 
 def paragraph_segment(spark: SparkSession, sf: str) -> DataFrame:
-    pars = sections.paragraphs(spans.lines_with_offsets(_docs(spark, sf)))
+    pars = sections.document_paragraphs(_docs(spark, sf))
     return sections.segmentation_pairs(pars).select("doc_id", F.col("text_no").cast("long"), "n", F.md5("input").alias("input_md5"), F.md5("target").alias("target_md5"))
 
 

@@ -18,7 +18,7 @@ REFUSALS = (" as a language model ", " cannot help ", " not able to ", " of that
 
 def tokenize_counts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    return d.select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_words"), text.token_count(F.col("text")).alias("n_tokens"))
+    return d.select("doc_id", text.word_count(F.col("text")).alias("n_words"), text.token_count(F.col("text")).alias("n_tokens"))
 
 
 TOKENIZE = f"""
@@ -157,6 +157,8 @@ _LINKS = (
     "two [[A]] and [[B|bee]]",
     "open [[never closed",
     "nested [[out|[[in|core]] end",
+    "deep [[a|[[b|[[c|[[d|e]]]]]]]] end",
+    "[[[[[[x]]]]]]",
 )
 
 
@@ -167,9 +169,12 @@ def wiki_links(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sql_links() -> str:
     link = sql_text(text.WIKILINK)
-    once = lambda e: f"trim(regexp_replace(regexp_replace({e}, {link}, '\\1', 'g'), {_WS}, ' ', 'g'))"
     rows = ", ".join(f"({i}, '{s}')" for i, s in enumerate(_LINKS))
-    return f"SELECT k, {once(once('s'))} AS clean FROM (VALUES {rows}) AS v(k, s)"
+    return f"""
+WITH RECURSIVE r AS (
+  SELECT k, trim(regexp_replace(s, {_WS}, ' ', 'g')) AS s, 0 AS i FROM (VALUES {rows}) AS v(k, s)
+  UNION ALL SELECT k, trim(regexp_replace(regexp_replace(s, {link}, '\\1', 'g'), {_WS}, ' ', 'g')), i + 1 FROM r WHERE regexp_matches(s, {link}))
+SELECT k, arg_max(s, i) AS clean FROM r GROUP BY k"""
 
 
 def scalar_texts(spark: SparkSession, sf: str) -> DataFrame:

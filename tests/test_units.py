@@ -16,12 +16,21 @@ def one(spark, column, **values):
     return d.select(column.alias("x")).first().x
 
 
-@pytest.mark.parametrize("a, b, d", [("abcd", "abcd", 0), ("abcd", "abblcd", 2), ("abcd", "xyz", 4), ("", "", 0)])
+@pytest.mark.parametrize("a, b, d", [("river", "river", 0), ("river", "rivulet", 3), ("stone", "tone", 1), ("", "ab", 2), ("", "", 0)])
 def test_token_distance(spark, a, b, d):
     letters = lambda s: F.array(*map(F.lit, s)) if s else F.array().cast("array<string>")
     assert one(spark, similarity.token_distance(letters(a), letters(b))) == d
 
 
+def test_token_distance_of_many_tokens(spark):
+    """Code points beyond the basic plane: tens of thousands of distinct tokens."""
+    n = 60_000
+    words = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i.cast("string"))
+    small = F.concat(F.slice(words, n - 40, 41), F.array(F.lit("new")))
+    d = spark.range(1).select(similarity.token_distance(F.slice(words, n - 5000, 5001), small).alias("x"))
+    assert d.first().x == 5001 - 41 + 1
+
+
 @pytest.mark.parametrize("s, want", [(" abc\n", "abc"), ("abc </s> ", "abc"), ("ab\nc</s>", "ab\nc"), ("", ""), ("a</s></s> </s>", "a")])
 def test_strip_eos(spark, s, want):
     assert one(spark, text.strip_eos(F.col("s")), s=s) == want
@@ -30,6 +39,12 @@ def test_strip_eos(spark, s, want):
 def test_tokenize(spark):
     assert one(spark, text.tokenize(F.col("s")), s="foo_bar ... x1!") == list("foo_bar") + list("...") + ["x1", "!"]
     assert one(spark, text.token_count(F.col("s")), s="foo_bar ... x1!") == 12
+    for t in ["", "a_b c__ _", "x1!?..", "naïve über_all 漢字_", "one two", "__", "a-b_c-d", "😀😀 ok"]:
+        assert one(spark, text.token_count(F.col("s")), s=t) == len(one(spark, text.tokenize(F.col("s")), s=t)), t
+        n, own = text.script_share(F.col("s"), "[a-zA-Z]")
+        found = one(spark, text.tokens(F.col("s")), s=t)
+        assert one(spark, n, s=t) == len(found) and one(spark, own, s=t) == sum(x.isascii() and x.isalpha() for x in found), t
+    assert one(spark, text.remove_links(F.col("s")), s="deep [[a|[[b|[[c|[[d|e]]]]]]]] [[x") == "deep e [[x"
     assert one(spark, text.multiline(F.col("s")), s="abc\r\nd  ef g ") == ["abc", "d ef g"]
 
 
@@ -94,6 +109,12 @@ def test_paragraphs_like_the_model(spark):
         got.setdefault(r.doc_id, []).append((r.text_no, r.paragraph))
     for i, x in enumerate(docs):
         assert got.get(i, []) == paragraphs_model("\n".join(x).split("\n")), x
+    whole = {}
+    for r in sections.document_paragraphs(d).orderBy("doc_id", "par").collect():
+        whole.setdefault(r.doc_id, []).append((r.text_no, r.paragraph))
+    assert whole == got
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "a\ufdd0b \ufdd1c")], "doc_id int, text string")
+    assert [tuple(r) for r in sections.document_paragraphs(odd).collect()] == [(3, 0, 1, "ab c")]
 
 
 def sections_model(lines, words):
@@ -354,4 +375,6 @@ def test_phrase_hits_finds_every_place(spark):
     p = spark.createDataFrame(list(phrases.items()), "item_id long, text string")
     want = sorted((k, i, at, at + len(q)) for k, t in texts.items() for i, q in phrases.items() if q for at in range(len(t or "")) if t.startswith(q, at))
     assert len(want) == 4
-    assert sorted(tuple(r) for r in spans.phrase_hits(d, p).collect()) == want
+    for most in (1 << 20, 10):
+        assert sorted(tuple(r) for r in spans.phrase_hits(d, p, most_chars=most).collect()) == want
+    assert spans.phrase_hits(d, p.where("item_id > 11")).count() == 0
