@@ -19,8 +19,13 @@ def token_distance(a: Column, b: Column) -> Column:
     """
     every = F.array_distinct(F.concat(a, b))
     known = F.when(F.size(every) > MOST_TOKENS, F.raise_error(F.lit("too many distinct tokens in a pair")).cast("array<string>")).otherwise(every)
-    as_char = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x10000) - 1 + F.array_position(known, t)), 8, "0")), "UTF-32")
-    return F.levenshtein(F.array_join(F.transform(a, as_char), ""), F.array_join(F.transform(b, as_char), ""))
+
+    def distance(names: Column) -> Column:
+        as_char = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x10000) - 1 + F.array_position(names, t)), 8, "0")), "UTF-32")
+        return F.levenshtein(F.array_join(F.transform(a, as_char), ""), F.array_join(F.transform(b, as_char), ""))
+
+    # Under a lambda's name the list of distinct tokens is made once, not once a token.
+    return F.get(F.transform(F.array(known), distance), F.lit(0))
 
 
 def lexical_similarity(reference: Column, candidate: Column) -> Column:
