@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity
 from ..operators import fuzzy, generate, metrics, models
-from .tables import sql_pick, table
+from .tables import sql_hash, sql_pick, table
 
 _WER = [("a", "abcd efg", "abcd efg"), ("a", "the cat sat", "the cat sat on a mat"), ("a", "x", "x y, z!"), ("b", "", ""), ("b", "", ""), ("c", "one two three", "uno dos tres"), ("c", "p q r s", "p q")]
 
@@ -121,22 +121,33 @@ def arithmetic_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _templates(ts: tuple[str, ...]) -> str:
-    return "[" + ", ".join("'" + t + "'" for t in ts) + "]"
+    return "[" + ", ".join("'" + t.replace("\n", "~") + "'" for t in ts) + "]"
 
 
+_operand = lambda seed: f"CASE WHEN {sql_pick(seed + '-kind', 2, 'id')} = 0 THEN ({sql_pick(seed + '-whole', 201, 'id')} - 100)::BIGINT * 1000000 ELSE {sql_pick(seed + '-micro', 200_000_001, 'id')}::BIGINT - 100000000 END"
+_micro = lambda x: f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || (abs({x}) // 1000000)::VARCHAR || regexp_replace('.' || lpad((abs({x}) % 1000000)::VARCHAR, 6, '0'), '\\.?0+$', ''))"
+_div = lambda x, y: f"(CASE WHEN ({x} < 0) = ({y} < 0) THEN 1 ELSE -1 END * ((2 * abs({x}) + abs({y})) // nullif(2 * abs({y}), 0)))"
+_fills = lambda t, **v: _fills(f"replace({t}, '{{{next(iter(v))}}}', {v[next(iter(v))]})", **dict(list(v.items())[1:])) if v else t
+_large = "[" + ", ".join(str(x).lower() for _, x in generate.COMPARISON_WORDS) + "]"
 ARITHMETIC = f"""
 WITH i AS (SELECT range AS id FROM range(400)),
-a AS (SELECT id, {sql_pick('arithmetic-a', 201, 'id')} - 100 AS a, {sql_pick('arithmetic-b', 201, 'id')} - 100 AS b, {sql_pick('arithmetic-o', 4, 'id')} AS o0, {sql_pick('arithmetic-t', len(generate.ARITHMETIC), 'id')} AS t FROM i),
+a AS (SELECT id, {_operand('arithmetic-a')} AS a, {_operand('arithmetic-b')} AS b, {sql_pick('arithmetic-o', 4, 'id')} AS o0, {sql_pick('arithmetic-s', 2, 'id')} AS s, {sql_pick('arithmetic-t', len(generate.ARITHMETIC), 'id')} AS t FROM i),
 b AS (SELECT *, CASE WHEN o0 = 3 AND b = 0 THEN 2 ELSE o0 END AS o FROM a),
-q AS (SELECT *, CASE WHEN o = 3 THEN regexp_replace(regexp_replace(printf('%.6f', round(a::DOUBLE / nullif(b, 0), 6)), '\\.?0+$', ''), '^-0$', '0')
-  ELSE CAST(CASE o WHEN 0 THEN a + b WHEN 1 THEN a - b ELSE a * b END AS VARCHAR) END AS target FROM b),
-c AS (SELECT id, {sql_pick('comparison-a', 2001, 'id')} AS a, {sql_pick('comparison-b', 2001, 'id')} AS b, {sql_pick('comparison-w', 2, 'id')} AS w, {sql_pick('comparison-t', len(generate.COMPARISON), 'id')} AS t FROM i),
-v AS (SELECT id, k, {sql_pick('choice-v', 1000, 'id', 'k')} AS x FROM (SELECT id, unnest(range(0, 5 + {sql_pick('choice-n', 16, 'id')})) AS k FROM i)),
-m AS (SELECT id, string_agg(chr(CAST(65 + k AS INT)) || ') ' || x, ', ' ORDER BY k) AS l, arg_min(k, (-x, k)) AS best, {sql_pick('choice-t', len(generate.CHOICE), 'id')} AS t FROM v GROUP BY id)
-SELECT 'arithmetic' AS kind, id, replace(replace(replace(({_templates(generate.ARITHMETIC)})[t + 1], '{{a}}', a::VARCHAR), '{{op}}', (['+', '-', '*', '/'])[o + 1]), '{{b}}', b::VARCHAR) AS input, target FROM q
-UNION ALL SELECT 'comparison', id, replace(replace(replace(({_templates(generate.COMPARISON)})[t + 1], '{{word}}', CASE WHEN w = 0 THEN 'larger' ELSE 'smaller' END), '{{a}}', a::VARCHAR), '{{b}}', b::VARCHAR),
-  CAST(CASE WHEN w = 0 THEN greatest(a, b) ELSE least(a, b) END AS VARCHAR) FROM c
-UNION ALL SELECT 'choice', id, replace(({_templates(generate.CHOICE)})[t + 1], '{{list}}', l), chr(CAST(65 + best AS INT)) FROM m"""
+q AS (SELECT *, CASE o WHEN 0 THEN a + b WHEN 1 THEN a - b WHEN 2 THEN {_div('(a * b)', '1000000')} ELSE {_div('(a * 1000000)', 'b')} END AS r FROM b),
+c AS (SELECT id, {_operand('comparison-a')} AS a, {_operand('comparison-b')} AS b, {sql_pick('comparison-w', len(generate.COMPARISON_WORDS), 'id')} AS w, {sql_pick('comparison-t', len(generate.COMPARISON), 'id')} AS t FROM i),
+v AS (SELECT id, j, {sql_pick('choice-v', 1000, 'id', 'j')} AS x FROM (SELECT id, unnest(range(0, 5 + {sql_pick('choice-n', 16, 'id')})) AS j FROM i)),
+m AS (SELECT id, string_agg(x::VARCHAR, ', ' ORDER BY j) AS l, CASE WHEN {sql_pick('choice-w', 2, 'id')} = 0 THEN max(x) ELSE min(x) END AS best, 2 + {sql_pick('choice-k', 5, 'id')} AS k,
+  {sql_pick('choice-c', 4, 'id')} AS c, {sql_pick('choice-w', 2, 'id')} AS w, {sql_pick('choice-l', 2, 'id')} AS lab, {sql_pick('choice-t', len(generate.CHOICE), 'id')} AS t FROM v GROUP BY id),
+o AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY {sql_hash('choice-other', 'id', 'x')}, x) AS n FROM (SELECT DISTINCT v.id, x FROM v JOIN m ON v.id = m.id AND x <> best)),
+f AS (SELECT o.id, x FROM o JOIN m ON o.id = m.id AND n <= CASE WHEN c = 3 THEN k ELSE k - 1 END UNION ALL SELECT id, best FROM m WHERE c < 3),
+p AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY {sql_hash('choice-shown', 'id', 'x')}, x) AS n FROM f),
+e AS (SELECT id, x::VARCHAR AS x, n FROM p UNION ALL SELECT p.id, '{generate.NONE_RIGHT}', max(n) + 1 FROM p JOIN m ON p.id = m.id AND c >= 2 GROUP BY p.id),
+g AS (SELECT e.id, string_agg(CASE WHEN lab = 0 THEN chr(CAST(64 + n AS INT)) ELSE n::VARCHAR END || ') ' || x, chr(10) ORDER BY n) AS opts,
+  max(CASE WHEN (c = 3 AND x = '{generate.NONE_RIGHT}') OR (c < 3 AND x = best::VARCHAR) THEN CASE WHEN lab = 0 THEN chr(CAST(64 + n AS INT)) ELSE n::VARCHAR END END) AS target FROM e JOIN m ON e.id = m.id GROUP BY e.id)
+SELECT 'arithmetic' AS kind, id, {_fills(f"({_templates(generate.ARITHMETIC)})[t + 1]", x=_micro('a'), op="(['+', '-', '*', '/'])[o + 1]", y=_micro('b'), s="CASE WHEN s = 1 THEN ' ' ELSE '' END")} AS input, {_micro('r')} AS target FROM q
+UNION ALL SELECT 'comparison', id, {_fills(f"({_templates(generate.COMPARISON)})[t + 1]", word=f"({_templates(tuple(w for w, _ in generate.COMPARISON_WORDS))})[w + 1]", x=_micro('a'), y=_micro('b'))},
+  {_micro(f'(CASE WHEN ({_large})[w + 1] THEN greatest(a, b) ELSE least(a, b) END)')} FROM c
+UNION ALL SELECT 'choice', m.id, {_fills(f"replace(({_templates(generate.CHOICE)})[t + 1], '~', chr(10))", word=f"({_templates(generate.CHOICE_WORDS)})[w + 1]", list="'[' || l || ']'", options='opts')}, target FROM m JOIN g ON m.id = g.id"""
 
 
 def typo_augment(spark: SparkSession, sf: str) -> DataFrame:
