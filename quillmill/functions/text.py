@@ -149,11 +149,17 @@ def entity_list(text: Column, negative: str) -> Column:
     return F.when(F.instr(text, negative) > 0, F.array().cast("array<string>")).otherwise(lines)
 
 
+def entity_text(entities: Column, negative: str) -> Column:
+    """The inverse of :func:`entity_list`: one a line, or the negative sentence."""
+    return F.when(F.size(entities) == 0, F.lit(negative)).otherwise(F.array_join(entities, "\n"))
+
+
+def says_only(text: Column, sentence: str) -> Column:
+    """Whether a text has the same set of alphanumeric tokens as a fixed sentence, whatever their order and case."""
+    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(tokens(c), F.lower), lambda t: t.rlike(ALNUM))))
+    return words(text) == words(F.lit(sentence))
+
+
 def closed_sentence(text: Column) -> Column:
     """A full stop added where the last character is a letter or digit."""
     return F.when(text.rlike(r"[\p{L}\p{N}]$"), F.concat(text, F.lit("."))).otherwise(text)
-
-
-def code_line_kept(line: Column, is_code: Column) -> Column:
-    """Whether a line is prose: any line of prose, in code only a comment."""
-    return ~is_code | F.startswith(F.trim(line), F.lit("#"))

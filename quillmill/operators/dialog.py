@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import key_hash, pick
 from ..functions.text import collapse
+from .fuzzy import token_sort_ratio
 from .ranking import ranked
+from .storage import stored
 
 
 def history_pairs(turns: DataFrame, task: str = "chat") -> DataFrame:
@@ -74,9 +76,9 @@ def few_shot(samples: DataFrame, seed: str = "fewshot", least: int = 2, most: in
     ``max_chars`` take no part; a task of fewer than ``most + 1`` samples gives no rows.
     """
     s = samples.where(F.length("input") <= max_chars).withColumn("_h", key_hash(seed, F.col("task"), F.col("id")))
-    s = ranked(s, ["_h", "id"], ["task"], "_r")
-    sizes = s.groupBy("task").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
-    s = s.join(F.broadcast(sizes), "task")  # one row a task
+    s = stored(ranked(s, ["_h", "id"], ["task"], "_r"), "ranked")
+    sizes = stored(s.groupBy("task").agg(F.count("*").alias("_n")).where(F.col("_n") > most), "sizes")
+    s = s.join(sizes, "task")
     s = s.withColumn("k", F.lit(least) + pick(seed + "-k", most - least + 1, F.col("task"), F.col("id")))
     wants = s.select("task", "id", "k", F.col("input").alias("_q"), "target", F.explode(F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.struct(i.alias("i"), F.pmod(F.col("_r") + i, F.col("_n")).alias("r")))).alias("_e"))
     others = s.select(F.col("task").alias("_t"), F.col("_r").alias("_o"), few_shot_block(F.col("input"), F.col("target")).alias("_block"))
@@ -121,23 +123,29 @@ RAG_LAYOUTS = (
     "Question: {q}\nAnswer with the help of: {c}",
     "Text: {c}\nQ: {q}",
 )
-RAG_REFUSAL = "The text does not say."
+RAG_REFUSALS = ("The text does not say.", "There is no answer in this text.", "The given text says nothing about it.")
+#: Contexts more alike than this (0 to 100) may hold the same answer.
+MOST_ALIKE = 70
 
 
-def rag_samples(rows: DataFrame, key: str, seed: str = "rag", negative_share: float = 0.1) -> DataFrame:
+def rag_samples(rows: DataFrame, key: str, seed: str = "rag", negative_share: float = 0.1, candidates: int = 3) -> DataFrame:
     """``key, negative, input, target`` from ``question, context, response``.
 
-    Some rows get the context of another row (the next in hash order) and the refusal as
-    target, unless the two contexts hold the same words.
+    Some rows get the context of another row and a refusal as target: of the next
+    ``candidates`` rows in hash order the first whose context is not too much like their
+    own, by the ratio of the words in order; a row without such a one stays positive.
     """
     from ..functions.hashing import uniform
-    from ..functions.similarity import sorted_tokens
 
-    r = ranked(rows.withColumn("_h", key_hash(seed, F.col(key))), ["_h", key], None, "_r")
-    n = r.count()
-    other = r.select(F.pmod(F.col("_r") - 1, F.lit(max(n, 1))).alias("_to"), F.col("context").alias("_other"))
-    j = r.join(other, F.col("_r") == F.col("_to"))
-    neg = (uniform(seed + "-neg", F.col(key)) < negative_share) & (sorted_tokens(F.col("context")) != sorted_tokens(F.col("_other")))
+    r = stored(ranked(rows.withColumn("_h", key_hash(seed, F.col(key))), ["_h", key], None, "_r"), "ranked")
+    n = max(r.count(), 1)
+    drawn = r.where(uniform(seed + "-neg", F.col(key)) < negative_share)
+    wants = drawn.select(key, F.col("context").alias("_own"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(candidates)), lambda i: F.struct(i.alias("i"), F.pmod(F.col("_r") + i, F.lit(n)).alias("r")))).alias("_c"))
+    others = r.select(F.col("_r").alias("_to"), F.col("context").alias("_other"))
+    met = wants.join(others, F.col("_c.r") == F.col("_to")).withColumn("_ratio", token_sort_ratio(F.col("_own"), F.col("_other")))
+    first = met.where(F.col("_ratio") <= MOST_ALIKE).groupBy(F.col(key).alias("_k")).agg(F.min(F.struct("_c.i", "_other"))["_other"].alias("_other"))
+    j = r.join(first, F.col(key) == F.col("_k"), "left")
+    neg = F.col("_k").isNotNull()
     shown = F.when(neg, F.col("_other")).otherwise(F.col("context"))
     layout = F.get(F.array(*map(F.lit, RAG_LAYOUTS)), pick(seed + "-layout", len(RAG_LAYOUTS), F.col(key)))
     # The question last: a text may hold a placeholder of its own.
@@ -145,4 +153,33 @@ def rag_samples(rows: DataFrame, key: str, seed: str = "rag", negative_share: fl
     c_first = F.instr(layout, "{c}") < F.instr(layout, "{q}")
     a, b = F.when(c_first, shown).otherwise(F.col("question")), F.when(c_first, F.col("question")).otherwise(shown)
     text = F.concat(F.get(parts, F.lit(0)), a, F.get(parts, F.lit(1)), b, F.get(parts, F.lit(2)))
-    return j.select(key, neg.alias("negative"), text.alias("input"), F.when(neg, RAG_REFUSAL).otherwise(F.col("response")).alias("target"))
+    refusal = F.get(F.array(*map(F.lit, RAG_REFUSALS)), pick(seed + "-refusal", len(RAG_REFUSALS), F.col(key)))
+    return j.select(key, neg.alias("negative"), text.alias("input"), F.when(neg, refusal).otherwise(F.col("response")).alias("target"))
+
+
+def few_shot_entities(samples: DataFrame, negative: Column, seed: str = "entities", least: int = 2, most: int = 5, max_chars: int = 3500) -> DataFrame:
+    """:func:`few_shot` for entity tasks: of the examples of a sample all positive ones and at most one negative.
+
+    ``negative`` says of a target that it names no entity.  A sample whose examples are all
+    negative is left out.
+    """
+    s = samples.where(F.length("input") <= max_chars).withColumn("_neg", negative).withColumn("_h", key_hash(seed, F.col("task"), F.col("id")))
+    s = stored(ranked(s, ["_h", "id"], ["task"], "_r"), "ranked")
+    s = s.join(stored(s.groupBy("task").agg(F.count("*").alias("_n")).where(F.col("_n") > most), "sizes"), "task")
+    k = F.lit(least) + pick(seed + "-k", most - least + 1, F.col("task"), F.col("id"))
+    wants = s.select("task", "id", F.col("input").alias("_q"), "target", F.explode(F.transform(F.sequence(F.lit(1), k), lambda i: F.struct(i.alias("i"), F.pmod(F.col("_r") + i, F.col("_n")).alias("r")))).alias("_e"))
+    others = s.select(F.col("task").alias("_t"), F.col("_r").alias("_o"), F.col("_neg").alias("_no"), few_shot_block(F.col("input"), F.col("target")).alias("_block"))
+    met = wants.join(others, (F.col("task") == F.col("_t")) & (F.col("_e.r") == F.col("_o")))
+    g = met.groupBy("task", "id").agg(F.first("_q").alias("_q"), F.first("target").alias("target"), F.array_sort(F.collect_list(F.struct("_e.i", "_no", "_block"))).alias("_b"))
+    g = g.where(F.exists("_b", lambda b: ~b["_no"]))
+    first_no = F.array_min(F.transform(F.filter("_b", lambda b: b["_no"]), lambda b: b["i"]))
+    kept = F.filter("_b", lambda b: ~b["_no"] | (b["i"] == first_no))
+    blocks = F.array_join(F.transform(kept, lambda b: b["_block"]), "\n\n")
+    return g.select("task", "id", F.size(kept).alias("k"), F.concat(blocks, F.lit("\n\nQuestion: "), F.col("_q"), F.lit("\nAnswer: ")).alias("input"), "target")
+
+
+def same_tags(examples: Column, tag: str = "<LM>", end: str = "</s>") -> Column:
+    """Whether ``array<struct<input, target>>`` all have the tag and end mark, or none has; a prompt must not mix both."""
+    tagged = F.transform(examples, lambda e: (F.startswith(e["input"], F.lit(tag)) & F.endswith(e["target"], F.lit(end))))
+    bare = F.transform(examples, lambda e: (~F.startswith(e["input"], F.lit(tag)) & ~F.endswith(e["target"], F.lit(end))))
+    return F.forall(tagged, lambda x: x) | F.forall(bare, lambda x: x)

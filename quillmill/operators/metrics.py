@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import f1, token_distance
 from ..functions.text import answer_word, tokenize
 from .ranking import ranked
+from .storage import stored
 
 FLOOR = 1e-9
 
@@ -59,40 +60,62 @@ def macro_f1(per_class: DataFrame) -> DataFrame:
     return per_class.agg(F.round(F.coalesce(F.avg("f1"), F.lit(0.0)), 6).alias("macro_f1"))
 
 
-def greedy_cosine_f1(reference: DataFrame, predicted: DataFrame, pair: str, vector: str = "embedding") -> DataFrame:
+#: Vectors of one side that one task compares at a time.
+VECTOR_BLOCK = 2048
+
+
+def greedy_cosine_f1(reference: DataFrame, predicted: DataFrame, pair: str, vector: str = "embedding", block: int = VECTOR_BLOCK) -> DataFrame:
     """``pair, recall, precision, f1`` by greedy matching of token vectors.
 
     Recall is the mean over reference tokens of the best cosine, precision the same for
     the prediction; F1 is 0 unless both are positive.  Both sides empty give 1, one empty
-    side 0.  Each pair is a matrix product over Arrow columns, in blocks of rows.
+    side 0.  The vectors of a pair are dealt into blocks; a task multiplies one block of
+    either side, and the best of each vector over all blocks is an aggregate, so a pair of
+    any size is spread over many tasks.
     """
-    kind = reference.schema[pair].dataType.simpleString()
-
-    def unit(t: pa.Table, vector: str) -> np.ndarray:
-        if not t.num_rows:
-            return np.zeros((0, 1))
-        col = t.column(vector).combine_chunks()
-        m = np.asarray(col.flatten(), np.float64).reshape(t.num_rows, -1)
+    sides = {}
+    for name, rows in (("a", reference), ("b", predicted)):
+        own = stored(rows.select(F.col(pair).alias("pair"), F.col(vector).alias("vector")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+        sides[name] = own, own.groupBy("pair").agg(F.count("*").alias(f"n_{name}"))
+    sizes = stored(sides["a"][1].join(sides["b"][1], "pair", "full").select("pair", F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b")), "sizes")
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+
+    def dealt(name: str, other: str) -> DataFrame:
+        with_sizes = sides[name][0].join(sizes.where("n_a > 0 AND n_b > 0"), "pair")
+        mine = F.pmod(F.xxhash64("row"), blocks(f"n_{name}")).cast("int").alias(f"block_{name}")
+        return with_sizes.select("pair", "row", "vector", mine, F.explode(F.sequence(F.lit(0), blocks(f"n_{other}") - 1)).alias(f"block_{other}"))
+
+    def unit(t: pa.Table) -> np.ndarray:
+        m = np.asarray(t.column("vector").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
         n = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        key = (left if left.num_rows else right).column(pair).slice(0, 1)
-        a, b = unit(left, vector), unit(right, "_other")
-        if not len(a) or not len(b):
-            r = p = f = 1.0 if len(a) == len(b) else 0.0
-        else:
-            best_a, best_b = np.full(len(a), -np.inf), np.full(len(b), -np.inf)
-            for i in range(0, len(a), 1024):
-                c = a[i : i + 1024] @ b.T
-                best_a[i : i + 1024] = c.max(axis=1)
-                best_b = np.maximum(best_b, c.max(axis=0))
-            r, p = float(best_a.mean()), float(best_b.mean())
-            f = 2 * r * p / (r + p) if r > 0 and p > 0 else 0.0
-        return pa.table({pair: key, "recall": [r], "precision": [p], "f1": [f]})
-
-    out = reference.select(pair, vector).groupBy(pair).cogroup(predicted.select(pair, F.col(vector).alias("_other")).groupBy(pair)).applyInArrow(score, f"`{pair}` {kind}, recall double, precision double, f1 double")
-    return out.select(pair, *(F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")))
+    kind = reference.schema[pair].dataType.simpleString()
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"pair": left.column("pair").slice(0, 0), "side": pa.array([], pa.string()), "row": pa.array([], pa.int64()), "best": pa.array([], pa.float64())})
+        a, b = unit(left), unit(right)
+        best_a, best_b = np.full(len(a), -np.inf), np.full(len(b), -np.inf)
+        for i in range(0, len(a), 512):
+            c = a[i : i + 512] @ b.T
+            best_a[i : i + 512] = c.max(axis=1)
+            best_b = np.maximum(best_b, c.max(axis=0))
+        return pa.table({
+            "pair": pa.concat_arrays([left.column("pair").combine_chunks(), right.column("pair").combine_chunks()]), "side": ["a"] * len(a) + ["b"] * len(b),
+            "row": np.concatenate([np.asarray(left.column("row")), np.asarray(right.column("row"))]), "best": np.concatenate([best_a, best_b]),
+        })
+
+    on = ["pair", "block_a", "block_b"]
+    met = dealt("a", "b").groupBy(*on).cogroup(dealt("b", "a").groupBy(*on)).applyInArrow(best, f"pair {kind}, side string, row long, best double")
+    each = met.groupBy("pair", "side", "row").agg(F.max("best").alias("best"))
+    side = lambda s: F.avg(F.when(F.col("side") == s, F.col("best")))
+    means = each.groupBy("pair").agg(side("a").alias("r"), side("b").alias("p"))
+    out = sizes.join(means, "pair", "left")
+    empty = F.when((F.col("n_a") == 0) & (F.col("n_b") == 0), 1.0).otherwise(0.0)
+    r, p = F.coalesce("r", empty), F.coalesce("p", empty)
+    f = F.when((r > 0) & (p > 0), 2 * r * p / (r + p)).otherwise(0.0)
+    return out.select(F.col("pair").alias(pair), F.round(r, 6).alias("recall"), F.round(p, 6).alias("precision"), F.round(f, 6).alias("f1"))
 
 
 def harmonic_mean(scores: DataFrame, score: str = "score") -> DataFrame:

@@ -34,12 +34,12 @@ def stratified_reduction(rows: DataFrame, k: int, key: str, positive: Column, se
 
 def sized(rows: DataFrame, within: list[str], order: str, name: str = "_n") -> DataFrame:
     """Ranks within groups, and the size of the group beside each row."""
-    out = ranked(rows, [order], within, "_rank")
+    out = stored(ranked(rows, [order], within, "_rank"), "ranked")
     n = out.groupBy(*within).agg(F.count("*").alias(name)) if within else out.agg(F.count("*").alias(name))
     if not within:
         return out.withColumn(name, F.lit(n.first()[0]))
     on = [F.col(f"_w_{w}").eqNullSafe(F.col(w)) for w in within]
-    return out.join(F.broadcast(n.select(*(F.col(w).alias(f"_w_{w}") for w in within), name)), on).drop(*(f"_w_{w}" for w in within))
+    return out.join(stored(n.select(*(F.col(w).alias(f"_w_{w}") for w in within), name), "sizes"), on).drop(*(f"_w_{w}" for w in within))
 
 
 def few_shot_split(rows: DataFrame, task: str, key: str, n_tasks: int, least: int = 100, seed: str = "split") -> DataFrame:
@@ -75,7 +75,7 @@ def stratified_split(rows: DataFrame, label: str, key: str, k: int, name: str =
     left = min(k, total) - (base.agg(F.sum("_q")).first()[0] or 0)
     extra = base.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_r"), label)))  # one row a label
     quota = extra.select(F.col(label).alias("_l"), (F.col("_q") + (F.col("_i") <= left).cast("long")).alias("_quota"))
-    return r.join(F.broadcast(quota), F.col(label).eqNullSafe(F.col("_l"))).withColumn(name, F.col("_rank") < F.col("_quota")).drop("_h", "_rank", "_n", "_l", "_quota")
+    return r.join(quota, F.col(label).eqNullSafe(F.col("_l"))).withColumn(name, F.col("_rank") < F.col("_quota")).drop("_h", "_rank", "_n", "_l", "_quota")
 
 
 def group_split(rows: DataFrame, group: str, share: float = 0.1, seed: str = "groups") -> DataFrame:
@@ -92,8 +92,9 @@ def weighted_sample(rows: DataFrame, weight: Column, k: int, key: str, seed: str
     """k draws with replacement: ``draw, key``; a row's chance is its weight.
 
     Cumulative weights come from per-partition sums; a draw finds its row by an equi-join
-    on a coarse cell of the weight axis and then its range, so nothing is compared with
-    every draw.  Weights are counted in millionths.
+    on a cell of the weight axis and then its range.  There are as many cells as draws (256
+    at least, a row may lie in several), so a cell holds a draw or so and comparisons stay
+    near the number of rows and draws.  Weights are counted in millionths.
     """
     from .ranking import spread, with_running
 
@@ -102,13 +103,42 @@ def weighted_sample(rows: DataFrame, weight: Column, k: int, key: str, seed: str
     parts = spread(w, "_h", key)
     cum = with_running(parts, ["_h", key], {"_lo": "_w"})
     total = parts.agg(F.sum("_w")).first()[0] or 1
-    cell = max(1, total // 256)
+    cell = max(1, total // max(256, k))
     draws = spark.range(k).select(F.col("id").alias("draw"), F.floor(uniform(seed + "-draw", F.col("id")) * total).cast("long").alias("_x")).withColumn("_c", F.floor(F.col("_x") / cell))
     cells = cum.withColumn("_c", F.explode(F.sequence(F.floor(F.col("_lo") / cell), F.floor((F.col("_lo") + F.col("_w") - 1) / cell))))
     hit = (F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_lo") + F.col("_w"))
     return cells.join(draws, "_c").where(hit).select("draw", key)
 
 
+def validation_then_test(rows: DataFrame, label: str, key: str, n_validation: int = 100, least_test: int = 500, share: float = 0.05, seed: str = "chain") -> DataFrame:
+    """Add ``split``: a stratified validation set, then a stratified test set of the rest, then training rows.
+
+    The test set takes ``share`` of what validation leaves (rounded half to even), at least
+    ``least_test`` rows.
+    """
+    first = stored(stratified_split(rows, label, key, n_validation, "_val", seed + "-val"), "validation")
+    rest = first.where("NOT _val").drop("_val")
+    n_test = max(least_test, round(share * rest.count()))
+    second = stratified_split(rest, label, key, n_test, "_test", seed + "-test")
+    out = second.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
+    return first.where("_val").drop("_val").withColumn("split", F.lit("validation")).unionByName(out)
+
+
+def half_mix(first: DataFrame, second: DataFrame, n: int, key: str, seed: str = "half") -> DataFrame:
+    """``n`` rows, half of them (rounded up) from ``first`` and the rest from ``second``, by least hash; ``part`` says which."""
+    one = uniform_sample(first, -(-n // 2), key, seed + "-first").withColumn("part", F.lit("first"))
+    return one.unionByName(uniform_sample(second, n // 2, key, seed + "-second").withColumn("part", F.lit("second")))
+
+
+def single_mix(rows: DataFrame, task: str, key: str, main: str, n: int, seed: str = "single") -> DataFrame:
+    """``draw, key``: batches of one row; a row of ``main`` weighs so that it makes half of the draws, other tasks share the rest evenly."""
+    sizes = stored(rows.groupBy(F.col(task).alias("_t")).agg(F.count("*").alias("_n")), "sizes")
+    others = max(1, sizes.where(F.col("_t") != main).count())
+    weight = F.when(F.col("_t") == main, F.lit(0.5) / F.col("_n")).otherwise(F.lit(0.5 / others) / F.col("_n"))
+    weighed = rows.join(sizes, F.col(task) == F.col("_t")).withColumn("_weight", weight * 1000)
+    return weighted_sample(weighed, F.col("_weight"), n, key, seed)
+
+
 def batch_mix(rows: DataFrame, task: str, key: str, tasks: list[str], main: str, size: int, n_batches: int, seed: str = "mix") -> DataFrame:
     """``batch, slot, task, key``: half of each mini-batch from ``main``, the rest round robin over the other tasks.
 
@@ -125,7 +155,7 @@ def batch_mix(rows: DataFrame, task: str, key: str, tasks: list[str], main: str,
     slots = slots.withColumn("_k", F.when(F.col("slot") < half, F.col("batch") * half + F.col("slot")).otherwise(F.floor(turn / max(1, len(others)))))
     r = sized(rows.select(F.col(task).alias("task"), key, F.concat(key_hash(seed, F.col(key)), F.lit(":"), F.col(key).cast("string")).alias("_h")), ["task"], "_h")
     n = r.groupBy("task").agg(F.count("*").alias("_size"))  # one row a task
-    wanted = slots.join(F.broadcast(n), F.col("_t") == F.col("task")).select("batch", "slot", "task", F.pmod("_k", "_size").alias("_rank"))
+    wanted = slots.join(n, F.col("_t") == F.col("task")).select("batch", "slot", "task", F.pmod("_k", "_size").alias("_rank"))
     return wanted.join(r.select("task", "_rank", key), ["task", "_rank"]).select("batch", "slot", "task", key)
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -272,6 +273,68 @@ def aligned(rows: DataFrame, key: str, tokens: str = "tokens", entities: str = "
     return rows.select(key, tokens, entities).mapInPandas(run, f"`{key}` {kind}, start int, end int, misses int")
 
 
+def decoded_tags(tagged: DataFrame, key: str = "doc_id", tok: str = "tok", tags: str = "tags") -> DataFrame:
+    """``key, class, start, end`` in token numbers (half-open) from BIO tags, several a token joined by commas.
+
+    A B- tag begins a span, an I- tag goes on with an open one of its class and begins one
+    where there is none; anything else ends it.
+    """
+    each = tagged.select(key, F.col(tok).alias("_t"), F.explode(F.split(tags, ",")).alias("_x")).where("_x <> 'O'")
+    each = each.select(key, "_t", F.substring("_x", 1, 1).alias("_bio"), F.substr("_x", F.lit(3)).alias("class"))
+    w = Window.partitionBy(key, "class").orderBy("_t", "_bio")
+    fresh = F.when((F.col("_bio") == "B") | F.lag("_t").over(w).isNull() | (F.lag("_t").over(w) < F.col("_t") - 1), 1).otherwise(0)
+    runs = each.withColumn("_f", fresh).withColumn("_g", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return runs.groupBy(key, "class", "_g").agg(F.min("_t").alias("start"), (F.max("_t") + 1).alias("end")).drop("_g")
+
+
+def entity_labels(rows: DataFrame, name: str, text: str = "text", entities: str = "entities", out: str = "labels", strict: bool = False, end_mark: str = "</s>") -> DataFrame:
+    """Add ``tokens`` and a BIO label for each from an array of entity texts in order of mention.
+
+    End marks at a text's end are taken off.  Entities are found greedily from left to
+    right; one that is not found is skipped, or stops the job with ``strict``.
+    """
+    clean = F.regexp_replace(F.col(text), r"(\s*" + re.escape(end_mark) + r")+\s*$", "")
+    with_tokens = rows.withColumn("tokens", F.regexp_extract_all(clean, F.lit(TOKEN), 0))
+    phrases = F.transform(entities, lambda e: F.regexp_extract_all(e, F.lit(TOKEN), 0))
+
+    @F.pandas_udf("array<string>")
+    def run(tokens: pd.Series, wanted: pd.Series) -> pd.Series:
+        out = []
+        for t, e in zip(tokens, wanted, strict=True):
+            t, e = list(t), [list(x) for x in e]
+            labels = label_tokens(t, e, name)
+            if strict and sum(x.startswith("B-") for x in labels) != sum(bool(x) for x in e):
+                raise ValueError("an entity is not in its text")
+            out.append(labels)
+        return pd.Series(out, dtype=object)
+
+    return with_tokens.withColumn(out, run(F.col("tokens"), phrases))
+
+
+def split_texts(rows: DataFrame, most: int, text: str = "text", ends: Callable[[str], list[int]] | None = None) -> DataFrame:
+    """Every text as pieces of at most ``most`` tokens: all columns, ``piece, first, last, start, end``.
+
+    A text that is too long is halved at its middle sentence (or middle token) until its
+    pieces fit; tokens are ``first`` to ``last`` (half-open), code points ``start`` to
+    ``end``.  ``ends`` gives the token numbers behind which sentences end.
+    """
+    from .fuzzy import sentence_ends
+
+    split = ends or sentence_ends
+
+    @F.pandas_udf("array<struct<first:int,last:int,start:int,end:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            places = [m.span() for m in re.finditer(r"\w+|[^\w\s]+", t or "")]
+            bounds = split_long([t[a:b] for a, b in places], split(t or ""), most)
+            out.append([{"first": a, "last": b, "start": places[a][0], "end": places[b - 1][1]} for a, b in bounds])
+        return pd.Series(out, dtype=object)
+
+    cut = rows.select("*", F.posexplode(run(F.col(text))).alias("piece", "_p"))
+    return cut.select(*rows.columns, "piece", "_p.first", "_p.last", "_p.start", "_p.end")
+
+
 def split_long(tokens: list[str], ends: list[int], most: int) -> list[tuple[int, int]]:
     """Token bounds of pieces of at most ``most`` tokens, by halving at the middle sentence, else the middle token."""
     out: list[tuple[int, int]] = []

@@ -9,8 +9,8 @@ from ..functions import catalog
 from ..functions.hashing import pick
 from ..functions.similarity import environment
 from ..functions.text import TOKEN, WS, collapse
-from ..operators import dialog
-from .tables import sql_hash, sql_pick, sql_text, sql_uniform, table
+from ..operators import dialog, tasks
+from .tables import sql_hash, sql_pick, sql_text, table
 
 _WS, _TOKEN = sql_text(WS), sql_text(TOKEN)
 
@@ -63,9 +63,9 @@ def length_cap_pairs(spark: SparkSession, sf: str) -> DataFrame:
     both = p.where((F.col("n_in") <= 2000) & (F.col("n_out") <= 2000))
     return both.select(
         "conv_id", "turn", F.col("n_in").cast("long"), F.col("n_out").cast("long"),
-        (F.col("n_in") + F.col("n_out") <= 500).alias("under_sum"),
-        ((F.col("n_in") <= 400) & (F.col("n_out") < F.greatest(F.lit(3), F.lit(200)))).alias("under_rag"),
-        F.col("n_in").between(50, 1000).alias("in_range"),
+        tasks.under_sum(F.col("n_in"), F.col("n_out"), 500).alias("under_sum"),
+        tasks.under_context(F.lit(0), F.col("n_in"), F.col("n_out"), 400).alias("under_rag"),
+        tasks.in_range(F.col("n_in"), 50, 1000).alias("in_range"),
     )
 
 
@@ -132,9 +132,8 @@ SELECT item_id, 'Which is item ' || item_id || '?' || chr(10) || string_agg(chr(
 
 
 def synonym_expand(spark: SparkSession, sf: str) -> DataFrame:
-    """Each sample under every prompt of its task: an equi-join with the catalogue."""
-    c = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", pick("syn", len(catalog.CANONICAL), F.col("conv_id"), F.col("turn")).alias("task_idx"), collapse(F.col("text")).alias("t"))
-    return c.join(F.broadcast(catalog.catalogue(spark)), "task_idx").select("conv_id", "turn", "task", "canonical", F.concat(F.lit("<LM>"), F.col("prompt"), F.lit(" "), F.col("t")).alias("input"))
+    c = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", pick("syn", len(catalog.CANONICAL), F.col("conv_id"), F.col("turn")).alias("task_idx"), collapse(F.col("text")).alias("text"))
+    return tasks.with_synonyms(c).select("conv_id", "turn", "task", "canonical", "input")
 
 
 _CAT = ", ".join(f"({p.task_idx}, '{p.task}', '{p.prompt}', {str(p.canonical).lower()})" for p in catalog.CATALOGUE)
@@ -149,17 +148,6 @@ def rag_negative_context(spark: SparkSession, sf: str) -> DataFrame:
     return dialog.rag_samples(p, "id")
 
 
-_LAYOUTS = ", ".join(f"({i}, {sql_text(x)})" for i, x in enumerate(dialog.RAG_LAYOUTS)).replace("\n", "' || chr(10) || '")
-RAG = f"""
-WITH {_PAIRS}, p AS (SELECT conv_id || '-' || turn AS id, 'What follows in ' || conv_id || '?' AS question, input AS context, target AS response FROM pairs),
-r AS (SELECT *, row_number() OVER (ORDER BY {sql_hash('rag', 'id')}, id) - 1 AS r, count(*) OVER () AS n FROM p),
-l AS (SELECT * FROM (VALUES {_LAYOUTS}) AS v(k, layout)),
-j AS (SELECT a.*, b.context AS other, layout FROM r a JOIN r b ON b.r = (a.r + 1) % a.n JOIN l ON l.k = {sql_pick('rag-layout', 8, 'a.id')}),
-g AS (SELECT *, {sql_uniform('rag-neg', 'id')} < 0.1 AND array_to_string(list_sort(string_split(context, ' ')), ' ') <> array_to_string(list_sort(string_split(other, ' ')), ' ') AS negative FROM j),
-s AS (SELECT *, CASE WHEN negative THEN other ELSE context END AS shown, instr(layout, '{{c}}') AS c, instr(layout, '{{q}}') AS q FROM g)
-SELECT id, negative, substr(layout, 1, least(c, q) - 1) || CASE WHEN c < q THEN shown ELSE question END || substr(layout, least(c, q) + 3, greatest(c, q) - least(c, q) - 3)
-  || CASE WHEN c < q THEN question ELSE shown END || substr(layout, greatest(c, q) + 3) AS input, CASE WHEN negative THEN '{dialog.RAG_REFUSAL}' ELSE response END AS target FROM s"""
-
 QUERIES = {
     "history_pairs": history_pairs,
     "dialogue_valid": dialogue_valid,
@@ -182,5 +170,4 @@ ORACLES = {
     "best_answer": BEST,
     "multiple_choice": CHOICE,
     "synonym_expand": SYNONYMS,
-    "rag_negative_context": RAG,
 }

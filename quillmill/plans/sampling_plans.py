@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import key_hash
-from ..operators import sampling, stats
-from ..operators.ranking import ranked
+from ..operators import sampling, stats, tasks
 from ..operators.validate import same_tasks
 from .tables import sql_hash, sql_uniform, table
 
@@ -121,27 +119,26 @@ SELECT doc_id, CASE WHEN v THEN 'validation' ELSE 'train' END AS split FROM s WH
 
 
 def derived_task_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Two toxicity rows and four paraphrase rows for each toxic document: itself, the next in hash order, both ways."""
-    toxic = _labelled(spark, sf).where("toxic = 1").select("doc_id", "text").withColumn("_h", key_hash("derive", F.col("doc_id")))
-    r = ranked(toxic, ["_h", "doc_id"], None, "_r")
-    n = r.count()
-    other = r.select(F.pmod(F.col("_r") - 1, F.lit(max(n, 1))).alias("_to"), F.col("text").alias("other"))
-    j = r.join(other, F.col("_r") == F.col("_to"))
-    row = lambda task, source, target: F.struct(F.lit(task).alias("task"), source.alias("input"), F.lit(target + "</s>").alias("target"))
-    a, b = F.col("text"), F.col("other")
-    two = lambda x, y: F.concat(x, F.lit("\n"), y)
-    rows = [row("toxicity_detection", a, "yes"), row("toxicity_detection", F.lower(a), "yes"), row("paraphrase_detection", two(a, F.lower(a)), "yes"), row("paraphrase_detection", two(F.lower(a), a), "yes"), row("paraphrase_detection", two(a, b), "no"), row("paraphrase_detection", two(b, a), "no")]
-    # A single row has no other to differ from: no negatives then.
-    made = F.array(*(rows if n > 1 else rows[:4]))
-    return j.select("doc_id", F.explode(made).alias("r")).select("doc_id", "r.*")
-
-
-DERIVED = f"""
-WITH t AS (SELECT doc_id, text, row_number() OVER (ORDER BY {sql_hash('derive', 'doc_id')}, doc_id) - 1 AS r, count(*) OVER () AS n FROM labels JOIN documents USING (doc_id) WHERE toxic = 1),
-j AS (SELECT a.doc_id, a.text AS a, lower(a.text) AS l, b.text AS b, a.n FROM t a JOIN t b ON b.r = (a.r + 1) % a.n)
-SELECT doc_id, 'toxicity_detection' AS task, a AS input, 'yes</s>' AS target FROM j UNION ALL SELECT doc_id, 'toxicity_detection', l, 'yes</s>' FROM j
-UNION ALL SELECT doc_id, 'paraphrase_detection', a || chr(10) || l, 'yes</s>' FROM j UNION ALL SELECT doc_id, 'paraphrase_detection', l || chr(10) || a, 'yes</s>' FROM j
-UNION ALL SELECT doc_id, 'paraphrase_detection', a || chr(10) || b, 'no</s>' FROM j WHERE n > 1 UNION ALL SELECT doc_id, 'paraphrase_detection', b || chr(10) || a, 'no</s>' FROM j WHERE n > 1"""
+    """Sibling rows of toxic documents and their lower-case form, and of short English ones as simplifications."""
+    toxic = _labelled(spark, sf).where("toxic = 1").select("doc_id", "text")
+    plain = _docs(spark, sf).where("lang = 'en' AND length(text) < 400").select("doc_id", "text")
+    detox = tasks.derived_rows(toxic, "doc_id", "text", F.lower("text"), "detox")
+    simple = tasks.derived_rows(plain, "doc_id", "text", F.lower("text"), "simplification", seed="simple")
+    return detox.withColumn("kind", F.lit("detox")).unionByName(simple.withColumn("kind", F.lit("simplification")))
+
+
+def _derived_sql(name: str, seed: str, rows: str, toxicity: bool) -> str:
+    two = lambda x, y, end: f"SELECT doc_id, 'paraphrase_detection' AS task, {x} || chr(10) || {y} AS input, '{end}</s>' AS target, '{name}' AS kind FROM {name}"
+    one = lambda x, end: f"SELECT doc_id, 'toxicity_detection' AS task, {x} AS input, '{end}</s>' AS target, '{name}' AS kind FROM {name}"
+    parts = [one("a", "yes"), one("l", "no")] if toxicity else []
+    parts += [two("a", "l", "yes"), two("l", "a", "yes"), two("a", "c", "no") + " WHERE n > 1", two("c", "a", "no") + " WHERE n > 1"]
+    return f"""SELECT * FROM (WITH t AS (SELECT doc_id, text, row_number() OVER (ORDER BY {sql_hash(seed, 'doc_id')}, doc_id) - 1 AS r, count(*) OVER () AS n FROM {rows}),
+{name} AS (SELECT a.doc_id, a.text AS a, lower(a.text) AS l, lower(b.text) AS c, a.n FROM t a JOIN t b ON b.r = (a.r + 1) % a.n)
+{' UNION ALL '.join(parts)})"""
+
+
+DERIVED = f"""{_derived_sql('detox', 'derive', '(SELECT doc_id, text FROM labels JOIN documents USING (doc_id) WHERE toxic = 1)', True)}
+UNION ALL {_derived_sql('simplification', 'simple', "(SELECT doc_id, text FROM documents WHERE lang = 'en' AND length(text) < 400)", False)}"""
 
 
 def task_counts(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog, text
 from ..functions.hashing import pick
+from ..operators import tasks
 from ..operators.validate import error_report, raw_rows, validated
 from .tables import sql_pick, sql_text, table
 
@@ -61,8 +62,7 @@ SELECT conv_id, turn, len(w) = 0 OR len(list_filter(w, lambda x: regexp_matches(
 
 def refusal_filter(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").where("role = 'assistant'")
-    norm = text.padded_tokens(F.trim("text"), {"é": "e"})
-    return c.where(F.trim("text") != "").where(~F.exists(F.array(*map(F.lit, REFUSALS)), lambda p: F.instr(norm, p) > 0)).select("conv_id", "turn")
+    return tasks.without_refusals(c, "text", REFUSALS, {"é": "e"}).select("conv_id", "turn")
 
 
 REFUSAL = f"""

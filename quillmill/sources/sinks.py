@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ranking import ranked
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None, mode: str = "error") -> None:
@@ -25,17 +24,19 @@ def write_samples(samples: DataFrame, path: str, mode: str = "error") -> None:
     samples.write.mode(mode).partitionBy("split", "task").parquet(path)
 
 
-def structured_json(samples: DataFrame, corpus: DataFrame) -> DataFrame:
+def structured_json(samples: DataFrame, corpus: DataFrame, pretty: bool = False) -> DataFrame:
     """One row ``json``: the structured set as a single object, for programs that expect the file.
 
-    The object holds the whole set, so this is for sets that such a program can load.
+    The object holds the whole set, so this is for sets that such a program can load.  With
+    ``pretty`` it is indented; characters beyond ASCII stay as they are.
     """
     per_task = samples.groupBy("split", "task").agg(F.array_sort(F.collect_list(F.array("input", "target"))).alias("_s"))
     per_split = per_task.groupBy("split").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("task", "_s")))).alias("_m"))
     sides = per_split.agg(*(F.first(F.when(F.col("split") == s, F.col("_m")), ignorenulls=True).alias(s) for s in ("train", "validation")))
     texts = corpus.select("text").distinct().agg(F.array_sort(F.collect_list("text")).alias("text_corpus"))
     one = sides.withColumn("_k", F.lit(1)).join(texts.withColumn("_k", F.lit(1)), "_k")
-    return one.select(F.to_json(F.struct("train", "validation", "text_corpus")).alias("json"))
+    options = {"pretty": "true"} if pretty else {}
+    return one.select(F.to_json(F.struct("train", "validation", "text_corpus"), options).alias("json"))
 
 
 def score_report(scored: DataFrame, task: str = "task") -> DataFrame:
@@ -52,18 +53,35 @@ def write_spans_by_document(spans: DataFrame, path: str, key: str = "doc", mode:
     ordered.repartition(key).sortWithinPartitions(key, "start", "_n", "class").select(key, "value").write.mode(mode).partitionBy(key).text(path)
 
 
-def write_lines(predictions: DataFrame, path: str, order: str, text: str = "predicted", mode: str = "error") -> None:
-    """One collapsed prediction a line, in order; as many files as range partitions, named in order."""
+def write_lines(predictions: DataFrame, path: str, order: str, text: str = "predicted", mode: str = "error", one_file: bool = True) -> None:
+    """One collapsed prediction a line, in order.
+
+    Programs that score predictions expect one file.  Without ``one_file`` there are as many
+    as range partitions, named in order, for sets that no single task should write.
+    """
     from ..functions.text import collapse
 
-    predictions.repartitionByRange(order).sortWithinPartitions(order).select(collapse(F.col(text)).alias("value")).write.mode(mode).text(path)
+    in_order = predictions.repartition(1).sortWithinPartitions(order) if one_file else predictions.repartitionByRange(order).sortWithinPartitions(order)
+    in_order.select(collapse(F.col(text)).alias("value")).write.mode(mode).text(path)
+
+
+def write_parts(rows: DataFrame, path: str, part: str, parts: list[str]) -> list[str]:
+    """Write a table part by part, each as JSON lines in a folder of its own, and name those written now.
+
+    A part whose folder is complete is left alone, so a job that was stopped goes on where
+    it was.
+    """
+    jvm, done = rows.sparkSession.sparkContext._jvm, []
+    conf = rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for p in parts:
+        target = f"{path}/{part}={p}"
+        mark = jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+        if not mark.getFileSystem(conf).exists(mark):
+            rows.where(F.col(part) == p).drop(part).write.mode("overwrite").json(target)
+            done.append(p)
+    return done
 
 
 def with_scores(rows: DataFrame, **scores) -> DataFrame:
     """Score columns appended to a table, under the given names."""
     return rows.withColumns(scores)
-
-
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with their number in order, for sinks that need one."""
-    return ranked(rows, order, None, "row")

@@ -376,3 +376,60 @@ def test_phrase_hits_finds_every_place(spark):
     for most in (1 << 20, 10):
         assert sorted(tuple(r) for r in spans.phrase_hits(d, p, most_chars=most).collect()) == want
     assert spans.phrase_hits(d, p.where("item_id > 11")).count() == 0
+
+
+def test_rag_negatives_like_the_model(spark):
+    """The first of the next three contexts in hash order that is unlike enough, for the rows that are drawn."""
+    import hashlib
+
+    from quillmill.operators import fuzzy
+
+    rnd = random.Random(4)
+    texts = ["red cats sit on mats", "red cats sat on mats", "a green boat far at sea", "seven words that have nothing in common", "on mats sit red cats"]
+    rows = [(i, f"q{i}", rnd.choice(texts), f"a{i}") for i in range(150)]
+    draw = lambda name, i: int(hashlib.md5(f"{name}:{i}".encode()).hexdigest()[:8], 16)
+    order = sorted(rows, key=lambda r: (hashlib.md5(f"rag:{r[0]}".encode()).hexdigest(), r[0]))
+    norm = lambda t: " ".join(sorted(t.split()))
+    want = {}
+    for at, (i, _, c, a) in enumerate(order):
+        other = None
+        if draw("rag-neg", i) / 2**32 < 0.5:
+            near = [order[(at + k) % len(order)][2] for k in (1, 2, 3)]
+            other = next((x for x in near if fuzzy.ratio(norm(c), norm(x)) <= dialog.MOST_ALIKE), None)
+        want[i] = (other is not None, dialog.RAG_REFUSALS[draw("rag-refusal", i) % 3] if other else a)
+        want[i] += (dialog.RAG_LAYOUTS[draw("rag-layout", i) % 8].replace("{q}", f"q{i}").replace("{c}", other or c),)
+    got = dialog.rag_samples(spark.createDataFrame(rows, "id int, question string, context string, response string"), "id", negative_share=0.5).collect()
+    assert {r.id: (r.negative, r.target, r.input) for r in got} == want
+    assert 20 < sum(n for n, _, _ in want.values()) < 75 and dialog.rag_samples(spark.createDataFrame([], "id int, question string, context string, response string"), "id").count() == 0
+
+
+def test_positions_and_failures(spark, tmp_path):
+    from quillmill.operators import tasks
+
+    a = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "k int, x string")
+    b = spark.createDataFrame([(10, "u"), (30, "w"), (20, "v")], "m int, y string")
+    assert sorted((r.x, r.y) for r in tasks.paired_by_position(a, b, ["k"], ["m"]).collect()) == [("a", "u"), ("b", "v"), ("c", "w")]
+    with pytest.raises(ValueError, match="cannot be paired"):
+        tasks.paired_by_position(a, b.where("m > 10"), ["k"], ["m"])
+
+    def service():
+        def call(t):
+            if t == "b":
+                raise OSError("no line")
+            return t * 2
+
+        return call
+
+    got = {r.x: (r.answer, r.error) for r in models.remote_answers(a, service, "x").collect()}
+    assert got == {"a": ("aa", None), "b": ("", "OSError: no line"), "c": ("cc", None)}
+    assert sinks.write_parts(a, str(tmp_path / "parts"), "k", ["1", "2"]) == ["1", "2"]
+    assert sinks.write_parts(a, str(tmp_path / "parts"), "k", ["1", "2", "3"]) == ["3"]
+    examples = F.array(F.struct(F.lit("<LM>a").alias("input"), F.lit("b</s>").alias("target")), F.struct(F.lit("c").alias("input"), F.lit("d").alias("target")))
+    assert one(spark, dialog.same_tags(F.slice(examples, 1, 1))) and one(spark, dialog.same_tags(F.slice(examples, 2, 1))) and not one(spark, dialog.same_tags(examples))
+
+
+def test_entities_that_are_missing(spark):
+    d = spark.createDataFrame([("Ann met Bob</s></s>", ["Ann", "Eve", "Bob"])], "text string, entities array<string>")
+    assert spans.entity_labels(d, "P").first().labels == ["B-P", "O", "B-P"]
+    with pytest.raises(Exception, match="not in its text"):
+        spans.entity_labels(d, "P", strict=True).collect()
