@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import LINE_BREAK, collapse, doc_title
+from ..functions.hashing import key_hash
+from ..functions.text import ALNUM, LINE_BREAK, collapse, doc_title, tokens, word_count
 from ..operators.validate import accepted, validated
 from . import schemas
 
@@ -43,10 +44,18 @@ def with_header_prefix(spark: SparkSession, path: str, first: list[str], sep: st
     return _csv(spark, path, sep=sep).option("inferSchema", False).csv(path)
 
 
-def triples(spark: SparkSession, path: str) -> DataFrame:
-    """``INSTRUCTION, RESPONSE, SOURCE`` without rows that lack a cell."""
+def triples(spark: SparkSession, path: str, max_length: int | None = None, length=None) -> DataFrame:
+    """``INSTRUCTION, RESPONSE, SOURCE`` without rows that lack a cell.
+
+    With ``max_length`` rows whose instruction or response is longer than 0.7 of it (halves to
+    even) are left out too; ``length`` counts the tokens of a column, by default its words.
+    """
     d = with_header_prefix(spark, path, ["INSTRUCTION", "RESPONSE", "SOURCE"])
-    return d.where(" AND ".join(f"trim(coalesce({c}, '')) <> ''" for c in ("INSTRUCTION", "RESPONSE", "SOURCE")))
+    d = d.where(" AND ".join(f"trim(coalesce({c}, '')) <> ''" for c in ("INSTRUCTION", "RESPONSE", "SOURCE")))
+    if max_length is None:
+        return d
+    n, most = length or word_count, round(max_length * 0.7)
+    return d.where((n(F.col("INSTRUCTION")) <= most) & (n(F.col("RESPONSE")) <= most))
 
 
 def several_fields(spark: SparkSession, path: str) -> DataFrame:
@@ -141,6 +150,18 @@ def whole_texts(spark: SparkSession, directory: str, glob: str = "*.txt", below:
     return d
 
 
+def plain_texts(spark: SparkSession, directory: str, least: int = 10, most: int = 2000, seed: str = "texts") -> DataFrame:
+    """``path, text`` of ``*.txt`` files in folders below a directory: those of least hash of their name, at most ``most``.
+
+    Fewer than ``least`` files stop the job.
+    """
+    d = whole_texts(spark, directory, "*.txt", below=1)
+    if d.select("path").limit(least).count() < least:
+        raise ValueError(f"{directory} has fewer than {least} texts")
+    name = F.element_at(F.split("path", "/"), -1)
+    return d.withColumn("_h", key_hash(seed, name)).orderBy("_h", "path").limit(most).drop("_h")
+
+
 def books(spark: SparkSession, directory: str) -> DataFrame:
     """``book_*.txt`` whatever the case, with their number; an empty file stops the job."""
     d = whole_texts(spark, directory, "*").withColumn("name", F.lower(F.element_at(F.split("path", "/"), -1))).where(r"name rlike '^book_.*\\.txt$'")
@@ -151,23 +172,27 @@ def books(spark: SparkSession, directory: str) -> DataFrame:
 def wiki_lines(spark: SparkSession, directory: str, glob: str = "wiki_*") -> DataFrame:
     """``doc, title, n, line`` of all ``<doc ...>`` blocks in a tree of wiki files.
 
-    Lines break at any of Unicode's line ends.  A document inside another, or one that
-    is not closed, stops the job.
+    Lines break at any of Unicode's line ends.  A document inside another, one that is not
+    closed, or an end without a beginning stops the job.
     """
-
-
     files = whole_texts(spark, directory, glob)
-    rows = files.select("path", F.posexplode(F.split("text", LINE_BREAK)).alias("n", "line"))
-    w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opens, closes = F.startswith(F.trim("line"), F.lit("<doc ")), F.trim("line") == "</doc>"
-    rows = rows.withColumns({"_o": F.sum(opens.cast("int")).over(w), "_c": F.sum(closes.cast("int")).over(w)})
-    odd = (F.col("_o") - F.col("_c") > 1) | (F.col("_o") < F.col("_c"))
-    rows = rows.withColumn("_o", F.when(odd, F.raise_error(F.concat(F.lit("broken document in "), F.col("path"))).cast("int")).otherwise(F.col("_o")))
-    title = F.first(F.when(opens, doc_title(F.trim("line"))), ignorenulls=True).over(Window.partitionBy("path", "_o"))
-    closed = F.max(closes.cast("int")).over(Window.partitionBy("path", "_o"))
-    inside = rows.withColumns({"title": title, "_ok": closed}).where((F.col("_o") > F.col("_c")) & ~opens)
-    inside = inside.where(F.when(F.col("_ok") == 0, F.raise_error(F.concat(F.lit("document not closed in "), F.col("path"))).cast("boolean")).otherwise(True))
-    return inside.select(F.concat_ws("#", "path", "_o").alias("doc"), "title", "n", "line")
+    # A file is cut at its opening lines inside its row; lines are then made a document at a time, without a window.
+    lines = F.split("text", LINE_BREAK)
+    opening = lambda l: F.startswith(F.trim(l), F.lit("<doc "))
+    closing = lambda l: F.trim(l) == "</doc>"
+    cut = files.select("path", lines.alias("_l")).withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_l") - 1), lambda i: opening(F.get("_l", i))))
+    after = lambda i: F.coalesce(F.get("_at", i + 1), F.size("_l"))
+    parts = F.transform("_at", lambda a, i: F.struct((i + 1).alias("o"), a.alias("a"), F.slice("_l", a + 1, after(i) - a).alias("l")))
+    head = F.slice("_l", F.lit(1), F.coalesce(F.get("_at", F.lit(0)), F.size("_l")))
+    stray = F.exists(head, closing)
+    stop = lambda say: F.raise_error(F.concat(F.lit(say), F.col("path"))).cast("boolean")
+    docs = cut.where(F.when(stray, stop("broken document in ")).otherwise(True)).select("path", F.explode(parts).alias("_d"))
+    n_closed = F.size(F.filter("_d.l", closing))
+    open_end = F.when(n_closed == 1, True).when(n_closed > 1, stop("broken document in ")).otherwise(stop("document not closed in "))
+    docs = docs.where(open_end)
+    end = F.array_position(F.transform("_d.l", closing), True).cast("int")
+    inside = docs.select(F.concat_ws("#", "path", "_d.o").alias("doc"), doc_title(F.trim(F.get("_d.l", F.lit(0)))).alias("title"), (F.col("_d.a") + 1).alias("_from"), F.slice("_d.l", F.lit(2), F.greatest(end - 2, F.lit(0))).alias("_b"))
+    return inside.select("doc", "title", "_from", F.posexplode("_b").alias("_i", "line")).select("doc", "title", (F.col("_from") + F.col("_i")).alias("n"), "line")
 
 
 def brat(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
@@ -191,7 +216,12 @@ def brat(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
 
 
 def span_tables(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(texts, spans, objects) of ``.txt/.spans/.objects`` triples, ready for ``object_bounds``."""
+    """(texts, spans, objects) of ``.txt/.spans/.objects`` triples, ready for ``object_bounds``.
+
+    A span line has an id, type, start, length, first token, token count, ``#``, token ids
+    and words.  One of too few fields, bad numbers, bounds beyond the text, or words that
+    the text does not have there stops the job, and so does an id with two places.
+    """
     stem = lambda c: F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"\.(txt|spans|objects)$", "")
     texts = whole_texts(spark, directory, "*.txt").select(stem("path").alias("doc"), F.regexp_replace("text", r"\s+$", "").alias("text"))
 
@@ -200,7 +230,21 @@ def span_tables(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFra
         return d.select("doc", F.split(F.trim("line"), r"\s+").alias("f")).where(F.size("f") > 1)
 
     at = lambda i: F.get("f", F.lit(i))
-    spans = lines("*.spans").where(F.size("f") >= 9).select("doc", at(0).cast("int").alias("span_id"), at(1).alias("type"), at(2).cast("int").alias("start"), at(3).cast("int").alias("len"))
+    number = lambda i: at(i).try_cast("int")
+    read = lines("*.spans").join(texts, "doc", "left").select("doc", "f", "text", number(0).alias("span_id"), at(1).alias("type"), number(2).alias("start"), number(3).alias("len"), number(5).alias("_n"))
+    words = lambda c: F.array_distinct(F.filter(F.transform(tokens(c), F.lower), lambda t: t.rlike(ALNUM)))
+    said = F.array_join(F.slice("f", F.col("_n") + 8, F.greatest(F.size("f") - F.col("_n") - 7, F.lit(0))), " ")
+    there = F.substr("text", F.col("start") + 1, F.col("len"))
+    numbers = (F.size("f") >= 9) & (F.col("span_id") >= 0) & (F.col("_n") >= 1) & (F.col("start") >= 0) & (F.col("len") > 0) & (F.size("f") > F.col("_n") + 7)
+    fits = (F.col("start") + F.col("len") <= F.length("text")) & (F.trim(there) != "")
+    same = F.size(F.array_except(words(said), words(there))) == 0
+    stop = lambda say: F.raise_error(F.concat(F.lit(say), F.col("doc"), F.lit(": "), F.array_join("f", " "))).cast("boolean")
+    good = F.when(~F.coalesce(numbers, F.lit(False)), stop("bad span in ")).when(~F.coalesce(fits, F.lit(False)), stop("span beyond its text in ")).when(~same, stop("other words in ")).otherwise(True)
+    spans = read.where(good).select("doc", "span_id", "type", "start", "len").distinct()
+    places = F.count("*").over(Window.partitionBy("doc", "span_id"))
+    per_place = spans.select("doc", "span_id", "start", "len").distinct().withColumn("_places", places)
+    one = per_place.where(F.when(F.col("_places") > 1, F.raise_error(F.concat(F.lit("two places of a span in "), F.col("doc"))).cast("boolean")).otherwise(True)).drop("_places")
+    spans = spans.join(one, ["doc", "span_id", "start", "len"], "left_semi").dropDuplicates(["doc", "span_id"])
     objects = lines("*.objects").where(F.size("f") >= 5)
     cut = F.array_position("f", "#")
     ids = F.transform(F.slice("f", F.lit(3), F.when(cut > 0, cut - 3).otherwise(F.size("f") - 2).cast("int")), lambda x: x.cast("int"))
