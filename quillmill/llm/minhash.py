@@ -266,7 +266,12 @@ def _possible(placed: DataFrame, roots: DataFrame, shingles: DataFrame, threshol
     return pairs.groupBy("bucket", "first", "second").applyInArrow(_undecided(threshold), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def _rows(table: DataFrame) -> int:
+    """Rows of a stored table, from its files' footers."""
+    return table.count()
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, second_centres: int = SECOND_CENTRES) -> DataFrame:
     """``key, class_id, class_size``: the class of every row; ``class_id`` is its smallest key.
 
     Classes are the connected components of "weighted Jaccard similarity of five-word
@@ -276,7 +281,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     components, also with a second centre.  What is then undecided, all pairs of a bucket in
     different components, is compared in blocks: sketches rule out pairs that cannot reach
     the threshold, the others are compared exactly.  So every pair that shares a bucket is
-    decided; the work on sketches grows with the square of the undecided part of a family.
+    decided, whatever ``second_centres`` is (rounds that only make the undecided part small);
+    the work on sketches grows with the square of the undecided part of a family.
 
     A null text is an empty one; texts without words form one class.  Keys need not be
     unique; null keys are allowed and never a ``class_id`` unless the class has no other.
@@ -317,29 +323,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     tried = stored(first.distinct(), "tried")
     links = _verified(tried, shingles, threshold)
     roots = stored(connected_components(links), "roots")
+
+    def compared(edges: DataFrame) -> None:
+        """Verify edges that were not tried yet, and join what they link."""
+        nonlocal tried, links, roots
+        more = stored(edges.join(tried, ["a", "b"], "left_anti"), "more")
+        if not _rows(more):
+            return
+        found = _verified(more, shingles, threshold)
+        tried = tried.unionByName(more)
+        if _rows(found):
+            links = links.unionByName(found)
+            roots = stored(connected_components(links), "roots")
+
     # ... then the other rays that would still join two components ...
     rest = star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    more = stored(_open(rest, roots).join(tried, ["a", "b"], "left_anti"), "more")
-    tried = stored(tried.unionByName(more), "tried")
-    links = stored(links.unionByName(_verified(more, shingles, threshold)), "links")
-    roots = stored(connected_components(links), "roots")
+    compared(_open(rest, roots))
     # ... then, where a bucket still holds several components, rays from a second centre:
     # the fullest node outside the first one's component.
-    for _ in range(SECOND_CENTRES):
+    for _ in range(second_centres):
         rooted = stored(placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
         top = stored(rooted.groupBy("bucket").agg(F.max(F.struct("fame", "node", "root")).alias("t"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("bucket", F.col("t.root").alias("top_root")), "top")
+        if not _rows(top):
+            break
         outside = stored(rooted.hint("shuffle_merge").join(top.hint("shuffle_merge"), "bucket").withColumn("_out", F.col("root") != F.col("top_root")), "outside")
         second = stored(outside.where("_out").groupBy("bucket").agg(F.max(F.struct("fame", "node", "root")).alias("t")).select("bucket", F.col("t.node").alias("centre"), F.col("t.root").alias("c_root")), "second")
         rays = outside.hint("shuffle_merge").join(second.hint("shuffle_merge"), "bucket").where("root <> c_root")
-        edges = rays.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        more = stored(edges.join(tried, ["a", "b"], "left_anti"), "more")
-        tried = stored(tried.unionByName(more), "tried")
-        links = stored(links.unionByName(_verified(more, shingles, threshold)), "links")
-        roots = stored(connected_components(links), "roots")
+        compared(rays.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
     # ... then all pairs of a bucket that are still in different components.
-    more = stored(_possible(placed, roots, shingles, threshold).join(tried, ["a", "b"], "left_anti"), "more")
-    links = stored(links.unionByName(_verified(more, shingles, threshold)), "links")
-    roots = stored(connected_components(links), "roots")
+    compared(_possible(placed, roots, shingles, threshold))
 
     classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classed = stored(classed.select("node", "root", "first_key", "copies"), "classed")
