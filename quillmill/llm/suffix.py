@@ -34,8 +34,10 @@ GRAM = 20
 _SPAN = WINDOW - GRAM + 1
 #: Text bytes of a batch, and of the pieces of one document that are anchored at a time.
 BATCH_BYTES = 8 << 20
-#: Text bytes whose anchors and suffixes meet in one range: what one task holds, however large the input.
-RANGE_BYTES = 16 << 20
+#: Text bytes whose anchors and suffixes meet in one range: what a task holds at a time, however large the input.
+RANGE_BYTES = 4 << 20
+#: Text bytes for which there is a task, and the most tasks of a stage; beyond these a task takes more ranges, one by one.
+TASK_BYTES, MOST_TASKS = 16 << 20, 50_000
 _PIECE = 1 << 20
 _PLACE = 24
 #: A suffix as it is sorted: 50 bytes from the anchor on, then up to 30 bytes before it, then both lengths.
@@ -432,11 +434,13 @@ def remove_repeats(
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema] + ["n_bytes long, n_removed long, n_spans long", finish_schema])
     # Equal names of batches (rows that repeat whole batches) stay together and are handled row by row.
     packed = stored(pack_batches(docs.select(*carried, F.col(text)), key, text), "packed")
-    n = max(1, -(-(packed.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES))
-    sent = packed.select("batch", "keys", "offsets", "data").mapInArrow(_send_anchors(n), "batch long, range int, anchors binary")
-    masks = sent.groupBy("range").applyInArrow(_find_repeated, "batch long, range int, mask binary")
-    runs = packed.select("batch", "keys", "offsets", "data").groupBy("batch").cogroup(masks.groupBy("batch")).applyInArrow(_send_runs(n), _RUN)
-    cuts = stored(runs.groupBy("range").applyInArrow(_merge, "batch long, cuts binary"), "cuts")
+    total = packed.agg(F.sum("size")).first()[0] or 0
+    n, tasks = min(max(1, -(-total // RANGE_BYTES)), (1 << 24) - 1), max(1, min(MOST_TASKS, -(-total // TASK_BYTES)))
+    bytes_ = packed.select("batch", "keys", "offsets", "data")
+    sent = bytes_.mapInArrow(_send_anchors(n), "batch long, range int, anchors binary")
+    masks = sent.repartition(tasks, "range").groupBy("range").applyInArrow(_find_repeated, "batch long, range int, mask binary")
+    runs = bytes_.repartition(tasks, "batch").groupBy("batch").cogroup(masks.repartition(tasks, "batch").groupBy("batch")).applyInArrow(_send_runs(n), _RUN)
+    cuts = stored(runs.repartition(tasks, "range").groupBy("range").applyInArrow(_merge, "batch long, cuts binary"), "cuts")
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []
@@ -469,4 +473,4 @@ def remove_repeats(
                 tables.append(pa.Table.from_arrays(arrays, [*carried, *made]))
         return pa.concat_tables(tables)
 
-    return packed.groupBy("batch").cogroup(cuts.groupBy("batch")).applyInArrow(apply, schema)
+    return packed.repartition(tasks, "batch").groupBy("batch").cogroup(cuts.repartition(tasks, "batch").groupBy("batch")).applyInArrow(apply, schema)

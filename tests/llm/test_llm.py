@@ -173,6 +173,97 @@ def test_media_round_trip(n):
         assert clips[0][0] == 0 and clips[-1][1] == len(hist) and all(a[1] == b[0] for a, b in zip(clips, clips[1:], strict=False))
 
 
+def plain_jpeg(data):
+    """A slow decoder of baseline grey JPEG, bit by bit, written for this test alone: (coefficients in zigzag order, pixels) of each block."""
+    import math
+
+    def words(at):
+        return data[at] << 8 | data[at + 1]
+
+    assert data[:2] == b"\xff\xd8" and data[-2:] == b"\xff\xd9"
+    at, codes, quant = 2, {}, []
+    while data[at + 1] != 0xDA:
+        kind, size, body = data[at + 1], words(at + 2), at + 4
+        if kind == 0xC4:
+            code, p = 0, body + 17
+            for n in range(1, 17):
+                for _ in range(data[body + n]):
+                    codes[data[body] >> 4, n, code] = data[p]
+                    code, p = code + 1, p + 1
+                code <<= 1
+        elif kind == 0xDB:
+            quant = list(data[body + 1 : body + 65])
+        elif kind == 0xC0:
+            height, width = words(body + 1), words(body + 3)
+        at += 2 + size
+    at += 2 + words(at + 2)
+    bits, segments = [], []
+    while at < len(data) - 2:
+        if data[at] == 0xFF and 0xD0 <= data[at + 1] <= 0xD7:
+            segments.append(bits)
+            bits, at = [], at + 2
+            continue
+        bits += [data[at] >> k & 1 for k in range(7, -1, -1)]
+        at += 2 if data[at] == 0xFF else 1
+    segments.append(bits)
+    order = sorted(((x, y) for x in range(8) for y in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))
+    out = []
+    for bits in segments:
+        place, coefficients = 0, []
+        while len(coefficients) < 64:
+            code = n = 0
+            while (len(coefficients) > 0, n, code) not in codes:
+                code, n, place = code << 1 | bits[place], n + 1, place + 1
+            symbol = codes[len(coefficients) > 0, n, code]
+            assert symbol >> 4 == 0
+            size = symbol & 15
+            v = int("".join(map(str, bits[place : place + size])), 2)
+            place += size
+            coefficients.append((v if v >> size - 1 else v - (1 << size) + 1) * quant[len(coefficients)])
+        grid = {p[::-1]: v for p, v in zip(order, coefficients, strict=True)}
+        scale = lambda u: math.sqrt(0.125) if u == 0 else 0.5
+        cos = [[scale(u) * math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)]
+        half = [[sum(grid[u, v] * cos[u][x] for u in range(8)) for v in range(8)] for x in range(8)]
+        out.append((coefficients, [[min(255, max(0, math.floor(sum(half[x][v] * cos[v][y] for v in range(8)) + 128.5))) for x in range(8)] for y in range(8)]))
+    return out, width, height
+
+
+def test_frames_like_an_independent_decoder():
+    rnd = random.Random(3)
+    for n in (1, 9, 64):
+        blocks = np.frombuffer(bytes(rnd.choice([0, 255, 127, 128, rnd.randint(0, 255)]) for _ in range(64 * n)), np.uint8).reshape(n, 64)
+        found, width, height = plain_jpeg(media.encode_frame(blocks, 8 * n, 8))
+        assert (width, height, len(found)) == (8 * n, 8, n)
+        own, grey = media.coefficients(blocks).reshape(n, 64)[:, media._ZIGZAG], media.pixels(blocks)
+        for k, (coefficients, pixels) in enumerate(found):
+            assert coefficients == own[k].tolist()
+            assert max(abs(int(a) - b) for x, y in zip(grey[k].tolist(), np.array(pixels).tolist(), strict=True) for a, b in zip(x, y, strict=True)) <= 1
+
+
+def test_media_query_values(spark):
+    texts = {1: "short", 2: None, 3: "text of several frames, é 漢 " * 700, 4: "\x00\x7f"}
+    d = spark.createDataFrame([(k, t, "x") for k, t in texts.items()], "doc_id long, text string, media string")
+    files = {r.doc_id: bytes(r.media) for r in media.write_media(d).collect()}
+    features = media.media_features(media.write_media(d))
+    for r in features.collect():
+        raw = (texts[r.doc_id] or "").encode()
+        payload, data = media.padded(raw), files[r.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(raw), len(payload), len(data))
+        assert (r.payload_sha256, r.media_sha256, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(data).hexdigest(), zlib.crc32(payload[-64:]))
+        # The RIFF file walked by its chunks alone; every frame through the slow decoder.
+        assert data[:4] == b"RIFF" and int.from_bytes(data[4:8], "little") == len(data) - 8
+        at, frames = data.index(b"movi") + 4, []
+        while data[at : at + 4] == b"00dc":
+            size = int.from_bytes(data[at + 4 : at + 8], "little")
+            frames.append(plain_jpeg(data[at + 8 : at + 8 + size])[0])
+            at += 8 + size + size % 2
+        bytes_ = b"".join(bytes(v + 255 if v < 0 else v for v in c) for f in frames for c, _ in f)
+        assert bytes_[: len(payload)] == payload and r.feature.startswith(f"frames={len(frames)};shots={len(r.clips)};")
+        assert sum(map(int, r.feature.split("grey=")[1].split(","))) == 64 * sum(map(len, frames))
+    rows = media.clip_rows(features).collect()
+    assert {r.doc_id for r in rows} == set(texts) and all(r.start_ms < r.end_ms and r.end_ms == r.end * 40 for r in rows)
+
+
 def test_shots_adapt():
     flat, other = np.full((20, 16), 256), np.zeros((20, 16), int)
     other[:, 0] = 4096
