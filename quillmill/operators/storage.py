@@ -37,13 +37,29 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: what was made of them is stored itself."""
+    for t in tables:
+        path = getattr(t, "_stored_path", None)
+        if path in _written:
+            _written.remove(path)
+            _delete(t.sparkSession, path)
 
 
 def clear_stored(spark: SparkSession) -> int:
-    """Delete the tables that this process has stored so far; results that read them must be written first."""
-    jvm, n = spark.sparkContext._jvm, 0
+    """Delete the tables that this process has stored so far; results that read them must be written first,
+    and no query of the process may still run."""
+    n = 0
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+        n += _delete(spark, _written.pop())
     return n
