@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,13 +21,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # The least neighbours are stored, so that the joins are between plain exchanges and a hub's edges are split.
-        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.where("v > u").hint("shuffle_merge").join(low.hint("shuffle_merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low_of_all = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = both.where("v > u").hint("shuffle_merge").join(low_of_all.hint("shuffle_merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = stored(large.where("u <> v").distinct(), "edges")
         # Every remaining edge points from the larger to the smaller node.
         low = stored(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = down.hint("shuffle_merge").join(low.hint("shuffle_merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = stored(low.select("u", F.col("m").alias("v")).unionByName(small).distinct(), "edges")
+        before, now = now, stored(low.select("u", F.col("m").alias("v")).unionByName(small).distinct(), "edges")
+        discard(before, low_of_all, down, low)
         # Done when all is stars: a node has one edge down, and what is at its end has none.
         ends = now.select(F.col("u").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("root")).unionByName(now.select(F.col("v").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("root")))
         open_ = ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("root").alias("root")).where("down > 1 OR (down = 1 AND root = 1)")

@@ -10,13 +10,15 @@ component of its document, so most shingles cost one or two points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import stored
+from .common import discard, stored
 from .graph import connected_components
 
 SHINGLE = 5
@@ -250,16 +252,16 @@ def _undecided(threshold: float):
     return run
 
 
-def _possible(placed: DataFrame, roots: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+def _possible(placed: DataFrame, roots: DataFrame, shingles: DataFrame, threshold: float, scratch: Callable) -> DataFrame:
     """All pairs that share a bucket, are in different components and are not ruled out by their sketches.
 
     In a bucket of up to three nodes the centres have met every pair.
     """
-    rooted = stored(placed.where("n > 3").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "rooted")
-    open_ = stored(rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
-    inside = stored(rooted.hint("shuffle_merge").join(open_.hint("shuffle_merge"), "bucket"), "inside")
+    rooted = scratch(placed.where("n > 3").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    open_ = scratch(rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
+    inside = scratch(rooted.hint("shuffle_merge").join(open_.hint("shuffle_merge"), "bucket"), "inside")
     wanted = shingles.hint("shuffle_merge").join(inside.select("node").distinct().hint("shuffle_merge"), "node", "left_semi")
-    sketches = stored(wanted.select("node", "bag").mapInArrow(_sketches, "node long, weight long, sketch binary"), "sketches")
+    sketches = scratch(wanted.select("node", "bag").mapInArrow(_sketches, "node long, weight long, sketch binary"), "sketches")
     drawn = inside.hint("shuffle_merge").join(sketches.hint("shuffle_merge"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = drawn.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("bucket", F.least("block", "_other").alias("first"), F.greatest("block", "_other").alias("second"), "block", "node", "root", "weight", "sketch")
@@ -292,49 +294,59 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
     rows = stored(source.mapInArrow(_signatures(key), f"`{key}` {kind}, node long, check long, weight long, bands array<long>"), "signatures")
+    # What is stored on the way is deleted once the classes are.
+    temporary: list[DataFrame] = []
+
+    def made(table: DataFrame) -> DataFrame:
+        temporary.append(table)
+        return table
+
+    def scratch(df: DataFrame, name: str) -> DataFrame:
+        return made(stored(df, name))
+
     nodes = rows.groupBy("node").agg(
         F.min(key).alias("first_key"), F.count("*").alias("copies"), F.max("weight").alias("weight"), F.first("bands").alias("bands"), F.min("check").alias("_lo"), F.max("check").alias("_hi")
     )
     # Two multisets with one 64-bit digest would be merged; the second digest tells.
     nodes = nodes.withColumn("weight", F.when(F.col("_lo") == F.col("_hi"), F.col("weight")).otherwise(F.raise_error(F.lit("digest collision")).cast("long")))
-    nodes = stored(nodes.drop("_lo", "_hi"), "nodes")
+    nodes = scratch(nodes.drop("_lo", "_hi"), "nodes")
     worded = nodes.where("weight > 0")
 
     # Stored wherever both sides of a join would come from one exchange: adaptive execution
     # splits the hot partitions of joins between plain exchanges only.
     members = worded.select("node", F.explode("bands").alias("bucket"))
-    buckets = stored(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    shared = stored(members.hint("shuffle_merge").join(buckets.hint("shuffle_merge"), "bucket"), "shared")
+    buckets = scratch(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    shared = scratch(members.hint("shuffle_merge").join(buckets.hint("shuffle_merge"), "bucket"), "shared")
     # The middle of a family of copies shares buckets with most of it: a bucket's centre is
     # the node whose buckets are the fullest.
-    fame = stored(shared.groupBy("node").agg(F.sum("n").alias("fame")), "fame")
-    placed = stored(shared.hint("shuffle_merge").join(fame.hint("shuffle_merge"), "node").select("bucket", "node", "n", "fame"), "placed")
-    centres = stored(placed.groupBy("bucket").agg(F.max(F.struct("fame", "node")).alias("c")).select("bucket", F.col("c.fame").alias("c_fame"), F.col("c.node").alias("centre")), "centres")
+    fame = scratch(shared.groupBy("node").agg(F.sum("n").alias("fame")), "fame")
+    placed = scratch(shared.hint("shuffle_merge").join(fame.hint("shuffle_merge"), "node").select("bucket", "node", "n", "fame"), "placed")
+    centres = scratch(placed.groupBy("bucket").agg(F.max(F.struct("fame", "node")).alias("c")).select("bucket", F.col("c.fame").alias("c_fame"), F.col("c.node").alias("centre")), "centres")
     rays = placed.hint("shuffle_merge").join(centres.hint("shuffle_merge"), "bucket").where("node <> centre")
-    star = stored(rays.groupBy("centre", "node").agg(F.max("c_fame").alias("c_fame")), "star")
+    star = scratch(rays.groupBy("centre", "node").agg(F.max("c_fame").alias("c_fame")), "star")
 
     wanted = worded.hint("shuffle_merge").join(fame.select("node").hint("shuffle_merge"), "node", "left_semi").select(F.col("first_key").alias("_k")).distinct()
     texts = source.hint("shuffle_merge").join(wanted.hint("shuffle_merge"), source[key].eqNullSafe(F.col("_k")), "left_semi").select(text)
     # Rows that repeat a key and text come to one bag a node.
-    shingles = stored(texts.mapInArrow(_shingles, "node long, bag binary").groupBy("node").agg(F.first("bag").alias("bag")), "bags")
+    shingles = scratch(texts.mapInArrow(_shingles, "node long, bag binary").groupBy("node").agg(F.first("bag").alias("bag")), "bags")
 
     # First each node against the fullest centre that it shares a bucket with ...
     first = star.groupBy("node").agg(F.max(F.struct("c_fame", "centre")).alias("c")).select(F.least("node", "c.centre").alias("a"), F.greatest("node", "c.centre").alias("b"))
-    tried = stored(first.distinct(), "tried")
-    links = _verified(tried, shingles, threshold)
-    roots = stored(connected_components(links), "roots")
+    tried = scratch(first.distinct(), "tried")
+    links = made(_verified(tried, shingles, threshold))
+    roots = scratch(connected_components(links), "roots")
 
     def compared(edges: DataFrame) -> None:
         """Verify edges that were not tried yet, and join what they link."""
         nonlocal tried, links, roots
-        more = stored(edges.join(tried, ["a", "b"], "left_anti"), "more")
+        more = scratch(edges.join(tried, ["a", "b"], "left_anti"), "more")
         if not _rows(more):
             return
-        found = _verified(more, shingles, threshold)
+        found = made(_verified(more, shingles, threshold))
         tried = tried.unionByName(more)
         if _rows(found):
             links = links.unionByName(found)
-            roots = stored(connected_components(links), "roots")
+            roots = scratch(connected_components(links), "roots")
 
     # ... then the other rays that would still join two components ...
     rest = star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
@@ -342,21 +354,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     # ... then, where a bucket still holds several components, rays from a second centre:
     # the fullest node outside the first one's component.
     for _ in range(second_centres):
-        rooted = stored(placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-        top = stored(rooted.groupBy("bucket").agg(F.max(F.struct("fame", "node", "root")).alias("t"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("bucket", F.col("t.root").alias("top_root")), "top")
+        rooted = scratch(placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        top = scratch(rooted.groupBy("bucket").agg(F.max(F.struct("fame", "node", "root")).alias("t"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("bucket", F.col("t.root").alias("top_root")), "top")
         if not _rows(top):
             break
-        outside = stored(rooted.hint("shuffle_merge").join(top.hint("shuffle_merge"), "bucket").withColumn("_out", F.col("root") != F.col("top_root")), "outside")
-        second = stored(outside.where("_out").groupBy("bucket").agg(F.max(F.struct("fame", "node", "root")).alias("t")).select("bucket", F.col("t.node").alias("centre"), F.col("t.root").alias("c_root")), "second")
+        outside = scratch(rooted.hint("shuffle_merge").join(top.hint("shuffle_merge"), "bucket").withColumn("_out", F.col("root") != F.col("top_root")), "outside")
+        second = scratch(outside.where("_out").groupBy("bucket").agg(F.max(F.struct("fame", "node", "root")).alias("t")).select("bucket", F.col("t.node").alias("centre"), F.col("t.root").alias("c_root")), "second")
         rays = outside.hint("shuffle_merge").join(second.hint("shuffle_merge"), "bucket").where("root <> c_root")
         compared(rays.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
     # ... then all pairs of a bucket that are still in different components.
-    compared(_possible(placed, roots, shingles, threshold))
+    compared(_possible(placed, roots, shingles, threshold, scratch))
 
     classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classed = stored(classed.select("node", "root", "first_key", "copies"), "classed")
-    named = stored(classed.groupBy("root").agg(F.min("first_key").alias("class_id"), F.sum("copies").alias("class_size")), "named")
+    classed = scratch(classed.select("node", "root", "first_key", "copies"), "classed")
+    named = scratch(classed.groupBy("root").agg(F.min("first_key").alias("class_id"), F.sum("copies").alias("class_size")), "named")
     of_node = stored(classed.select("node", "root").hint("shuffle_merge").join(named.hint("shuffle_merge"), "root").select("node", "class_id", "class_size"), "classes")
+    discard(*temporary)
     return rows.select(key, "node").hint("shuffle_merge").join(of_node.hint("shuffle_merge"), "node").select(key, "class_id", "class_size")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Pieces, bpe_round_trip
-from .chat import ChatTemplate, format_conversations, loss_text, parse_formatted
+from .chat import ChatTemplate, format_conversations, parse_formatted
 from .common import stored, table
 from .html_text import extract_main_text
 from .media import media_features, write_media
@@ -30,11 +30,14 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text "
         "FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)"
     )
-    out = format_conversations(talks.unionByName(own), ChatTemplate())
+    template = ChatTemplate()
+    out = format_conversations(talks.unionByName(own), template)
+    # All that follows is read back from the formatted text, the loss by the roles found there.
     back = parse_formatted(F.col("formatted"))
+    loss = F.array_join(F.transform(F.filter(back, lambda t: t["role"].isin(*template.loss_roles)), lambda t: t["text"]), "")
     read = F.array_join(F.transform(back, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
-        "conv_id", F.size(back).cast("long").alias("n_turns"), read.alias("_read"), loss_text(F.col("segments")).alias("_loss"), "formatted", "valid"
+        "conv_id", F.size(back).cast("long").alias("n_turns"), read.alias("_read"), loss.alias("_loss"), "formatted", "valid"
     ).select(
         "conv_id",
         "n_turns",

@@ -108,6 +108,12 @@ def test_chat_round_trip_and_states(spark):
     assert not out[12].valid and [(b.role, b.text) for b in out[12].back] == [("", "t")]
     assert not out[13].valid and out[13].n_turns == 2
     assert chat.format_conversations(d.where("false")).count() == 0
+    clash = d.selectExpr("*", "'x' AS formatted", "1 AS segments", "2 AS state", "3 AS _t", "4 AS _talk")
+    again = {r.conv_id: r.formatted for r in chat.format_conversations(clash).collect()}
+    assert again == {k: r.formatted for k, r in out.items()}
+    assert {r.conv_id: r.loss for r in out.values()} == {
+        k: "".join(b.text for b in r.back if b.role == "assistant") for k, r in out.items()
+    }
 
 
 # -- 2 sharding ------------------------------------------------------------------------------
