@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,34 +110,43 @@ _KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 _NEAR = {c: row[max(0, i - 1) : i] + row[i + 1 : i + 2] for row in _KEYS for i, c in enumerate(row)}
 
 
-def typos(text: str, key: str, share: float = 0.1, most: int = 5) -> str:
-    """One to ``most`` seeded edits: neighbouring key, swap, deletion or doubling."""
-    chars = list(text)
-    draw = lambda i, n: int(hashlib.md5(f"{key}:{i}".encode()).hexdigest()[:8], 16) % n
-    for e in range(min(most, max(1, int(len(chars) * share)))):
-        if not chars:
-            break
-        i, kind = draw(2 * e, len(chars)), draw(2 * e + 1, 4)
-        near = _NEAR.get(chars[i].lower(), "")
-        if kind == 0 and near:
-            chars[i] = near[draw(2 * e + 100, len(near))]
-        elif kind == 1 and i + 1 < len(chars):
-            chars[i], chars[i + 1] = chars[i + 1], chars[i]
-        elif kind == 2 and len(chars) > 1:
-            del chars[i]
-        else:
-            chars.insert(i, chars[i])
-    return "".join(chars)
+#: Most edits of a text.
+MOST_TYPOS = 5
 
 
-def typo_augmented(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, text``: texts with typos that are neither an existing text nor made twice."""
-    kind = rows.schema[key].dataType.simpleString()
+def typos(text: Column, key: Column, share: float = 0.1, most: int = MOST_TYPOS) -> Column:
+    """One to ``most`` edits drawn by the key: neighbouring key, swap, deletion or doubling of a character.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({key: b[key], text: [typos(t or "", str(k)) for k, t in zip(b[key], b[text], strict=True)]})
+    Each edit draws a place in the text as it is by then and a kind; where the kind can't
+    be, the character is doubled.  An empty text stays empty.
+    """
+    draw = lambda i, n: (F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long") % n).cast("int")
+    near = F.create_map(*(F.lit(x) for kv in _NEAR.items() for x in kv))
+
+    def edit(s: Column, e: Column) -> Column:
+        # Struct fields under a lambda's name are evaluated once.
+        def at(p: Column) -> Column:
+            i, kind, n = p["i"], p["kind"], p["n"]
+            before, c, after = F.substr(s, F.lit(1), i), F.substr(s, i + 1, F.lit(1)), F.substr(s, i + 2, n)
+            other = F.element_at(near, F.lower(c))
+            typed = F.substr(other, draw(2 * e + 100, F.length(other)) + 1, F.lit(1))
+            swapped = F.concat(before, F.substr(after, F.lit(1), F.lit(1)), c, F.substr(after, F.lit(2), n))
+            return (
+                F.when((kind == 0) & other.isNotNull(), F.concat(before, typed, after))
+                .when((kind == 1) & (i + 1 < n), swapped)
+                .when((kind == 2) & (n > 1), F.concat(before, after))
+                .otherwise(F.concat(before, c, c, after))
+            )
+
+        places = F.array(F.struct(draw(2 * e, F.length(s)).alias("i"), draw(2 * e + 1, F.lit(4)).alias("kind"), F.length(s).alias("n")))
+        return F.when(s == "", s).otherwise(F.get(F.transform(places, at), F.lit(0)))
+
+    n = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.length(text) * share).cast("int")))
+    return F.aggregate(F.sequence(F.lit(0), n - 1), text, edit)
 
-    made = rows.select(key, text).mapInPandas(run, f"`{key}` {kind}, `{text}` string")
+
+def typo_augmented(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, text``: texts with typos that are neither an existing text nor made twice."""
+    made = rows.select(key, typos(F.coalesce(F.col(text), F.lit("")), F.col(key)).alias(text))
     one = made.groupBy(text).agg(F.min(key).alias(key))
     return one.join(rows.select(text).distinct(), text, "left_anti").select(key, text)

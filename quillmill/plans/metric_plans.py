@@ -155,6 +155,38 @@ def typo_augment(spark: SparkSession, sf: str) -> DataFrame:
     return generate.typo_augmented(d, "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
 
 
+def _typos_sql() -> str:
+    """One step of SQL for each of the edits."""
+    draw = lambda i, n: f"CAST(CAST(('0x' || substr(md5(doc_id || ':{i}'), 1, 8)) AS UBIGINT) % ({n}) AS BIGINT)"
+    near = "CASE lower(c) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in generate._NEAR.items()) + " END"
+    steps = ["s0 AS (SELECT doc_id, coalesce(text, '') AS s, least(5, greatest(1, CAST(floor(length(coalesce(text, '')) * 0.1::DOUBLE) AS INT))) AS edits FROM documents)"]
+    for e in range(generate.MOST_TYPOS):
+        steps += [
+            f"a{e} AS (SELECT *, length(s) AS n, CASE WHEN s <> '' THEN {draw(2 * e, 'length(s)')} END AS i, {draw(2 * e + 1, 4)} AS kind FROM s{e})",
+            f"b{e} AS (SELECT *, substr(s, 1, i) AS before, substr(s, i + 1, 1) AS c, substr(s, i + 2) AS after FROM a{e})",
+            f"c{e} AS (SELECT *, {near} AS other FROM b{e})",
+            f"""s{e + 1} AS (SELECT doc_id, edits, CASE WHEN s = '' OR edits <= {e} THEN s WHEN kind = 0 AND other IS NOT NULL THEN before || substr(other, {draw(2 * e + 100, 'length(other)')} + 1, 1) || after
+  WHEN kind = 1 AND i + 1 < n THEN before || substr(after, 1, 1) || c || substr(after, 2) WHEN kind = 2 AND n > 1 THEN before || after ELSE before || c || c || after END AS s FROM c{e})""",
+        ]
+    return f"WITH {', '.join(steps)} SELECT min(doc_id) AS doc_id, md5(s) AS text_md5 FROM s{generate.MOST_TYPOS} WHERE s NOT IN (SELECT text FROM documents WHERE text IS NOT NULL) GROUP BY s"
+
+
+def chrf_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Character n-gram score of each benchmark passage and the next."""
+    return _items(spark, sf).select("item_id", F.round(fuzzy.chrf_score(F.col("t"), F.col("u")), 6).alias("chrf"))
+
+
+CHRF = f"""
+WITH {_ITEMS},
+w AS (SELECT item_id, side, array_to_string(list_filter(regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]+'), lambda k: regexp_matches(k, '[\\p{{L}}\\p{{N}}]')), '') AS s
+  FROM (SELECT item_id, 't' AS side, t AS x FROM p UNION ALL SELECT item_id, 'u', u FROM p)),
+g AS (SELECT item_id, side, n, substr(s, CAST(i AS INT), CAST(n AS INT)) AS gram FROM (SELECT *, unnest(range(1, length(s) - n + 2)) AS i FROM w, range(1, 7) r(n))),
+c AS (SELECT item_id, n, gram, count(*) FILTER (side = 't') AS a, count(*) FILTER (side = 'u') AS b FROM g GROUP BY item_id, n, gram),
+h AS (SELECT item_id, n, sum(least(a, b)) AS hit, sum(a) AS na, sum(b) AS nb FROM c GROUP BY item_id, n),
+f AS (SELECT item_id, n, CASE WHEN hit = 0 THEN 0.0 ELSE 10.0::DOUBLE * (hit / nb::DOUBLE) * (hit / na::DOUBLE) / (9.0 * (hit / nb::DOUBLE) + hit / na::DOUBLE) END AS f FROM h)
+SELECT p.item_id, round(coalesce(avg(f.f), 0.0), 6) AS chrf FROM p LEFT JOIN f USING (item_id) GROUP BY p.item_id"""
+
+
 def model_answer(spark: SparkSession, sf: str) -> DataFrame:
     """A stand-in model that answers in lower case; texts of up to three characters bypass it."""
     c = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.trim("text").alias("input"))
@@ -171,6 +203,7 @@ def fuzzy_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "fuzzy_scores": fuzzy_scores,
+    "chrf_scores": chrf_scores,
     "wer_by_task": wer_by_task,
     "lexical_similarity": lexical_similarity,
     "scored_report": scored_report,
@@ -196,4 +229,6 @@ ORACLES = {
     "score_combine": "SELECT doc_id, least(quality, toxic) AS worst, greatest(quality, toxic) AS best, CAST(CAST(quality > 0 AS INT) * 2 + CAST(toxic > 0 AS INT) AS INT) AS env FROM labels",
     "arithmetic_rows": ARITHMETIC,
     "model_answer": MODEL,
+    "typo_augment": _typos_sql(),
+    "chrf_scores": CHRF,
 }
