@@ -76,11 +76,27 @@ def line_prints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return K.slices(K.prefix(data), starts, ends), row
 
 
+def long_line_print(line: np.ndarray) -> np.ndarray:
+    """The fingerprint of a line that is longer than a chunk, from its pieces of a chunk's length; none if it has no word."""
+    h, inked = np.zeros(1, K.U), False
+    for i in range(0, len(line), K.CHUNK_BYTES):
+        piece = line[i : i + K.CHUNK_BYTES]
+        inked = inked or not K.SPACE[piece].all()
+        h = K.mix(h * K.U(K._ODD[3]) + K.slices(K.prefix(piece), np.zeros(1, np.int64), np.array([len(piece)])))
+    return h if inked else h[:0]
+
+
 def count_lines(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     found = []
     for part, off, rows in K.parts(data, offsets, K.NEWLINE):
-        h, row = line_prints(part, off)
-        found.append((h, rows[row]))
+        # Parts end with a newline or a document, so one that is longer than a chunk is a single line.
+        line = part[:-1] if len(off) == 2 and part[-1:].tobytes() == b"\n" else part
+        if len(off) == 2 and len(line) > K.CHUNK_BYTES:
+            h = long_line_print(line)
+            found.append((h, np.repeat(rows, len(h))))
+        else:
+            h, row = line_prints(part, off)
+            found.append((h, rows[row]))
     h, row = (np.concatenate(x) for x in zip(*found, strict=True))
     key = K.in_row(h, row)
     order = np.argsort(key, kind="stable")

@@ -51,7 +51,7 @@ def test_parts_of_long_texts_change_nothing(monkeypatch, limit):
 
     rnd = random.Random(2)
     bits = ["a", "é", "1", " ", " ", "\n", "　", "'", "'s", "'re", "'ll", "'v", ".", "漢", "😀", "\t", "the ", "<|endoftext|>", "w1 w2 w3 w4 w5 w6 w7 w8 "]
-    docs = ["".join(rnd.choice(bits) for _ in range(rnd.choice([0, 5, 40, 900]))) for _ in range(200)] + ["x" * 3000, " " * 3000]
+    docs = ["".join(rnd.choice(bits) for _ in range(rnd.choice([0, 5, 40, 900]))) for _ in range(200)] + ["x" * 3000, " " * 3000, ("x y " * 400 + "\n") * 3 + "x y " * 400]
     data, offsets = K.buffers(pa.array(docs))
 
     def counts():
