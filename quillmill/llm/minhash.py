@@ -330,23 +330,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     # Rows that repeat a key and text come to one bag a node.
     shingles = scratch(texts.mapInArrow(_shingles, "node long, bag binary").groupBy("node").agg(F.first("bag").alias("bag")), "bags")
 
-    # First each node against the fullest centre that it shares a bucket with ...
-    first = star.groupBy("node").agg(F.max(F.struct("c_fame", "centre")).alias("c")).select(F.least("node", "c.centre").alias("a"), F.greatest("node", "c.centre").alias("b"))
-    tried = scratch(first.distinct(), "tried")
-    links = made(_verified(tried, shingles, threshold))
-    roots = scratch(connected_components(links), "roots")
-
-    def compared(edges: DataFrame) -> None:
+    # First each node against the fullest centre that it shares a bucket with.  What is linked
+    # then has the centre as its root; roots only spare comparisons until the last step.
+    first = scratch(star.groupBy("node").agg(F.max(F.struct("c_fame", "centre")).alias("c")).select(F.col("node").alias("a"), F.col("c.centre").alias("b")), "first")
+    links = made(_verified(first, shingles, threshold))
+    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def compared(edges: DataFrame, last: bool = False) -> None:
         """Verify edges that were not tried yet, and join what they link."""
         nonlocal tried, links, roots
         more = scratch(edges.join(tried, ["a", "b"], "left_anti"), "more")
-        if not _rows(more):
-            return
-        found = made(_verified(more, shingles, threshold))
+        found = made(_verified(more, shingles, threshold)) if _rows(more) else more
         tried = tried.unionByName(more)
         if _rows(found):
             links = links.unionByName(found)
-            roots = scratch(connected_components(links), "roots")
+        if last or _rows(found):
+            roots = scratch(connected_components(links, steps=None if last else 1), "roots")
 
     # ... then the other rays that would still join two components ...
     rest = star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
@@ -363,7 +363,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         rays = outside.hint("shuffle_merge").join(second.hint("shuffle_merge"), "bucket").where("root <> c_root")
         compared(rays.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
     # ... then all pairs of a bucket that are still in different components.
-    compared(_possible(placed, roots, shingles, threshold, scratch))
+    compared(_possible(placed, roots, shingles, threshold, scratch), last=True)
 
     classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classed = scratch(classed.select("node", "root", "first_key", "copies"), "classed")
