@@ -108,11 +108,14 @@ def wiki_sections(lines: DataFrame, key: str = "doc", n: str = "n", text: str =
     return g.select(key, "section", "title", F.array_join(F.transform("_p", lambda p: p["_b"]), "\n").alias("body"))
 
 
-def article_text(title: str = "title", document: str = "document"):
-    """A structured article as plain text: title and body of each section, blank lines squeezed."""
+def article_text(title: str = "title", document: str = "document", squeezed: bool = True) -> Column:
+    """A structured article as plain text: its title, then title and body of each section between blank lines.
+
+    ``squeezed`` leaves no blanks around line ends and no more than one blank line.
+    """
     parts = F.transform(document, lambda s: F.concat(F.lit("\n\n"), s["section_title"], F.lit("\n\n"), F.array_join(s["section_body"], "\n")))
     whole = F.concat(F.col(title), F.array_join(parts, ""))
-    return F.regexp_replace(F.regexp_replace(whole, " *\n *", "\n"), "\n{3,}", "\n\n")
+    return F.regexp_replace(F.regexp_replace(whole, " *\n *", "\n"), "\n{3,}", "\n\n") if squeezed else whole
 
 
 def section_context(article_key: Column, document: Column, seed: str = "section") -> Column:

@@ -433,3 +433,34 @@ def test_entities_that_are_missing(spark):
     assert spans.entity_labels(d, "P").first().labels == ["B-P", "O", "B-P"]
     with pytest.raises(Exception, match="not in its text"):
         spans.entity_labels(d, "P", strict=True).collect()
+
+
+def test_articles_keys_and_vectors(spark):
+    d = spark.createDataFrame([("T", [("S ", ["a", "", "", "b"]), ("U", ["c"])])], "title string, document array<struct<section_title:string,section_body:array<string>>>")
+    assert d.select(sections.article_text(squeezed=False).alias("x")).first().x == "T\n\nS \n\na\n\n\nb\n\nU\n\nc"
+    assert d.select(sections.article_text().alias("x")).first().x == "T\n\nS\n\na\n\nb\n\nU\n\nc"
+    k = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, x string")
+    assert validate.unique_or_fail(k.where("x <> 'c'"), "k").count() == 2
+    with pytest.raises(Exception, match="repeated: 2"):
+        validate.unique_or_fail(k, "k").collect()
+    assert one(spark, F.round(metrics.row_score(F.lit("a b x"), F.lit("a b c d")), 6)) == 0.5
+    assert one(spark, metrics.row_score(F.lit("a b c d e f"), F.lit("z"))) == 0.0
+    v = models.embedded(k, lambda: lambda texts: [[[float(ord(t)), 1.0]] if t != "b" else None for t in texts], "x").collect()
+    assert {r.x: r.vectors for r in v} == {"a": [[97.0, 1.0]], "b": None, "c": [[99.0, 1.0]]}
+
+
+@pytest.mark.parametrize("block", [2, 2048])
+def test_cosine_f1_in_blocks(spark, block):
+    rnd = random.Random(9)
+    vectors = lambda n: [[rnd.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)] for _ in range(n)]
+    sides = {k: (vectors(n), vectors(m)) for k, n, m in ((1, 7, 5), (2, 1, 9), (3, 3, 0), (4, 0, 2))}
+    unit = lambda v: [x / (sum(y * y for y in v) ** 0.5 or 1.0) for x in v]
+    table = lambda i: spark.createDataFrame([(k, v) for k, s in sides.items() for v in s[i]], "pair int, embedding array<double>")
+    got = {r.pair: (r.recall, r.precision, r.f1) for r in metrics.greedy_cosine_f1(table(0), table(1), "pair", block=block).collect()}
+    for k, (a, b) in sides.items():
+        if not a or not b:
+            assert got[k] == (0.0, 0.0, 0.0)
+            continue
+        c = [[sum(x * y for x, y in zip(unit(p), unit(q), strict=True)) for q in b] for p in a]
+        r, p = sum(map(max, c)) / len(a), sum(max(row[j] for row in c) for j in range(len(b))) / len(b)
+        assert got[k] == pytest.approx((r, p, 2 * r * p / (r + p) if r > 0 and p > 0 else 0.0), abs=2e-6)
