@@ -25,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -35,7 +36,13 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    # The table ends the lineage, so the shuffle files behind it can go as soon as it is written.
+    had = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, had)
     _written.append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_path = path
