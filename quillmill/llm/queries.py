@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .bpe import Pieces, bpe_round_trip
 from .chat import ChatTemplate, format_conversations, parse_formatted
 from .common import stored, table
+from .digest import fingerprint_documents
 from .html_text import extract_main_text
 from .media import media_features, write_media
 from .minhash import near_duplicates
@@ -177,6 +178,10 @@ def op10_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op13_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sharding": op2_sharding,
@@ -188,5 +193,6 @@ QUERIES = {
     "op8_bag_minhash": op8_bag_minhash,
     "op9_quality_cascade": op9_quality_cascade,
     "op10_consensus_html": op10_consensus_html,
+    "op13_improbable_digest": op13_improbable_digest,
 }
 ORACLES = {"op1_chat_formatting": _op1_sql(), "op6_warc": _OP6_SQL, "op9_quality_cascade": _OP9_SQL}
