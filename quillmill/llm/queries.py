@@ -18,6 +18,7 @@ from .media import media_features, write_media
 from .minhash import near_duplicates
 from .packing import best_fit_packing
 from .quality import quality_cascade
+from .resample import resample
 from .sharding import shard_by_bytes
 from .suffix import remove_repeats
 from .warc import read_bundles, write_bundles
@@ -178,6 +179,39 @@ def op10_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_OP12_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, CAST(i AS UBIGINT) AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS k, doc_id, TRUE AS own, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT -row_number() OVER (), NULL, FALSE, coalesce(text, '') FROM benchmark),
+w AS MATERIALIZED (SELECT k, doc_id, own, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d),
+f AS MATERIALIZED (SELECT k, own, f, count(*) AS c FROM (
+  SELECT k, own, unnest(ws) AS f FROM w
+  UNION ALL SELECT k, own, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w) GROUP BY ALL),
+h AS MATERIALIZED (SELECT f, xor(list_reduce(list_transform(range(octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS UBIGINT)),
+  lambda c, b: xor(t[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8), CAST(4294967295 AS UBIGINT)), CAST(4294967295 AS UBIGINT)) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM f), crc),
+b AS MATERIALIZED (SELECT k, own, bucket, sum(c) AS c FROM f JOIN h USING (f) GROUP BY ALL),
+a AS (SELECT CAST(coalesce(sum(c) FILTER (own), 0) AS DOUBLE) AS s_all, CAST(coalesce(sum(c) FILTER (NOT own), 0) AS DOUBLE) AS t_all FROM b),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(sum(c) FILTER (NOT own), 0) + 1) * ((SELECT s_all FROM a) + 10000)
+  / ((coalesce(sum(c) FILTER (own), 0) + 1) * ((SELECT t_all FROM a) + 10000)))) AS BIGINT) AS gain FROM b GROUP BY bucket),
+p AS (SELECT k, sum(c) AS n, sum(c * gain) AS total FROM b JOIN g USING (bucket) WHERE own GROUP BY k),
+v AS (SELECT w.doc_id, len(ws) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features,
+  CAST(CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS BIGINT) AS weight,
+  CAST('0x' || substr(sha256('7:' || coalesce(CAST(w.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN p USING (k) WHERE w.own),
+x AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM v),
+r AS (SELECT doc_id, n_features, weight, score, n_words >= 20 AS fit,
+  row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= (SELECT count(*) * 25 // 100 FROM r WHERE fit) THEN place END AS rank FROM r"""
+
+
 def op13_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -193,6 +227,7 @@ QUERIES = {
     "op8_bag_minhash": op8_bag_minhash,
     "op9_quality_cascade": op9_quality_cascade,
     "op10_consensus_html": op10_consensus_html,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_improbable_digest": op13_improbable_digest,
 }
-ORACLES = {"op1_chat_formatting": _op1_sql(), "op6_warc": _OP6_SQL, "op9_quality_cascade": _OP9_SQL}
+ORACLES = {"op1_chat_formatting": _op1_sql(), "op6_warc": _OP6_SQL, "op9_quality_cascade": _OP9_SQL, "op12_importance_resampling": _OP12_SQL}
