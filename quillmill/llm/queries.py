@@ -14,6 +14,7 @@ from .chat import ChatTemplate, format_conversations, parse_formatted
 from .common import stored, table
 from .digest import fingerprint_documents
 from .html_text import extract_main_text
+from .knn import hard_negatives
 from .media import media_features, write_media
 from .minhash import near_duplicates
 from .packing import best_fit_packing
@@ -179,6 +180,30 @@ def op10_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, lambda key: key % 50 == 0)
+
+
+_OP11_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.k AS a, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.k <> b.k WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.place ORDER BY score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+  WHERE p.place <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -227,7 +252,8 @@ QUERIES = {
     "op8_bag_minhash": op8_bag_minhash,
     "op9_quality_cascade": op9_quality_cascade,
     "op10_consensus_html": op10_consensus_html,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_improbable_digest": op13_improbable_digest,
 }
-ORACLES = {"op1_chat_formatting": _op1_sql(), "op6_warc": _OP6_SQL, "op9_quality_cascade": _OP9_SQL, "op12_importance_resampling": _OP12_SQL}
+ORACLES = {"op1_chat_formatting": _op1_sql(), "op6_warc": _OP6_SQL, "op9_quality_cascade": _OP9_SQL, "op11_hard_negatives": _OP11_SQL, "op12_importance_resampling": _OP12_SQL}
