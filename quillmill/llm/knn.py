@@ -109,13 +109,20 @@ def _spread(number: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (h % many.astype(np.uint64)).astype(np.int64)
 
 
-def _in_cells(cells: Cells, dim: int, anchors: bool):
+def _in_cells(cells: Cells, dim: int):
+    """Rows and anchors of each cell; there are at most PIVOTS cells."""
+
     def run(batches):
+        found = np.zeros((2, len(cells.pivots)), np.int64)
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 part = b.slice(i, SLICE)
-                cell = cells.distances(matrix(part.column(1), dim), anchors).argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cell, pa.int32())], ["nth", "cell"])
+                x = matrix(part.column(0), dim)
+                asks = np.asarray(part.column(1).fill_null(False))
+                found[0] += np.bincount(cells.distances(x).argmin(axis=1), minlength=len(found[0]))
+                if asks.any():
+                    found[1] += np.bincount(cells.distances(x[asks], anchors=True).argmin(axis=1), minlength=len(found[0]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found[0])), pa.int32()), pa.array(found[0]), pa.array(found[1])], ["cell", "n", "anchors"])
 
     return run
 
@@ -289,7 +296,7 @@ def hard_negatives(rows: DataFrame, is_anchor, positives: int = 5, negatives: in
     whole = F.transform(wide, lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x))
     taken = rows.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{label}`").isNotNull() & F.col(f"`{vector}`").isNotNull()).where(fit)
     clean = taken.select(F.monotonically_increasing_id().alias("nth"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{label}`").cast("string").alias("label"), whole.alias("vec"))
-    clean = stored(clean.withColumn("square", F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)), "vectors", compression="zstd")
+    clean = stored(clean.withColumn("asks", is_anchor(F.col("id"))).withColumn("square", F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)), "vectors", compression="zstd")
     n, square, dim = clean.agg(F.count("*"), F.max("square"), F.max(F.size("vec"))).first()
     result = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     if not n or not dim:
@@ -301,12 +308,12 @@ def hard_negatives(rows: DataFrame, is_anchor, positives: int = 5, negatives: in
         return spark.createDataFrame([], result)
     cells = Cells(matrix(pa.array([r.vec for r in drawn], pa.list_(pa.float64())), dim), float(square))
 
-    anchored = stored(clean.where(is_anchor(F.col("id"))), "anchors", compression="zstd")
-    count = lambda t, a: {r.cell: r["count"] for r in t.select("nth", "vec").mapInArrow(_in_cells(cells, dim, a), "nth long, cell int").groupBy("cell").count().collect()}
-    in_cells = [np.array([c.get(i, 0) for i in range(len(drawn))]) for c in (count(clean, False), count(anchored, True))]
-    plan = Plan(cells, dim, *in_cells)
+    rows_of, anchors_of = np.zeros(len(drawn), np.int64), np.zeros(len(drawn), np.int64)
+    for r in clean.select("vec", "asks").mapInArrow(_in_cells(cells, dim), "cell int, n long, anchors long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("anchors").alias("anchors")).collect():
+        rows_of[r.cell], anchors_of[r.cell] = r.n, r.anchors
+    plan = Plan(cells, dim, rows_of, anchors_of)
 
-    placed = anchored.select("nth", "id", "label", "vec").mapInArrow(_placed(plan), f"grp int, cell int, {_ROW}")
+    placed = clean.where("asks").select("nth", "id", "label", "vec").mapInArrow(_placed(plan), f"grp int, cell int, {_ROW}")
     anchors = stored(placed, "placed", compression="zstd")
     asked = anchors.select("grp", "cell", F.col("nth").alias("request"), F.col("nth").alias("anchor"), "label", "vec", F.lit(LEAST_SCORE).alias("low"), F.lit(GREATEST_SCORE).alias("high"))
     found = best_rows(plan, clean, asked, positives, same=True)
