@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import LINE_BREAK
 from ..operators import spans
 from ..operators.storage import shared_dir
-from ..sources import readers, sinks
+from ..sources import readers, records, sinks
 from .tables import sql_text, table
 
 
@@ -41,6 +42,21 @@ def _lines(spark: SparkSession, parts: list[tuple[str, DataFrame]]) -> DataFrame
     return out
 
 
+def wiki_records(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as blocks of large files, read back by byte ranges: lines and text of each."""
+    at = _folder(spark, "wiki")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    block = F.concat(F.lit('<doc id="'), F.col("doc_id"), F.lit('" title="No. '), F.col("doc_id"), F.lit('">\n'), F.col("text"), F.lit("\n</doc>"))
+    docs.select(block.alias("value")).write.text(at)
+    read = records.wiki_documents(spark, at)
+    return read.select("title", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("text_md5"))
+
+
+_RECORDS = rf"""
+WITH b AS (SELECT doc_id, regexp_replace(text, {sql_text(LINE_BREAK)}, chr(10), 'g') AS t FROM documents)
+SELECT 'No. ' || doc_id AS title, CAST(length(t) - length(replace(t, chr(10), '')) + 1 AS BIGINT) AS n_lines, md5(t) AS text_md5 FROM b"""
+
+
 _INSTRUCTIONS = 'input,target\n"<LM>one, ""two""","a</s>"\n"<LM>line\nline",b</s>\nonly one\n'
 _TRIPLES = "INSTRUCTION,RESPONSE,SOURCE\ndo this,done,s1\n,empty,s2\nlong long long long long long long long,done,s3\n"
 _CHAT = [{"source": "s", "model_name": "m", "messages": [{"role": r, "content": c} for r, c in x]} for x in ([("user", "hi"), ("bot", "yo")], [("bot", "no"), ("user", "x")], [("user", "a"), ("bot", " ")], [("user", "odd")])]
@@ -170,5 +186,5 @@ FILES = [
 ]
 
 _fixed = lambda rows: f"SELECT * FROM (VALUES {_values(rows)}) AS v(reader, line)"
-QUERIES = {"reader_tables": reader_tables, "reader_objects": reader_objects, "reader_texts": reader_texts, "sink_tables": sink_tables, "sink_files": sink_files}
-ORACLES = {"reader_tables": _fixed(TABLES), "reader_objects": _fixed(OBJECTS), "reader_texts": _fixed(TEXTS), "sink_tables": SINK_TABLES, "sink_files": _fixed(FILES)}
+QUERIES = {"wiki_records": wiki_records, "reader_tables": reader_tables, "reader_objects": reader_objects, "reader_texts": reader_texts, "sink_tables": sink_tables, "sink_files": sink_files}
+ORACLES = {"wiki_records": _RECORDS, "reader_tables": _fixed(TABLES), "reader_objects": _fixed(OBJECTS), "reader_texts": _fixed(TEXTS), "sink_tables": SINK_TABLES, "sink_files": _fixed(FILES)}

@@ -136,7 +136,10 @@ def qa_sets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema(schemas.ARTICLES).json(path)
+    """``title, document`` of JSON arrays of articles, read in byte ranges."""
+    from .records import json_elements
+
+    return json_elements(spark, path, schemas.ARTICLES).select("element.*")
 
 
 def whole_texts(spark: SparkSession, directory: str, glob: str = "*.txt", below: int = 0) -> DataFrame:
