@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import pick
 from ..functions.text import ALNUM, ALPHA, collapse, tokens
+from .ranking import with_running
+from .scan import scanned
 
 SHORT_LINE = 7
 
@@ -41,6 +43,17 @@ def paragraphs(lines: DataFrame, key: str = "doc_id", n: str = "line", raw: str
 _BOUND, _WORDLESS = "\ufdd0", "\ufdd1"
 
 
+def _line_facts(s: Column) -> Column:
+    """What a collapsed line tells about paragraphs: searches of the line, without a list of its tokens."""
+    # An alphabetic token is a run of letters alone.
+    word = r"(?<![\p{L}\p{N}_])[\p{L}]++(?![\p{N}_])"
+    first = F.regexp_extract(s, word, 0)
+    letters = F.array_join(F.regexp_extract_all(s, F.lit(word), 0), "")
+    upper = (letters != "") & ~F.exists(F.regexp_extract_all(s, F.lit(word), 0), lambda t: (t != F.upper(t)) | (t == F.lower(t)))
+    wordy = s.rlike(r"(?<![\p{L}\p{N}_])[\p{L}\p{N}]++(?!_)")
+    return F.struct(s.alias("s"), wordy.alias("wordy"), first.rlike(r"^\p{Lu}\p{Ll}*$").alias("title"), upper.alias("upper"), s.rlike("[.?!…]$").alias("ended"), s.rlike(r"^[—\-0-9]").alias("mark"))
+
+
 def document_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """:func:`paragraphs` of whole documents, one row each: no line is shuffled.
 
@@ -52,16 +65,7 @@ def document_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text"
     clean = F.translate(F.replace(F.col(text), F.lit("--"), F.lit("—")), _BOUND + _WORDLESS, "")
     x = docs.select(key, F.transform(F.split(clean, "\n"), collapse).alias("_s"))
 
-    def facts(s: Column) -> Column:
-        # Flags from searches of the line, without its list of tokens: an alphabetic token is a run of letters alone.
-        word = r"(?<![\p{L}\p{N}_])[\p{L}]++(?![\p{N}_])"
-        first = F.regexp_extract(s, word, 0)
-        letters = F.array_join(F.regexp_extract_all(s, F.lit(word), 0), "")
-        upper = (letters != "") & ~F.exists(F.regexp_extract_all(s, F.lit(word), 0), lambda t: (t != F.upper(t)) | (t == F.lower(t)))
-        wordy = s.rlike(r"(?<![\p{L}\p{N}_])[\p{L}\p{N}]++(?!_)")
-        return F.struct(s.alias("s"), wordy.alias("wordy"), first.rlike(r"^\p{Lu}\p{Ll}*$").alias("title"), upper.alias("upper"), s.rlike("[.?!…]$").alias("ended"), s.rlike(r"^[—\-0-9]").alias("mark"))
-
-    x = x.select(key, F.transform("_s", facts).alias("_f"))
+    x = x.select(key, F.transform("_s", _line_facts).alias("_f"))
 
     def piece(f: Column, i: Column) -> Column:
         before = F.get("_f", i - 1)
@@ -78,6 +82,46 @@ def document_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text"
     return rows.select(key, F.col("_x._n").cast("long").alias("text_no"), (F.col("_i") + 1).cast("long").alias("par"), F.col("_x._p").alias("paragraph"))
 
 
+def scanned_paragraphs(lines: DataFrame, key: str, order: list[str], raw: str = "raw") -> DataFrame:
+    """:func:`paragraphs` of documents of any number of lines, ordered by the columns ``order``.
+
+    The lines of one document may fill any number of partitions: whether a line stands
+    behind the end of a paragraph is a machine of two states, scanned across partitions, and
+    paragraphs and texts are numbered by sums over partitions.  A paragraph is one row.
+    Null lines are blank.
+    """
+    x = lines.select(key, *order, _line_facts(collapse(F.replace(F.coalesce(F.col(raw), F.lit("")), F.lit("--"), F.lit("—")))).alias("_f"))
+    x = x.select(key, *order, "_f.*")
+    # State 0: what comes next begins a paragraph.
+    behind = F.when((F.col("s") == "") | ~F.col("wordy") | F.col("ended"), 0).otherwise(1)
+    x = scanned(x.withColumn("_m", F.array(behind, behind)), [key], order, "_m", 2, "_state")
+    begins = (F.col("s") != "") & ((F.col("_state") == 0) | F.col("mark") | F.col("title") | F.col("upper") | ~F.col("wordy"))
+    x = x.withColumns({"_begins": begins.cast("long"), "_wordless": ((F.col("s") != "") & ~F.col("wordy")).cast("long")})
+    x = with_running(x, order, {"_par": "_begins", "_text": "_wordless"}, [key]).where((F.col("s") != "") & F.col("wordy"))
+    g = x.groupBy(key, (F.col("_par") + F.col("_begins")).alias("par")).agg(F.max("_text").alias("text_no"), F.array_sort(F.collect_list(F.struct(*order, "s"))).alias("_l"))
+    return g.select(key, "text_no", "par", F.array_join(F.transform("_l", lambda l: l["s"]), " ").alias("paragraph"))
+
+
+def scanned_sections(lines: DataFrame, key: str, order: list[str], text: str = "line") -> DataFrame:
+    """:func:`wiki_sections` of documents of any number of lines, ordered by the columns ``order``.
+
+    A machine of three states (at the start, behind a title, behind anything else) tells
+    titles from bodies; it is scanned across partitions, sections are numbered by sums over
+    them, and a title meets its bodies by a join.  Null lines are blank and left out.
+    """
+    words = F.size(F.filter(tokens(F.col("_s")), lambda t: t.rlike(ALNUM)))
+    x = lines.select(key, *order, collapse(F.coalesce(F.col(text), F.lit(""))).alias("_s")).where("_s <> ''").withColumn("_short", words <= SHORT_LINE)
+    moves = F.when(F.col("_short"), F.array(F.lit(1), F.lit(2), F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(2)))
+    x = scanned(x.withColumn("_m", moves), [key], order, "_m", 3, "_state")
+    x = x.withColumn("_title", ((F.col("_state") == 0) | (F.col("_short") & (F.col("_state") == 2))).cast("long"))
+    x = with_running(x, order, {"_before": "_title"}, [key]).withColumn("section", F.col("_before") + F.col("_title"))
+    titles = x.where("_title = 1").select(F.col(key).alias("_k"), F.col("section").alias("_n"), F.col("_s").alias("title"))
+    body = x.where("_title = 0").join(titles, F.col(key).eqNullSafe(F.col("_k")) & (F.col("section") == F.col("_n")))
+    said = F.when(F.col("_short"), F.col("title")).otherwise(F.col("_s"))
+    g = body.withColumn("_b", said).groupBy(key, "section", "title").agg(F.array_sort(F.collect_list(F.struct(*order, "_b"))).alias("_p"))
+    return g.select(key, "section", "title", F.array_join(F.transform("_p", lambda p: p["_b"]), "\n").alias("body"))
+
+
 def segmentation_pairs(pars: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, text_no, n, input, target``: paragraphs of a text joined by blanks, and by newlines."""
     g = pars.groupBy(key, "text_no").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("par", "paragraph"))).alias("_p"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, WS
+from .intervals import contained as contained
+from .intervals import interval_union as interval_union
 
 #: A token with the white space before it: these tile a text, so their lengths give offsets.
 SPACED_TOKEN = r"\s*(?:" + TOKEN + ")"
@@ -54,15 +56,6 @@ def token_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return cut.select(key, "tok", "token", (F.col("end") - F.length("token")).alias("start"), "end")
 
 
-def interval_union(spans: DataFrame, group: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Overlapping intervals merged, transitively; intervals that only touch stay apart."""
-    before = Window.partitionBy(group).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.when(F.col(start) < F.max(end).over(before), 0).otherwise(1)
-    up_to = Window.partitionBy(group).orderBy(start, end).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    islands = spans.withColumn("_f", fresh).withColumn("_g", F.sum("_f").over(up_to))
-    return islands.groupBy(group, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
-
-
 def object_bounds(objects: DataFrame, spans: DataFrame, doc: str = "doc") -> DataFrame:
     """``doc, object_id, class, start, end`` from objects that list span ids.
 
@@ -88,16 +81,6 @@ def with_quotes(text: Column, start: Column, end: Column, left: str = "«", righ
     return out["s"], out["e"]
 
 
-def contained(inner: DataFrame, outer: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Inner spans inside an outer span of the same document, offsets from its start.
-
-    An equi-join on the document with a range condition.
-    """
-    o = outer.select(F.col(key).alias("_k"), F.col("line").alias("outer"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    on = (inner[key] == o["_k"]) & (inner["start"] >= o["_s"]) & (inner["end"] <= o["_e"])
-    return inner.join(o, on).select(*inner.columns, "outer", (inner["start"] - F.col("_s")).alias("rel_start"), (inner["end"] - F.col("_s")).alias("rel_end"))
-
-
 #: Characters of all phrases up to which they are searched for at once, in the memory of each task.
 MOST_PHRASE_CHARS = 16 << 20
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, WS
-from ..operators import sections, spans
+from ..operators import intervals, sections, spans
 from .tables import sql_text, table
 
 _WS, _TOKEN = sql_text(WS), sql_text(TOKEN)
@@ -85,6 +85,36 @@ n AS (SELECT *, sum(CASE WHEN wordy THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id
 SELECT doc_id, CAST(text_no AS BIGINT) AS text_no, count(*) AS n, md5(string_agg(paragraph, ' ' ORDER BY par)) AS input_md5, md5(string_agg(paragraph, chr(10) ORDER BY par)) AS target_md5
 FROM n WHERE wordy GROUP BY doc_id, text_no"""
 
+def _one_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of all documents as those of a single one."""
+    return spans.lines_with_offsets(_docs(spark, sf)).select(F.lit(1).alias("book"), "doc_id", "line", "raw")
+
+
+def joined_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    p = sections.scanned_paragraphs(_one_document(spark, sf), "book", ["doc_id", "line"])
+    return p.select("text_no", "par", F.md5("paragraph").alias("paragraph_md5"))
+
+
+JOINED_PARAGRAPHS = SEGMENT.replace("PARTITION BY doc_id ORDER BY line", "ORDER BY doc_id, line").replace("PARTITION BY doc_id ORDER BY par", "ORDER BY par")
+JOINED_PARAGRAPHS = JOINED_PARAGRAPHS.replace("sum(length(raw) + 1) OVER (ORDER BY doc_id, line", "sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line")
+JOINED_PARAGRAPHS = JOINED_PARAGRAPHS.replace("SELECT doc_id, par, bool_or(wordy)", "SELECT par, bool_or(wordy)").replace("string_agg(s, ' ' ORDER BY line)", "string_agg(s, ' ' ORDER BY doc_id, line)").replace("GROUP BY doc_id, par)", "GROUP BY par)")
+JOINED_PARAGRAPHS = JOINED_PARAGRAPHS[: JOINED_PARAGRAPHS.rindex("SELECT doc_id, CAST(text_no")] + "SELECT CAST(text_no AS BIGINT) AS text_no, CAST(par AS BIGINT) AS par, md5(paragraph) AS paragraph_md5 FROM n WHERE wordy"
+
+
+def joined_sections(spark: SparkSession, sf: str) -> DataFrame:
+    s = sections.scanned_sections(_one_document(spark, sf), "book", ["doc_id", "line"], "raw")
+    return s.select("section", "title", F.md5("body").alias("body_md5"))
+
+
+JOINED_SECTIONS = f"""
+WITH {_LINES}, v AS (SELECT doc_id, line, trim(regexp_replace(raw, {_WS}, ' ', 'g')) AS t FROM o),
+s AS (SELECT *, len(list_filter(regexp_extract_all(t, {_TOKEN}), lambda w: regexp_full_match(w, '[\\p{{L}}\\p{{N}}]+'))) <= 7 OR row_number() OVER (ORDER BY doc_id, line) = 1 AS short FROM v WHERE t <> ''),
+r AS (SELECT *, sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (ORDER BY doc_id, line) AS run FROM s),
+i AS (SELECT *, short AND sum(short::INT) OVER (PARTITION BY run ORDER BY doc_id, line) % 2 = 1 AS is_title FROM r),
+k AS (SELECT *, sum(is_title::INT) OVER (ORDER BY doc_id, line) AS section FROM i),
+t AS (SELECT *, max(CASE WHEN is_title THEN t END) OVER (PARTITION BY section) AS title FROM k)
+SELECT CAST(section AS BIGINT) AS section, title, md5(string_agg(CASE WHEN short THEN title ELSE t END, chr(10) ORDER BY doc_id, line)) AS body_md5 FROM t WHERE NOT is_title GROUP BY section, title"""
+
 _LONG = "this line is long enough to count as body text for sure"
 _WIKI = [(1, 1, "Title one"), (1, 2, _LONG + " a"), (1, 3, "Second"), (1, 4, "short body"), (1, 5, "Third"), (1, 6, _LONG + " b"), (1, 7, _LONG + " c"), (1, 8, "left over"),
          (2, 1, _LONG + " as a first line"), (2, 2, _LONG + " d"), (3, 1, "alone"), (4, 1, "T"), (4, 2, ""), (4, 3, "b"), (4, 4, _LONG)]
@@ -104,14 +134,44 @@ k AS (SELECT *, sum(is_title::INT) OVER (PARTITION BY doc ORDER BY n) AS section
 t AS (SELECT *, max(CASE WHEN is_title THEN line END) OVER (PARTITION BY doc, section) AS title FROM k)
 SELECT doc, CAST(section AS BIGINT) AS section, title, string_agg(CASE WHEN short THEN title ELSE line END, chr(10) ORDER BY n) AS body FROM t WHERE NOT is_title GROUP BY doc, section, title"""
 
-_INTERVALS = [(1, 0, 10), (1, 10, 15), (1, 25, 45), (2, 0, 10), (2, 10, 15), (2, 25, 45), (2, 8, 11), (3, 0, 10), (3, 10, 15), (3, 25, 45), (3, 8, 11), (3, 14, 27), (4, 0, 10), (4, 10, 15), (4, 14, 48), (4, 25, 45), (4, 8, 11), (5, 0, 100), (5, 1, 2), (5, 3, 5), (5, 99, 120)]
+def interval_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Spells of a few minutes behind each event, merged for each of seven groups of users."""
+    at = F.unix_timestamp("ts").cast("long")
+    spells = table(spark, sf, "events").select((F.col("user_id") % 7).alias("k"), at.alias("s"), (at + 60 * (1 + F.col("event_id") % 9)).alias("e"))
+    return intervals.interval_union(spells, "k", "s", "e")
 
 
-def interval_union(spark: SparkSession, sf: str) -> DataFrame:
-    return spans.interval_union(spark.createDataFrame(_INTERVALS, "k int, s int, e int"), "k", "s", "e")
+UNION = """
+WITH x AS (SELECT user_id % 7 AS k, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + 60 * (1 + event_id % 9) AS e FROM events),
+f AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM x),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM f)
+SELECT k, min(s) AS s, max(e) AS e FROM g GROUP BY k, g"""
+
+
+def span_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark passages and the pieces of 100 code points of a document, with how they meet."""
+    d = _docs(spark, sf)
+    hits = spans.phrase_hits(d, table(spark, sf, "benchmark"))
+    cut = d.select("doc_id", F.posexplode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(100))).alias("line", "start"))
+    pieces = cut.select("doc_id", "line", "start", (F.col("start") + 100).alias("end"))
+    return intervals.overlaps(hits, pieces, "doc_id").select("doc_id", "item_id", "start", "end", F.col("outer_line").alias("piece"), "relation")
+
+
+def piece_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark passages by their place in pieces of 1000 code points, those that cross a bound too."""
+    d = _docs(spark, sf)
+    hits = spans.phrase_hits(d, table(spark, sf, "benchmark"))
+    cut = d.select("doc_id", F.posexplode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(1000))).alias("line", "start"))
+    return intervals.contained(hits, cut.withColumn("end", F.col("start") + 1000), partial="keep")
 
 
-UNION = """SELECT * FROM (VALUES (1, 0, 10), (1, 10, 15), (1, 25, 45), (2, 0, 15), (2, 25, 45), (3, 0, 45), (4, 0, 48), (5, 0, 120)) AS v(k, s, e)"""
+_MET = f"""WITH {{hits}}, p AS (SELECT doc_id, CAST(unnest(range(0, greatest(length(text), 1), {{size}})) AS INT) AS a FROM documents)"""
+_RELATIONS = _MET.format(hits=_HITS, size=100) + """
+SELECT h.doc_id, h.item_id, h.start, h."end", a // 100 AS piece, CASE WHEN h.start >= a AND h."end" <= a + 100 THEN 'inside' WHEN h.start <= a AND h."end" >= a + 100 THEN 'around' ELSE 'across' END AS relation
+FROM hits h JOIN p ON h.doc_id = p.doc_id AND h.start < a + 100 AND h."end" > a"""
+_OFFSETS = _MET.format(hits=_HITS, size=1000) + """
+SELECT h.*, a // 1000 AS "outer", h.start - a AS rel_start, h."end" - a AS rel_end, h.start >= a AND h."end" <= a + 1000 AS whole
+FROM hits h JOIN p ON h.doc_id = p.doc_id AND h.start < a + 1000 AND h."end" > a"""
 
 
 def span_objects(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,8 +226,12 @@ QUERIES = {
     "containment_join": containment_join,
     "bio_tags": bio_tags,
     "paragraph_segment": paragraph_segment,
+    "joined_paragraphs": joined_paragraphs,
+    "joined_sections": joined_sections,
     "wiki_sections": wiki_sections,
     "interval_union": interval_union,
+    "span_relations": span_relations,
+    "piece_offsets": piece_offsets,
     "span_objects": span_objects,
     "guillemets": guillemets,
     "entity_align": entity_align,
@@ -179,8 +243,12 @@ ORACLES = {
     "containment_join": CONTAINED,
     "bio_tags": BIO,
     "paragraph_segment": SEGMENT,
+    "joined_paragraphs": JOINED_PARAGRAPHS,
+    "joined_sections": JOINED_SECTIONS,
     "wiki_sections": WIKI,
     "interval_union": UNION,
+    "span_relations": _RELATIONS,
+    "piece_offsets": _OFFSETS,
     "span_objects": OBJECTS,
     "guillemets": GUILLEMETS,
     "entity_align": ALIGN,
