@@ -128,23 +128,33 @@ RAG_REFUSALS = ("The text does not say.", "There is no answer in this text.", "T
 MOST_ALIKE = 70
 
 
-def rag_samples(rows: DataFrame, key: str, seed: str = "rag", negative_share: float = 0.1, candidates: int = 3) -> DataFrame:
+def rag_samples(rows: DataFrame, key: str, seed: str = "rag", negative_share: float = 0.1) -> DataFrame:
     """``key, negative, input, target`` from ``question, context, response``.
 
-    Some rows get the context of another row and a refusal as target: of the next
-    ``candidates`` rows in hash order the first whose context is not too much like their
-    own, by the ratio of the words in order; a row without such a one stays positive.
+    Some rows get the context of another row and a refusal as target: of the rows after it
+    in hash order, in a circle, the first whose context is not too much like their own, by
+    the ratio of the words in order.  Rounds of twice as many candidates go on for the rows
+    that have none yet; only a row to which all others are too much alike stays positive.
     """
     from ..functions.hashing import uniform
 
     r = stored(ranked(rows.withColumn("_h", key_hash(seed, F.col(key))), ["_h", key], None, "_r"), "ranked")
     n = max(r.count(), 1)
-    drawn = r.where(uniform(seed + "-neg", F.col(key)) < negative_share)
-    wants = drawn.select(key, F.col("context").alias("_own"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(candidates)), lambda i: F.struct(i.alias("i"), F.pmod(F.col("_r") + i, F.lit(n)).alias("r")))).alias("_c"))
+    left = stored(r.where(uniform(seed + "-neg", F.col(key)) < negative_share).select("_r", F.col("context").alias("_own")), "unresolved")
     others = r.select(F.col("_r").alias("_to"), F.col("context").alias("_other"))
-    met = wants.join(others, F.col("_c.r") == F.col("_to")).withColumn("_ratio", token_sort_ratio(F.col("_own"), F.col("_other")))
-    first = met.where(F.col("_ratio") <= MOST_ALIKE).groupBy(F.col(key).alias("_k")).agg(F.min(F.struct("_c.i", "_other"))["_other"].alias("_other"))
-    j = r.join(first, F.col(key) == F.col("_k"), "left")
+    first, begin, width = None, 1, 2
+    while begin < n and left.count():
+        end = min(begin + width, n)
+        wants = left.select("_r", "_own", F.explode(F.sequence(F.lit(begin), F.lit(end - 1))).alias("_i")).withColumn("_c", F.pmod(F.col("_r") + F.col("_i"), F.lit(n)))
+        met = wants.join(others, F.col("_c") == F.col("_to"))
+        fit = met.withColumn("_ratio", token_sort_ratio(F.col("_own"), F.col("_other"))).where(F.col("_ratio") <= MOST_ALIKE)
+        found = stored(fit.groupBy("_r").agg(F.min(F.struct("_i", "_other"))["_other"].alias("_other")).withColumnRenamed("_r", "_k"), "negatives")
+        first = found if first is None else first.unionByName(found)
+        left = stored(left.join(found.select(F.col("_k").alias("_r")), "_r", "left_anti"), "unresolved")
+        begin, width = end, 2 * width
+    if first is None:
+        first = r.where("false").select(F.col("_r").alias("_k"), F.col("context").alias("_other"))
+    j = r.join(first, F.col("_r") == F.col("_k"), "left")
     neg = F.col("_k").isNotNull()
     shown = F.when(neg, F.col("_other")).otherwise(F.col("context"))
     layout = F.get(F.array(*map(F.lit, RAG_LAYOUTS)), pick(seed + "-layout", len(RAG_LAYOUTS), F.col(key)))

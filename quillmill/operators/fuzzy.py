@@ -30,6 +30,48 @@ def common_subsequence(a: str, b: str) -> int:
     return (full & ~row).bit_count()
 
 
+def token_edits(a: list, b: list) -> int:
+    """Levenshtein distance of two token lists: one step on big integers, a bit a token of ``a``, for each token of ``b``."""
+    lo, ea, eb = 0, len(a), len(b)
+    while lo < min(ea, eb) and a[lo] == b[lo]:
+        lo += 1
+    while ea > lo and eb > lo and a[ea - 1] == b[eb - 1]:
+        ea, eb = ea - 1, eb - 1
+    a, b = a[lo:ea], b[lo:eb]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict = {}
+    for i, t in enumerate(a):
+        places.setdefault(t, []).append(i)
+    at = {}
+    for t, where in places.items():
+        bits = bytearray(len(a) // 8 + 1)
+        for i in where:
+            bits[i >> 3] |= 1 << (i & 7)
+        at[t] = int.from_bytes(bits, "little")
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, edits = full, 0, len(a)
+    for t in b:
+        eq = at.get(t, 0)
+        x = eq | down
+        across = ((((eq & up) + up) ^ up) | eq) & full
+        more, less = down | (full & ~(across | up)), up & across
+        edits += 1 if more & top else -1 if less & top else 0
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down = less | (full & ~(x | more)), more & x
+    return edits
+
+
+def token_edit_counts(a: Column, b: Column) -> Column:
+    """:func:`token_edits` of two array columns, lists of any length."""
+
+    @F.pandas_udf("long")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else token_edits(list(p), list(q)) for p, q in zip(x, y, strict=True)], dtype="Int64")
+
+    return run(a, b)
+
+
 def ratio(a: str, b: str) -> float:
     """0 to 100: twice the common subsequence over both lengths; two empty texts are equal."""
     total = len(a) + len(b)

@@ -146,7 +146,17 @@ def typos(text: Column, key: Column, share: float = 0.1, most: int = MOST_TYPOS)
 
 
 def typo_augmented(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, text``: texts with typos that are neither an existing text nor made twice."""
-    made = rows.select(key, typos(F.coalesce(F.col(text), F.lit("")), F.col(key)).alias(text))
-    one = made.groupBy(text).agg(F.min(key).alias(key))
-    return one.join(rows.select(text).distinct(), text, "left_anti").select(key, text)
+    """``key, text``: texts with typos that are neither an existing text nor made twice.
+
+    Texts are told apart by 128-bit digests, so none is shuffled but those that come back.
+    """
+    typed = typos(F.coalesce(F.col(text), F.lit("")), F.col(key))
+    made = without(rows.select(key, F.md5(typed).alias("_d")), rows.select(F.md5(text).alias("_d")), "_d").groupBy("_d").agg(F.min(key).alias("_key"))
+    kept = rows.join(made.select("_key", F.col("_d").alias("_made")), F.col(key) == F.col("_key")).withColumn("_text", typed)
+    # A key may repeat: of its rows those count that gave this digest, and of these one.
+    return kept.where(F.md5("_text") == F.col("_made")).groupBy("_made").agg(F.min(key).alias(key), F.first("_text").alias(text)).select(key, text)
+
+
+def without(rows: DataFrame, others: DataFrame, digest: str) -> DataFrame:
+    """The rows whose digest no other row has; a null one is like none."""
+    return rows.join(others.select(digest).where(F.col(digest).isNotNull()).distinct(), digest, "left_anti")

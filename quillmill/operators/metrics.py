@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import f1, token_distance
 from ..functions.text import answer_word, tokenize
+from .fuzzy import token_edit_counts
 from .ranking import ranked
 from .storage import stored
 
@@ -21,7 +22,7 @@ def error_rates(rows: DataFrame, group: str, predicted: str, reference: str) ->
     The rate is 0 where no reference has a token; the accuracy may be negative.
     """
     r = rows.select(group, tokenize(F.lower(predicted)).alias("_p"), tokenize(F.lower(reference)).alias("_r"))
-    r = r.select(group, token_distance(F.col("_p"), F.col("_r")).cast("long").alias("_d"), F.size("_r").cast("long").alias("_n"))
+    r = r.select(group, token_edit_counts(F.col("_p"), F.col("_r")).alias("_d"), F.size("_r").cast("long").alias("_n"))
     g = r.groupBy(group).agg(F.count("*").alias("n"), F.sum("_d").alias("distance"), F.sum("_n").alias("n_ref"))
     wer = F.round(F.coalesce(F.try_divide(F.col("distance").cast("double"), F.col("n_ref")), F.lit(0.0)), 6)
     return g.select(group, "n", "distance", "n_ref", wer.alias("wer"), F.round(1 - wer, 6).alias("accuracy"))

@@ -7,29 +7,29 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import key_hash, uniform
 from .ranking import ranked
+from .selection import sample_least
 from .storage import stored
 
 
 def uniform_sample(rows: DataFrame, k: int, key: str, seed: str = "sample") -> DataFrame:
-    """k rows without replacement: those of least hash (a distributed top-k)."""
-    return rows.withColumn("_h", key_hash(seed, F.col(key))).orderBy("_h", key).limit(k).drop("_h")
+    """k rows without replacement: those of least hash, whatever k is."""
+    return sample_least(rows, k, key, seed)
 
 
 def stratified_reduction(rows: DataFrame, k: int, key: str, positive: Column, seed: str = "strata") -> DataFrame:
     """k rows, half of them (rounded up) positive; negatives fill up where positives lack, not the other way round.
 
-    Two top-k passes; ``k`` is at least 6 and both strata must be there, else the job fails.
+    ``k`` is at least 6 and both strata must be there, else the job fails.
     """
     if k < 6:
         raise ValueError("a reduced set has at least 6 rows")
-    marked = rows.withColumn("_pos", positive).withColumn("_h", key_hash(seed, F.col(key)))
+    marked = rows.withColumn("_pos", positive)
     have = {r["_pos"]: r["n"] for r in marked.groupBy("_pos").agg(F.count("*").alias("n")).collect()}
     if not have.get(True) or not have.get(False):
         raise ValueError("a stratum is empty")
     n_pos = min(have[True], -(-k // 2))
-    pos = marked.where("_pos").orderBy("_h", key).limit(n_pos)
-    neg = marked.where("NOT _pos").orderBy("_h", key).limit(k - n_pos)
-    return pos.unionByName(neg).drop("_pos", "_h")
+    pos, neg = sample_least(marked.where("_pos"), n_pos, key, seed), sample_least(marked.where("NOT _pos"), k - n_pos, key, seed)
+    return pos.unionByName(neg).drop("_pos")
 
 
 def sized(rows: DataFrame, within: list[str], order: str, name: str = "_n") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -208,37 +209,67 @@ def label_tokens(tokens: list[str], entities: list[list[str]], name: str) -> lis
 
 
 def align(tokens: list[str], entities: list[list[str]], nested: bool = False) -> tuple[list[tuple[int, int]], int]:
-    """Token bounds of entities in order and the number not found, over all ways to place them.
+    """Token bounds of entities in order and the number not found, the best of all ways to place them.
 
     After a hit the next entity may begin behind it or, overlapping, at its start; an
     entity that is not found costs one.  Fewest misses win, then the count of distinct
-    bounds nearest to that of the entities.  Without ``nested``, ways with one entity
-    inside another do not count; if none is left there are no bounds.
+    bounds nearest to that of the entities, then the least bounds.  Without ``nested``, ways
+    with one entity inside another do not count; if none is left there are no bounds.
+
+    Starts never decrease along a way, so what the rest can still gain depends on the place
+    and on the bounds that share the last start alone: the ways are layers of such states,
+    one layer an entity, and the best rest of each is found from the last layer back.
     """
-    wanted = [e for e in entities if e]
-    memo: dict[tuple[int, int], list[tuple[int, tuple]]] = {}
-
-    def ways(i: int, at: int) -> list[tuple[int, tuple]]:
-        if i == len(wanted):
-            return [(0, ())]
-        if (i, at) not in memo:
-            found = locate(tokens, wanted[i], at)
-            if found < 0:
-                memo[i, at] = [(p + 1, b) for p, b in ways(i + 1, at)]
+    low = [t.lower() for t in tokens]
+    wanted = [tuple(t.lower() for t in e) for e in entities if e]
+    places: dict[tuple, list[int]] = {e: [] for e in wanted}
+    by_first: dict[str, list[tuple]] = {}
+    for e in places:
+        by_first.setdefault(e[0], []).append(e)
+    for i, t in enumerate(low):
+        for e in by_first.get(t, ()):
+            if tuple(low[i : i + len(e)]) == e:
+                places[e].append(i)
+
+    # A state: where to search on, and the bounds with the last start (without nesting: the last bounds).
+    layers: list[dict[tuple, list[tuple]]] = []
+    now = {(0, frozenset())}
+    for e in wanted:
+        moves: dict[tuple, list[tuple]] = {}
+        for at, held in now:
+            found = places[e]
+            k = bisect_left(found, at)
+            if k == len(found):
+                moves[at, held] = [((at, held), 1, None)]
+                continue
+            here = (found[k], found[k] + len(e))
+            if here in held:
+                fresh, kept = None, held
+            elif nested:
+                same = held if held and next(iter(held))[0] == here[0] else frozenset()
+                fresh, kept = here, same | {here}
+            elif any(here[0] == s or here[1] <= f for s, f in held):
+                moves[at, held] = []
+                continue
             else:
-                here = (found, found + len(wanted[i]))
-                after = ways(i + 1, here[1]) + ways(i + 1, found)
-                memo[i, at] = list(dict.fromkeys((p, (here, *b)) for p, b in after))
-        return memo[i, at]
-
-    options = [(p, abs(len(set(b)) - len(wanted)), tuple(sorted(set(b)))) for p, b in ways(0, 0)]
-    if not nested:
-        inside = lambda b: any(x != y and y[0] <= x[0] and x[1] <= y[1] for x in b for y in b)
-        options = [o for o in options if not inside(o[2])]
-    if not options:
+                fresh, kept = here, frozenset([here])
+            behind = frozenset() if nested else kept
+            moves[at, held] = [((here[1], behind), 0, fresh), ((here[0], kept), 0, fresh)]
+        layers.append(moves)
+        now = {state for out in moves.values() for state, _, _ in out}
+    # Of each state the best rest: misses, distinct bounds (more are better), the bounds.
+    best: dict[tuple, tuple] = {state: (0, 0, ()) for state in now}
+    for moves in reversed(layers):
+        new = {}
+        for state, out in moves.items():
+            rest = [(best[to][0] + miss, best[to][1] - (fresh is not None), best[to][2] if fresh is None else tuple(sorted((fresh, *best[to][2])))) for to, miss, fresh in out if to in best]
+            if rest:
+                new[state] = min(rest)
+        best = new
+    if (0, frozenset()) not in best:
         return [], len(wanted)
-    p, _, b = min(options)
-    return list(b), p
+    misses, _, bounds = best[0, frozenset()]
+    return list(bounds), misses
 
 
 def aligned(rows: DataFrame, key: str, tokens: str = "tokens", entities: str = "entities") -> DataFrame:

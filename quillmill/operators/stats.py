@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import group_quantiles
+from .storage import stored
+
 
 def task_counts(rows: DataFrame, split: str = "split", task: str = "task") -> DataFrame:
     """Rows for each task and split, for each split, and in all (nulls where summed up)."""
@@ -12,15 +15,16 @@ def task_counts(rows: DataFrame, split: str = "split", task: str = "task") -> Da
 
 
 def length_stats(rows: DataFrame, group: str, length: Column) -> DataFrame:
-    """Shortest, longest, mean (half to even) and lower median of a length."""
-    x = rows.select(group, length.cast("long").alias("_x"))
-    return x.groupBy(group).agg(
-        F.min("_x").alias("shortest"),
-        F.max("_x").alias("longest"),
-        F.bround(F.avg("_x")).cast("long").alias("mean"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _x)").cast("long").alias("median"),
-        F.count("*").alias("n"),
-    )
+    """Shortest, longest, mean (half to even) and lower median of a length, exactly.
+
+    Lengths are counted first, one row for each that a group has; all else, the median too,
+    follows from the counts.
+    """
+    x = stored(rows.select(group, length.cast("long").alias("_x")).groupBy(group, "_x").agg(F.count("*").alias("_n")), "lengths")
+    middle = group_quantiles(x, group, "_x", 0.5, "median", weight="_n")
+    mean = F.bround(F.sum(F.col("_x") * F.col("_n")) / F.sum(F.when(F.col("_x").isNotNull(), F.col("_n")))).cast("long")
+    g = x.groupBy(F.col(group).alias("_group")).agg(F.min("_x").alias("shortest"), F.max("_x").alias("longest"), mean.alias("mean"), F.sum("_n").alias("n"))
+    return g.join(middle, F.col("_group").eqNullSafe(F.col(group)), "left").select(F.col("_group").alias(group), "shortest", "longest", "mean", "median", "n")
 
 
 def histogram(rows: DataFrame, value: Column, least_bins: int) -> DataFrame:

@@ -6,18 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similarity
+from ..functions.text import TOKEN
 from ..operators import fuzzy, generate, metrics, models
-from .tables import sql_hash, sql_pick, table
-
-_WER = [("a", "abcd efg", "abcd efg"), ("a", "the cat sat", "the cat sat on a mat"), ("a", "x", "x y, z!"), ("b", "", ""), ("b", "", ""), ("c", "one two three", "uno dos tres"), ("c", "p q r s", "p q")]
-
+from .tables import sql_hash, sql_pick, sql_text, table
 
 def wer_by_task(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.error_rates(spark.createDataFrame(_WER, "task string, pred string, ref string"), "task", "pred", "ref")
-
-
-WER = """SELECT task, CAST(n AS BIGINT) AS n, CAST(d AS BIGINT) AS distance, CAST(r AS BIGINT) AS n_ref, round(CASE WHEN r = 0 THEN 0 ELSE d / r::DOUBLE END, 6) AS wer, round(1 - CASE WHEN r = 0 THEN 0 ELSE round(d / r::DOUBLE, 6) END, 6) AS accuracy
-FROM (VALUES ('a', 3, 7, 13), ('b', 2, 0, 0), ('c', 2, 5, 5)) AS v(task, n, d, r)"""
+    """Each turn as a prediction of the one after it, by role."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ref"))
+    return metrics.error_rates(t.join(after, ["conv_id", "turn"]).select(F.col("role").alias("task"), F.col("text").alias("pred"), "ref"), "task", "pred", "ref")
+
+
+# The table of distances by its diagonals: a cell needs the two diagonals before its own.
+WER = f"""
+WITH RECURSIVE q AS (
+  SELECT row_number() OVER () AS k, role AS task, flatten(list_transform(regexp_extract_all(lower(a.text), {sql_text(TOKEN)}), lambda w: CASE WHEN regexp_full_match(w, '[\\p{{L}}\\p{{N}}]+') THEN [w] ELSE string_split(w, '') END)) AS p,
+    flatten(list_transform(regexp_extract_all(lower(b.text), {sql_text(TOKEN)}), lambda w: CASE WHEN regexp_full_match(w, '[\\p{{L}}\\p{{N}}]+') THEN [w] ELSE string_split(w, '') END)) AS r
+  FROM conversations a JOIN (SELECT conv_id, turn - 1 AS turn, text FROM conversations) b USING (conv_id, turn)),
+c AS (SELECT k, p, r, 0 AS d, list_transform(range(len(p) + 1), lambda i: 0::BIGINT) AS a, list_transform(range(len(p) + 1), lambda i: 0::BIGINT) AS b FROM q
+  UNION ALL
+  SELECT k, p, r, d + 1, b, list_transform(range(len(p) + 1), lambda i: CAST(CASE WHEN d + 1 - i < 0 OR d + 1 - i > len(r) THEN 0 WHEN i = 0 OR i = d + 1 THEN d + 1
+    ELSE least(b[i] + 1, b[i + 1] + 1, a[i] + CASE WHEN p[i] = r[d + 1 - i] THEN 0 ELSE 1 END) END AS BIGINT)) FROM c WHERE d < len(p) + len(r)),
+d AS (SELECT k, b[len(p) + 1] AS d FROM c WHERE d = len(p) + len(r)),
+g AS (SELECT task, count(*) AS n, CAST(sum(d) AS BIGINT) AS distance, CAST(sum(len(r)) AS BIGINT) AS n_ref FROM q JOIN d USING (k) GROUP BY task)
+SELECT *, round(CASE WHEN n_ref = 0 THEN 0 ELSE distance / n_ref::DOUBLE END, 6) AS wer, round(1 - CASE WHEN n_ref = 0 THEN 0 ELSE round(distance / n_ref::DOUBLE, 6) END, 6) AS accuracy FROM g"""
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:

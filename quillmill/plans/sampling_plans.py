@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sampling, stats, tasks
 from ..operators.validate import same_tasks
+from ..operators.generate import without
 from .tables import sql_hash, sql_uniform, table
 
 
@@ -178,7 +179,8 @@ SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least((x - lo) * bins // (hi - lo), bi
 def dedupe_antijoin(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct texts of the other sources that source src0 does not have."""
     d = _docs(spark, sf)
-    return d.where("source <> 'src0'").select("text").distinct().join(d.where("source = 'src0'").select("text"), "text", "left_anti").select(F.md5("text").alias("text_md5"))
+    own, other = (d.where(c).select(F.md5("text").alias("text_md5")) for c in ("source <> 'src0'", "source = 'src0'"))
+    return without(own.distinct(), other, "text_md5")
 
 
 ANTIJOIN = "SELECT md5(text) AS text_md5 FROM (SELECT DISTINCT text FROM documents WHERE source <> 'src0' AND text NOT IN (SELECT text FROM documents WHERE source = 'src0'))"

@@ -197,14 +197,22 @@ def guillemets(spark: SparkSession, sf: str) -> DataFrame:
 
 GUILLEMETS = """SELECT * FROM (VALUES (1, 10, 24), (2, 10, 24), (3, 10, 24), (4, 10, 24), (5, 0, 3), (6, 37, 43)) AS v(k, start, "end")"""
 
-_ALIGN = [(1, "a b c d e".split(), [["b", "c"], ["e"]]), (2, "a b c d e".split(), [["C"], ["z"]]), (3, "a b a b".split(), [["a", "b"], ["a", "b"]]), (4, [], [["x"], ["y"], ["z"]]), (5, "a b".split(), [[]]), (6, "new york city hall".split(), [["york", "city"], ["city", "hall"]])]
-
-
 def entity_align(spark: SparkSession, sf: str) -> DataFrame:
-    return spans.aligned(spark.createDataFrame(_ALIGN, "k int, tokens array<string>, entities array<array<string>>"), "k")
-
-
-ALIGN = """SELECT * FROM (VALUES (1, 1, 3, 0), (1, 4, 5, 0), (2, 2, 3, 1), (3, 0, 2, 0), (3, 2, 4, 0), (4, -1, -1, 3), (5, -1, -1, 0), (6, 1, 3, 0), (6, 2, 4, 0)) AS v(k, start, "end", misses)"""
+    """Of each document its first two tokens, two from its middle and a word it lacks, placed again in order of mention."""
+    t = _docs(spark, sf).select("doc_id", F.regexp_extract_all("text", F.lit(TOKEN), 0).alias("tokens"))
+    half = F.floor(F.size("tokens") / 2).cast("int")
+    pair = lambda i: F.slice("tokens", i + 1, F.lit(2))
+    told = F.when(F.size("tokens") >= 6, F.array(pair(F.lit(0)), F.array(F.lit("no"), F.lit("such"), F.lit("word")), pair(half))).otherwise(F.array(F.array(F.lit("nowhere"))))
+    return spans.aligned(t.withColumn("entities", told), "doc_id")
+
+
+ALIGN = f"""
+WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, {_TOKEN}), lambda w: lower(w)) AS t FROM documents),
+h AS (SELECT doc_id, t, len(t) // 2 AS h FROM t),
+s AS (SELECT doc_id, t, list_filter(range(CASE WHEN t[1] = t[h + 1] AND t[2] = t[h + 2] THEN 2 ELSE 1 END, len(t) - 1), lambda i: t[i + 1] = t[h + 1] AND t[i + 2] = t[h + 2])[1] AS m FROM h WHERE len(t) >= 6)
+SELECT doc_id, 0 AS start, 2 AS "end", 1 AS misses FROM s
+UNION ALL SELECT doc_id, CAST(m AS INT), CAST(m + 2 AS INT), 1 FROM s
+UNION ALL SELECT doc_id, -1, -1, 1 FROM t WHERE len(t) < 6"""
 
 _CONLL_TEXT = "Ann Lee met Bob in New York."
 _CONLL = [(1, "PER", 0, 7), (1, "PER", 12, 15), (1, "LOC", 19, 27), (1, "CITY", 23, 27)]
