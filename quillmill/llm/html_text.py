@@ -12,6 +12,7 @@ import functools
 import html as html_module
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,14 +20,23 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|iframe|textarea|title|noembed|noframes|xmp)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>"
-    r"|<[!?/][^>]*+>",
-    re.S | re.I,
-)
+
+
+def _tokens_with(quoted: str) -> re.Pattern:
+    """Comments, elements whose text is no text, tags with quotes in attributes or without, other markup."""
+    return re.compile(
+        r"<!--.*?(?P<open>-->|\Z)"
+        r"|<(?P<raw>script|style|noscript|iframe|textarea|title|noembed|noframes|xmp)(?=[\s/>])[^>]*+>.*?(?P<shut></(?P=raw)\s*>|\Z)"
+        rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{quoted})>"
+        r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>"
+        r"|<[!?/][^>]*+>",
+        re.S | re.I,
+    )
+
+
+_TOKEN, _PLAIN = _tokens_with(r"(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+"), _tokens_with(r"(?!)")
+#: Tags with a quote that is never closed, after which quotes are no longer heeded in a page.
+_BROKEN = 16
 _ATTR = re.compile(r"([a-zA-Z_:@][^\s=/>\"']*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -35,7 +45,7 @@ _BLOCK = frozenset(
 _CONTAINER = frozenset("article main section div td body center blockquote table tbody tr".split())
 #: Start tags that close an open paragraph, and elements that close an open one of their own kind.
 _SAME = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}, "option": set()}
-_DROP_TAGS = frozenset("head nav footer aside form button label fieldset dialog menu search select template svg object canvas video audio datalist".split())
+_DROP_TAGS = frozenset("head nav footer aside button label fieldset dialog menu search select template svg object canvas video audio datalist".split())
 _DROP_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu menubar".split())
 _COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
 _HEADER_WORDS = frozenset("header headers masthead topbar".split())
@@ -49,6 +59,13 @@ _DROP_WORDS = (
         "adbox adsense adslot alert alerts aside banner banners consent copyright crumbs disclaimer disclaimers footers gdpr legal login menus modal modals navigation newsletters notice notices overlay overlays pager popups promos promotion promotions recommendations sidebars signup skip social sponsors subscription toc toolbar widget widgets".split()
     )
 )
+#: Names of what may stand inside an article and is not of it; there a compound is only judged where it is made of such names alone.
+_NOISE = frozenset(
+    "ad ads adbox adsense adslot advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comments commentlist cookie cookies disqus footer menu menus nav navbar navigation newsletter newsletters notice notices pagination popup popups promo promos promotion promotions recommended recommendations related replies respond share sharing sidebar sidebars signup social sponsor sponsored sponsors subscribe subscription toolbar".split()
+)
+_OF_NOISE = frozenset("post posts story stories article articles news content user users reader readers site page email more banner banners main primary secondary mobile sub dropdown".split())
+#: These say what a compound is wherever they end it.
+_LAST_NOISE = frozenset("ads advert adverts advertisement advertisements breadcrumb breadcrumbs comments commentlist footer nav navbar navigation newsletter pagination popup replies sidebar sidebars".split())
 _GOOD_WORDS = frozenset("article articlebody content entry post posts story main text body".split())
 #: A compound that begins or ends so tells of a state, not of what the element is: ``with-sidebar``, ``menu-open``.
 _STATE_FIRST = frozenset("with without has have no not non is are show hide can enable disable js".split())
@@ -62,11 +79,12 @@ _DIGITS = re.compile(r"\d+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "name", "good", "dropped", "word", "mass", "raw", "depth", "holds")
+    __slots__ = ("tag", "parent", "name", "good", "dropped", "word", "mass", "raw", "depth", "holds", "article", "inside", "heads")
 
     def __init__(self, tag: str, parent: _Node | None, name: str, good: bool, dropped: bool, word: str = ""):
         self.tag, self.parent, self.name, self.good, self.dropped, self.word = tag, parent, name, good, dropped, word
-        self.mass, self.raw, self.holds = 0.0, 0, False
+        self.mass, self.raw, self.holds, self.inside, self.heads = 0.0, 0, False, False, False
+        self.article = tag in ("article", "main") or (parent is not None and parent.article)
         self.depth = parent.depth + 1 if parent else 0
 
 
@@ -97,10 +115,23 @@ def judged(name: str) -> tuple[bool, str]:
     return good, ""
 
 
-def _in_article(node: _Node | None) -> bool:
-    while node is not None and node.tag not in ("article", "main"):
-        node = node.parent
-    return node is not None
+@functools.lru_cache(1 << 16)
+def noise(name: str) -> str:
+    """The word by which a class or id inside an article names something else, if all of it does.
+
+    ``related-posts`` and ``ad-box`` do; ``share-price``, ``ad-hoc``, ``legal`` may well be
+    parts of the article.
+    """
+    parts = [p.lower() for p in _WORD.findall(name)]
+    whole = "".join(parts)
+    if whole in _NOISE:
+        return whole
+    told = [p for p in parts if p not in _NEUTRAL]
+    if told and told[-1] in _LAST_NOISE and parts[0] not in _STATE_FIRST and parts[-1] not in _STATE_LAST:
+        return told[-1]
+    if told and all(p in _NOISE or p in _OF_NOISE for p in told) and (told[0] in _NOISE or told[-1] in _NOISE):
+        return next(p for p in (told[-1], told[0]) if p in _NOISE)
+    return ""
 
 
 def _element(tag: str, attrs: str, parent: _Node) -> _Node:
@@ -117,16 +148,18 @@ def _element(tag: str, attrs: str, parent: _Node) -> _Node:
                 if k == "class":
                     cls = ".".join(sorted(_DIGITS.sub("0", x) for x in v.lower().split())[:3])
     # The header of an article holds its title; any other is the page's.
-    bad = tag in _DROP_TAGS or role in _DROP_ROLES or (tag == "header" and not _in_article(parent))
-    good, word = tag in ("article", "main"), ""
+    bad = tag in _DROP_TAGS or role in _DROP_ROLES or (tag == "header" and not parent.article)
+    good, word = tag in ("article", "main"), "form" if tag == "form" else ""
     if tag in ("html", "body", "article", "main"):
         good = good or bool(names)
     else:
         for n in names:
             says, other = judged(n)
             good = good or says
-            if other and not (other in _HEADER_WORDS and _in_article(parent)):
-                word = other if not word or other in _COMMENT_WORDS else word
+            if parent.article:
+                other = noise(n)
+            if other:
+                word = other if word in ("", "form") or other in _COMMENT_WORDS else word
     return _Node(tag, parent, tag + ("." + cls if cls else ""), good, parent.dropped or bad, word)
 
 
@@ -134,13 +167,17 @@ def _text(segments: list[str]) -> str:
     return " ".join(html_module.unescape("".join(segments)).split())
 
 
-def parse(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
-    """Blocks of text outside dropped elements, each with its element; and all containers.
+def parse(page: str) -> tuple[list[tuple[_Node, str]], list[_Node], list[_Node]]:
+    """Blocks of text outside dropped elements, each with its element; all containers; all elements, outer ones first.
 
     Elements that their tag or role rules out are dropped as they are read.  A class or id
     only suggests it: an element that holds an ``article`` or ``main``, or most of the text
     of a page without one, is kept (by its text not if it is named after adverts, menus,
-    comments and the like, which no article is).
+    comments and the like, which no article is).  So is a form, which on many sites is the
+    whole page, and for its text also where it holds the page's headline.
+
+    All work is in proportion to the page: sums go from leaves to the root once, and a tag
+    is not searched for again where its end was not found.
     """
     root = _Node("#root", None, "", False, False)
     here, nodes, named = root, [root], []
@@ -148,6 +185,7 @@ def parse(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
     held: list[tuple[_Node, str, bool]] = []
     link = False
     open_tags: Counter = Counter()
+    every = [root]
 
     def flush() -> None:
         nonlocal held
@@ -158,7 +196,13 @@ def parse(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
     def open_(node: _Node) -> None:
         nonlocal here
         here = node
+        every.append(node)
         open_tags[node.tag] += 1
+        if node.tag == "h1" and not node.dropped:
+            up = node
+            while up is not None and not up.heads:
+                up.heads = True
+                up = up.parent
         if node.word and not node.dropped:
             named.append(node)
         if node.tag in ("article", "main") and not node.dropped:
@@ -177,10 +221,11 @@ def parse(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
                 return
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    for m in _tokens(page):
         if m.start() > at and not here.dropped:
             held.append((here, page[at : m.start()], link))
-        at = m.end()
+        # What is not closed before the last tag goes on to the end of the page.
+        at = len(page) if m["open"] == "" or m["shut"] == "" else m.end()
         tag = m["tag"] or m["tag2"]
         if tag is None:
             continue
@@ -231,13 +276,13 @@ def parse(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
     if named:
         for _, segments in raw:
             for node, text, _ in segments:
-                n = len(text.strip())
-                while n and node is not None:
-                    node.raw += n
-                    node = node.parent
+                node.raw += len(text.strip())
+        for node in reversed(every[1:]):
+            node.parent.raw += node.raw
         for node in named:
             most = not root.holds and 2 * node.raw > root.raw and node.word not in _COMMENT_WORDS and node.word not in _LEADING_WORDS
-            if not (node.holds or most):
+            headed = node.word == "form" and not root.holds and node.heads
+            if not (node.holds or most or headed):
                 node.dropped = True
     gone: dict[int, bool] = {}
 
@@ -262,12 +307,24 @@ def parse(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
         if text:
             blocks.append((element, text))
             links = sum(len(t) for _, t, linked in kept if linked)
-            gain = len(text) * (1 - min(1.0, links / len(text)))
-            up = element
-            while up is not None:
-                up.mass += gain
-                up = up.parent
-    return blocks, nodes
+            element.mass += len(text) * (1 - min(1.0, links / len(text)))
+    for node in reversed(every[1:]):
+        node.parent.mass += node.mass
+    return blocks, nodes, every
+
+
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Markup in order.  Nothing behind the last ``>`` is any; after some tags with an open quote, quotes are not heeded."""
+    at, end, broken, pattern = 0, page.rfind(">") + 1, 0, _TOKEN
+    while at < end:
+        for m in pattern.finditer(page, at, end):
+            yield m
+            broken += m["tag2"] is not None
+            if broken >= _BROKEN and pattern is _TOKEN:
+                at, pattern = m.end(), _PLAIN
+                break
+        else:
+            return
 
 
 def path(node: _Node) -> str:
@@ -285,23 +342,35 @@ def best_container(nodes: list[_Node]) -> _Node:
     return max(nodes, key=lambda n: (n.mass / total + 0.25 * n.good * (n.mass > 0) + 0.01 * min(n.depth, 20) * (n.mass > 0.6 * total), -n.depth))
 
 
-def _inside(node: _Node, tops: set[int]) -> bool:
-    while node is not None:
-        if id(node) in tops:
-            return True
-        node = node.parent
-    return False
+def _headline(blocks: list[tuple[_Node, str]]) -> set[int]:
+    """Blocks of a headline before the containers, and of the paragraphs between: a page's only one, beside what holds them.
+
+    Nothing if the containers have a headline of their own.
+    """
+    first = next((i for i, (n, _) in enumerate(blocks) if n.inside), 0)
+    tops = [i for i, (n, _) in enumerate(blocks) if n.tag == "h1"]
+    if len(tops) != 1 or tops[0] >= first:
+        return set()
+    beside, top = blocks[tops[0]][0].parent, blocks[first][0]
+    while top is not None and top is not beside:
+        top = top.parent
+    if top is None:
+        return set()
+    return {i for i in range(tops[0], first) if i == tops[0] or (blocks[i][0].parent is beside and blocks[i][0].tag in ("p", "h2", "h3") and blocks[i][0].mass > 0)}
 
 
 def main_text(page: str, winner: str | None) -> str:
-    """The text of the containers on the winning path, or of the page's own best one."""
-    blocks, nodes = parse(page)
+    """The text of the containers on the winning path, or of the page's own best one, with the headline right before them."""
+    blocks, nodes, every = parse(page)
     tops: set[int] = set()
     if winner is not None:
         tops = {id(n) for n in nodes if n.mass > 0 and n.parent is not None and path(n) == winner}
     if not tops:
         tops = {id(best_container(nodes))}
-    return "\n".join(t for n, t in blocks if _inside(n, tops))
+    for n in every:
+        n.inside = id(n) in tops or (n.parent is not None and n.parent.inside)
+    more = _headline(blocks)
+    return "\n".join(t for i, (n, t) in enumerate(blocks) if n.inside or i in more)
 
 
 def host(url: Column) -> Column:
@@ -318,7 +387,7 @@ def consensus_paths(pages: DataFrame, url: str = "url", html: str = "html") -> D
             for h, p in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 page = p.as_py()
                 if page:
-                    _, nodes = parse(page)
+                    _, nodes, _ = parse(page)
                     top = best_container(nodes)
                     if top.mass > 0 and top.parent is not None:
                         votes[h, path(top)] += 1

@@ -1,13 +1,15 @@
-"""Hard negatives, importance resampling and improbable-feature digests against brute-force versions and odd rows."""
+"""Hard negatives, importance resampling, improbable-feature digests and article texts against brute-force versions and odd rows."""
 
 from __future__ import annotations
 
 import collections
 import hashlib
+import html.parser
 import math
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import digest, knn, queries, resample
+from quillmill.llm import digest, html_text, knn, queries, resample
 from quillmill.llm import kernel as K
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -296,3 +298,91 @@ def test_digests_of_odd_rows(spark):
     assert len(same) == 3 and {r.near_next for r in same} == {1.0}
     assert [r.near_next for r in digest.fingerprint_documents(df.where("doc_id = 5")).collect()] == [1.0]
     assert digest.fingerprint_documents(df.where("false")).collect() == []
+
+
+# -- articles ---------------------------------------------------------------------------------
+
+_P = "<p>" + "some words of the text " * 20 + "</p>"
+_T = " ".join(("some words of the text " * 20).split())
+
+
+@pytest.mark.parametrize("name", ["legal", "share-price", "menu-planning", "comment-of-the-day", "ad-hoc", "footer-notes", "cookie-recipes"])
+def test_parts_of_an_article_stay(name):
+    assert html_text.main_text(f'<body><article><h1>A</h1>{_P}<div class="{name}"><p>kept</p></div><section id="{name}">too</section></article></body>', None) == f"A\n{_T}\nkept\ntoo"
+
+
+@pytest.mark.parametrize("name", ["related-posts", "ad-box", "post-comments", "share-buttons", "ad", "newsletter-signup", "comments", "sidebar-left", "user-comments"])
+def test_noise_in_an_article_goes(name):
+    assert html_text.main_text(f'<body><article><h1>A</h1>{_P}<div class="{name}"><p>gone</p></div></article></body>', None) == f"A\n{_T}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><form id="aspnetForm"><div class="content"><h1>A</h1>{_P}</div><input></form></body>',
+        f'<body><form action="x"><nav>n</nav><article><h1>A</h1>{_P}</article></form></body>',
+        f'<div class="page"><h1>A</h1><div class="body">{_P}</div></div>',
+        f'<body><h1>A</h1><div class="article-body">{_P}</div><div>other</div></body>',
+        f"<body><article><h1>A</h1>{_P}<form><p>subscribe</p></form></article></body>",
+        f'<body><form>search</form><div class="story"><h1>A</h1>{_P}</div></body>',
+    ],
+)
+def test_forms_and_headlines(page):
+    assert html_text.main_text(page, None) == f"A\n{_T}"
+
+
+@pytest.mark.parametrize("bit", ["<div>x", '<a "', "<a <script x", "<a \"'>x", "<li><div>x", "<b class=x>y", '<a b="c>x ', "</p>x", "<!--", "<table><tr><td>x"])
+def test_hostile_pages_take_time_in_proportion(bit):
+    def took(n):
+        began = time.process_time()
+        html_text.main_text(bit * (n // len(bit)), None)
+        return time.process_time() - began
+
+    took(20_000)
+    assert took(400_000) < 10 * max(took(100_000), 0.1)  # the square would be 16 times
+
+
+def test_broken_quotes_lose_no_text():
+    assert html_text.main_text("<article>" + '<a b="c>x ' * 40 + "<p>end</p></article>", None).endswith("end")
+    assert html_text.main_text("<article><p>a < b</p><p>c", None) == "a < b\nc"
+    assert html_text.main_text("<article><p>a</p><script>var x = '<p>no</p>'; y", None) == "a"
+
+
+class _Article(html.parser.HTMLParser):
+    """The text of articles by another parser: blocks at every tag but inline ones."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skip, self.blocks = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skip += tag in ("script", "style", "nav", "aside", "footer", "form")
+        self.blocks += [""] * (tag not in ("b", "i", "a", "em", "strong", "span", "br", "code"))
+        self.handle_data(" " * (tag == "br"))
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.skip -= tag in ("script", "style", "nav", "aside", "footer", "form")
+        self.blocks += [""] * (tag not in ("b", "i", "a", "em", "strong", "span", "br", "code"))
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.blocks[-1] += data
+
+
+@have_tables
+def test_article_query_equals_another_parser(spark):
+    """The registered query over its whole table: pages with an article, by Python's own parser."""
+    got = {r.page_id: r for r in queries.op10_consensus_html(spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    seen = 0
+    for p in pages:
+        if p.html and "<article" in p.html:
+            walk = _Article()
+            walk.feed(p.html)
+            want = "\n".join(x for x in (" ".join(b.split()) for b in walk.blocks) if x)
+            assert got[p.page_id].text == want and got[p.page_id].n_chars == len(want)
+            seen += 1
+    assert seen > len(pages) // 3
