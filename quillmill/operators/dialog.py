@@ -88,6 +88,30 @@ def few_shot(samples: DataFrame, seed: str = "fewshot", least: int = 2, most: in
     return out.select("task", "id", "k", F.concat(blocks, F.lit("\n\nQuestion: "), F.col("_q"), F.lit("\nAnswer: ")).alias("input"), "target")
 
 
+def tagged_few_shot(samples: DataFrame, system: bool = False, tag: str = "<LM>", end: str = "</s>", seed: str = "fewshot", **bounds) -> DataFrame:
+    """:func:`few_shot` of instruction rows ``task, id, prompt, input, target``: inputs hold the tag, the prompt and a question.
+
+    Questions are shown without tag and prompt, answers of examples without their end mark.
+    The tag stands once before all, with ``system`` followed by the prompt.  An input without
+    its task's prompt, or a task in which some inputs have the tag and others not, stops the
+    job.
+    """
+    tagged = F.startswith("input", F.lit(tag))
+    bare = F.when(tagged, F.substr("input", F.lit(len(tag) + 1))).otherwise(F.col("input"))
+    stop = lambda say: F.raise_error(F.concat(F.lit(say), F.col("task"))).cast("string")
+    question = F.when(F.startswith(bare, F.col("prompt")), F.trim(F.substr(bare, F.length("prompt") + 1))).otherwise(stop("an input lacks the prompt of task "))
+    answer = F.when(F.endswith("target", F.lit(end)), F.substr("target", F.lit(1), F.length("target") - len(end))).otherwise(F.col("target"))
+    plain = samples.select("task", "id", question.alias("input"), answer.alias("target"))
+    shown = few_shot(plain, seed, **bounds)
+    # One row a task: its prompt, and that all its inputs have the tag or none.
+    heads = samples.groupBy(F.col("task").alias("_task")).agg(F.min("prompt").alias("_prompt"), F.min(tagged).alias("_all"), F.max(tagged).alias("_any"))
+    lead = F.when(F.col("_all") & F.col("_any"), tag).when(~F.col("_any"), "").otherwise(F.raise_error(F.concat(F.lit("tagged and untagged inputs in task "), F.col("_task"))).cast("string"))
+    heads = heads.select("_task", F.concat(lead, F.concat("_prompt", F.lit(" ")) if system else F.lit("")).alias("_lead"))
+    own = samples.select(F.col("task").alias("_t"), F.col("id").alias("_id"), F.col("target").alias("_target"))
+    out = shown.join(heads, F.col("task") == F.col("_task")).join(own, (F.col("task") == F.col("_t")) & (F.col("id") == F.col("_id")))
+    return out.select("task", "id", "k", F.concat("_lead", "input").alias("input"), F.col("_target").alias("target"))
+
+
 def choice_prompt(question: Column, answers: Column, seed: str, key: Column, most: int = 5) -> tuple[Column, Column]:
     """(prompt, letter of the best answer) from ``array<struct<answer, score>>``.
 

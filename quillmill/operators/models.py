@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, judged_bad
+from .storage import stored
 
 
 def _batched(rows: DataFrame, text: str, out: str, kind: str, factory: Callable, batch: int) -> DataFrame:
@@ -200,6 +201,19 @@ def token_lengths(texts: list[str]) -> list[int]:
     return [len(t.split()) for t in texts]
 
 
+def capped_samples(samples: DataFrame, most: int, task: str = "task", factory: Callable | None = None) -> DataFrame:
+    """The samples whose input and target have at most ``most`` tokens each, by an injected tokenizer.
+
+    A task that the cap leaves without samples stops the job, as a cap that is too strict.
+    """
+    both = measured(measured(samples, "input", "_n_in", factory), "target", "_n_out", factory)
+    sized = stored(both.withColumn("_fits", (F.col("_n_in") <= most) & (F.col("_n_out") <= most)), "sized")
+    empty = sized.groupBy(task).agg(F.max("_fits").alias("_any")).where("NOT _any").orderBy(task).first()
+    if empty is not None:
+        raise ValueError(f"at most {most} tokens leave no samples of task {empty[task]}")
+    return sized.where("_fits").drop("_n_in", "_n_out", "_fits")
+
+
 def measured(rows: DataFrame, text: str, out: str = "n_tokens", factory: Callable | None = None, batch: int = 512) -> DataFrame:
     """Add lengths by an injected tokenizer, once for each row, to filter on."""
     return _batched(rows, text, out, "long", factory or (lambda: token_lengths), batch)

@@ -9,7 +9,7 @@ from ..functions import catalog
 from ..functions.hashing import pick
 from ..functions.similarity import environment
 from ..functions.text import TOKEN, WS, collapse
-from ..operators import dialog, tasks
+from ..operators import dialog, models, tasks
 from .tables import sql_hash, sql_pick, sql_text, table
 
 _WS, _TOKEN = sql_text(WS), sql_text(TOKEN)
@@ -101,6 +101,38 @@ SELECT task, id, any_value(k) AS k, string_agg(block, chr(10) || chr(10) ORDER B
   any_value(target) AS target FROM j GROUP BY task, id"""
 
 
+_PROMPTS = ("Answer the user.", "Go on with the talk.", "Say what comes next.")
+
+
+def tagged_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Few-shot prompts of tagged instruction rows, with the task's prompt once before the examples."""
+    n = F.col("conv_id") % 3
+    prompt = F.get(F.array(*map(F.lit, _PROMPTS)), n.cast("int"))
+    c = _pairs(spark, sf).select(F.concat(F.lit("part"), n.cast("string")).alias("task"), F.concat_ws("-", "conv_id", "turn").alias("id"), prompt.alias("prompt"), F.concat(F.lit("<LM>"), prompt, F.lit(" "), F.col("input")).alias("input"), "target")
+    return dialog.tagged_few_shot(c, system=True)
+
+
+_CUT = f"""{_PAIRS}, s AS (SELECT 'part' || (conv_id % 3) AS task, conv_id || '-' || turn AS id, trim(input) AS input, regexp_replace(target, '</s>$', '') AS target, target AS own, conv_id % 3 AS n FROM pairs)"""
+TAGGED = f"""
+WITH {_CUT}, f AS (SELECT * FROM s WHERE length(input) <= 3500),
+r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY {sql_hash('fewshot', 'task', 'id')}, id) - 1 AS r, count(*) OVER (PARTITION BY task) AS m,
+  2 + {sql_pick('fewshot-k', 4, 'task', 'id')} AS k FROM f),
+j AS (SELECT a.task, a.id, a.k, a.input, a.own, a.n, i, 'Question: ' || b.input || chr(10) || 'Answer: ' || b.target AS block
+  FROM (SELECT *, unnest(range(1, k + 1)) AS i FROM r WHERE m > 5) a JOIN r b ON a.task = b.task AND b.r = (a.r + a.i) % a.m)
+SELECT task, id, any_value(k) AS k, '<LM>' || CASE any_value(n) WHEN 0 THEN '{_PROMPTS[0]}' WHEN 1 THEN '{_PROMPTS[1]}' ELSE '{_PROMPTS[2]}' END || ' ' || string_agg(block, chr(10) || chr(10) ORDER BY i)
+  || chr(10) || chr(10) || 'Question: ' || any_value(input) || chr(10) || 'Answer: ' AS input, any_value(own) AS target FROM j GROUP BY task, id"""
+
+
+def capped_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of at most 150 white-space words a side, by the injected counter; no part of the dialogues may be left empty."""
+    c = _pairs(spark, sf).select(F.concat(F.lit("part"), (F.col("conv_id") % 3).cast("string")).alias("task"), F.concat_ws("-", "conv_id", "turn").alias("id"), "input", "target")
+    return models.capped_samples(c, 150).select("task", "id")
+
+
+CAPPED = f"""WITH {_PAIRS} SELECT 'part' || (conv_id % 3) AS task, conv_id || '-' || turn AS id FROM pairs
+WHERE len(regexp_extract_all(input, '\\S+')) <= 150 AND len(regexp_extract_all(target, '\\S+')) <= 150"""
+
+
 def best_answer(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     return dialog.best_answers(d.select("source", F.concat(F.lit("From "), F.col("source")).alias("question"), F.col("text").alias("answer"), F.col("quality").alias("score")), "source", "question", "answer", "score")
@@ -155,6 +187,8 @@ QUERIES = {
     "length_cap_pairs": length_cap_pairs,
     "length_environment": length_environment,
     "fewshot_prompts": fewshot_prompts,
+    "tagged_prompts": tagged_prompts,
+    "capped_tasks": capped_tasks,
     "best_answer": best_answer,
     "multiple_choice": multiple_choice,
     "synonym_expand": synonym_expand,
@@ -167,6 +201,8 @@ ORACLES = {
     "length_cap_pairs": CAPS,
     "length_environment": ENVIRONMENT,
     "fewshot_prompts": FEWSHOT,
+    "tagged_prompts": TAGGED,
+    "capped_tasks": CAPPED,
     "best_answer": BEST,
     "multiple_choice": CHOICE,
     "synonym_expand": SYNONYMS,

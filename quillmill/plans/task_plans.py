@@ -11,6 +11,7 @@ from ..functions import text
 from ..functions.hashing import pick
 from ..functions.text import TOKEN, WS
 from ..operators import dialog, models, sampling, spans, tasks
+from ..operators.ranking import ranked
 from .tables import sql_hash, sql_pick, sql_text, table
 
 _TOKEN, _WS = sql_text(TOKEN), sql_text(WS)
@@ -75,7 +76,7 @@ def paired_lines(spark: SparkSession, sf: str) -> DataFrame:
     """English documents beside as many German ones, first with first; their lengths."""
     d = table(spark, sf, "documents")
     n = min(d.where("lang = 'en'").count(), d.where("lang = 'de'").count())
-    side = lambda lang: d.where(F.col("lang") == lang).select("doc_id", F.length("text").alias("n")).orderBy("doc_id").limit(n)
+    side = lambda lang: ranked(d.where(F.col("lang") == lang).select("doc_id", F.length("text").alias("n")), ["doc_id"]).where(F.col("rank") < n).drop("rank")
     both = tasks.paired_by_position(side("en").toDF("en_id", "en_n"), side("de").toDF("de_id", "de_n"), ["en_id"], ["de_id"])
     return both.select("row", "en_id", "en_n", "de_id", "de_n")
 
@@ -245,15 +246,15 @@ SINGLE = "SELECT * FROM (VALUES (true, true), (false, true)) AS v(main, near_hal
 
 
 def distinct_samples(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct answers of each role, one text a task: lines joined in order, and negative sentences read back."""
-    c = table(spark, sf, "conversations").where("text IS NOT NULL").select(F.col("role").alias("task"), F.substring("text", 1, 20).alias("input"), F.lit(_NEGATIVE).alias("target"))
+    """Distinct beginnings of a dialogue's turns as one text: lines joined in order, and negative sentences read back."""
+    c = table(spark, sf, "conversations").where("text IS NOT NULL").select(F.col("conv_id").cast("string").alias("task"), F.substring("text", 1, 20).alias("input"), F.lit(_NEGATIVE).alias("target"))
     d = tasks.distinct_samples(c)
     g = tasks.joined_lines(d, ["task"], "input", "input")
     return g.select("task", F.md5("answer").alias("lines_md5"), text.says_only(F.lit("Here: NOTHING!"), _NEGATIVE).alias("says_nothing"))
 
 
 DISTINCT = """
-WITH d AS (SELECT DISTINCT role AS task, substr(text, 1, 20) AS input FROM conversations WHERE text IS NOT NULL)
+WITH d AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS task, substr(text, 1, 20) AS input FROM conversations WHERE text IS NOT NULL)
 SELECT task, md5(string_agg(input, chr(10) ORDER BY input)) AS lines_md5, true AS says_nothing FROM d GROUP BY task"""
 
 QUERIES = {

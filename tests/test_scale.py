@@ -153,3 +153,49 @@ def test_typos_are_told_apart_by_digests(spark):
     got = generate.typo_augmented(rows, "k").collect()
     assert len({r.text for r in got}) == len(got) and not {r.text for r in got} & {"some text here", "other text there"}
     assert np.all([r.text is not None for r in got])
+
+
+def _text_of(spark, path):
+    import json
+    import os
+
+    parts = json.loads(open(f"{path}/_manifest.json").read())
+    data = b"".join(open(f"{path}/{p['name']}", "rb").read() for p in parts)
+    assert [p["length"] for p in parts] == [os.path.getsize(f"{path}/{p['name']}") for p in parts] and sum(p["length"] for p in parts) == len(data)
+    return data.decode(), parts
+
+
+def test_structured_sets_in_fragments(spark, tmp_path):
+    import json
+
+    from quillmill.sources import sinks
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["train", "validation"]), rnd.choice(['a "b"]', "c[", "ü"]), f"in {i % 90} \n{{[", f'out "{i % 7}]') for i in range(300)]
+    samples = spark.createDataFrame(rows, "split string, task string, input string, target string").repartition(5)
+    corpus = spark.createDataFrame([(f"text ]}} {i % 40}",) for i in range(80)], "text string")
+    assert sinks.write_structured(samples, corpus, str(tmp_path / "set")) is None  # this store cannot concatenate
+    text, parts = _text_of(spark, str(tmp_path / "set"))
+    assert sum(p["length"] > 0 for p in parts) > 1
+    assert json.loads(text) == json.loads(sinks.structured_json(samples.distinct(), corpus).first()[0])
+    sinks.write_structured(samples, corpus.where("false"), str(tmp_path / "bare"))
+    assert json.loads(_text_of(spark, str(tmp_path / "bare"))[0])["text_corpus"] == []
+    with pytest.raises(ValueError, match="training and validation"):
+        sinks.write_structured(samples.where("split = 'train'"), corpus, str(tmp_path / "odd"))
+
+
+def test_prompts_and_caps_that_must_fail(spark):
+    from quillmill.operators import models
+
+    rows = [("t", i, "Do it.", f"{'<LM>' if i else ''}Do it. q{i}", f"a{i}</s>") for i in range(8)]
+    schema = "task string, id int, prompt string, input string, target string"
+    with pytest.raises(Exception, match="tagged and untagged"):
+        dialog.tagged_few_shot(spark.createDataFrame(rows, schema)).collect()
+    with pytest.raises(Exception, match="lacks the prompt"):
+        dialog.tagged_few_shot(spark.createDataFrame([*rows[1:], ("t", 9, "Do it.", "<LM>Do that. q", "a</s>")], schema)).collect()
+    got = dialog.tagged_few_shot(spark.createDataFrame(rows[1:], schema), system=True).collect()
+    assert len(got) == 7 and all(r.input.startswith("<LM>Do it. Question: q") and "</s>" not in r.input and r.target.endswith("</s>") for r in got)
+    pairs = spark.createDataFrame([("a", "x y", "z"), ("b", "x y z w", "z")], "task string, input string, target string")
+    assert [r.task for r in models.capped_samples(pairs, 4).orderBy("task").collect()] == ["a", "b"]
+    with pytest.raises(ValueError, match="task b"):
+        models.capped_samples(pairs, 3)
