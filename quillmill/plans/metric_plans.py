@@ -76,17 +76,24 @@ c AS (SELECT lang, count(*) FILTER (p = 'yes' AND t = 'yes')::DOUBLE AS yt, coun
 f AS (SELECT lang, CASE WHEN yt + yp + yn = 0 THEN 0 ELSE yt / (yt + 0.5::DOUBLE * (yp + yn)) END AS y, CASE WHEN nt + np + nn = 0 THEN 0 ELSE nt / (nt + 0.5::DOUBLE * (np + nn)) END AS n FROM c)
 SELECT lang, round(y, 6) AS f1_yes, round(n, 6) AS f1_no, round((y + n) / 2, 6) AS f1 FROM f"""
 
-_TRUE = [(1, "PER", 0, 7), (1, "LOC", 9, 12), (2, "PER", 3, 5), (2, "ORG", 8, 9)]
-_PRED = [(1, "PER", 0, 7), (1, "LOC", 9, 11), (2, "PER", 3, 5), (2, "PER", 6, 7)]
-
-
 def entity_macro_f1(spark: SparkSession, sf: str) -> DataFrame:
-    s = "doc_id int, class string, start int, end int"
-    per = metrics.entity_f1(spark.createDataFrame(_PRED, s), spark.createDataFrame(_TRUE, s))
+    """Spans named by language and source, some shifted and some left out, against the whole ones."""
+    d = table(spark, sf, "documents")
+    last = (F.col("n_chars") % 7 + 1).cast("int")
+    by = lambda c, start, end: d.select("doc_id", F.col(c).alias("class"), F.lit(start).alias("start"), end.alias("end"))
+    truth = by("lang", 0, last).unionByName(by("source", 10, F.lit(12)))
+    made = by("lang", 0, last + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).unionByName(by("source", 10, F.lit(12)).where("doc_id % 11 <> 0"))
+    per = metrics.entity_f1(made, truth)
     return per.unionByName(metrics.macro_f1(per).select(F.lit("macro").alias("class"), *(F.lit(None).cast("long").alias(c) for c in ("tp", "fp", "fn")), F.col("macro_f1").alias("f1")))
 
 
-ENTITY = """SELECT * FROM (VALUES ('PER', 2::BIGINT, 1::BIGINT, 0::BIGINT, 0.8::DOUBLE), ('LOC', 0, 1, 1, 0.0), ('ORG', 0, 0, 1, 0.0), ('macro', NULL, NULL, NULL, 0.266667)) AS v(class, tp, fp, fn, f1)"""
+ENTITY = """
+WITH t AS (SELECT doc_id, lang AS class, 0 AS start, n_chars % 7 + 1 AS fin FROM documents UNION SELECT doc_id, source, 10, 12 FROM documents),
+p AS (SELECT doc_id, lang AS class, 0 AS start, n_chars % 7 + 1 + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS fin FROM documents UNION SELECT doc_id, source, 10, 12 FROM documents WHERE doc_id % 11 <> 0),
+j AS (SELECT coalesce(t.class, p.class) AS class, t.doc_id IS NOT NULL AS is_t, p.doc_id IS NOT NULL AS is_p FROM t FULL JOIN p ON t.doc_id = p.doc_id AND t.class = p.class AND t.start = p.start AND t.fin = p.fin),
+g AS (SELECT class, count(*) FILTER (is_t AND is_p) AS tp, count(*) FILTER (is_p AND NOT is_t) AS fp, count(*) FILTER (is_t AND NOT is_p) AS fn FROM j GROUP BY class),
+f AS (SELECT *, round(CASE WHEN tp + fp + fn = 0 THEN 0 ELSE tp / (tp + 0.5::DOUBLE * (fp + fn)) END, 6) AS f1 FROM g)
+SELECT * FROM f UNION ALL SELECT 'macro', NULL, NULL, NULL, round(avg(f1), 6) FROM f"""
 
 
 def cosine_f1(spark: SparkSession, sf: str) -> DataFrame:

@@ -115,24 +115,15 @@ k AS (SELECT *, sum(is_title::INT) OVER (ORDER BY doc_id, line) AS section FROM
 t AS (SELECT *, max(CASE WHEN is_title THEN t END) OVER (PARTITION BY section) AS title FROM k)
 SELECT CAST(section AS BIGINT) AS section, title, md5(string_agg(CASE WHEN short THEN title ELSE t END, chr(10) ORDER BY doc_id, line)) AS body_md5 FROM t WHERE NOT is_title GROUP BY section, title"""
 
-_LONG = "this line is long enough to count as body text for sure"
-_WIKI = [(1, 1, "Title one"), (1, 2, _LONG + " a"), (1, 3, "Second"), (1, 4, "short body"), (1, 5, "Third"), (1, 6, _LONG + " b"), (1, 7, _LONG + " c"), (1, 8, "left over"),
-         (2, 1, _LONG + " as a first line"), (2, 2, _LONG + " d"), (3, 1, "alone"), (4, 1, "T"), (4, 2, ""), (4, 3, "b"), (4, 4, _LONG)]
-
-
 def wiki_sections(spark: SparkSession, sf: str) -> DataFrame:
-    return sections.wiki_sections(spark.createDataFrame(_WIKI, "doc int, n int, line string")).select("doc", F.col("section").cast("long"), "title", "body")
+    """The lines of each document as those of an article."""
+    lines = spans.lines_with_offsets(_docs(spark, sf))
+    return sections.wiki_sections(lines, "doc_id", "line", "raw").select("doc_id", F.col("section").cast("long"), "title", F.md5("body").alias("body_md5"))
 
 
-_WIKI_SQL = ", ".join(f"({d}, {n}, '{s}')" for d, n, s in _WIKI)
-WIKI = f"""
-WITH v AS (SELECT * FROM (VALUES {_WIKI_SQL}) AS v(doc, n, line) WHERE line <> ''),
-s AS (SELECT *, len(list_filter(regexp_extract_all(line, {_TOKEN}), lambda w: regexp_full_match(w, '[\\p{{L}}\\p{{N}}]+'))) <= 7 OR row_number() OVER (PARTITION BY doc ORDER BY n) = 1 AS short FROM v),
-r AS (SELECT *, sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY n) AS run FROM s),
-i AS (SELECT *, short AND sum(short::INT) OVER (PARTITION BY doc, run ORDER BY n) % 2 = 1 AS is_title FROM r),
-k AS (SELECT *, sum(is_title::INT) OVER (PARTITION BY doc ORDER BY n) AS section FROM i),
-t AS (SELECT *, max(CASE WHEN is_title THEN line END) OVER (PARTITION BY doc, section) AS title FROM k)
-SELECT doc, CAST(section AS BIGINT) AS section, title, string_agg(CASE WHEN short THEN title ELSE line END, chr(10) ORDER BY n) AS body FROM t WHERE NOT is_title GROUP BY doc, section, title"""
+WIKI = JOINED_SECTIONS.replace("OVER (ORDER BY doc_id, line)", "OVER (PARTITION BY doc_id ORDER BY line)").replace("PARTITION BY run ORDER BY doc_id, line", "PARTITION BY doc_id, run ORDER BY line").replace("PARTITION BY section)", "PARTITION BY doc_id, section)")
+WIKI = WIKI.replace("SELECT CAST(section AS BIGINT)", "SELECT doc_id, CAST(section AS BIGINT)").replace("chr(10) ORDER BY doc_id, line)", "chr(10) ORDER BY line)").replace("GROUP BY section, title", "GROUP BY doc_id, section, title")
+
 
 def interval_union(spark: SparkSession, sf: str) -> DataFrame:
     """Spells of a few minutes behind each event, merged for each of seven groups of users."""
@@ -214,19 +205,17 @@ SELECT doc_id, 0 AS start, 2 AS "end", 1 AS misses FROM s
 UNION ALL SELECT doc_id, CAST(m AS INT), CAST(m + 2 AS INT), 1 FROM s
 UNION ALL SELECT doc_id, -1, -1, 1 FROM t WHERE len(t) < 6"""
 
-_CONLL_TEXT = "Ann Lee met Bob in New York."
-_CONLL = [(1, "PER", 0, 7), (1, "PER", 12, 15), (1, "LOC", 19, 27), (1, "CITY", 23, 27)]
-
-
 def conll_rows(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.createDataFrame([(1, _CONLL_TEXT)], "doc_id int, text string")
-    e = spark.createDataFrame(_CONLL, "doc_id int, class string, start int, end int")
-    return spans.conll_text(spans.bio_tags(spans.token_spans(d), e))
+    """Documents that hold a benchmark passage, a token and its tags a line."""
+    d = _docs(spark, sf)
+    hits = spans.phrase_hits(d, table(spark, sf, "benchmark")).withColumn("class", F.lit("bench"))
+    held = d.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    return spans.conll_text(spans.bio_tags(spans.token_spans(held), hits)).select("doc_id", F.md5("target").alias("target_md5"))
 
 
-_TAB = "' || chr(9) || '"
-_NL = "' || chr(10) || '"
-CONLL = f"""SELECT 1 AS doc_id, 'Ann{_TAB}B-PER{_NL}Lee{_TAB}I-PER{_NL}met{_TAB}O{_NL}Bob{_TAB}B-PER{_NL}in{_TAB}O{_NL}New{_TAB}B-LOC{_NL}York{_TAB}I-LOC,B-CITY{_NL}.{_TAB}O' AS target"""
+CONLL = BIO.replace("SELECT doc_id, CAST(tok AS INT) AS tok, token, string_agg(tag, ',' ORDER BY start, last) AS tags FROM j GROUP BY doc_id, tok, token", """,
+g AS (SELECT doc_id, tok, string_agg(tag, ',' ORDER BY start, last) AS tags FROM j GROUP BY doc_id, tok)
+SELECT doc_id, md5(string_agg(token || chr(9) || coalesce(tags, 'O'), chr(10) ORDER BY tok)) AS target_md5 FROM e LEFT JOIN g USING (doc_id, tok) GROUP BY doc_id""").replace("\n,\ng AS", ",\ng AS")
 
 QUERIES = {
     "paragraph_spans": paragraph_spans,

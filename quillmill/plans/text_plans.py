@@ -148,33 +148,21 @@ CORPUS = f"""
 SELECT DISTINCT t AS text, CAST(length(t) AS BIGINT) AS n_chars FROM (
   SELECT trim(regexp_replace(text, {_WS}, ' ', 'g')) AS t FROM documents UNION ALL SELECT trim(regexp_replace(text, {_WS}, ' ', 'g')) FROM conversations) WHERE t <> ''"""
 
-_LINKS = (
-    "plain text",
-    "see [[Page]] here",
-    "a [[Page|shown words]] b",
-    "x [[]] y",
-    "many [[a|b|c]] bars",
-    "two [[A]] and [[B|bee]]",
-    "open [[never closed",
-    "nested [[out|[[in|core]] end",
-    "deep [[a|[[b|[[c|[[d|e]]]]]]]] end",
-    "[[[[[[x]]]]]]",
-)
-
-
 def wiki_links(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.createDataFrame([(i, s) for i, s in enumerate(_LINKS)], "k int, s string")
-    return d.select("k", text.remove_links(F.col("s")).alias("clean"))
+    """Documents with words turned into links, plain, renamed and nested, as their shown text."""
+    linked = F.regexp_replace(F.coalesce("text", F.lit("")), "([a-z]+) ([a-z]+) (of|de|und|la) ", "[[$1|$2]] [[$3]] [[never closed ")
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("see [[out|[[in|"), F.left("text", F.lit(20)), F.lit("]]]] and [[a|b|c]] [[]] "), linked).alias("s"))
+    return d.select("doc_id", F.md5(text.remove_links(F.col("s"))).alias("clean_md5"))
 
 
 def _sql_links() -> str:
     link = sql_text(text.WIKILINK)
-    rows = ", ".join(f"({i}, '{s}')" for i, s in enumerate(_LINKS))
     return f"""
-WITH RECURSIVE r AS (
-  SELECT k, trim(regexp_replace(s, {_WS}, ' ', 'g')) AS s, 0 AS i FROM (VALUES {rows}) AS v(k, s)
-  UNION ALL SELECT k, trim(regexp_replace(regexp_replace(s, {link}, '\\1', 'g'), {_WS}, ' ', 'g')), i + 1 FROM r WHERE regexp_matches(s, {link}))
-SELECT k, arg_max(s, i) AS clean FROM r GROUP BY k"""
+WITH RECURSIVE d AS (SELECT doc_id, 'see [[out|[[in|' || left(text, 20) || ']]]] and [[a|b|c]] [[]] ' || regexp_replace(coalesce(text, ''), '([a-z]+) ([a-z]+) (of|de|und|la) ', '[[\\1|\\2]] [[\\3]] [[never closed ', 'g') AS s FROM documents),
+r AS (
+  SELECT doc_id, trim(regexp_replace(s, {_WS}, ' ', 'g')) AS s, 0 AS i FROM d
+  UNION ALL SELECT doc_id, trim(regexp_replace(regexp_replace(s, {link}, '\\1', 'g'), {_WS}, ' ', 'g')), i + 1 FROM r WHERE regexp_matches(s, {link}))
+SELECT doc_id, md5(arg_max(s, i)) AS clean_md5 FROM r GROUP BY doc_id"""
 
 
 def scalar_texts(spark: SparkSession, sf: str) -> DataFrame:
