@@ -7,6 +7,8 @@ row a partition, its composed function, tells the state in which the next one be
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -61,21 +63,24 @@ def _scanned(names: list[str], key_at: list[int], moves_at: int, states: int):
     return run
 
 
-def scanned(rows: DataFrame, key: list[str], order: list[str], moves: str, states: int, name: str = "state") -> DataFrame:
+def scanned(rows: DataFrame, key: list[str], order: list[str], moves: str, states: int, name: str = "state", facts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Add ``name``: the state before each row, state 0 before the first row of each ``key``.
 
     ``moves`` is a column ``array<int>`` with the state behind the row for each of the
     ``states`` before it; ``order`` tells the rows of a key apart.  The table is
     range-partitioned by key and order and stored once, in column ``_part``; keys of any size
-    are spread over partitions.  One row a partition reaches the driver.
+    are spread over partitions.  One row a partition reaches the driver.  ``facts`` adds
+    columns, ``moves`` among them, behind the exchange: what bounds the ranges is drawn from
+    a pass of its own, which then does not make them.
     """
     if not 0 < states <= MOST_STATES:
         raise ValueError(f"a machine has 1 to {MOST_STATES} states")
     spark = rows.sparkSession
-    cols = [*rows.columns, "_part"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col(f"`{c}`") for c in [*key, *order]]
-    placed = rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
+    placed = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    placed = (facts(placed) if facts else placed).withColumn("_part", F.spark_partition_id())
+    cols = placed.columns
     schema = StructType([*placed.schema.fields, *spark.range(0).select(F.array(F.lit(0)).alias("_before"), F.lit(True).alias("_first")).schema.fields])
     schema = StructType([StructField(f.name, f.dataType, True) for f in schema.fields])
     local = stored(placed.mapInArrow(_scanned(cols, [cols.index(k) for k in key], cols.index(moves), states), schema), "scanned")

@@ -90,11 +90,13 @@ def scanned_paragraphs(lines: DataFrame, key: str, order: list[str], raw: str =
     paragraphs and texts are numbered by sums over partitions.  A paragraph is one row.
     Null lines are blank.
     """
-    x = lines.select(key, *order, _line_facts(collapse(F.replace(F.coalesce(F.col(raw), F.lit("")), F.lit("--"), F.lit("—")))).alias("_f"))
-    x = x.select(key, *order, "_f.*")
-    # State 0: what comes next begins a paragraph.
-    behind = F.when((F.col("s") == "") | ~F.col("wordy") | F.col("ended"), 0).otherwise(1)
-    x = scanned(x.withColumn("_m", F.array(behind, behind)), [key], order, "_m", 2, "_state")
+    def facts(x: DataFrame) -> DataFrame:
+        line = collapse(F.replace(F.coalesce(F.col(raw), F.lit("")), F.lit("--"), F.lit("—")))
+        # State 0: what comes next begins a paragraph.
+        behind = F.when((F.col("s") == "") | ~F.col("wordy") | F.col("ended"), 0).otherwise(1)
+        return x.select(key, *order, _line_facts(line).alias("_f")).select(key, *order, "_f.*").withColumn("_m", F.array(behind, behind))
+
+    x = scanned(lines.select(key, *order, raw), [key], order, "_m", 2, "_state", facts)
     begins = (F.col("s") != "") & ((F.col("_state") == 0) | F.col("mark") | F.col("title") | F.col("upper") | ~F.col("wordy"))
     x = x.withColumns({"_begins": begins.cast("long"), "_wordless": ((F.col("s") != "") & ~F.col("wordy")).cast("long")})
     x = with_running(x, order, {"_par": "_begins", "_text": "_wordless"}, [key]).where((F.col("s") != "") & F.col("wordy"))
@@ -110,9 +112,13 @@ def scanned_sections(lines: DataFrame, key: str, order: list[str], text: str = "
     them, and a title meets its bodies by a join.  Null lines are blank and left out.
     """
     words = F.size(F.filter(tokens(F.col("_s")), lambda t: t.rlike(ALNUM)))
-    x = lines.select(key, *order, collapse(F.coalesce(F.col(text), F.lit(""))).alias("_s")).where("_s <> ''").withColumn("_short", words <= SHORT_LINE)
-    moves = F.when(F.col("_short"), F.array(F.lit(1), F.lit(2), F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(2)))
-    x = scanned(x.withColumn("_m", moves), [key], order, "_m", 3, "_state")
+
+    def facts(x: DataFrame) -> DataFrame:
+        moves = F.when(F.col("_short"), F.array(F.lit(1), F.lit(2), F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(2)))
+        told = x.select(key, *order, collapse(F.coalesce(F.col(text), F.lit(""))).alias("_s")).where("_s <> ''")
+        return told.withColumn("_short", words <= SHORT_LINE).withColumn("_m", moves)
+
+    x = scanned(lines.select(key, *order, text), [key], order, "_m", 3, "_state", facts)
     x = x.withColumn("_title", ((F.col("_state") == 0) | (F.col("_short") & (F.col("_state") == 2))).cast("long"))
     x = with_running(x, order, {"_before": "_title"}, [key]).withColumn("section", F.col("_before") + F.col("_title"))
     titles = x.where("_title = 1").select(F.col(key).alias("_k"), F.col("section").alias("_n"), F.col("_s").alias("title"))
