@@ -83,7 +83,7 @@ def scanned(rows: DataFrame, key: list[str], order: list[str], moves: str, state
     cols = placed.columns
     schema = StructType([*placed.schema.fields, *spark.range(0).select(F.array(F.lit(0)).alias("_before"), F.lit(True).alias("_first")).schema.fields])
     schema = StructType([StructField(f.name, f.dataType, True) for f in schema.fields])
-    local = stored(placed.mapInArrow(_scanned(cols, [cols.index(k) for k in key], cols.index(moves), states), schema), "scanned")
+    local = stored(placed.mapInArrow(_scanned(cols, [cols.index(k) for k in key], cols.index(moves), states), schema), "scanned", compression="zstd")
     behind = F.transform("_before", lambda s: F.get(f"`{moves}`", s))
     place = F.struct(*by)
     ends = local.groupBy("_part").agg(F.min_by(F.struct(*(F.col(f"`{k}`") for k in key)), place).alias("a"), F.max_by(F.struct(*(F.col(f"`{k}`") for k in key)), place).alias("z"), F.max_by(behind, place).alias("f"))
