@@ -170,10 +170,10 @@ def _shingles(batches):
     for b in batches:
         for i, j, data, offsets in K.chunks(*K.buffers(b.column(0))):
             row, g, count = bags(data, offsets)
-            d1, _, _ = _digests(row, g, count, j - i)
+            d1, d2, _ = _digests(row, g, count, j - i)
             edge = np.searchsorted(row, np.arange(j - i + 1)).tolist()
             blobs = [_pack_bag(g[p:q], count[p:q]) for p, q in zip(edge[:-1], edge[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(blobs, pa.binary())], ["node", "bag"])
+            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(blobs, pa.binary())], ["node", "check", "bag"])
 
 
 def similarity(g1: np.ndarray, c1: np.ndarray, g2: np.ndarray, c2: np.ndarray) -> tuple[int, int]:
@@ -255,19 +255,34 @@ def _undecided(threshold: float):
 def _possible(placed: DataFrame, roots: DataFrame, shingles: DataFrame, threshold: float, scratch: Callable) -> DataFrame:
     """All pairs that share a bucket, are in different components and are not ruled out by their sketches.
 
-    In a bucket of up to three nodes the centres have met every pair.
+    In a bucket of up to three nodes the centres have met every pair.  The members of a
+    bucket's largest component need not meet each other: their blocks meet those of the
+    others only, so that the rows grow with the undecided pairs.
     """
     rooted = scratch(placed.where("n > 3").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "rooted")
-    open_ = scratch(rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
+    sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("_top"), F.sum("n").alias("n")).where("n > _top.n")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_ = scratch(open_.select("bucket", F.col("_top.root").alias("top_root"), blocks(F.col("n") - F.col("_top.n")).alias("few"), blocks(F.col("_top.n")).alias("many")), "open")
     inside = scratch(rooted.hint("shuffle_merge").join(open_.hint("shuffle_merge"), "bucket"), "inside")
     wanted = shingles.hint("shuffle_merge").join(inside.select("node").distinct().hint("shuffle_merge"), "node", "left_semi")
     sketches = scratch(wanted.select("node", "bag").mapInArrow(_sketches, "node long, weight long, sketch binary"), "sketches")
-    drawn = inside.hint("shuffle_merge").join(sketches.hint("shuffle_merge"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = drawn.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Blocks 0 to few - 1 hold what is outside the largest component, the others its members.
+    place, largest = F.xxhash64("node"), F.col("root") == F.col("top_root")
+    drawn = inside.hint("shuffle_merge").join(sketches.hint("shuffle_merge"), "node")
+    drawn = drawn.withColumn("block", F.when(largest, F.col("few") + F.pmod(place, F.col("many"))).otherwise(F.pmod(place, F.col("few"))).cast("int"))
+    pairs = drawn.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(largest, 0).otherwise(F.col("many")))))
     pairs = pairs.select("bucket", F.least("block", "_other").alias("first"), F.greatest("block", "_other").alias("second"), "block", "node", "root", "weight", "sketch")
     return pairs.groupBy("bucket", "first", "second").applyInArrow(_undecided(threshold), "a long, b long").distinct()
 
 
+def told_apart(rows: DataFrame, clashing: DataFrame) -> DataFrame:
+    """Rows whose ``node`` is one of ``clashing``, a name of several multisets, get one made of both digests."""
+    other = clashing.select(F.col("node").alias("_clash")).distinct()
+    met = rows.join(other, rows["node"] == other["_clash"], "left")
+    return met.withColumn("node", F.when(F.col("_clash").isNotNull(), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("_clash")
+
+
 def _rows(table: DataFrame) -> int:
     """Rows of a stored table, from its files' footers."""
     return table.count()
@@ -284,7 +299,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     different components, is compared in blocks: sketches rule out pairs that cannot reach
     the threshold, the others are compared exactly.  So every pair that shares a bucket is
     decided, whatever ``second_centres`` is (rounds that only make the undecided part small);
-    the work on sketches grows with the square of the undecided part of a family.
+    the work on sketches grows with the members of a family outside its largest component,
+    times all of its members.
+
+    A node is named by a 64-bit digest of its multiset; where several multisets share one, as
+    some pairs among 10**10 texts do, a second digest tells them apart.
 
     A null text is an empty one; texts without words form one class.  Keys need not be
     unique; null keys are allowed and never a ``class_id`` unless the class has no other.
@@ -304,12 +323,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     def scratch(df: DataFrame, name: str) -> DataFrame:
         return made(stored(df, name))
 
-    nodes = rows.groupBy("node").agg(
-        F.min(key).alias("first_key"), F.count("*").alias("copies"), F.max("weight").alias("weight"), F.first("bands").alias("bands"), F.min("check").alias("_lo"), F.max("check").alias("_hi")
-    )
-    # Two multisets with one 64-bit digest would be merged; the second digest tells.
-    nodes = nodes.withColumn("weight", F.when(F.col("_lo") == F.col("_hi"), F.col("weight")).otherwise(F.raise_error(F.lit("digest collision")).cast("long")))
-    nodes = scratch(nodes.drop("_lo", "_hi"), "nodes")
+    def grouped(rows: DataFrame) -> DataFrame:
+        each = rows.groupBy("node").agg(
+            F.min(key).alias("first_key"), F.count("*").alias("copies"), F.max("weight").alias("weight"), F.first("bands").alias("bands"), F.min("check").alias("_lo"), F.max("check").alias("_hi")
+        )
+        return scratch(each, "nodes")
+
+    nodes = grouped(rows)
+    clashing = nodes.where("_lo <> _hi")
+    # Few if any; where there is none, no name needs a join.
+    named_anew = _rows(clashing) > 0
+    if named_anew:
+        rows = stored(told_apart(rows, clashing), "signatures")
+        nodes = grouped(rows)
     worded = nodes.where("weight > 0")
 
     # Stored wherever both sides of a join would come from one exchange: adaptive execution
@@ -328,7 +354,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     wanted = worded.hint("shuffle_merge").join(fame.select("node").hint("shuffle_merge"), "node", "left_semi").select(F.col("first_key").alias("_k")).distinct()
     texts = source.hint("shuffle_merge").join(wanted.hint("shuffle_merge"), source[key].eqNullSafe(F.col("_k")), "left_semi").select(text)
     # Rows that repeat a key and text come to one bag a node.
-    shingles = scratch(texts.mapInArrow(_shingles, "node long, bag binary").groupBy("node").agg(F.first("bag").alias("bag")), "bags")
+    shingles = texts.mapInArrow(_shingles, "node long, check long, bag binary")
+    if named_anew:
+        shingles = told_apart(shingles, clashing)
+    shingles = scratch(shingles.groupBy("node").agg(F.first("bag").alias("bag")), "bags")
 
     # First each node against the fullest centre that it shares a bucket with.  What is linked
     # then has the centre as its root; roots only spare comparisons until the last step.

@@ -8,6 +8,7 @@ import hashlib
 import os
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -609,6 +610,40 @@ def test_links_that_no_centre_has(spark, monkeypatch, block):
     assert collections.Counter((r.doc_id, r.class_id, r.class_size) for r in minhash.near_duplicates(d).collect()) == want
 
 
+def test_multisets_that_share_a_name(spark, monkeypatch):
+    """Eight names for all multisets: the second digest tells them apart."""
+    whole = minhash._digests
+    monkeypatch.setattr(minhash, "_digests", lambda *x: (whole(*x)[0] % 8, *whole(*x)[1:]))
+    # A function of a module is imported anew by workers; under another name it goes as it is here.
+    bags_of = types.FunctionType(minhash._shingles.__code__, vars(minhash), "few_names")
+    bags_of.__qualname__ = "few_names"
+    monkeypatch.setattr(minhash, "_shingles", bags_of)
+    rnd, docs = random.Random(9), [(None, "a b"), (900, ""), (901, None), (902, "a b")]
+    for f in range(25):
+        base = [f"w{rnd.randrange(200)}" for _ in range(80)]
+        for e in range(rnd.choice([1, 2, 5])):
+            docs.append((len(docs), " ".join([*base[:40], f"edit{e % 3}", *base[41:]])))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert collections.Counter((r.doc_id, r.class_id, r.class_size) for r in minhash.near_duplicates(d).collect()) == classes_model(docs)
+
+
+def test_undecided_pairs_of_a_large_component(spark, monkeypatch):
+    """Blocks of the largest component meet those of what is outside; all pairs of different components come out, once."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    root = {n: 0 if n < 97 else n for n in range(100)} | {n: 200 for n in range(200, 205)} | {n: n for n in range(300, 340)}
+    placed = spark.createDataFrame([(0 if n < 300 else 7, n, 100, 1) for n in root] + [(9, n, 4, 1) for n in range(4)], "bucket long, node long, n int, fame int")
+    roots = spark.createDataFrame([(n, r) for n, r in root.items() if n < 300], "node long, root long")
+    one = minhash._pack_bag(np.arange(1, 60, dtype=np.uint64) << np.uint64(20), np.ones(59, np.int64))
+    bags_of = spark.createDataFrame([(n, bytearray(one)) for n in root], "node long, bag binary")
+    got = [(r.a, r.b) for r in minhash._possible(placed, roots, bags_of, 0.8, minhash.stored).collect()]
+    buckets = collections.defaultdict(set)
+    for r in placed.where("n > 3").collect():
+        buckets[r.bucket].add(r.node)
+    assert sorted(got) == sorted({(a, b) for ns in buckets.values() for a in ns for b in ns if a < b and root[a] != root[b]})
+    # Outside the 97 are three components of one and one of five.
+    assert len(got) == 97 * 8 + 3 + 3 * 5 + 40 * 39 // 2
+
+
 def test_sketches_never_rule_out_a_link():
     rnd = random.Random(7)
     for _ in range(200):
