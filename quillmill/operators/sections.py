@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import pick
 from ..functions.text import ALNUM, ALPHA, collapse, tokens
-from .ranking import with_running
 from .scan import scanned
 
 SHORT_LINE = 7
@@ -87,20 +86,21 @@ def scanned_paragraphs(lines: DataFrame, key: str, order: list[str], raw: str =
 
     The lines of one document may fill any number of partitions: whether a line stands
     behind the end of a paragraph is a machine of two states, scanned across partitions, and
-    paragraphs and texts are numbered by sums over partitions.  A paragraph is one row.
+    paragraphs and texts are numbered in the same pass.  A paragraph is one row.
     Null lines are blank.
     """
     def facts(x: DataFrame) -> DataFrame:
         line = collapse(F.replace(F.coalesce(F.col(raw), F.lit("")), F.lit("--"), F.lit("—")))
+        x = x.select(key, *order, _line_facts(line).alias("_f")).select(key, *order, "_f.*")
+        said, wordless = F.col("s") != "", ~F.col("wordy")
         # State 0: what comes next begins a paragraph.
-        behind = F.when((F.col("s") == "") | ~F.col("wordy") | F.col("ended"), 0).otherwise(1)
-        return x.select(key, *order, _line_facts(line).alias("_f")).select(key, *order, "_f.*").withColumn("_m", F.array(behind, behind))
-
-    x = scanned(lines.select(key, *order, raw), [key], order, "_m", 2, "_state", facts)
-    begins = (F.col("s") != "") & ((F.col("_state") == 0) | F.col("mark") | F.col("title") | F.col("upper") | ~F.col("wordy"))
-    x = x.withColumns({"_begins": begins.cast("long"), "_wordless": ((F.col("s") != "") & ~F.col("wordy")).cast("long")})
-    x = with_running(x, order, {"_par": "_begins", "_text": "_wordless"}, [key]).where((F.col("s") != "") & F.col("wordy"))
-    g = x.groupBy(key, (F.col("_par") + F.col("_begins")).alias("par")).agg(F.max("_text").alias("text_no"), F.array_sort(F.collect_list(F.struct(*order, "s"))).alias("_l"))
+        behind = F.when(~said | wordless | F.col("ended"), 0).otherwise(1)
+        opens = said & (F.col("mark") | F.col("title") | F.col("upper") | wordless)
+        counted = F.array(said.cast("long"), opens.cast("long")).alias("_begins"), F.array_repeat((said & wordless).cast("long"), 2).alias("_wordless")
+        return x.select(key, *order, F.when(said & ~wordless, F.col("s")).alias("s"), F.array(behind, behind).alias("_m"), *counted)
+
+    x = scanned(lines.select(key, *order, raw), [key], order, "_m", 2, "_state", facts, {"par": "_begins", "_text": "_wordless"}).where("s IS NOT NULL")
+    g = x.groupBy(key, "par").agg(F.max("_text").alias("text_no"), F.array_sort(F.collect_list(F.struct(*order, "s"))).alias("_l"))
     return g.select(key, "text_no", "par", F.array_join(F.transform("_l", lambda l: l["s"]), " ").alias("paragraph"))
 
 
@@ -108,19 +108,20 @@ def scanned_sections(lines: DataFrame, key: str, order: list[str], text: str = "
     """:func:`wiki_sections` of documents of any number of lines, ordered by the columns ``order``.
 
     A machine of three states (at the start, behind a title, behind anything else) tells
-    titles from bodies; it is scanned across partitions, sections are numbered by sums over
-    them, and a title meets its bodies by a join.  Null lines are blank and left out.
+    titles from bodies; it is scanned across partitions, sections are numbered in the same
+    pass, and a title meets its bodies by a join.  Null lines are blank and left out.
     """
     words = F.size(F.filter(tokens(F.col("_s")), lambda t: t.rlike(ALNUM)))
 
     def facts(x: DataFrame) -> DataFrame:
         moves = F.when(F.col("_short"), F.array(F.lit(1), F.lit(2), F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(2)))
         told = x.select(key, *order, collapse(F.coalesce(F.col(text), F.lit(""))).alias("_s")).where("_s <> ''")
-        return told.withColumn("_short", words <= SHORT_LINE).withColumn("_m", moves)
+        told = told.withColumn("_short", words <= SHORT_LINE)
+        # A title is the first line, or a short one behind a body.
+        return told.withColumns({"_m": moves, "_titles": F.array(F.lit(1), F.lit(0), F.col("_short").cast("int")).cast("array<long>")})
 
-    x = scanned(lines.select(key, *order, text), [key], order, "_m", 3, "_state", facts)
+    x = scanned(lines.select(key, *order, text), [key], order, "_m", 3, "_state", facts, {"section": "_titles"})
     x = x.withColumn("_title", ((F.col("_state") == 0) | (F.col("_short") & (F.col("_state") == 2))).cast("long"))
-    x = with_running(x, order, {"_before": "_title"}, [key]).withColumn("section", F.col("_before") + F.col("_title"))
     titles = x.where("_title = 1").select(F.col(key).alias("_k"), F.col("section").alias("_n"), F.col("_s").alias("title"))
     body = x.where("_title = 0").join(titles, F.col(key).eqNullSafe(F.col("_k")) & (F.col("section") == F.col("_n")))
     said = F.when(F.col("_short"), F.col("title")).otherwise(F.col("_s"))

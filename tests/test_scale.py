@@ -18,14 +18,19 @@ def test_machines_equal_a_walk(spark):
     try:
         rows = [(rnd.choice([0, 0, 0, 0, 1, 2, 3, None]), i, [rnd.randrange(5) for _ in range(5)], "x") for i in range(700)]
         df = spark.createDataFrame(rows, "k int, n int, m array<int>, state_of string").repartition(6)
-        got = {r.n: r.state for r in scan.scanned(df, ["k"], ["n"], "m", 5).collect()}
+        counted = df.withColumn("w", F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: i * (F.col("n") % 3)).cast("array<long>"))
+        out = scan.scanned(counted, ["k"], ["n"], "m", 5, sums={"total": "w"})
+        assert out.columns == ["k", "n", "state_of", "_part", "state", "total"]
+        got = {r.n: (r.state, r.total) for r in out.collect()}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     want, now = {}, {}
     for k, n, m, _ in rows:
-        want[n] = now.get(k, 0)
-        now[k] = m[want[n]]
+        state, total = now.get(k, (0, 0))
+        want[n] = (state, total + (state + 1) * (n % 3))
+        now[k] = (m[state], want[n][1])
     assert got == want
+    assert {r.n: r.state for r in scan.scanned(df, ["k"], ["n"], "m", 5).collect()} == {n: state for n, (state, _) in want.items()}
     assert scan.scanned(df.where("false"), ["k"], ["n"], "m", 5).collect() == []
     with pytest.raises(ValueError, match="states"):
         scan.scanned(df, ["k"], ["n"], "m", 65)
