@@ -410,6 +410,40 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"batch": pa.array(names, pa.int64()), "cuts": pa.array([_zip(np.concatenate(found[b]).ravel()) for b in names], pa.binary())})
 
 
+def _covered(flag: np.ndarray, a: int, b: int, floor: int) -> np.ndarray:
+    """Which bytes from ``a`` to ``b`` are in a window that starts at a flag, at ``floor`` or later."""
+    low = max(a - WINDOW + 1, floor)
+    sums = np.concatenate([np.zeros(1, np.int32), np.cumsum(flag[low:b], dtype=np.int32)])
+    x = np.arange(a - low, b - low)
+    return sums[x + 1] > sums[np.maximum(x - WINDOW + 1, 0)]
+
+
+def _remains(data: np.ndarray, flag: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Kept bytes, number of bytes cut and of cut runs of documents ``i`` to ``j``; one that is long is taken in pieces."""
+    start, end = int(offsets[i]), int(offsets[j])
+    if j == i + 1 and end - start > _PIECE:
+        kept, cut, runs, before = [], 0, 0, False
+        for a in range(start, end, _PIECE):
+            b = min(a + _PIECE, end)
+            gone = _covered(flag, a, b, start)
+            kept.append(data[a:b][~gone].tobytes())
+            cut += int(gone.sum())
+            runs += int(gone[0] and not before) + int((gone[1:] & ~gone[:-1]).sum())
+            before = bool(gone[-1])
+        return [b"".join(kept)], np.array([cut]), np.array([runs])
+    off = offsets[i : j + 1] - start
+    gone = _covered(flag, start, end, start)
+    total = np.concatenate([[0], np.cumsum(gone)])
+    edge = np.zeros(end - start + 1, bool)
+    edge[off] = True
+    begins = gone.copy()
+    begins[1:] &= ~gone[:-1] | edge[1:-1]
+    spans = np.concatenate([[0], np.cumsum(begins)])
+    left_over = data[start:end][~gone].tobytes()
+    kept_at = (off - total[off]).tolist()
+    return [left_over[a:b] for a, b in zip(kept_at[:-1], kept_at[1:], strict=True)], np.diff(total[off]), np.diff(spans[off])
+
+
 def kept_text(kept: list[bytes]) -> dict[str, list]:
     """The default result: the remaining text (a character cut in two is dropped)."""
     return {"kept": [x.decode("utf-8", "ignore") for x in kept]}
@@ -453,23 +487,11 @@ def remove_repeats(
             flag = np.zeros(len(data) + 1, bool)
             for t in range(_SPAN):
                 flag[start[(mark[:, 2] >> t) & 1 == 1] + t] = True
-            for i, j, chunk, off in K.chunks(data, offsets):
-                base = int(offsets[i])
-                sums = np.concatenate([[0], np.cumsum(flag[base : base + len(chunk)])])
-                x = np.arange(len(chunk))
-                gone = sums[1:] - sums[np.maximum(x - WINDOW + 1, 0)] > 0
-                total = np.concatenate([[0], np.cumsum(gone)])
-                edge = np.zeros(len(chunk) + 1, bool)
-                edge[off] = True
-                begins = gone.copy()
-                begins[1:] &= ~gone[:-1] | edge[1:-1]
-                spans = np.concatenate([[0], np.cumsum(begins)])
-                left_over = chunk[~gone].tobytes()
-                kept_at = (off - total[off]).tolist()
-                kept = [left_over[a:b] for a, b in zip(kept_at[:-1], kept_at[1:], strict=True)]
+            for i, j, _, off in K.chunks(data, offsets):
+                kept, cut, spans = _remains(data, flag, offsets, i, j)
                 cols = finish(kept)
                 own = rows.slice(i, j - i)
-                arrays = [*(own.column(c).combine_chunks() for c in carried), *(pa.array(np.diff(v[off]) if v is not None else np.diff(off), pa.int64()) for v in (None, total, spans)), *(pa.array(cols[c]) for c in made[3:])]
+                arrays = [*(own.column(c).combine_chunks() for c in carried), *(pa.array(v, pa.int64()) for v in (np.diff(off), cut, spans)), *(pa.array(cols[c]) for c in made[3:])]
                 tables.append(pa.Table.from_arrays(arrays, [*carried, *made]))
         return pa.concat_tables(tables)
 
