@@ -152,11 +152,34 @@ def token_pieces(docs: DataFrame, vocabulary: str, max_tokens: int, eos: int, ke
     return docs.select(key, text).mapInArrow(run, schema)
 
 
+def _repeated(a: int, have: np.ndarray, below: np.ndarray, full: int, gap: int, each: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(waste, pattern) of a length too short for three to fill a sequence: ``a`` and a shorter length several times, then a third.
+
+    Every number of times that ``a`` fits has its share of the ``each`` patterns.  Where none
+    leaves as little as ``gap``, the one of least waste stays, so that each length has one.
+    """
+    times = full // a
+    out = [(full - times * a, (a,) * times)]
+    b = have[have < a]
+    share = max(2, each // times)
+    for k in range(1, times + 1):
+        room = full - k * a
+        fits = b[b <= room]
+        m = room // fits
+        left = room - m * fits
+        c = below[left]
+        waste = left - c
+        for i in np.lexsort((-fits, waste))[:share].tolist():
+            out.append((int(waste[i]), (a,) * k + (int(fits[i]),) * int(m[i]) + ((int(c[i]),) if c[i] else ())))
+    return [x for x in out if x[0] <= gap] or [min(out)]
+
+
 def patterns(lengths: list[int], full: int, gap: int, each: int = 48) -> list[tuple[int, ...]]:
-    """Sets of one to three lengths that leave at most ``gap`` of a sequence, least waste first.
+    """Sets of at most three lengths that leave at most ``gap`` of a sequence, least waste first.
 
     For every longest length the ``each`` best completions by one or two others are kept,
-    so that there are at most ``full * each`` patterns.
+    so that there are at most about ``full * each`` patterns.  Pieces of three such lengths
+    fill a sequence, or, where the longest is too short for that, the first two repeat.
     """
     have = np.array(sorted(set(lengths)), np.int64)
     below = np.zeros(full + 1, np.int64)
@@ -164,6 +187,9 @@ def patterns(lengths: list[int], full: int, gap: int, each: int = 48) -> list[tu
     below = np.maximum.accumulate(below)
     out: set[tuple[int, tuple[int, ...]]] = set()
     for a in have[::-1].tolist():
+        if 3 * a < full - gap:
+            out.update(_repeated(a, have, below, full, gap, each))
+            continue
         room = full - a
         if room <= gap:
             out.add((room, (a,)))
@@ -304,7 +330,7 @@ def pack(pieces: DataFrame, max_tokens: int, key: str = "doc_id") -> DataFrame:
     """Give every piece a ``sequence_id`` and an ``offset`` in as few sequences as it can.
 
     The histogram of lengths (at most ``max_tokens`` rows) is all that reaches the driver.
-    There, patterns of one to three lengths that fill a sequence or nearly so are fitted to
+    There, patterns of at most three lengths that fill a sequence or nearly so are fitted to
     it by non-negative least squares, rounded, and the rest is packed best-fit.  The plan
     says which ranks of a length go to which run of sequences, so it is small however many
     pieces there are; ranks within a length come from per-partition counts.

@@ -345,6 +345,23 @@ def test_word_table_that_overflows(encoding):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [encoding.encode_ordinary(x) for x in docs]
 
 
+@pytest.mark.parametrize("lengths", [range(10, 251), range(10, 331), range(200, 331), range(260, 321, 7), range(30, 41), [100], [1, 2, 5]])
+def test_short_lengths_are_fitted_too(lengths):
+    """Three pieces fill no sequence: lengths repeat, and the fit is no worse than best fit."""
+    rnd = random.Random(3)
+    counts = {k: rnd.randint(800, 3000) for k in lengths}
+    columns = packing.patterns(list(counts), 1024, 32)
+    assert len(set(columns)) == len(columns) and all(sum(p) <= 1024 and len(set(p)) <= 3 for p in columns)
+    assert {max(p) for p in columns} == set(counts)
+    fitted, left = packing._realised(columns, counts)
+    used = collections.Counter(left)
+    for p, n in fitted:
+        for v in p:
+            used[v] += n
+    assert used == counts and fitted
+    assert sum(n for _, n in packing.plan(counts, 1024)) <= sum(n for _, n in packing.best_fit(counts, 1024))
+
+
 def test_plan_places_every_length_and_is_no_worse_than_best_fit():
     rnd = random.Random(4)
     sparse = {rnd.randint(1, 1023): rnd.randint(1, 5000) for _ in range(300)}
@@ -409,6 +426,28 @@ def test_repeats_like_the_model(spark, monkeypatch, batch):
     assert digest(got) == cut_model(docs)
 
 
+def test_long_texts_are_cut_in_pieces(monkeypatch):
+    """Runs that meet, cross or end at the bounds of pieces, and windows of other documents."""
+    monkeypatch.setattr(suffix, "_PIECE", 64)
+    rnd = random.Random(4)
+    for _ in range(60):
+        sizes = [rnd.choice([0, 10, 60, 64, 65, 128, 700, 701]) for _ in range(4)]
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        data, flag = np.frombuffer(rnd.randbytes(int(offsets[-1])), np.uint8), np.zeros(int(offsets[-1]) + 1, bool)
+        gone = np.zeros(len(data), bool)
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            for x in range(a, b - 49):
+                if rnd.random() < rnd.choice([0.001, 0.02]) or rnd.random() < 0.05 and x % 64 in (13, 14, 15, 63, 0):
+                    flag[x] = True
+                    gone[x : x + 50] = True
+        for i, j in [(0, 4), *((k, k + 1) for k in range(4))]:
+            kept, cut, spans = suffix._remains(data, flag, offsets, i, j)
+            for d in range(i, j):
+                own = gone[offsets[d] : offsets[d + 1]]
+                assert kept[d - i] == data[offsets[d] : offsets[d + 1]][~own].tobytes() and cut[d - i] == own.sum()
+                assert spans[d - i] == sum(1 for k, g in enumerate(own) if g and (k == 0 or not own[k - 1]))
+
+
 def test_repeats_odd_rows(odd, empty):
     got = suffix.remove_repeats(odd, finish=queries._kept_digest, finish_schema="kept_sha256 string").collect()
     docs = [d for d in ODD if d[0] not in (8, 9)]
