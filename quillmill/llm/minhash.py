@@ -229,11 +229,17 @@ def _undecided(threshold: float):
 
     With total weight w and sum of differences d the similarity is (w - d) / (w + d), and
     a sketch's d is never above the bag's: no pair that reaches the threshold is ruled out.
+    ``lower`` holds the lesser open buckets of a node: a pair comes from the least bucket that
+    it shares, so once, not once a bucket.
     """
 
     def run(table: pa.Table) -> pa.Table:
         node, root, weight, block = (np.asarray(table.column(c)) for c in ("node", "root", "weight", "block"))
         rows = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        lists = table.column("lower").combine_chunks()
+        at, lower = np.diff(np.asarray(lists.offsets)), np.zeros((len(lists), BANDS), np.int64)
+        held = np.arange(BANDS) < at[:, None]
+        lower[held] = np.asarray(lists.flatten())
         first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
         left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
         most = (1 - threshold) / (1 + threshold) * (1 + 1e-9)
@@ -245,6 +251,7 @@ def _undecided(threshold: float):
             j = right[ok]
             j = j[np.abs(weight[j] - weight[i]) <= most * (weight[j] + weight[i])]
             j = j[np.abs(rows[j] - rows[i]).sum(axis=1, dtype=np.int64) <= most * (weight[j] + weight[i])]
+            j = j[~(np.isin(lower[j], lower[i][held[i]]) & held[j]).any(axis=1)]
             a.append(np.minimum(node[i], node[j]))
             b.append(np.maximum(node[i], node[j]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -257,7 +264,8 @@ def _possible(placed: DataFrame, roots: DataFrame, shingles: DataFrame, threshol
 
     In a bucket of up to three nodes the centres have met every pair.  The members of a
     bucket's largest component need not meet each other: their blocks meet those of the
-    others only, so that the rows grow with the undecided pairs.
+    others only, so that the rows grow with the undecided pairs.  Each pair comes once, however
+    many buckets it shares.
     """
     rooted = scratch(placed.where("n > 3").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "rooted")
     sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
@@ -269,11 +277,14 @@ def _possible(placed: DataFrame, roots: DataFrame, shingles: DataFrame, threshol
     sketches = scratch(wanted.select("node", "bag").mapInArrow(_sketches, "node long, weight long, sketch binary"), "sketches")
     # Blocks 0 to few - 1 hold what is outside the largest component, the others its members.
     place, largest = F.xxhash64("node"), F.col("root") == F.col("top_root")
-    drawn = inside.hint("shuffle_merge").join(sketches.hint("shuffle_merge"), "node")
+    held = inside.groupBy("node").agg(F.collect_set("bucket").alias("_held"))
+    facts = scratch(sketches.hint("shuffle_merge").join(held.hint("shuffle_merge"), "node"), "facts")
+    drawn = inside.hint("shuffle_merge").join(facts.hint("shuffle_merge"), "node")
+    drawn = drawn.withColumn("lower", F.filter("_held", lambda x: x < F.col("bucket")))
     drawn = drawn.withColumn("block", F.when(largest, F.col("few") + F.pmod(place, F.col("many"))).otherwise(F.pmod(place, F.col("few"))).cast("int"))
     pairs = drawn.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(largest, 0).otherwise(F.col("many")))))
-    pairs = pairs.select("bucket", F.least("block", "_other").alias("first"), F.greatest("block", "_other").alias("second"), "block", "node", "root", "weight", "sketch")
-    return pairs.groupBy("bucket", "first", "second").applyInArrow(_undecided(threshold), "a long, b long").distinct()
+    pairs = pairs.select("bucket", F.least("block", "_other").alias("first"), F.greatest("block", "_other").alias("second"), "block", "node", "root", "weight", "sketch", "lower")
+    return pairs.groupBy("bucket", "first", "second").applyInArrow(_undecided(threshold), "a long, b long")
 
 
 def told_apart(rows: DataFrame, clashing: DataFrame) -> DataFrame:

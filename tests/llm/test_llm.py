@@ -683,6 +683,33 @@ def test_undecided_pairs_of_a_large_component(spark, monkeypatch):
     assert len(got) == 97 * 8 + 3 + 3 * 5 + 40 * 39 // 2
 
 
+def test_a_pair_comes_from_one_of_its_buckets(spark, monkeypatch):
+    """Families whose pairs share many buckets: as many rows as pairs, however many buckets they share."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    made, compare = spark.sparkContext.accumulator(0), minhash._undecided
+
+    def counted(threshold):
+        run = compare(threshold)
+
+        def counting(table):
+            out = run(table)
+            made.add(out.num_rows)
+            return out
+
+        return counting
+
+    monkeypatch.setattr(minhash, "_undecided", counted)
+    # Node n is in those of the buckets 1 to 11 that do not divide n + 1; four more hold all nodes.
+    placed = [(b, n) for n in range(40) for b in range(-3, 12) if b < 1 or (n + 1) % b]
+    rows = spark.createDataFrame([(b, n, 40, 1) for b, n in placed], "bucket long, node long, n int, fame int")
+    roots = spark.createDataFrame([(n, 0) for n in range(0, 40, 3)], "node long, root long")
+    one = minhash._pack_bag(np.arange(1, 60, dtype=np.uint64) << np.uint64(20), np.ones(59, np.int64))
+    bags_of = spark.createDataFrame([(n, bytearray(one)) for n in range(40)], "node long, bag binary")
+    got = sorted((r.a, r.b) for r in minhash._possible(rows, roots, bags_of, 0.8, minhash.stored).collect())
+    assert got == [(a, b) for a in range(40) for b in range(a + 1, 40) if a % 3 or b % 3]
+    assert made.value == len(got)
+
+
 def test_sketches_never_rule_out_a_link():
     rnd = random.Random(7)
     for _ in range(200):
