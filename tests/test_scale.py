@@ -4,10 +4,11 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.operators import dialog, fuzzy, generate, intervals, scan, sections, selection, spans
+from quillmill.operators import dialog, fuzzy, generate, intervals, models, scan, sections, selection, spans
 
 
 def test_machines_equal_a_walk(spark):
@@ -204,3 +205,33 @@ def test_prompts_and_caps_that_must_fail(spark):
     assert [r.task for r in models.capped_samples(pairs, 4).orderBy("task").collect()] == ["a", "b"]
     with pytest.raises(ValueError, match="task b"):
         models.capped_samples(pairs, 3)
+
+
+class Handed:
+    """Stands for a table: keeps the function that would run in tasks."""
+
+    def __init__(self, table):
+        self.schema, self.columns = table.schema, table.columns
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_model_calls_hold_the_rows_of_one_call(spark):
+    """Of a batch of any size only the rows of one call become Python objects; each call's rows are handed on at once."""
+    asked = []
+
+    def factory():
+        return lambda texts: asked.append(len(texts)) or [t + "!" for t in texts]
+
+    run = models._batched(Handed(spark.createDataFrame([], "k long, text string, made string")), "text", "made", "string", factory, 64)
+    rows = pa.RecordBatch.from_pydict({"k": list(range(1000)), "text": [None if i == 3 else f"t{i}" for i in range(1000)], "made": ["x"] * 1000})
+    out = run(iter([rows]))
+    first = next(out)
+    assert asked == [64] and first.num_rows == 64 and first.schema.names == ["k", "text", "made"]
+    parts = [first, *out]
+    assert max(p.num_rows for p in parts) == 64
+    assert [x for p in parts for x in p.column(2).to_pylist()] == ["!" if i == 3 else f"t{i}!" for i in range(1000)]
