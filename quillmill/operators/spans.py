@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import TOKEN, WS
 from .intervals import contained as contained
@@ -22,12 +24,18 @@ SPACED_TOKEN = r"\s*(?:" + TOKEN + ")"
 def running_ends(lengths: Column) -> Column:
     """Running sums of an array of lengths, inclusive: where each of the pieces that tile a text ends.
 
-    Only the lengths of one row at a time leave the JVM; no row is shuffled.
+    Only the lengths leave the JVM, as flat arrays of numbers; no row is shuffled.
     """
 
-    @F.pandas_udf("array<int>")
-    def run(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda a: None if a is None else np.cumsum(a, dtype=np.int32))
+    @F.arrow_udf("array<int>")
+    def run(arrays: pa.Array) -> pa.Array:
+        offsets = np.asarray(arrays.offsets)
+        # Sums over all rows may wrap around; the differences within a row are right all the same.
+        ends = np.cumsum(np.asarray(arrays.values)[offsets[0] : offsets[-1]], dtype=np.int32)
+        offsets = offsets - offsets[0]
+        before = np.concatenate([np.zeros(1, np.int32), ends])[offsets[:-1]]
+        ends -= np.repeat(before, np.diff(offsets))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ends), mask=arrays.is_null())
 
     return run(lengths)
 
@@ -84,6 +92,8 @@ def with_quotes(text: Column, start: Column, end: Column, left: str = "«", righ
 
 #: Characters of all phrases up to which they are searched for at once, in the memory of each task.
 MOST_PHRASE_CHARS = 16 << 20
+#: Rows that a Python function hands back at once.
+MOST_ROWS = 1 << 14
 
 
 def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text", phrase_key: str = "item_id", phrase: str = "text", most_chars: int = MOST_PHRASE_CHARS) -> DataFrame:
@@ -118,11 +128,12 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text:
 def _searched(rows: DataFrame, phrases: DataFrame, key: str, phrase_key: str) -> DataFrame:
     """All places of phrases whose size was checked, by one automaton a task."""
     kinds = f"`{key}` {rows.schema[key].dataType.simpleString()}, `{phrase_key}` {phrases.schema[phrase_key].dataType.simpleString()}"
+    own_type = to_arrow_type(phrases.schema[phrase_key].dataType)
     by_text: dict[str, list] = {}
     for k, p in phrases.toLocalIterator():
         by_text.setdefault(p, []).append(k)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         machine = ahocorasick.Automaton()
@@ -130,14 +141,16 @@ def _searched(rows: DataFrame, phrases: DataFrame, key: str, phrase_key: str) ->
             machine.add_word(p, (len(p), keys))
         machine.make_automaton()
         for b in batches:
-            found = [
-                (k, own, last + 1 - n, last + 1) for k, t in zip(b[key], b["_t"], strict=True) if t for last, (n, keys) in machine.iter(t) for own in keys
-            ]
-            yield pd.DataFrame(found, columns=[key, phrase_key, "start", "end"])
+            for i, t in enumerate(b.column(1)):
+                # One text at a time becomes a Python string.
+                found = [(own, last + 1 - n, last + 1) for last, (n, keys) in machine.iter(t.as_py()) for own in keys] if t.is_valid and t.as_py() else []
+                for at in range(0, len(found), MOST_ROWS):
+                    own, start, end = zip(*found[at : at + MOST_ROWS], strict=True)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(own))), pa.array(own, own_type), pa.array(start, pa.int32()), pa.array(end, pa.int32())], [key, phrase_key, "start", "end"])
 
     if not by_text:
         return rows.select(key, F.lit(None).cast(phrases.schema[phrase_key].dataType).alias(phrase_key), F.lit(0).alias("start"), F.lit(0).alias("end")).where("false")
-    return rows.mapInPandas(run, f"{kinds}, start int, end int")
+    return rows.mapInArrow(run, f"{kinds}, start int, end int")
 
 
 def _places(text: Column, phrase: Column) -> Column:

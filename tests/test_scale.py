@@ -235,3 +235,19 @@ def test_model_calls_hold_the_rows_of_one_call(spark):
     parts = [first, *out]
     assert max(p.num_rows for p in parts) == 64
     assert [x for p in parts for x in p.column(2).to_pylist()] == ["!" if i == 3 else f"t{i}!" for i in range(1000)]
+
+
+def test_phrases_are_searched_for_text_by_text(spark):
+    """A task hands hits back in bounded batches; keys of any kind, nulls and empty texts."""
+    docs, phrases = spark.createDataFrame([], "doc_id string, _t string"), spark.createDataFrame([(7, "aa"), (8, "ba")], "item_id long, p string")
+    run = spans._searched(Handed(docs), phrases, "doc_id", "item_id")
+    n = 3 * spans.MOST_ROWS
+    parts = list(run(iter([pa.RecordBatch.from_pydict({"doc_id": ["x", None, "y", "z"], "_t": ["a" * (n + 1), None, "", "cba"]})])))
+    assert max(p.num_rows for p in parts) == spans.MOST_ROWS
+    got = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    assert got == [("x", 7, i, i + 2) for i in range(n)] + [("z", 8, 1, 3)]
+
+
+def test_running_ends_of_odd_arrays(spark):
+    rows = spark.createDataFrame([(1, [3, 4]), (2, None), (3, []), (4, [2_000_000_000]), (5, [2_000_000_000, 1]), (6, [5, 0, 1])], "k int, a array<int>").coalesce(1)
+    assert [r.e for r in rows.select("k", spans.running_ends(F.col("a")).alias("e")).orderBy("k").collect()] == [[3, 7], None, [], [2_000_000_000], [2_000_000_000, 2_000_000_001], [5, 5, 6]]
