@@ -286,18 +286,21 @@ def align(tokens: list[str], entities: list[list[str]], nested: bool = False) ->
 
 
 def aligned(rows: DataFrame, key: str, tokens: str = "tokens", entities: str = "entities") -> DataFrame:
-    """``key, start, end, misses`` in token numbers; Arrow batches of rows with token arrays."""
+    """``key, start, end, misses`` in token numbers; the tokens of one row at a time become Python strings."""
     kind = rows.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for k, t, e in zip(b[key], b[tokens], b[entities], strict=True):
-                bounds, misses = align(list(t), [list(x) for x in e])
-                out += [(k, s, f, misses) for s, f in bounds] or [(k, -1, -1, misses)]
-            yield pd.DataFrame(out, columns=[key, "start", "end", "misses"])
-
-    return rows.select(key, tokens, entities).mapInPandas(run, f"`{key}` {kind}, start int, end int, misses int")
+            out: list[tuple] = []
+            for i, (t, e) in enumerate(zip(b.column(1), b.column(2), strict=True)):
+                bounds, misses = align(t.values.to_numpy(zero_copy_only=False).tolist(), e.as_py())
+                out += [(i, s, f, misses) for s, f in bounds] or [(i, -1, -1, misses)]
+                if i + 1 == b.num_rows or len(out) >= MOST_ROWS:
+                    at, *rest = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(x, pa.int32()) for x in rest)], [key, "start", "end", "misses"])
+                    out = []
+
+    return rows.select(key, tokens, entities).mapInArrow(run, f"`{key}` {kind}, start int, end int, misses int")
 
 
 def decoded_tags(tagged: DataFrame, key: str = "doc_id", tok: str = "tok", tags: str = "tags") -> DataFrame:

@@ -251,3 +251,13 @@ def test_phrases_are_searched_for_text_by_text(spark):
 def test_running_ends_of_odd_arrays(spark):
     rows = spark.createDataFrame([(1, [3, 4]), (2, None), (3, []), (4, [2_000_000_000]), (5, [2_000_000_000, 1]), (6, [5, 0, 1])], "k int, a array<int>").coalesce(1)
     assert [r.e for r in rows.select("k", spans.running_ends(F.col("a")).alias("e")).orderBy("k").collect()] == [[3, 7], None, [], [2_000_000_000], [2_000_000_000, 2_000_000_001], [5, 5, 6]]
+
+
+def test_alignment_hands_rows_back_in_parts(spark, monkeypatch):
+    """The tokens of one row at a time become Python strings; rows come back in bounded batches, in order."""
+    monkeypatch.setattr(spans, "MOST_ROWS", 10)
+    run = spans.aligned(Handed(spark.createDataFrame([], "k long, tokens array<string>, entities array<array<string>>")), "k")
+    rows = pa.RecordBatch.from_pydict({"k": list(range(35)), "tokens": [["A", "b", "c"]] * 34 + [[]], "entities": [[["a"], ["b", "C"]]] * 34 + [[["q"]]]})
+    parts = list(run(iter([rows.slice(1)])))
+    assert len(parts) == 7 and max(p.num_rows for p in parts) == 10
+    assert [tuple(r.values()) for p in parts for r in p.to_pylist()] == [x for k in range(1, 34) for x in ((k, 0, 1, 0), (k, 1, 3, 0))] + [(34, -1, -1, 1)]
