@@ -237,6 +237,23 @@ def test_model_calls_hold_the_rows_of_one_call(spark):
     assert [x for p in parts for x in p.column(2).to_pylist()] == ["!" if i == 3 else f"t{i}!" for i in range(1000)]
 
 
+def test_overlaps_leave_out_groups_without_spans(spark, monkeypatch):
+    """Outer spans of other groups are in neither join, and starts look only in bins of lengths that there are."""
+    whole, seen = intervals.stabbed, []
+
+    def counted(points, many, *names, **more):
+        out = whole(points, many, *names, **more)
+        seen.append((points.count(), many.count(), list(more.get("levels", names[4] if len(names) > 4 else range(intervals.LEVELS)))))
+        return out
+
+    monkeypatch.setattr(intervals, "stabbed", counted)
+    inner = spark.createDataFrame([(1, 5, 130), (None, 250, 260), (2, 7, 7)], "k int, start int, end int")
+    outer = spark.createDataFrame([(k, s, s + 100) for k in (1, 2, 3, 4, None) for s in range(0, 1000, 100)], "k int, start int, end int")
+    got = sorted(((r.k or 0), r.start, r.outer_start, r.relation) for r in intervals.overlaps(inner, outer, "k").collect())
+    assert got == [(0, 250, 200, "inside"), (1, 5, 0, "across"), (1, 5, 100, "across")]
+    assert [(p, m, len(levels)) for p, m, levels in seen] == [(2, 20, intervals.LEVELS), (20, 2, 2)]
+
+
 def test_phrases_are_searched_for_text_by_text(spark):
     """A task hands hits back in bounded batches; keys of any kind, nulls and empty texts."""
     docs, phrases = spark.createDataFrame([], "doc_id string, _t string"), spark.createDataFrame([(7, "aa"), (8, "ba")], "item_id long, p string")
